@@ -144,7 +144,9 @@ def chunk_documents(
         )
 
     chunks = bound(layouts, lambda pages: bound(sections(pages), lambda incoming: packed(pages, incoming)))
-    return documents.select(key, *carry, F.posexplode(chunks).alias("chunk_idx", "chunk")).select(
+    # The outer form keeps the optimiser from testing the array first, which would cut twice.
+    cut = documents.select(key, *carry, F.posexplode_outer(chunks).alias("chunk_idx", "chunk"))
+    return cut.where(F.col("chunk").isNotNull()).select(
         key, *carry, "chunk_idx", "chunk.page", "chunk.section", "chunk.text"
     )
 
@@ -168,8 +170,8 @@ def chunk_pages(pages: DataFrame, keys: list[str], page: str = "page", pages_per
     ``keys`` identify one file. Chunk numbers run over the pages of the key.
     """
     packed = page_sections(pages, keys, page, pages_per_block).select(
-        *keys, page, F.posexplode(pack_units(F.col("units"), F.col("section_in"))).alias("pos", "chunk")
+        *keys, page, F.posexplode_outer(pack_units(F.col("units"), F.col("section_in"))).alias("pos", "chunk")
     )
-    flat = packed.select(*keys, page, "pos", "chunk.section", "chunk.text")
+    flat = packed.where(F.col("chunk").isNotNull()).select(*keys, page, "pos", "chunk.section", "chunk.text")
     numbered = dense_index(flat, keys, [page, "pos"], "chunk_idx", F.floor(F.col(page) / pages_per_block))
     return numbered.drop("pos")
