@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions import text as T
-from parchment.session import broadcast_if_small
+from parchment.session import broadcast_if_small, fits_broadcast
 
 K1 = 1.2
 B = 0.75
@@ -84,6 +84,7 @@ class KeywordMatches:
     keys: list[str]
     scope: tuple[str, ...]
     query_id: str
+    shared: bool  # the same queries are put to every scope
 
 
 def match_queries(
@@ -94,21 +95,26 @@ def match_queries(
     query_text: str = "text",
     text: str = "text",
     scope: tuple[str, ...] = (),
+    shared: bool = False,
 ) -> KeywordMatches:
     """One pass over the passages: words outside the queries' vocabulary are dropped in the map
-    stage, before the only shuffle of passage rows."""
-    terms = query_terms(queries, query_id, query_text, scope)
-    vocabulary = terms.select(*scope, "term").distinct()
-    if scope:
+    stage, before the only shuffle of passage rows.
+
+    With a ``scope``, queries name theirs in the scope's columns, or are ``shared`` by all scopes.
+    """
+    asked = () if shared else scope
+    terms = query_terms(queries, query_id, query_text, asked)
+    vocabulary = terms.select(*asked, "term").distinct()
+    if asked:
         # A scope without query is not searched, and needs no statistics.
         marks = terms.select(*scope, F.lit(_EVERY).alias("term")).distinct()
     else:
         marks = queries.sparkSession.createDataFrame([(_EVERY,)], "term string")
     vocabulary = broadcast_if_small(vocabulary.unionByName(marks))
-    wanted = _occurrences(chunks, keys, text, scope).join(vocabulary, [*scope, "term"])
+    wanted = _occurrences(chunks, keys, text, scope).join(vocabulary, [*asked, "term"])
     matched = _counted(wanted, keys, scope)
     by_term = matched.groupBy(*scope, "term").agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
-    return KeywordMatches(matched, by_term, terms, keys, scope, query_id)
+    return KeywordMatches(matched, by_term, terms, keys, scope, query_id, shared)
 
 
 def _weights(m: KeywordMatches) -> DataFrame:
@@ -117,7 +123,10 @@ def _weights(m: KeywordMatches) -> DataFrame:
         *m.scope, F.col("df").alias("chunks"), (F.col("total_len") / F.col("df")).alias("avg_len")
     )
     dfs = m.stats.where(F.col("term") != _EVERY).select(*m.scope, "term", "df")
-    known = m.terms.join(dfs, [*m.scope, "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    if m.shared and m.scope:
+        known = dfs.join(broadcast_if_small(m.terms), "term")
+    else:
+        known = m.terms.join(dfs, [*m.scope, "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     with_totals = known.join(totals, list(m.scope)) if m.scope else known.join(F.broadcast(totals))
     return with_totals.withColumn("idf", idf(F.col("chunks"), F.col("df")))
 
@@ -129,8 +138,10 @@ def bm25(m: KeywordMatches, limit: int = CANDIDATES) -> DataFrame:
     rows per query before the ranks are settled. Equal scores rank by passage order. Scores are
     compared at nine decimals, so the order in which terms were added cannot change a rank.
     """
-    # As large as the queries' own terms.
-    weights = broadcast_if_small(_weights(m).where("df > 0"))
+    # For the whole corpus, one row per query term at most; per scope it may be large.
+    weights = _weights(m).where("df > 0")
+    if not m.scope:
+        weights = F.broadcast(weights) if fits_broadcast(m.terms) else weights
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9)))
     scored = (
         m.matched.where(F.col("term") != _EVERY)
@@ -139,7 +150,7 @@ def bm25(m: KeywordMatches, limit: int = CANDIDATES) -> DataFrame:
         .agg(F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
         .where("score > 0")
     )
-    best = Window.partitionBy(m.query_id).orderBy(F.desc("score"), *m.keys)
+    best = Window.partitionBy(*m.scope, m.query_id).orderBy(F.desc("score"), *m.keys)
     return scored.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= limit)
 
 
