@@ -1,2 +1,271 @@
 """SQL counterparts (DuckDB) of the driver queries, written from the rules, not from the plans."""
+
+from __future__ import annotations
+
+from checks.inputs import ZONES
+from parchment import dims
+from parchment.functions.text import STOPWORDS
+from parchment.functions.text import FOLLOW_UP_START, FOLLOW_UP_WORDS, SUMMARY_WORDS
+
 ORACLES: dict[str, str] = {}
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def _texts(values) -> str:
+    return "(" + _list(values)[1:-1] + ")"
+
+
+# --- words ---------------------------------------------------------------------------------------
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+def trim_(x: str) -> str:
+    return f"trim({x}, {BLANKS})"
+
+
+def decomposed(x: str) -> str:
+    """Lower-case Latin text with every accent replaced by a gap after its letter."""
+    return f"strip_accents(regexp_replace(lower({x}), '([àáâãäåçèéêëìíîïñòóôõöùúûüýÿ])', '\\1 ', 'g'))"
+
+
+def stem(w: str) -> str:
+    base = f"regexp_extract({w}, '^(.{{3,}}?)(ations|ation|ings|ing|ies|ied|ed|es|s|ly)$', 1)"
+    doubled = "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yy)$"
+    return (
+        f"(CASE WHEN length({w}) <= 4 OR regexp_matches({w}, '[0-9]') OR {base} = '' THEN {w} "
+        f"WHEN substr({w}, length({base}) + 1) IN ('ies', 'ied') THEN {base} || 'y' "
+        f"WHEN regexp_matches({base}, '{doubled}') THEN left({base}, -1) ELSE {base} END)"
+    )
+
+
+def words(x: str) -> str:
+    return (
+        f"list_filter(regexp_extract_all({decomposed(x)}, '[\\p{{L}}\\p{{N}}]+'), "
+        f"lambda w: NOT list_contains({_list(STOPWORDS)}, w) AND (length(w) >= 2 OR regexp_matches(w, '[0-9]')))"
+    )
+
+
+def tokens_(x: str) -> str:
+    return f"list_transform({words(x)}, lambda w: {stem('w')})"
+
+
+def match_form(x: str) -> str:
+    plain = f"translate(strip_accents(regexp_replace(lower({x}), '([àáâãäåçèéêëìíîïñòóôõöùúûüýÿ])', '\\1§', 'g')), '‘’‚‛“”„‟‐‑‒–—―', '''''''''\"\"\"\"------')"
+    return f"trim(regexp_replace(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}%.,''\"\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def haystack(x: str) -> str:
+    return f"regexp_replace({match_form(x)}, '[\"'']', '', 'g')"
+
+
+# --- pages and documents -------------------------------------------------------------------------
+
+PAGES = f"""pages_ AS (
+  SELECT doc_id, lang, source, p AS page, substr(t, (p - 1) * 3000 + 1, 3000) AS text
+  FROM (SELECT *, unnest(range(1, CAST(ceil(length(t) / 3000.0) AS BIGINT) + 1)) AS p
+        FROM (SELECT doc_id, lang, source, {trim_('text')} AS t FROM documents)))"""
+
+ORACLES["paginate"] = f"WITH {PAGES} SELECT doc_id, page, length(text) AS chars, md5(text) AS digest FROM pages_"
+TOTALS = "totals_ AS (SELECT doc_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS char_count FROM pages_ GROUP BY doc_id HAVING sum(length(text)) > 0)"
+ORACLES["document_totals"] = f"WITH {PAGES}, {TOTALS} SELECT * FROM totals_"
+ORACLES["combine_documents"] = f"""WITH {PAGES}
+  SELECT source, count(DISTINCT doc_id) AS files, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS char_count,
+    CASE WHEN count(DISTINCT doc_id) = 1 THEN CAST(min(doc_id) AS VARCHAR) ELSE count(DISTINCT doc_id) || ' documents' END AS filename
+  FROM pages_ GROUP BY source"""
+ORACLES["page_cleanup"] = f"""WITH l AS (SELECT doc_id, replace(text, chr(10), ' ' || chr(9) || repeat(chr(10), 4)) AS t FROM documents),
+  c AS (SELECT doc_id, {trim_("regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM l)
+  SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM c"""
+ORACLES["latest_copy"] = """WITH d AS (SELECT source || '/' || lang AS filename, doc_id, n_chars FROM documents),
+  added AS (SELECT * FROM d WHERE n_chars >= 5000)
+  SELECT * FROM added UNION ALL
+  SELECT * FROM d WHERE n_chars < 1000 AND filename NOT IN (SELECT filename FROM added)"""
+ORACLES["upsert_delete"] = """WITH d AS (SELECT source || '/' || lang AS id, doc_id AS updated_at, n_chars FROM documents)
+  SELECT id, max(updated_at) AS updated_at, arg_max(n_chars, updated_at) AS n_chars FROM d
+  WHERE NOT id LIKE '%/es' GROUP BY id"""
+ORACLES["sealed_records"] = """SELECT conv_id || ':' || turn AS id, turn AS updated_at, role, md5(text) AS digest FROM conversations"""
+
+# --- words, headings, passages -------------------------------------------------------------------
+
+ORACLES["tokens"] = f"""WITH t AS (SELECT doc_id, unnest({words('text')}) AS w FROM documents)
+  SELECT doc_id, {stem('w')} AS term, count(*) AS tf FROM t GROUP BY ALL"""
+ORACLES["term_stats"] = f"""WITH t AS (SELECT doc_id, {tokens_('text')} AS ts FROM documents),
+  n AS (SELECT count(*) AS chunks, avg(len(ts)) AS avg_len FROM t),
+  d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM t) GROUP BY term)
+  SELECT term, df, chunks, round(avg_len, 6) AS avg_len, round(ln(1 + (chunks - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, n"""
+ORACLES["normalized_text"] = f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, {match_form('text')} AS t FROM documents)"
+ORACLES["fingerprint"] = f"""WITH {PAGES} SELECT doc_id, left(sha256(string_agg(text, chr(10) ORDER BY page)), 16) AS fingerprint FROM pages_ GROUP BY doc_id"""
+
+H1 = r"(?i)^(?:section|clause|article|schedule|annex|appendix|part|chapter)\s+[\w.]+\b.{0,80}$"
+H2 = r"^\d+(?:\.\d+){0,3}[.)]?\s+[A-Z][^.!?]{0,80}$"
+H3 = r"^[A-Z][A-Z0-9 ,&/''()\-]{3,70}$"
+
+
+def heading(x: str) -> str:
+    found = " OR ".join(f"regexp_matches({x}, '{h}')" for h in (H1, H2, H3))
+    return f"(CASE WHEN length({x}) BETWEEN 3 AND 100 AND ({found}) THEN regexp_replace({x}, '\\s+', ' ', 'g') END)"
+
+
+CONTRACT = """contract AS (SELECT o_custkey AS doc_id, o_orderkey AS page,
+  CASE o_orderpriority WHEN '1-URGENT' THEN '1. Urgent Orders' || chr(10) WHEN '2-HIGH' THEN 'Section 2 High Orders' || chr(10)
+    WHEN '3-MEDIUM' THEN 'MEDIUM ORDERS' || chr(10) ELSE '' END
+  || 'The Customer shall pay £' || format('{:,.2f}', o_totalprice) || ' within thirty (30) days of '
+  || strftime(o_orderdate, '%-d %B %Y') || '. Late sums bear interest at ' || (o_custkey % 7 + 1)
+  || '.5% per year after ' || (o_orderkey % 24 + 1) || ' months.' AS text FROM orders)"""
+CONTRACT_HEADS = f"""heads AS (SELECT doc_id, page, text, {heading("string_split(text, chr(10))[1]")} AS heading FROM contract)"""
+ORACLES["headings"] = f"WITH {CONTRACT}, {CONTRACT_HEADS} SELECT doc_id, page, heading FROM heads WHERE heading IS NOT NULL"
+ORACLES["section_carry"] = f"""WITH {CONTRACT}, {CONTRACT_HEADS} SELECT doc_id, page,
+  last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section_in FROM heads"""
+
+
+def chunk_ctes(pages: str) -> str:
+    """chunks_(doc_id, page, chunk_idx, section, text) of a page table, step by step."""
+    return f"""
+  paras AS (SELECT doc_id, page, unnest(ps) AS para, generate_subscripts(ps, 1) AS pi
+            FROM (SELECT doc_id, page, regexp_split_to_array(text, '\\n\\s*\\n') AS ps FROM {pages})),
+  lines_ AS (SELECT doc_id, page, pi, li, {trim_('line')} AS line
+            FROM (SELECT doc_id, page, pi, unnest(ls) AS line, generate_subscripts(ls, 1) AS li
+                  FROM (SELECT *, string_split(para, chr(10)) AS ls FROM paras))),
+  full_ AS (SELECT *, {heading('line')} AS heading, row_number() OVER (PARTITION BY doc_id, page, pi ORDER BY li) AS nth
+            FROM lines_ WHERE line <> ''),
+  blocked AS (SELECT *, sum(CASE WHEN nth = 1 OR heading IS NOT NULL THEN 1 ELSE 0 END)
+                OVER (PARTITION BY doc_id, page ORDER BY pi, li) AS block FROM full_),
+  blocks AS (SELECT doc_id, page, block, string_agg(line, ' ' ORDER BY pi, li) AS text, max(heading) AS heading
+             FROM blocked GROUP BY doc_id, page, block),
+  sectioned AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, block) AS section FROM blocks),
+  segs AS (SELECT *, regexp_extract_all(text, '[^.!?;]+[.!?;]*') AS sg FROM sectioned),
+  pieces AS (SELECT doc_id, page, block, section, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM (
+      SELECT *, CASE WHEN length(text) <= 1200 THEN [text] WHEN len(sg) = 0 THEN [{trim_('text')}] ELSE
+        list_filter(list_transform(list_filter(range(1, len(sg) + 1), lambda i: i = len(sg) OR regexp_matches(sg[i + 1], '^\\s')),
+          lambda i: {trim_('sg[i]')}), lambda s: s <> '') END AS ps FROM segs)),
+  wrapped AS (SELECT doc_id, page, block, section, k, w, substr(piece, w * 1200 + 1, 1200) AS text FROM (
+      SELECT *, unnest(range(0, CAST(ceil(length(piece) / 1200.0) AS BIGINT))) AS w FROM pieces)),
+  units AS (SELECT *, length(text) AS len, row_number() OVER (PARTITION BY doc_id, page ORDER BY block, k, w) AS n FROM wrapped),
+  walk AS (
+    WITH RECURSIVE r AS (
+      SELECT doc_id, page, n, 1 AS chunk, false AS repeated, len + 1 AS size, section, len AS prev FROM units WHERE n = 1
+      UNION ALL
+      SELECT doc_id, page, n, chunk + CASE WHEN flush THEN 1 ELSE 0 END, flush AND rep,
+             CASE WHEN NOT flush THEN size WHEN rep THEN prev ELSE 0 END + len + 1,
+             CASE WHEN flush THEN new_section ELSE section END, len
+      FROM (SELECT u.doc_id, u.page, u.n, r.chunk, r.size, r.section, r.prev, u.len, u.section AS new_section,
+                   (r.size + u.len > 900 OR u.section IS DISTINCT FROM r.section) AS flush,
+                   (u.section IS NOT DISTINCT FROM r.section AND r.prev <= 250) AS rep
+            FROM r JOIN units u ON u.doc_id = r.doc_id AND u.page = r.page AND u.n = r.n + 1))
+    SELECT * FROM r),
+  members AS (SELECT doc_id, page, chunk, n, section FROM walk
+              UNION ALL SELECT doc_id, page, chunk, n - 1, NULL FROM walk WHERE repeated),
+  chunks_ AS (SELECT m.doc_id, m.page, m.chunk, max(m.section) AS section, string_agg(u.text, ' ' ORDER BY m.n) AS text,
+                row_number() OVER (PARTITION BY m.doc_id ORDER BY m.page, m.chunk) - 1 AS chunk_idx
+              FROM members m JOIN units u ON u.doc_id = m.doc_id AND u.page = m.page AND u.n = m.n
+              GROUP BY m.doc_id, m.page, m.chunk)"""
+
+
+DOC_CHUNKS = f"{PAGES}, {chunk_ctes('pages_')}"
+ORACLES["chunks"] = f"WITH {DOC_CHUNKS} SELECT doc_id, chunk_idx, page, section, length(text) AS chars, md5(text) AS digest FROM chunks_"
+ORACLES["contract_chunks"] = f"WITH {CONTRACT}, {chunk_ctes('contract')} SELECT doc_id, chunk_idx, page, section, md5(text) AS digest FROM chunks_"
+
+# --- search --------------------------------------------------------------------------------------
+
+
+def bm25_ctes(passages: str, keys: str, queries: str, limit: int = 20) -> str:
+    """hits(query_id, keys, score, lexical_rank), cov(query_id, …) over passages(keys, text)."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    akeys = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""
+  tok AS MATERIALIZED (SELECT {keys}, {tokens_('text')} AS ts FROM {passages}),
+  lens AS (SELECT {keys}, len(ts) AS len FROM tok),
+  n AS (SELECT count(*) AS chunks, avg(len) AS avg_len FROM lens),
+  tfs AS (SELECT {keys}, term, count(*) AS tf FROM (SELECT {keys}, unnest(ts) AS term FROM tok) GROUP BY ALL),
+  dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+  qt AS MATERIALIZED (SELECT DISTINCT query_id, unnest({tokens_('text')}) AS term FROM {queries}),
+  qw AS (SELECT query_id, term, coalesce(df, 0) AS df, chunks, avg_len, ln(1 + (chunks - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf
+         FROM qt LEFT JOIN dfs USING (term), n),
+  scored AS (SELECT query_id, {akeys}, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+             FROM tfs a JOIN lens b ON {on} JOIN qw USING (term) GROUP BY ALL),
+  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {keys}) AS lexical_rank FROM scored WHERE score > 0)
+           WHERE lexical_rank <= {limit})"""
+
+
+BENCH = "bench AS (SELECT item_id AS query_id, text FROM benchmark)"
+BM25 = f"{BENCH}, {DOC_CHUNKS}, {bm25_ctes('chunks_', 'doc_id, chunk_idx', 'bench')}"
+ORACLES["bm25_topk"] = f"WITH {BM25} SELECT query_id, doc_id, chunk_idx, round(score, 5) AS score, lexical_rank FROM hits"
+ORACLES["query_coverage"] = f"""WITH {BM25} SELECT query_id, coalesce(matched_terms, 0) AS matched_terms, coalesce(query_terms, 0) AS query_terms,
+  round(coalesce(share, 0), 6) AS weighted_coverage, chunk_count
+  FROM bench LEFT JOIN (SELECT query_id, count(*) FILTER (df > 0) AS matched_terms, count(*) AS query_terms,
+    coalesce(sum(idf) FILTER (df > 0), 0) / sum(idf) AS share, max(chunks) AS chunk_count FROM qw GROUP BY query_id) USING (query_id)"""
+
+VEC = """q_ AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON item_id = vec_id),
+  sims AS (SELECT query_id, vec_id AS doc_id, round(sim, 9) AS similarity, sim FROM (
+    SELECT query_id, vec_id, list_dot_product(q, CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(q, q)) *
+      sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS sim FROM q_, embeddings)),
+  vtop AS (SELECT * FROM (SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS semantic_rank FROM sims)
+           WHERE semantic_rank <= 20),
+  vstats AS (SELECT query_id, count(*) AS n, max(sim) AS best, avg(sim) AS mean, stddev_pop(sim) AS std FROM sims GROUP BY query_id)"""
+ORACLES["vector_topk"] = f"WITH {VEC} SELECT query_id, doc_id, round(similarity, 5) AS similarity, semantic_rank FROM vtop"
+ORACLES["vector_zscore"] = f"""WITH {VEC} SELECT query_id, n, round(best, 5) AS best, round(mean, 5) AS mean, round(std, 5) AS std,
+  round(CASE WHEN std > 1e-6 THEN (best - mean) / std ELSE 0 END, 5) AS z FROM vstats"""
+FUSED = f"""{BENCH}, {bm25_ctes('documents', 'doc_id', 'bench')}, {VEC},
+  fused AS (SELECT coalesce(h.query_id, v.query_id) AS query_id, coalesce(h.doc_id, v.doc_id) AS doc_id, coalesce(score, 0) AS lexical, similarity AS semantic,
+      lexical_rank, semantic_rank, round(coalesce(1.0 / (60 + lexical_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0), 12) AS rrf
+    FROM hits h FULL JOIN vtop v ON h.query_id = v.query_id AND h.doc_id = v.doc_id),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(lexical_rank, semantic_rank + 20)) AS rrf_rank FROM fused),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, rrf_rank) AS lp,
+      row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC NULLS LAST, rrf_rank) AS sp FROM ranked),
+  final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(
+      CASE WHEN lexical > 0 AND lp <= 3 THEN 2 * lp - 1 ELSE 9999 END, CASE WHEN semantic IS NOT NULL AND sp <= 3 THEN 2 * sp ELSE 9999 END, 1000 + rrf_rank)) AS final_rank FROM placed)"""
+ORACLES["hybrid_rrf"] = f"WITH {FUSED} SELECT query_id, doc_id, round(rrf, 9) AS rrf, rrf_rank FROM ranked"
+ORACLES["guaranteed_order"] = f"WITH {FUSED} SELECT query_id, doc_id, final_rank FROM final"
+ORACLES["budget_pick"] = f"""WITH RECURSIVE {FUSED},
+  costed AS (SELECT query_id, doc_id, final_rank, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM final JOIN documents USING (doc_id)),
+  walk AS (SELECT query_id, doc_id, final_rank, cost <= 1500 AS took, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 1500 THEN 1 ELSE 0 END AS held
+           FROM costed WHERE final_rank = 1
+    UNION ALL SELECT c.query_id, c.doc_id, c.final_rank, w.held < 6 AND w.used + c.cost <= 1500,
+      w.used + CASE WHEN w.held < 6 AND w.used + c.cost <= 1500 THEN c.cost ELSE 0 END,
+      w.held + CASE WHEN w.held < 6 AND w.used + c.cost <= 1500 THEN 1 ELSE 0 END
+    FROM walk w JOIN costed c ON c.query_id = w.query_id AND c.final_rank = w.final_rank + 1)
+  SELECT query_id, doc_id, final_rank, 'S' || held AS source_id FROM walk WHERE took"""
+ORACLES["spread_sample"] = f"""WITH RECURSIVE {DOC_CHUNKS},
+  cc AS (SELECT doc_id, chunk_idx, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM chunks_),
+  st AS (SELECT doc_id, count(*) AS n, greatest(1, least(count(*), 8, CAST(floor(1500 / avg(cost)) AS BIGINT))) AS k FROM cc GROUP BY doc_id),
+  want AS (SELECT DISTINCT doc_id, CASE WHEN k = 1 THEN 0 ELSE CAST(floor(i * (n - 1) / (k - 1.0) + 0.5) AS BIGINT) END AS chunk_idx FROM (SELECT *, unnest(range(0, k)) AS i FROM st)),
+  s AS (SELECT doc_id, chunk_idx, cost, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS r FROM want JOIN cc USING (doc_id, chunk_idx)),
+  walk AS (SELECT doc_id, chunk_idx, r, cost <= 1500 AS took, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 1500 THEN 1 ELSE 0 END AS held FROM s WHERE r = 1
+    UNION ALL SELECT s.doc_id, s.chunk_idx, s.r, w.used + s.cost <= 1500, w.used + CASE WHEN w.used + s.cost <= 1500 THEN s.cost ELSE 0 END, w.held + CASE WHEN w.used + s.cost <= 1500 THEN 1 ELSE 0 END
+    FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.r = w.r + 1)
+  SELECT doc_id, chunk_idx, 'S' || held AS source_id FROM walk WHERE took"""
+SUMMARY_RE = r"(?i)\b" + SUMMARY_WORDS + r"\b"
+ORACLES["abstain_or_sample"] = f"""WITH {DOC_CHUNKS},
+  asked AS (SELECT conv_id || ':' || turn AS query_id, conv_id AS doc_id, text FROM conversations WHERE role = 'user' AND conv_id IN (SELECT doc_id FROM documents)),
+  dt AS (SELECT DISTINCT doc_id, unnest({tokens_('text')}) AS term FROM chunks_),
+  nn AS (SELECT doc_id, count(*) AS n FROM chunks_ GROUP BY doc_id),
+  qt AS (SELECT DISTINCT query_id, doc_id, unnest({tokens_('text')}) AS term FROM asked),
+  c AS (SELECT q.query_id, count(d.term) AS matched, count(*) AS total FROM qt q LEFT JOIN dt d ON d.doc_id = q.doc_id AND d.term = q.term GROUP BY q.query_id),
+  j AS (SELECT a.query_id, a.doc_id, coalesce(matched, 0) AS matched_terms, coalesce(total, 0) AS query_terms, n AS chunk_count, regexp_matches(text, '{SUMMARY_RE}') AS s
+        FROM asked a JOIN nn USING (doc_id) LEFT JOIN c USING (query_id))
+  SELECT query_id, doc_id, matched_terms, query_terms, chunk_count, CASE WHEN s THEN 'summary' WHEN query_terms > 0 AND matched_terms = 0 AND chunk_count >= 12 THEN 'abstain'
+    WHEN matched_terms > 0 THEN 'search' ELSE 'sample' END AS mode FROM j"""
+CITE = r"(?i)\[~?((?:S\d+)(?:\s*[,;&]\s*(?:and\s+)?~?S?\d+)*)\]"
+
+
+def strip_cites(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{CITE}', '', 'g'), '[ \\t]+([.,;!?])', '\\1', 'g')"
+
+
+QA = """qa AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text AS question, b.text AS answer,
+    CASE WHEN coalesce(l.quality, 1) = 1 THEN 'up' ELSE 'down' END AS rating, CASE WHEN a.conv_id % 2 = 0 THEN 'Corrected answer.' END AS correction
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
+  LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = a.conv_id WHERE a.role = 'user')"""
+ORACLES["similar_examples"] = f"""WITH {QA},
+  ok AS (SELECT id, ceil(length(question) / 3.0) + ceil(length(approved) / 3.0) + 8 AS cost, list_distinct({tokens_('question')}) AS b FROM
+    (SELECT *, CASE WHEN rating = 'down' THEN correction ELSE {strip_cites('answer')} END AS approved FROM qa WHERE rating = 'up' OR correction IS NOT NULL)),
+  qs AS (SELECT conv_id * 1000 + turn AS question_id, list_distinct({tokens_('text')}) AS a FROM conversations WHERE role = 'user'),
+  sc AS (SELECT question_id, id, CAST(cost AS INTEGER) AS cost, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS similarity FROM qs, ok WHERE len(a) > 0 AND len(b) > 0 AND cost <= 220),
+  r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, id) AS rank FROM sc WHERE similarity >= 0.2),
+  f AS (SELECT * FROM r WHERE rank = 1),
+  s AS (SELECT r.*, row_number() OVER (PARTITION BY r.question_id ORDER BY r.rank) AS k FROM r JOIN f USING (question_id) WHERE r.rank > 1 AND r.cost + f.cost <= 220)
+  SELECT question_id, id, 1 AS place, round(similarity, 6) AS similarity, cost FROM f
+  UNION ALL SELECT question_id, id, 2, round(similarity, 6), cost FROM s WHERE k = 1"""

@@ -68,13 +68,13 @@ def subscription_state(snapshots: DataFrame, prefix: str = "", customer: str = "
     in_force = current.isNotNull() & (
         F.col("top.last_ended").isNull() | (F.col("top.last_ended") < current["at"])
     )
-    pick = lambda field, kind: F.when(in_force, current[field]).otherwise(F.lit(None).cast(kind))
+    pick = lambda field: F.when(in_force, current[field])
     return per_customer.select(
         customer,
         F.when(in_force, current["plan"]).otherwise("free").alias("plan"),
-        pick("subscription_id", "string").alias("subscription_id"),
+        pick("subscription_id").alias("subscription_id"),
         F.when(in_force, current["status"]).otherwise(F.col("last.status")).alias("status"),
-        pick("interval", "string").alias("interval"),
-        pick("period_end", "timestamp").alias("renews_at"),
+        pick("interval").alias("interval"),
+        pick("period_end").alias("renews_at"),
         F.when(in_force, current["cancels"]).otherwise(False).alias("cancel_at_period_end"),
     )

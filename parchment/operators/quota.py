@@ -30,6 +30,10 @@ def local_day(ts: Column, zone: Column, zones: list[str]) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, safe))
 
 
+def _instant(ts: str) -> Column:
+    return F.col(ts).cast("timestamp")
+
+
 def daily_usage(messages: DataFrame, user: str = "user_id", day: str = "day") -> DataFrame:
     return messages.groupBy(user, day).agg(F.count("*").alias("messages"))
 
@@ -48,7 +52,7 @@ def take_messages(
     ten-minute blocks with summed offsets: one user's day is not one task. The limit is fixed
     within a day.
     """
-    block = F.floor(F.unix_seconds(F.col(ts)) / 600)
+    block = F.floor(F.unix_seconds(_instant(ts)) / 600)
     numbered = dense_index(messages, [user, day], [ts, event], "_n", block)
     n = F.col("_n") + 1
     return (
@@ -103,12 +107,12 @@ def rate_limited(
     key. Within a run the rows pass through in order, in batches, with ``max_hits`` times as state.
     """
     previous = dense_previous(hits, key, ts, event, minutes_per_block)
-    micros = F.unix_micros(F.col(ts))
+    micros = F.unix_micros(_instant(ts))
     pause = F.col("_previous").isNull() | (micros - F.col("_previous") > window_seconds * 1_000_000)
     marked = previous.withColumn("_micros", micros).withColumn("_start", F.when(pause, micros))
  
     # The run is named by its first time; carried forward like any other value.
-    block = F.floor(F.unix_seconds(F.col(ts)) / (60 * minutes_per_block))
+    block = F.floor(F.unix_seconds(_instant(ts)) / (60 * minutes_per_block))
     runs = carry_last(marked, [key], [ts, event], F.col("_start"), "_run_start", block)
     runs = runs.withColumn("_run", F.concat_ws("|", F.col(key).cast("string"), F.col("_run_start").cast("string")))
     columns = hits.columns
@@ -119,5 +123,5 @@ def rate_limited(
 
 def dense_previous(hits: DataFrame, key: str, ts: str, event: str, minutes_per_block: int) -> DataFrame:
     """Adds ``_previous``: time (microseconds) of the key's previous hit."""
-    block = F.floor(F.unix_seconds(F.col(ts)) / (60 * minutes_per_block))
-    return carry_last(hits, [key], [ts, event], F.unix_micros(F.col(ts)), "_previous", block, before=True)
+    block = F.floor(F.unix_seconds(_instant(ts)) / (60 * minutes_per_block))
+    return carry_last(hits, [key], [ts, event], F.unix_micros(_instant(ts)), "_previous", block, before=True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions import text as T
-from parchment.session import broadcast_if_small, fits_broadcast
+from parchment.session import fits_broadcast
 
 K1 = 1.2
 B = 0.75
@@ -44,7 +44,8 @@ def _occurrences(chunks: DataFrame, keys: list[str], text: str, scope: tuple[str
         F.size("words").alias("len"),
         F.explode(F.array_append("words", F.lit(_EVERY))).alias("word"),
     )
-    return exploded.select(*own, *keys, "len", T.stem(F.col("word")).alias("term"))
+    # Never null, so that joins on the term need no null test, which would stem every word twice.
+    return exploded.select(*own, *keys, "len", F.coalesce(T.stem(F.col("word")), F.lit(_EVERY)).alias("term"))
 
 
 def _counted(occurrences: DataFrame, keys: list[str], scope: tuple[str, ...]) -> DataFrame:
@@ -52,16 +53,35 @@ def _counted(occurrences: DataFrame, keys: list[str], scope: tuple[str, ...]) ->
     return occurrences.repartition(*keys).groupBy(*own, *keys, "len", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
+def _by_term(posted: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    return posted.groupBy(*scope, "term").agg(
+        F.count("*").alias("df"), F.sum("len").alias("total_len"), F.max(F.col("term") == _EVERY).alias("every")
+    )
+
+
+def _totals(by_term: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """(scope, chunks, avg_len) out of the rows that stand for all passages.
+
+    No filter on the term anywhere: it would be pushed below the exchange of passage rows, and each
+    user of that exchange would then read and cut the corpus anew instead of reusing it.
+    """
+    return by_term.groupBy(*scope).agg(
+        F.max(F.when(F.col("every"), F.col("df"))).alias("chunks"),
+        F.max(F.when(F.col("every"), F.col("total_len") / F.col("df"))).alias("avg_len"),
+    )
+
+
 def term_stats(posted: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """(scope, term, df, chunks, avg_len, idf) from a postings table."""
-    by_term = posted.groupBy(*scope, "term").agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
-    totals = by_term.where(F.col("term") == _EVERY).select(
-        *scope, F.col("df").alias("chunks"), (F.col("total_len") / F.col("df")).alias("avg_len")
-    )
-    terms = by_term.where(F.col("term") != _EVERY).drop("total_len")
+    by_term = _by_term(posted, scope)
+    totals = _totals(by_term, scope)
     # One row per scope: a single row for the corpus.
-    joined = terms.join(totals, list(scope)) if scope else terms.join(F.broadcast(totals))
-    return joined.withColumn("idf", idf(F.col("chunks"), F.col("df")))
+    joined = by_term.join(totals, list(scope)) if scope else by_term.join(F.broadcast(totals))
+    return (
+        joined.where(~F.col("every"))
+        .drop("total_len", "every")
+        .withColumn("idf", idf(F.col("chunks"), F.col("df")))
+    )
 
 
 def idf(chunks, df):
@@ -85,6 +105,7 @@ class KeywordMatches:
     scope: tuple[str, ...]
     query_id: str
     shared: bool  # the same queries are put to every scope
+    few: bool  # the queries' terms are few enough to be broadcast
 
 
 def match_queries(
@@ -110,21 +131,20 @@ def match_queries(
         marks = terms.select(*scope, F.lit(_EVERY).alias("term")).distinct()
     else:
         marks = queries.sparkSession.createDataFrame([(_EVERY,)], "term string")
-    vocabulary = broadcast_if_small(vocabulary.unionByName(marks))
+    few = fits_broadcast(terms)
+    vocabulary = vocabulary.unionByName(marks)
+    vocabulary = F.broadcast(vocabulary) if few else vocabulary
     wanted = _occurrences(chunks, keys, text, scope).join(vocabulary, [*asked, "term"])
     matched = _counted(wanted, keys, scope)
-    by_term = matched.groupBy(*scope, "term").agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
-    return KeywordMatches(matched, by_term, terms, keys, scope, query_id, shared)
+    return KeywordMatches(matched, _by_term(matched, scope), terms, keys, scope, query_id, shared, few)
 
 
 def _weights(m: KeywordMatches) -> DataFrame:
     """Per query term: idf and the scope's totals; df 0 for terms no passage holds."""
-    totals = m.stats.where(F.col("term") == _EVERY).select(
-        *m.scope, F.col("df").alias("chunks"), (F.col("total_len") / F.col("df")).alias("avg_len")
-    )
-    dfs = m.stats.where(F.col("term") != _EVERY).select(*m.scope, "term", "df")
+    totals = _totals(m.stats, m.scope)
+    dfs = m.stats.select(*m.scope, "term", "df")
     if m.shared and m.scope:
-        known = dfs.join(broadcast_if_small(m.terms), "term")
+        known = dfs.join(F.broadcast(m.terms) if m.few else m.terms, "term")
     else:
         known = m.terms.join(dfs, [*m.scope, "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     with_totals = known.join(totals, list(m.scope)) if m.scope else known.join(F.broadcast(totals))
@@ -140,12 +160,11 @@ def bm25(m: KeywordMatches, limit: int = CANDIDATES) -> DataFrame:
     """
     # For the whole corpus, one row per query term at most; per scope it may be large.
     weights = _weights(m).where("df > 0")
-    if not m.scope:
-        weights = F.broadcast(weights) if fits_broadcast(m.terms) else weights
+    if m.few and not m.scope:
+        weights = F.broadcast(weights)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9)))
     scored = (
-        m.matched.where(F.col("term") != _EVERY)
-        .join(weights, [*m.scope, "term"])
+        m.matched.join(weights, [*m.scope, "term"])
         .groupBy(*m.keys, m.query_id, *[c for c in m.scope if c not in m.keys])
         .agg(F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
         .where("score > 0")
