@@ -220,23 +220,23 @@ FUSED = f"""{BENCH}, {bm25_ctes('documents', 'doc_id', 'bench')}, {VEC},
 ORACLES["hybrid_rrf"] = f"WITH {FUSED} SELECT query_id, doc_id, round(rrf, 9) AS rrf, rrf_rank FROM ranked"
 ORACLES["guaranteed_order"] = f"WITH {FUSED} SELECT query_id, doc_id, final_rank FROM final"
 ORACLES["budget_pick"] = f"""WITH RECURSIVE {FUSED},
-  costed AS (SELECT query_id, doc_id, final_rank, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM final JOIN documents USING (doc_id)),
-  walk AS (SELECT query_id, doc_id, final_rank, cost <= 1500 AS took, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 1500 THEN 1 ELSE 0 END AS held
-           FROM costed WHERE final_rank = 1
-    UNION ALL SELECT c.query_id, c.doc_id, c.final_rank, w.held < 6 AND w.used + c.cost <= 1500,
+  costed AS (SELECT query_id, doc_id, final_rank, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS r FROM final JOIN documents USING (doc_id)),
+  walk AS (SELECT query_id, doc_id, final_rank, r, cost <= 1500 AS took, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 1500 THEN 1 ELSE 0 END AS held
+           FROM costed WHERE r = 1
+    UNION ALL SELECT c.query_id, c.doc_id, c.final_rank, c.r, w.held < 6 AND w.used + c.cost <= 1500,
       w.used + CASE WHEN w.held < 6 AND w.used + c.cost <= 1500 THEN c.cost ELSE 0 END,
       w.held + CASE WHEN w.held < 6 AND w.used + c.cost <= 1500 THEN 1 ELSE 0 END
-    FROM walk w JOIN costed c ON c.query_id = w.query_id AND c.final_rank = w.final_rank + 1)
+    FROM walk w JOIN costed c ON c.query_id = w.query_id AND c.r = w.r + 1)
   SELECT query_id, doc_id, final_rank, 'S' || held AS source_id FROM walk WHERE took"""
 ORACLES["spread_sample"] = f"""WITH RECURSIVE {DOC_CHUNKS},
   cc AS (SELECT doc_id, chunk_idx, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM chunks_),
   st AS (SELECT doc_id, count(*) AS n, greatest(1, least(count(*), 8, CAST(floor(1500 / avg(cost)) AS BIGINT))) AS k FROM cc GROUP BY doc_id),
   want AS (SELECT DISTINCT doc_id, CASE WHEN k = 1 THEN 0 ELSE CAST(floor(i * (n - 1) / (k - 1.0) + 0.5) AS BIGINT) END AS chunk_idx FROM (SELECT *, unnest(range(0, k)) AS i FROM st)),
   s AS (SELECT doc_id, chunk_idx, cost, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS r FROM want JOIN cc USING (doc_id, chunk_idx)),
-  walk AS (SELECT doc_id, chunk_idx, r, cost <= 1500 AS took, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 1500 THEN 1 ELSE 0 END AS held FROM s WHERE r = 1
+  walk2 AS (SELECT doc_id, chunk_idx, r, cost <= 1500 AS took, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 1500 THEN 1 ELSE 0 END AS held FROM s WHERE r = 1
     UNION ALL SELECT s.doc_id, s.chunk_idx, s.r, w.used + s.cost <= 1500, w.used + CASE WHEN w.used + s.cost <= 1500 THEN s.cost ELSE 0 END, w.held + CASE WHEN w.used + s.cost <= 1500 THEN 1 ELSE 0 END
-    FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.r = w.r + 1)
-  SELECT doc_id, chunk_idx, 'S' || held AS source_id FROM walk WHERE took"""
+    FROM walk2 w JOIN s ON s.doc_id = w.doc_id AND s.r = w.r + 1)
+  SELECT doc_id, chunk_idx, 'S' || held AS source_id FROM walk2 WHERE took"""
 SUMMARY_RE = r"(?i)\b" + SUMMARY_WORDS + r"\b"
 ORACLES["abstain_or_sample"] = f"""WITH {DOC_CHUNKS},
   asked AS (SELECT conv_id || ':' || turn AS query_id, conv_id AS doc_id, text FROM conversations WHERE role = 'user' AND conv_id IN (SELECT doc_id FROM documents)),
@@ -269,3 +269,374 @@ ORACLES["similar_examples"] = f"""WITH {QA},
   s AS (SELECT r.*, row_number() OVER (PARTITION BY r.question_id ORDER BY r.rank) AS k FROM r JOIN f USING (question_id) WHERE r.rank > 1 AND r.cost + f.cost <= 220)
   SELECT question_id, id, 1 AS place, round(similarity, 6) AS similarity, cost FROM f
   UNION ALL SELECT question_id, id, 2, round(similarity, 6), cost FROM s WHERE k = 1"""
+
+# --- personal data -------------------------------------------------------------------------------
+
+# type, priority, pattern, validity of v (its digits: d). IBAN, NI and SSN follow the same scheme.
+DIGITS = "regexp_replace(v, '\\D', '', 'g')"
+REPEATED = f"{DIGITS} <> repeat(left({DIGITS}, 1), length({DIGITS}))"
+LUHN = (
+    f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i: CASE WHEN (length({DIGITS}) - i) % 2 = 1 THEN "
+    f"CASE WHEN 2 * CAST({DIGITS}[i] AS INT) > 9 THEN 2 * CAST({DIGITS}[i] AS INT) - 9 ELSE 2 * CAST({DIGITS}[i] AS INT) END "
+    f"ELSE CAST({DIGITS}[i] AS INT) END)) % 10 = 0"
+)
+IBAN_CODE = "upper(regexp_replace(v, '\\s+', '', 'g'))"
+IBAN_OK = (
+    f"length({IBAN_CODE}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(substr({IBAN_CODE}, 5) || left({IBAN_CODE}, 4), ''), "
+    "lambda ch: CASE WHEN ch >= 'A' THEN 1000 + ascii(ch) - 55 ELSE ascii(ch) - 48 END)), "
+    "lambda a, c: CASE WHEN c >= 1000 THEN (a * 100 + c - 1000) % 97 ELSE (a * 10 + c) % 97 END) = 1"
+)
+PHONE_OK = f"length({DIGITS}) BETWEEN 10 AND 15 AND {REPEATED}"
+DETECTORS = [
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "true"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b", IBAN_OK),
+    ("card", r"\b(?:\d[ -]?){12,18}\d\b", f"length({DIGITS}) BETWEEN 13 AND 19 AND {LUHN} AND {REPEATED}"),
+    ("uk_ni", r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b",
+     "left(v, 2) NOT IN ('BG', 'GB', 'NK', 'KN', 'TN', 'NT', 'ZZ')"),
+    ("us_ssn", r"\b\d{3}-\d{2}-\d{4}\b",
+     "left(v, 3) NOT IN ('000', '666') AND left(v, 1) <> '9' AND substr(v, 5, 2) <> '00' AND substr(v, 8) <> '0000'"),
+    ("phone", r"\+\d{1,3}(?:[\s.-]?\(?\d{1,4}\)?){2,5}\b", PHONE_OK),
+    ("phone", r"(?:\(\d{3,5}\)\s?|\b0[1-9]\d{1,3}[\s.-]?|\b\d{3}[.-])\d{3,4}[\s.-]?\d{3,4}\b", PHONE_OK),
+    ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+     "len(list_filter(string_split(v, '.'), lambda o: CAST(o AS INT) <= 255 AND CAST(CAST(o AS INT) AS VARCHAR) = o)) = 4"),
+]
+
+
+def span_cte(name: str, table: str, keys: str, pattern: str) -> str:
+    """name(keys, v, s, e): matches of a pattern with 0-based positions."""
+    return f"""{name} AS (SELECT {keys}, m[i] AS v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {keys}, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM {table})))"""
+
+
+def pii_ctes(table: str, keys: str) -> str:
+    """pii_(keys, type, s, e, value): valid hits, each detector after the ones before it."""
+    on = " AND ".join(f"t.{k.strip()} = h.{k.strip()}" for k in keys.split(","))
+    parts, taken = [], None
+    for i, (kind, pattern, valid) in enumerate(DETECTORS):
+        parts.append(span_cte(f"d{i}", table, keys, pattern))
+        kept = f"SELECT {keys}, '{kind}' AS type, CAST(s AS BIGINT) AS s, CAST(s + length(v) AS BIGINT) AS e, v AS value FROM d{i} h WHERE {valid}"
+        if taken:
+            kept += f" AND NOT EXISTS (SELECT 1 FROM {taken} t WHERE {on} AND h.s < t.e AND h.s + length(h.v) > t.s)"
+            kept = f"SELECT * FROM {taken} UNION ALL ({kept})"
+        parts.append(f"t{i} AS MATERIALIZED ({kept})")
+        taken = f"t{i}"
+    return ",\n  ".join(parts) + f", pii_ AS (SELECT * FROM {taken})"
+
+
+PII = f"{PAGES}, {pii_ctes('pages_', 'doc_id, page')}"
+ORACLES["pii_hits"] = f"WITH {PII} SELECT doc_id, page, type, s AS start_at, e AS end_at, value FROM pii_"
+ORACLES["pii_counts"] = f"WITH {PII} SELECT doc_id, type, count(*) AS findings FROM pii_ GROUP BY GROUPING SETS ((doc_id, type), (doc_id))"
+MASK = """(left(value, least(2, length(value) // 4)) || regexp_replace(substr(value, least(2, length(value) // 4) + 1, length(value) - 2 * least(2, length(value) // 4)), '[A-Za-z0-9]', '•', 'g')
+  || right(value, least(2, length(value) // 4)))"""
+ORACLES["pii_report"] = f"""WITH {PII},
+  pg AS (SELECT doc_id, type, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) AS pages FROM (SELECT DISTINCT doc_id, type, page, dense_rank() OVER (PARTITION BY doc_id, type ORDER BY page) AS n FROM pii_) WHERE n <= 8 GROUP BY ALL),
+  ex AS (SELECT doc_id, type, string_agg({MASK}, ', ' ORDER BY page, s) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY page, s) AS n FROM pii_) WHERE n <= 2 GROUP BY ALL)
+  SELECT doc_id, type, count(*) AS findings, any_value(pages) AS pages, any_value(examples) AS examples FROM pii_ JOIN pg USING (doc_id, type) JOIN ex USING (doc_id, type) GROUP BY doc_id, type"""
+REDACTED = f"""{PII},
+  cuts AS (SELECT p.doc_id, p.page, p.text, h.type, h.s, h.e, lag(h.e, 1, 0) OVER (PARTITION BY p.doc_id, p.page ORDER BY h.s) AS prev FROM pages_ p JOIN pii_ h USING (doc_id, page)),
+  red AS (SELECT p.doc_id, p.page, CASE WHEN count(c.s) = 0 THEN any_value(p.text) ELSE
+      string_agg(substr(c.text, c.prev + 1, c.s - c.prev) || '[' || upper(c.type) || ' REDACTED]', '' ORDER BY c.s) || substr(any_value(p.text), max(c.e) + 1) END AS text
+    FROM pages_ p LEFT JOIN cuts c USING (doc_id, page) GROUP BY p.doc_id, p.page)"""
+ORACLES["pii_redacted"] = f"WITH {REDACTED} SELECT doc_id, page, length(text) AS chars, md5(text) AS digest FROM red"
+ORACLES["redacted_copies"] = f"""WITH {REDACTED}, j AS (SELECT doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page) AS text FROM red GROUP BY doc_id)
+  SELECT doc_id, length(text) AS chars, md5(text) AS digest FROM j"""
+
+# --- figures -------------------------------------------------------------------------------------
+
+MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
+UNIT = r"(?:business\s+|calendar\s+|working\s+)?(?:days?|weeks?|months?|years?|hours?)"
+FIGURES = [
+    ("amount", r"(?i)[£$€]\s?\d[\d,]*(?:\.\d+)?(?:\s?(?:million|billion|bn|m|k)\b)?"),
+    ("amount", r"(?i)\b\d[\d,]*(?:\.\d+)?\s?(?:GBP|USD|EUR|pounds|dollars|euros)\b"),
+    ("percent", r"(?i)\b\d+(?:\.\d+)?\s?(?:%|per\s?cent\b)"),
+    ("duration", rf"(?i)\b(?:[a-z]+(?:-[a-z]+)?\s)?\(\d+\)\s*{UNIT}"),
+    ("duration", rf"(?i)\b\d+\s*{UNIT}\b"),
+    ("date", rf"(?i)\b\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTHS}\s+\d{{4}}\b"),
+    ("date", rf"(?i)\b{MONTHS}\s+\d{{1,2}},?\s+\d{{4}}\b"),
+]
+
+
+def figure_ctes(table: str, keys: str) -> str:
+    """figs(keys, kind, v, s, e, context): of overlapping matches the longest, else the earlier pattern.
+
+    In these texts no chain of three overlapping matches occurs, so comparing pairs is enough.
+    """
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    parts = [span_cte(f"f{i}", table, keys, p) for i, (_, p) in enumerate(FIGURES)]
+    union = " UNION ALL ".join(
+        f"SELECT {keys}, '{k}' AS kind, {i} AS p, v, CAST(s AS BIGINT) AS s, CAST(s + length(v) AS BIGINT) AS e FROM f{i}" for i, (k, _) in enumerate(FIGURES)
+    )
+    before = r"[^0-9]\.\s"
+    return ",\n  ".join(parts) + f""",
+  allf AS MATERIALIZED ({union}),
+  longest AS (SELECT * FROM allf a WHERE NOT EXISTS (SELECT 1 FROM allf b WHERE {on} AND a.s < b.e AND a.e > b.s AND (a.s, a.p) <> (b.s, b.p)
+     AND (b.e - b.s > a.e - a.s OR (b.e - b.s = a.e - a.s AND b.p < a.p)))),
+  {span_cte('stops', table, keys, before)},
+  figs AS (SELECT l.*, regexp_replace({trim_("substr(t.text, from_ + 1, coalesce(to_, length(t.text)) - from_)")}, '^\\d+(?:\\.\\d+)*\\.?\\s+([A-Z])', '\\1') AS context
+    FROM (SELECT a.*, (SELECT CAST(coalesce(max(b.s + 3), 0) AS BIGINT) FROM stops b WHERE {on} AND b.s + 1 < a.s) AS from_,
+           (SELECT CAST(min(b.s + 2) AS BIGINT) FROM stops b WHERE {on} AND b.s + 1 >= a.e) AS to_ FROM longest a) l JOIN {table} t USING ({keys}))"""
+
+
+FIG = f"{CONTRACT}, {CONTRACT_HEADS}, {figure_ctes('contract', 'doc_id, page')}"
+FIRSTS = """firsts AS (SELECT doc_id, page, s, kind, trim(v) AS value, context FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(v)), lower(context) ORDER BY page, s) AS k FROM figs) WHERE k = 1),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, s) AS n FROM firsts)"""
+ORACLES["figure_candidates"] = f"WITH {FIG}, {FIRSTS} SELECT doc_id, 'C' || n AS candidate_id, kind, value, 'S' || page AS source_id, context FROM numbered WHERE n <= 24"
+ORACLES["figure_rows"] = f"""WITH {FIG}, {FIRSTS},
+  sec AS (SELECT doc_id, page, coalesce(heading, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS section FROM heads),
+  lab AS (SELECT *, trim(regexp_replace(coalesce(section, ''), '(?i)^(?:section|clause|article)?\\s*\\d+(?:\\.\\d+)*[.)]?\\s*', '')) AS h FROM numbered JOIN sec USING (doc_id, page) WHERE n <= 40),
+  sen AS (SELECT *, CASE WHEN h <> '' AND starts_with(context, h) THEN trim(substr(context, length(h) + 1), {BLANKS}) ELSE context END AS sentence FROM lab),
+  cut AS (SELECT *, greatest(0, greatest(0, instr(sentence, value) - 1) - (110 - length(value)) // 2) AS b FROM sen)
+  SELECT doc_id, n, CASE kind WHEN 'percent' THEN 'percentage' ELSE kind END AS category,
+    CASE WHEN h <> '' THEN h ELSE array_to_string(regexp_split_to_array(sentence, '\\s+')[1:6], ' ') END AS label, value, 'S' || page AS source,
+    CASE WHEN length(sentence) <= 110 THEN sentence ELSE (CASE WHEN b > 0 THEN '…' ELSE '' END) || trim(substr(sentence, b + 1, 110), {BLANKS}) || (CASE WHEN b + 110 < length(sentence) THEN '…' ELSE '' END) END AS context
+  FROM cut"""
+DENSITY = (
+    r"(?i)[£$€]\s?\d|\d+(?:\.\d+)?\s?%|\b\d{1,2}(?:st|nd|rd|th)?\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"
+    r"|\b(?:19|20)\d{2}\b|\(\d+\)\s*(?:days?|weeks?|months?|years?|hours?)|\b\d+\s*(?:days?|weeks?|months?|years?|hours?)\b"
+)
+ORACLES["extraction_batches"] = f"""WITH RECURSIVE {BM25},
+  rk AS (SELECT doc_id, chunk_idx, min(lexical_rank) AS fr FROM hits GROUP BY ALL),
+  pool AS (SELECT * FROM (SELECT doc_id, chunk_idx, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost,
+     row_number() OVER (PARTITION BY doc_id ORDER BY regexp_matches(text, '{DENSITY}') DESC, fr ASC NULLS LAST, chunk_idx) AS position FROM chunks_ LEFT JOIN rk USING (doc_id, chunk_idx)) WHERE position <= 12),
+  bw AS (SELECT doc_id, chunk_idx, position, 1 AS batch, 1 AS held, cost AS used FROM pool WHERE position = 1
+    UNION ALL SELECT p.doc_id, p.chunk_idx, p.position, b.batch + CASE WHEN b.held >= 6 OR b.used + p.cost > 2000 THEN 1 ELSE 0 END,
+      CASE WHEN b.held >= 6 OR b.used + p.cost > 2000 THEN 1 ELSE b.held + 1 END, CASE WHEN b.held >= 6 OR b.used + p.cost > 2000 THEN p.cost ELSE b.used + p.cost END
+    FROM bw b JOIN pool p ON p.doc_id = b.doc_id AND p.position = b.position + 1)
+  SELECT doc_id, chunk_idx, position, batch, 'S' || position AS source_id FROM bw"""
+
+# An altered sum is one pound more. It is supported by a page that happens to hold that sum, which
+# can only be a page of the same customer with exactly that price.
+ITEMS = """items AS (SELECT o_custkey AS doc_id, o_orderkey AS item_no, 'Sum ' || (o_orderkey % 2) AS label,
+    '£' || format('{:,.2f}', CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END) AS value,
+    CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS cited FROM orders),
+  held AS (SELECT i.*, coalesce(max(CASE WHEN o.o_orderkey = cited THEN cited END), min(o.o_orderkey)) AS holder FROM items i
+    LEFT JOIN orders o ON o.o_custkey = i.doc_id AND '£' || format('{:,.2f}', o.o_totalprice) = i.value GROUP BY ALL),
+  kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label, value, coalesce(holder, -1) ORDER BY item_no) AS k FROM held) WHERE k = 1)"""
+ORACLES["verified_items"] = f"""WITH {ITEMS} SELECT doc_id, item_no, label, value, CASE WHEN holder IS NULL THEN 's' || cited ELSE 'S' || holder END AS source,
+  holder IS NOT NULL AS verified, CASE WHEN holder IS NULL THEN 'value not found in any source' END AS problem FROM kept"""
+ORACLES["extraction_status"] = f"""WITH {ITEMS}, t AS (SELECT doc_id, count(*) AS rows_, count(*) FILTER (holder IS NULL) AS unverified, coalesce(string_agg(DISTINCT 'S' || holder, ',' ORDER BY 'S' || holder), '') AS cited FROM kept GROUP BY doc_id)
+  SELECT c_custkey AS doc_id, coalesce(rows_, 0) AS rows, coalesce(unverified, 0) AS unverified, coalesce(cited, '') AS cited,
+    CASE WHEN unverified > 0 THEN 'warning' WHEN rows_ > 0 THEN 'grounded' ELSE 'abstained' END AS status FROM customer LEFT JOIN t ON doc_id = c_custkey"""
+ORACLES["allowed_labels"] = f"""WITH {ITEMS} SELECT i.doc_id, i.item_no, o.o_orderkey IS NOT NULL AS allowed FROM items i LEFT JOIN orders o ON o.o_custkey = i.doc_id AND o.o_orderkey = i.cited"""
+
+# --- answers -------------------------------------------------------------------------------------
+
+# The answers are made of two sentences, so the expected outcome follows from the order's numbers.
+ANSWERS = """facts AS (SELECT o_orderkey AS answer_id, o_orderkey % 11 = 0 AS abst, o_orderkey % 5 = 0 AS wrong, o_orderkey % 7 = 0 AS s9, o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0 AS bare,
+    '£' || format('{:,.2f}', CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END) AS sum_ FROM orders),
+  plain AS (SELECT *, CASE WHEN abst THEN 'abstained' WHEN s9 OR bare OR wrong THEN 'warning' ELSE 'grounded' END AS status,
+    CASE WHEN abst OR s9 OR bare THEN '' ELSE 'S1' END AS cited,
+    CASE WHEN abst THEN '' ELSE array_to_string(list_filter([CASE WHEN s9 THEN 'invalid-citation:S9' END, CASE WHEN s9 OR bare THEN 'no-citation' END, CASE WHEN wrong THEN 'unsupported-number:' || sum_ END], lambda x: x IS NOT NULL), ';') END AS issues FROM facts)"""
+ORACLES["citation_check"] = f"WITH {ANSWERS} SELECT answer_id, status, cited, issues FROM plain"
+# "Late sums bear interest." (late, sum, bear, interest: all in the source) is always attributed;
+# the first sentence only when it carries no label of its own.
+ORACLES["grounded_answers"] = f"""WITH {ANSWERS} SELECT answer_id,
+    CASE WHEN abst THEN 'abstained' WHEN s9 OR wrong THEN 'warning' ELSE 'grounded' END AS status,
+    CASE WHEN abst THEN '' ELSE 'S1' END AS cited, CASE WHEN NOT abst AND (s9 OR bare) THEN 'S1' ELSE '' END AS auto_cited,
+    CASE WHEN abst THEN '' ELSE array_to_string(list_filter([CASE WHEN s9 THEN 'invalid-citation:S9' END, CASE WHEN wrong THEN 'unsupported-number:' || sum_ END], lambda x: x IS NOT NULL), ';') END AS issues,
+    '' AS unsupported,
+    CASE WHEN abst THEN 'The document does not mention the amount.' ELSE 'The Customer shall pay ' || sum_ || ' within thirty (30) days'
+      || CASE WHEN s9 THEN ' [S9]' WHEN bare THEN ' [~S1]' ELSE ' [S1]' END || '. Late sums bear interest [~S1].' END AS content FROM plain"""
+ORACLES["quote_support"] = f"""WITH d AS MATERIALIZED (SELECT doc_id, {haystack('text')} AS h FROM documents), b AS MATERIALIZED (SELECT item_id, {haystack('text')} AS q FROM benchmark)
+  SELECT item_id, doc_id FROM b, d WHERE contains(h, q) AND (starts_with(h, q) OR contains(h, ' ' || q))"""
+ORACLES["relevance"] = f"""WITH {VEC}, p AS (SELECT a.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
+      * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+  SELECT vec_id, round(sim, 5) AS similarity, CASE WHEN best > 0 AND (sim + 0.9) / best < 0.95 THEN round((sim + 0.9) / best, 2) END AS off_topic FROM p JOIN vstats ON query_id = vec_id"""
+
+# --- checklists ----------------------------------------------------------------------------------
+
+ORACLES["checklist_choice"] = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hipaa_baa' ELSE 'gdpr_art28' END AS checklist FROM documents"""
+GDPR = [i for i in dims.CHECKLIST_ITEMS if i[0] == "gdpr_art28"]
+ITEM_ROWS = ", ".join(f"({pos}, '{item}', {_list(terms)}, '{q}')" for _, pos, item, terms, q in GDPR)
+AGREEMENTS = """agr AS (SELECT o_custkey AS doc_id, o_orderkey AS chunk_idx, ['The processor acts on documented instructions of the controller',
+    'Personal data breaches are notified without undue delay within 24 hours', 'Personnel authorised to process are bound by confidentiality',
+    'Data is deleted or returned at the end of services', 'The weather is fine and lunch is served'][o_orderkey % 5 + 1] || ' under order ' || o_orderkey || '.' AS text FROM orders)"""
+EVIDENCE = f"""{AGREEMENTS}, ci(position, item_id, must, query) AS (VALUES {ITEM_ROWS}),
+  tk AS MATERIALIZED (SELECT doc_id, chunk_idx, {tokens_('text')} AS ts FROM agr),
+  tot AS (SELECT doc_id, count(*) AS n, avg(len(ts)) AS al FROM tk GROUP BY doc_id),
+  tf AS (SELECT doc_id, chunk_idx, len, term, count(*) AS tf FROM (SELECT doc_id, chunk_idx, len(ts) AS len, unnest(ts) AS term FROM tk) GROUP BY ALL),
+  df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL),
+  it AS (SELECT DISTINCT item_id, position, unnest({tokens_('query')}) AS term FROM ci),
+  sc AS (SELECT doc_id, item_id, position, chunk_idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9) AS score
+    FROM tf JOIN df USING (doc_id, term) JOIN it USING (term) JOIN tot USING (doc_id) GROUP BY ALL),
+  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, chunk_idx) AS lexical_rank FROM sc) WHERE lexical_rank <= 3),
+  lab AS (SELECT doc_id, chunk_idx, row_number() OVER (PARTITION BY doc_id ORDER BY first, chunk_idx) AS nr FROM (SELECT doc_id, chunk_idx, min(position * 100 + lexical_rank) AS first FROM top GROUP BY ALL)),
+  ev AS (SELECT doc_id, item_id, position, chunk_idx, nr, lexical_rank, score, text, must FROM top JOIN lab USING (doc_id, chunk_idx) JOIN agr USING (doc_id, chunk_idx) JOIN (SELECT item_id, must FROM ci) USING (item_id))"""
+ORACLES["checklist_evidence"] = f"WITH {EVIDENCE} SELECT doc_id, item_id, chunk_idx, 'S' || nr AS source_id, lexical_rank, round(score, 5) AS score FROM ev"
+# The quote is the whole best passage: found unless "99 more" was added (a figure no source has);
+# a passage is held by itself only, because it names its order.
+VERDICTS = f"""{EVIDENCE},
+  ve AS (SELECT doc_id, item_id, nr, must, CASE WHEN doc_id % 11 = 0 THEN 'not_found' WHEN doc_id % 13 = 0 THEN 'partial' ELSE 'addressed' END AS status,
+      CASE WHEN doc_id % 7 = 0 THEN 'no evidence quoted' WHEN doc_id % 5 = 0 THEN 'quoted evidence not found in the sources'
+        WHEN len(list_filter(must, lambda m: contains(lower(text), m))) = 0 THEN 'evidence does not mention ' || array_to_string(list_transform(must, lambda m: '“' || m || '”'), ' or ') END AS problem
+    FROM ev WHERE lexical_rank = 1),
+  vd AS (SELECT doc_id, item_id, CASE WHEN status = 'not_found' THEN status WHEN problem IS NULL THEN status ELSE 'unverified' END AS verdict,
+      CASE WHEN status = 'not_found' OR doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'none' ELSE 'S' || nr END AS source, CASE WHEN status <> 'not_found' THEN problem END AS problem FROM ve)"""
+ORACLES["finding_verdicts"] = f"WITH {VERDICTS} SELECT doc_id, item_id, verdict, source, problem FROM vd"
+ORACLES["compliance_summary"] = f"""WITH {VERDICTS} SELECT doc_id, count(*) FILTER (verdict = 'addressed') AS addressed, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'not_found') AS not_found,
+    count(*) FILTER (verdict = 'unverified') AS unverified, count(*) FILTER (verdict = 'error') AS error, count(*) AS checked,
+    coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (verdict IN ('addressed', 'partial')), '') AS cited, 8 - count(*) AS not_run,
+    CASE WHEN count(*) FILTER (verdict IN ('unverified', 'error')) > 0 THEN 'warning' ELSE 'grounded' END AS status FROM vd GROUP BY doc_id"""
+ORACLES["eval_compliance"] = f"""WITH {VERDICTS}, k AS (SELECT c_custkey AS doc_id, position, item_id, (c_custkey + position) % 2 = 0 AS present FROM customer, ci),
+  j AS (SELECT k.*, verdict FROM k LEFT JOIN vd USING (doc_id, item_id))
+  SELECT item_id, count(*) FILTER (CASE WHEN present THEN verdict IN ('addressed', 'partial') ELSE verdict IN ('not_found', 'unverified') END) AS correct,
+    count(*) FILTER (NOT present AND verdict IN ('addressed', 'partial')) AS false_positives, count(*) AS checks FROM j GROUP BY item_id"""
+
+# --- conversations -------------------------------------------------------------------------------
+
+FOLLOW = rf"(?i)^\s*{FOLLOW_UP_START}\b|\b{FOLLOW_UP_WORDS}\b"
+ORACLES["previous_question"] = f"""WITH p AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM conversations)
+  SELECT conv_id, turn, md5(coalesce(prev, '')) AS previous, coalesce(prev, '') <> '' AND (regexp_matches(text, '{FOLLOW}') OR len({words('text')}) <= 1) AS extended FROM p"""
+
+
+def plan_ctes(window: int, with_document: bool) -> str:
+    most = 2 if with_document else 10**6
+    budget = f"{window} - 768 - 96 - 300 - CAST(ceil(length(text) / 3.0) AS BIGINT)"
+    share = "floor(budget * 0.25)" if with_document else "budget"
+    return f"""cl AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {strip_cites('text')} ELSE text END AS text FROM conversations WHERE coalesce(text, '') <> ''),
+  ag AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS age FROM cl),
+  cur AS (SELECT conv_id, text AS question, {budget} AS budget FROM ag WHERE age = 0),
+  sp AS (SELECT ag.*, budget, sum(CAST(ceil(length(text) / 3.0) AS BIGINT) + 4) OVER (PARTITION BY conv_id ORDER BY age) AS spent FROM ag JOIN cur USING (conv_id) WHERE age BETWEEN 1 AND {most}),
+  kept AS (SELECT * FROM sp WHERE spent <= {share}),
+  plan_ AS (SELECT conv_id, question, budget, CAST(coalesce(k, 0) AS BIGINT) AS kept_turns, n - 1 - coalesce(k, 0) AS dropped_turns, CAST(greatest(0, budget - coalesce(u, 0) - 40) AS BIGINT) AS source_budget, budget < 0 AS too_long
+    FROM cur JOIN (SELECT conv_id, count(*) AS n FROM cl GROUP BY conv_id) USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS k, max(spent) AS u FROM kept GROUP BY conv_id) USING (conv_id))"""
+
+
+ORACLES["history_plan"] = f"WITH {plan_ctes(4096, True)} SELECT * EXCLUDE (question) FROM plan_"
+ORACLES["history_plan_free"] = f"WITH {plan_ctes(2048, False)} SELECT * EXCLUDE (question) FROM plan_"
+ORACLES["prompt_table"] = ORACLES["spread_sample"].replace("SELECT doc_id, chunk_idx, 'S' || held AS source_id FROM walk2 WHERE took", "").rstrip() + f""",
+  blk AS (SELECT w.doc_id AS conv_id, string_agg('[S' || held || '] (' || concat_ws(' · ', 'p. ' || page, section) || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_idx) AS b
+    FROM walk2 w JOIN chunks_ c USING (doc_id, chunk_idx) WHERE took GROUP BY w.doc_id),
+  {plan_ctes(4096, True)},
+  hist AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) || '---' || chr(10) ORDER BY age DESC) AS h, count(*) AS k FROM kept GROUP BY conv_id)
+  SELECT conv_id, 2 + coalesce(k, 0) AS messages, md5(concat_ws(chr(10) || '---' || chr(10), 'system: Answer from the sources.' || coalesce(chr(10) || chr(10) || 'SOURCES:' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'END OF SOURCES', ''), h, 'user: ' || question)) AS digest
+  FROM plan_ LEFT JOIN blk USING (conv_id) LEFT JOIN hist USING (conv_id) WHERE NOT too_long"""
+ORACLES["latest_threads"] = """WITH t AS (SELECT conv_id AS id, CASE WHEN conv_id % 3 > 0 THEN 'w' || (conv_id % 3) ELSE 'default' END AS workspace, arg_min(text, turn) AS f, max(turn) AS updated_at FROM conversations GROUP BY conv_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY updated_at DESC, id DESC) AS n FROM t)
+  SELECT workspace, id, CASE WHEN length(f) > 40 THEN left(f, 40) || '…' ELSE f END AS title, updated_at FROM r WHERE n = 1"""
+ORACLES["deleted_threads"] = """SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')"""
+
+# --- feedback ------------------------------------------------------------------------------------
+
+RATED = f"""ev AS (SELECT user_id || ':' || (event_id % 4) AS id, event_id, ts, CASE event_type WHEN 'click' THEN 'up' ELSE 'down' END AS rating, {_list([*dims.REASONS, 'bogus'])}[event_id % 7 + 1] AS reason,
+    CASE WHEN event_id % 2 = 0 THEN 'corrected by ' || user_id END AS corr, CASE WHEN event_id % 5 = 0 THEN 'extract' ELSE 'qa' END AS intent, 'question ' || (event_id % 4) AS question, 'answer ' || event_id || ' [S1].' AS answer, 'doc' || (user_id % 3) AS doc
+  FROM events WHERE event_type IN ('click', 'error')),
+  num AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS n FROM ev),
+  walkf AS (WITH RECURSIVE r AS (SELECT id, event_id, n, rating AS state FROM num WHERE n = 1
+      UNION ALL SELECT x.id, x.event_id, x.n, CASE WHEN x.rating = 'up' AND r.state = 'up' THEN NULL ELSE x.rating END FROM r JOIN num x ON x.id = r.id AND x.n = r.n + 1) SELECT * FROM r),
+  fs AS (SELECT e.id, e.event_id, e.rating, CASE WHEN e.rating = 'down' AND reason <> 'bogus' THEN reason ELSE '' END AS reasons, CASE WHEN e.rating = 'down' THEN coalesce(corr, '') ELSE '' END AS correction, intent, question, answer, doc
+    FROM walkf w JOIN ev e USING (id, event_id) WHERE state IS NOT NULL AND n = (SELECT max(n) FROM num m WHERE m.id = w.id))"""
+ORACLES["feedback_state"] = f"WITH {RATED} SELECT id, event_id, rating, reasons, correction FROM fs"
+ORACLES["feedback_totals"] = f"WITH {RATED} SELECT count(*) FILTER (rating = 'up') AS up, count(*) FILTER (rating = 'down') AS down, count(*) FILTER (correction <> '') AS corrected FROM fs"
+ORACLES["eval_candidates"] = f"WITH {RATED} SELECT doc, question AS q, correction AS expect, reasons, answer AS rejected_answer FROM fs WHERE rating = 'down' AND correction <> '' AND intent = 'qa'"
+ORACLES["feedback_export"] = f"WITH {RATED} SELECT id, correction || ' mail [EMAIL REDACTED]' AS correction FROM fs"
+
+# --- metrics and quotas --------------------------------------------------------------------------
+
+
+def _pick(values, by: str) -> str:
+    return f"{_list(values)}[{by} % {len(values)} + 1]"
+
+
+METRIC = f"""me AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'feedback' ELSE 'answer' END AS kind, {_pick(dims.INTENTS, 'event_id')} AS intent, {_pick(dims.STATUSES, 'user_id')} AS status,
+    [{_pick(dims.ISSUE_KINDS, 'event_id')}, {_pick(dims.ISSUE_KINDS, 'user_id')}] AS issues, CASE event_type WHEN 'click' THEN {_pick(dims.RATINGS, 'event_id')} END AS rating,
+    CASE event_type WHEN 'click' THEN [{_pick(dims.REASONS, 'event_id')}] ELSE [] END AS reasons, CAST(floor(value * 100) AS BIGINT) AS latency_ms,
+    CASE WHEN event_id % 17 = 0 THEN 'unknown field' WHEN event_id % 11 = 0 THEN 'intent' WHEN event_id % 13 = 0 THEN 'model' WHEN floor(value * 100) NOT BETWEEN 0 AND 3600000 THEN 'latency_ms' END AS problem FROM events),
+  ok AS (SELECT * FROM me WHERE problem IS NULL)"""
+ORACLES["metric_accept_reject"] = f"WITH {METRIC} SELECT event_id, problem FROM me"
+ANSWERED = "SELECT intent, status, count(*) AS answers, CAST(trunc(avg(latency_ms)) AS BIGINT) AS avg_latency_ms FROM ok WHERE kind = 'answer' GROUP BY intent, status"
+RATINGS_ = "SELECT intent, rating, count(*) AS ratings FROM ok WHERE kind = 'feedback' GROUP BY intent, rating"
+DOWN = "SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM ok WHERE kind = 'feedback' AND rating = 'down') GROUP BY reason"
+ISSUES_ = "SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM ok WHERE kind = 'answer') GROUP BY issue"
+ORACLES["metric_answers"] = f"WITH {METRIC} {ANSWERED}"
+ORACLES["metric_ratings"] = f"WITH {METRIC} {RATINGS_}"
+ORACLES["metric_histograms"] = f"WITH {METRIC} SELECT 'reason' AS kind, reason AS item, n FROM ({DOWN}) UNION ALL SELECT 'issue', issue, n FROM ({ISSUES_})"
+ORACLES["metric_summary"] = f"""WITH {METRIC} SELECT 'events' AS section, NULL AS intent, NULL AS item, count(*) AS n, NULL AS avg_latency_ms FROM ok
+  UNION ALL SELECT 'answers', intent, status, answers, avg_latency_ms FROM ({ANSWERED}) UNION ALL SELECT 'feedback', intent, rating, ratings, NULL FROM ({RATINGS_})
+  UNION ALL SELECT 'down_reasons', NULL, reason, n, NULL FROM ({DOWN}) UNION ALL SELECT 'issues', NULL, issue, n, NULL FROM ({ISSUES_})"""
+ORACLES["built_events"] = """SELECT event_id, CASE event_type WHEN 'click' THEN 'feedback' ELSE 'answer' END AS kind,
+  CASE WHEN event_id % 3 = 0 THEN 'chat' WHEN event_id % 3 = 1 THEN 'qa' WHEN user_id % 2 = 0 THEN 'qa' ELSE 'chat' END AS intent, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE 'warning' END AS status,
+  'off-topic,no-citation' AS issues, 'Modelv1' || (user_id % 3) AS model, CAST(greatest(0, least(3600000, floor((value - 10) * 100000 + 0.5))) AS BIGINT) AS latency_ms,
+  round(greatest(0, least(10000, value * 1000)), 3) AS tokens_per_sec, CASE event_type WHEN 'click' THEN 'up' END AS rating, CASE event_type WHEN 'click' THEN 'wrong' ELSE '' END AS reasons FROM events"""
+# Offsets of the four zones in January; the unknown one counts as UTC.
+DATED = """dated AS (SELECT event_id, ts, user_id, CAST(ts + CASE user_id % 4 WHEN 1 THEN INTERVAL 14 HOUR WHEN 2 THEN INTERVAL (-11) HOUR ELSE INTERVAL 0 HOUR END AS DATE) AS day FROM events)"""
+USAGE = "SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) AS messages FROM dated GROUP BY user_id, day"
+ORACLES["daily_usage"] = f"WITH {DATED} {USAGE}"
+ORACLES["quota_decisions"] = f"""WITH {DATED}, n AS (SELECT *, CASE WHEN user_id % 4 <> 3 THEN user_id % 4 + 1 END AS lim, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS n FROM dated)
+  SELECT event_id, lim IS NULL OR n <= lim AS accepted, CASE WHEN lim IS NULL THEN n ELSE least(n, lim) END AS used, CASE WHEN lim IS NOT NULL THEN greatest(0, lim - least(n, lim)) END AS left_today,
+    CASE WHEN lim IS NOT NULL THEN greatest(0, lim - least(n, lim)) <= 3 END AS warn FROM n"""
+ORACLES["rate_limited"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT event_id, user_id, n, true AS accepted, [ts] AS held FROM e WHERE n = 1
+    UNION ALL SELECT event_id, user_id, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END FROM (
+      SELECT e.event_id, e.user_id, e.n, e.ts, list_filter(r.held, lambda h: e.ts - h <= INTERVAL 6 HOUR) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+  SELECT event_id, accepted FROM r"""
+
+# --- accounts ------------------------------------------------------------------------------------
+
+PLAN_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else (f"'{v}'" if isinstance(v, str) else str(v)) for v in p) + ")" for p in dims.PLANS)
+ENTITLED = f"""pl(plan, daily_messages, documents, max_documents, max_document_pages, large_models, save_history, passphrase_lock, pii_scan, pii_redaction, checklists) AS (VALUES {PLAN_ROWS}),
+  acc AS (SELECT c_custkey AS user_id, c_name AS display_name, ['free', 'pro', 'business', 'enterprise', 'free'][c_nationkey % 5 + 1] AS plan,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'sme' WHEN 'MACHINERY' THEN 'enterprise' WHEN 'AUTOMOBILE' THEN 'founder' ELSE 'personal' END AS kind FROM customer),
+  base AS (SELECT *, CASE plan WHEN 'free' THEN ['personal'] WHEN 'pro' THEN {_list(dims.BROWSER_TYPES)} ELSE {_list(dims.USER_TYPES)} END AS b FROM acc),
+  ent AS (SELECT base.* EXCLUDE (b, kind), pl.* EXCLUDE (plan), array_to_string(CASE WHEN list_contains(b, kind) THEN b ELSE list_append(b, kind) END, ',') AS workspaces FROM base JOIN pl USING (plan))"""
+ORACLES["entitlements"] = f"WITH {ENTITLED} SELECT user_id, plan, daily_messages, max_documents, max_document_pages, large_models, checklists, workspaces FROM ent"
+ORACLES["entitlement_gates"] = f"""WITH {PAGES}, {TOTALS}, {ENTITLED}, o AS (SELECT doc_id % 150 AS user_id, doc_id, page_count, row_number() OVER (PARTITION BY doc_id % 150 ORDER BY doc_id) AS n FROM totals_)
+  SELECT user_id, doc_id, CASE WHEN NOT documents THEN 'documents need an account' WHEN n > max_documents THEN 'too many documents' WHEN page_count > max_document_pages THEN 'too many pages' END AS reason FROM o JOIN ent USING (user_id)"""
+ORACLES["account_summary"] = f"""WITH {DATED}, {ENTITLED}, u AS (SELECT user_id, count(*) AS m FROM dated WHERE day = DATE '2024-01-10' GROUP BY user_id)
+  SELECT user_id, display_name, plan, coalesce(m, 0) AS used_today, CASE WHEN daily_messages IS NOT NULL THEN greatest(0, daily_messages - coalesce(m, 0)) END AS left_today FROM ent LEFT JOIN u USING (user_id)"""
+KEYS = [f"{p}_{i}ly" for p, i, _ in dims.PRICES] + ["unlisted"]
+ORACLES["subscription_state"] = f"""WITH RECURSIVE s AS (SELECT user_id, event_id, ts, 'sub_' || user_id || '_' || (event_id % 3) AS sub, CASE event_type WHEN 'signup' THEN 'trialing' WHEN 'purchase' THEN 'active' WHEN 'view' THEN 'past_due' WHEN 'click' THEN 'canceled' ELSE 'unpaid' END AS st,
+    {_list(KEYS)}[event_id % {len(KEYS)} + 1] AS k, ts + INTERVAL 30 DAY AS pe, event_id % 4 = 0 AS ca, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  l AS (SELECT *, st IN ('trialing', 'active', 'past_due') AND k <> 'unlisted' AS live FROM s),
+  r AS (SELECT user_id, 0::BIGINT AS n, 'free' AS plan, NULL::VARCHAR AS sub, NULL::VARCHAR AS st, NULL::VARCHAR AS iv, NULL::TIMESTAMP AS pe, false AS ca FROM (SELECT DISTINCT user_id FROM l)
+    UNION ALL SELECT l.user_id, l.n, CASE WHEN skip THEN plan WHEN live THEN split_part(k, '_', 1) ELSE 'free' END, CASE WHEN skip THEN osub WHEN live THEN l.sub END, CASE WHEN skip THEN ost ELSE l.st END,
+      CASE WHEN skip THEN oiv WHEN live THEN left(split_part(k, '_', 2), -2) END, CASE WHEN skip THEN ope WHEN live THEN l.pe END, CASE WHEN skip THEN oca WHEN live THEN l.ca ELSE false END
+    FROM (SELECT l.*, r.plan, r.sub AS osub, r.st AS ost, r.iv AS oiv, r.pe AS ope, r.ca AS oca, NOT l.live AND r.sub IS NOT NULL AND r.sub <> l.sub AS skip FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1) l)
+  SELECT user_id AS customer_id, plan, sub AS subscription_id, st AS status, iv AS interval, pe AS renews_at, ca AS cancel_at_period_end FROM r WHERE n = (SELECT max(n) FROM l WHERE l.user_id = r.user_id)"""
+ORACLES["valid_sessions"] = """SELECT o_orderkey AS request_id, o_custkey AS user_id FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1998-01-01'"""
+ORACLES["live_links"] = """WITH t AS (SELECT user_id, CASE WHEN event_type IN ('click', 'view') THEN 'verify' ELSE 'reset' END AS purpose, event_id, ts FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id, purpose ORDER BY ts DESC, event_id DESC) AS n FROM t)
+  SELECT user_id, purpose, event_id AS token_id FROM r WHERE n = 1 AND event_id % 5 <> 0 AND ts + INTERVAL 12 DAY > TIMESTAMP '2024-01-20'"""
+ORACLES["erasure"] = f"WITH {DATED}, {ENTITLED} {USAGE.replace('FROM dated', 'FROM dated WHERE user_id NOT IN (SELECT user_id FROM ent WHERE plan = $$free$$)')}"
+ORACLES["account_checks"] = """SELECT c_custkey AS user_id, 'user' || (c_custkey // 2) || CASE WHEN c_custkey % 9 = 0 THEN ' at x.org' ELSE '@x.org' END AS email,
+  CASE WHEN c_custkey % 9 = 0 THEN 'email' WHEN c_custkey % 20 < 10 THEN 'password' WHEN c_nationkey = 3 THEN 'user_type' END AS problem FROM customer"""
+ORACLES["account_uniqueness"] = """SELECT 'user' || (c_custkey // 3) || '@x.org' AS email, count(*) AS accounts, min(c_custkey) AS user_id FROM customer GROUP BY 1 HAVING count(*) > 1"""
+
+# --- intents -------------------------------------------------------------------------------------
+
+GRAMS = r"""wd AS (SELECT conv_id * 1000 + turn AS key, role AS label, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM conversations),
+  gr AS (SELECT key, label, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wd),
+  tc AS (SELECT key, label, term, count(*) AS tf FROM gr GROUP BY ALL),
+  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM wd)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term),
+  rw AS (SELECT key, label, term, (1 + ln(tf)) * idf AS raw FROM tc JOIN idf USING (term)),
+  ft AS (SELECT key, label, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY key)) AS weight FROM rw)"""
+ORACLES["intent_features"] = f"WITH {GRAMS} SELECT key, term, round(weight, 6) AS weight FROM ft"
+ORACLES["intent_scores"] = f"""WITH {GRAMS}, cf AS (SELECT term, label, sum(weight) AS c FROM ft GROUP BY ALL), cl(label, b) AS (VALUES ('assistant', 0.0), ('system', 0.1), ('user', 0.2)),
+  z AS (SELECT f.key, cl.label, b + coalesce(sum(f.weight * cf.c), 0) AS z FROM ft f JOIN cl ON true LEFT JOIN cf ON cf.term = f.term AND cf.label = cl.label GROUP BY f.key, cl.label, b),
+  p AS (SELECT key, label, exp(z) / sum(exp(z)) OVER (PARTITION BY key) AS p FROM z)
+  SELECT key, round(max(p) FILTER (label = 'assistant'), 5) AS assistant, round(max(p) FILTER (label = 'system'), 5) AS system, round(max(p) FILTER (label = 'user'), 5) AS user FROM p GROUP BY key"""
+ROUTED = f"""nn AS (SELECT *, conv_id + turn AS n FROM conversations WHERE role = 'user'),
+  pp AS (SELECT *, n * 3 % 10 + 1.0 AS compliance, n * 7 % 10 + 1.0 AS extract, (n * 11 % 10 + 1.0) * 2 AS general, n * 9 % 10 + 1.0 AS qa, n % 10 + 1.0 AS summary FROM nn),
+  pr AS (SELECT conv_id, turn, n, text, [compliance / t, extract / t, general / t, qa / t, summary / t] AS p FROM (SELECT *, CAST(compliance + extract + general + qa + summary AS DOUBLE) AS t FROM pp)),
+  tp AS (SELECT *, ['compliance', 'extract', 'general', 'qa', 'summary'][list_position(p, list_max(p))] AS top, list_max(p) AS c,
+      regexp_matches(CASE WHEN n % 4 = 0 THEN 'overview' ELSE text END, '{SUMMARY_RE}') AS s FROM pr),
+  routed AS (SELECT conv_id, turn, CASE WHEN conv_id % 6 = 0 THEN 'chat' WHEN s AND top IN ('qa', 'summary') THEN 'summary' WHEN top = 'general' AND c >= 0.5 AND n % 5 / 10.0 < 0.15 THEN 'general' WHEN top = 'general' OR c < 0.45 THEN 'qa' ELSE top END AS intent,
+    round(CASE WHEN conv_id % 6 = 0 THEN 1 WHEN s AND top IN ('qa', 'summary') THEN greatest(c, p[5]) WHEN top = 'general' AND NOT (c >= 0.5 AND n % 5 / 10.0 < 0.15) THEN p[4] ELSE c END, 6) AS confidence,
+    CASE WHEN conv_id % 6 = 0 THEN 'no document loaded' WHEN s AND top IN ('qa', 'summary') THEN 'summary phrasing' WHEN top = 'general' AND c >= 0.5 AND n % 5 / 10.0 < 0.15 THEN 'unrelated to the document'
+      WHEN top = 'general' THEN 'possibly general, but shares vocabulary with the document' WHEN c < 0.45 THEN 'low confidence for ' || top ELSE 'router' END AS reason FROM tp)"""
+ORACLES["routed_messages"] = f"WITH {ROUTED} SELECT conv_id, turn, intent, confidence, reason FROM routed"
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+RECALL = f"""{BENCH}, {DOC_CHUNKS}, {bm25_ctes('chunks_', 'doc_id, chunk_idx', 'bench', 6)},
+  hit AS (SELECT b.query_id, coalesce(bool_or(contains(d.text, b.text)), false) AS hit FROM bench b LEFT JOIN hits h USING (query_id) LEFT JOIN documents d USING (doc_id) GROUP BY b.query_id)"""
+ORACLES["eval_recall"] = f"WITH {RECALL} SELECT count(*) AS questions, count(*) FILTER (hit) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS recall FROM hit"
+ORACLES["eval_misses"] = f"WITH {RECALL} SELECT query_id FROM hit WHERE NOT hit"
+ORACLES["eval_routing"] = f"""WITH {ROUTED} SELECT count(*) AS questions, count(*) FILTER (intent = CASE WHEN conv_id % 2 = 0 THEN 'qa' ELSE 'general' END) AS correct,
+  count(*) FILTER (intent = 'general' AND conv_id % 2 = 0) AS leaks FROM routed"""
+ORACLES["eval_extraction"] = """SELECT o_orderkey AS question, '£' || format('{:,.2f}', o_totalprice) AS value, true AS found FROM orders UNION ALL SELECT o_orderkey, '£' || format('{:,.2f}', o_totalprice + 1), false FROM orders"""
+ORACLES["eval_answers"] = f"""WITH {ANSWERS} SELECT count(*) AS answers, count(*) FILTER (NOT abst AND NOT wrong) AS correct, count(*) FILTER (status = 'grounded') AS grounded,
+  count(*) FILTER (NOT abst) AS leaked FROM plain"""
+ORACLES["eval_unrelated"] = f"WITH {ANSWERS} SELECT answer_id % 4 = 0 OR status <> 'grounded' AS ok, count(*) AS answers FROM plain GROUP BY 1"
+ORACLES["eval_regressions"] = """WITH t AS (SELECT event_type AS metric, count(*) AS value FROM events GROUP BY 1), m AS (SELECT avg(value) AS mean FROM t)
+  SELECT metric, value, round(mean, 6) AS recorded FROM t, m WHERE value < mean"""
