@@ -50,14 +50,14 @@ def checklist_evidence(chunks: DataFrame, checklist: str, document: str = "doc_i
         .withColumn("search", F.concat_ws("/", F.col(document).cast("string"), "item_id"))
     )
     picked = selection.pick(ranked, "lexical_rank", F.lit(ITEM_TOKENS), "search", SOURCES_PER_ITEM)
-    picked = picked.drop("search", "source_id")
-    # A document uses at most 24 passages (8 requirements of 3), so its label list is small.
-    first_use = picked.groupBy(*keys).agg(F.min(F.struct("position", "lexical_rank")).alias("first"))
+    # A document uses at most 24 passages (8 requirements of 3): one exchange serves both windows.
+    used = picked.drop("search", "source_id").repartition(document)
+    first = F.min(F.struct("position", "lexical_rank")).over(Window.partitionBy(*keys))
     order = Window.partitionBy(document).orderBy("first", "chunk_idx")
-    labels = first_use.withColumn("source_order", F.row_number().over(order)).select(
-        *keys, "source_order", F.concat(F.lit("S"), F.row_number().over(order)).alias("source_id")
+    labelled = used.withColumn("first", first).withColumn("source_order", F.dense_rank().over(order)).drop("first")
+    return labelled.withColumn("source_id", F.concat(F.lit("S"), F.col("source_order"))).join(
+        chunks.select(*keys, "text"), keys
     )
-    return picked.join(labels, keys)
 
 
 def verify_findings(findings: DataFrame, sources: DataFrame, scope: list[str]) -> DataFrame:

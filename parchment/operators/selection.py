@@ -36,29 +36,26 @@ def pick(
 ) -> DataFrame:
     """Passages per query in rank order under a token budget: adds ``source_id`` S1, S2, …
 
-    ``ranked`` holds a ranker's candidates (40 per query at most after fusion), so the gathered
-    array per query is small. Only ranks and costs are gathered; texts are joined back by rank.
+    ``ranked`` holds a ranker's candidates (40 per query at most after fusion), so the gathered list
+    per query is short. It holds everything but the texts, whose lengths are all the walk needs;
+    join them to the result by passage.
     """
-    lists = (
-        ranked.groupBy(query_id)
-        .agg(
-            F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), passage_cost(F.col(text)).alias("cost")))).alias(
-                "items"
-            ),
-            F.first(budget).alias("budget"),
-        )
-        .select(
-            query_id,
-            "items",
-            budget_fold(F.transform("items", lambda i: i["cost"]), F.col("budget"), most).alias("taken"),
-        )
+    others = [c for c in ranked.columns if c not in (query_id, rank, text)]
+    item = F.struct(F.col(rank).alias("rank"), passage_cost(F.col(text)).alias("cost"), F.struct(*others).alias("row"))
+    lists = ranked.groupBy(query_id).agg(
+        F.array_sort(
+            F.collect_list(item),
+            lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0),
+        ).alias("items"),
+        F.first(budget).alias("budget"),
     )
-    taken = lists.select(query_id, "items", F.posexplode("taken").alias("n", "at")).select(
-        query_id,
-        F.get("items", F.col("at"))["rank"].alias(rank),
-        F.concat(F.lit("S"), F.col("n") + 1).alias("source_id"),
+    taken = budget_fold(F.transform("items", lambda i: i["cost"]), F.col("budget"), most)
+    return (
+        lists.select(query_id, "items", F.posexplode_outer(taken).alias("n", "at"))
+        .where(F.col("at").isNotNull())
+        .select(query_id, F.get("items", F.col("at")).alias("item"), F.concat(F.lit("S"), F.col("n") + 1).alias("source_id"))
+        .select(query_id, F.col("item.rank").alias(rank), "item.row.*", "source_id")
     )
-    return ranked.join(taken, [query_id, rank])
 
 
 def spread_positions(chunks: DataFrame, scope: list[str], budget: Column, text: str = "text") -> DataFrame:
@@ -78,28 +75,28 @@ def spread_positions(chunks: DataFrame, scope: list[str], budget: Column, text:
 
 
 def select_spread(chunks: DataFrame, scope: list[str], budget: Column, text: str = "text") -> DataFrame:
-    """Evenly spread sources per scope in document order, under the budget, labelled S1, S2, …"""
+    """Evenly spread sources per scope in document order, under the budget, labelled S1, S2, …
+
+    At most MAX_SUMMARY_SOURCES passages per scope are gathered, with their texts.
+    """
     sample = chunks.join(spread_positions(chunks, scope, budget, text), [*scope, "chunk_idx"])
-    costs = F.array_sort(
-        F.collect_list(F.struct(F.col("chunk_idx").alias("chunk_idx"), passage_cost(F.col(text)).alias("cost")))
+    others = [c for c in sample.columns if c not in (*scope, "chunk_idx")]
+    item = F.struct(
+        F.col("chunk_idx").alias("chunk_idx"), passage_cost(F.col(text)).alias("cost"), F.struct(*others).alias("row")
     )
-    # At most MAX_SUMMARY_SOURCES rows per scope are gathered.
-    lists = sample.groupBy(*scope).agg(costs.alias("items"))
-    taken = (
-        lists.select(
-            *scope,
-            "items",
-            F.posexplode(
-                budget_fold(F.transform("items", lambda i: i["cost"]), budget, MAX_SUMMARY_SOURCES)
-            ).alias("n", "at"),
-        )
-        .select(
-            *scope,
-            F.get("items", F.col("at"))["chunk_idx"].alias("chunk_idx"),
-            F.concat(F.lit("S"), F.col("n") + 1).alias("source_id"),
-        )
+    lists = sample.groupBy(*scope).agg(
+        F.array_sort(
+            F.collect_list(item),
+            lambda a, b: F.when(a["chunk_idx"] < b["chunk_idx"], -1).when(a["chunk_idx"] > b["chunk_idx"], 1).otherwise(0),
+        ).alias("items")
+    )
+    taken = budget_fold(F.transform("items", lambda i: i["cost"]), budget, MAX_SUMMARY_SOURCES)
+    return (
+        lists.select(*scope, "items", F.posexplode_outer(taken).alias("n", "at"))
+        .where(F.col("at").isNotNull())
+        .select(*scope, F.get("items", F.col("at")).alias("item"), F.concat(F.lit("S"), F.col("n") + 1).alias("source_id"))
+        .select(*scope, "item.chunk_idx", "item.row.*", "source_id")
     )
-    return sample.join(taken, [*scope, "chunk_idx"])
 
 
 def rank_for_extraction(
@@ -123,7 +120,11 @@ def rank_for_extraction(
 
 
 def extraction_batches(pooled: DataFrame, scope: list[str], text: str = "text") -> DataFrame:
-    """Adds ``source_id`` and a 1-based ``batch`` of at most 6 passages or 2,000 tokens."""
+    """Adds ``source_id`` and a 1-based ``batch`` of at most 6 passages or 2,000 tokens.
+
+    Gathers a scope's pool (12 passages), texts left out.
+    """
+    others = [c for c in pooled.columns if c not in (*scope, "position", text)]
     start = F.struct(
         F.lit(1).alias("batch"), F.lit(0).alias("held"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out")
     )
@@ -138,16 +139,19 @@ def extraction_batches(pooled: DataFrame, scope: list[str], text: str = "text")
             F.array_append(state["out"], batch).alias("out"),
         )
 
-    costs = F.array_sort(F.collect_list(F.struct("position", passage_cost(F.col(text)).alias("cost"))))
-    batches = (
-        pooled.groupBy(*scope)
-        .agg(costs.alias("items"))
-        .select(
-            *scope,
-            F.posexplode(
-                F.aggregate(F.transform("items", lambda i: i["cost"]), start, step, lambda state: state["out"])
-            ).alias("n", "batch"),
-        )
-        .select(*scope, (F.col("n") + 1).alias("position"), "batch")
+    item = F.struct("position", passage_cost(F.col(text)).alias("cost"), F.struct(*others).alias("row"))
+    lists = pooled.groupBy(*scope).agg(
+        F.array_sort(
+            F.collect_list(item),
+            lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0),
+        ).alias("items")
+    )
+    batches = F.aggregate(F.transform("items", lambda i: i["cost"]), start, step, lambda state: state["out"])
+    numbered = lists.select(*scope, F.explode(F.zip_with("items", batches, lambda i, b: F.struct(i.alias("i"), b.alias("b")))).alias("x"))
+    return numbered.select(
+        *scope,
+        "x.i.position",
+        "x.i.row.*",
+        F.col("x.b").alias("batch"),
+        F.concat(F.lit("S"), F.col("x.i.position")).alias("source_id"),
     )
-    return pooled.join(batches, [*scope, "position"]).withColumn("source_id", F.concat(F.lit("S"), F.col("position")))
