@@ -76,9 +76,9 @@ def contract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metric_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metric_payloads(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as JSON metric events; several kinds of faults by event number."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events") if events is None else events
     n = F.col("event_id")
 
     def one_of(values: list[str], by) -> F.Column:
@@ -122,13 +122,14 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ZONES = ["Europe/London", "Pacific/Kiritimati", "Pacific/Pago_Pago", "Not/AZone"]
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as messages of users in four zones, one of them unknown."""
     zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), (F.col("user_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", zone.alias("zone"))
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.select("event_id", "ts", "user_id", zone.alias("zone"))
 
 
-def snapshots(spark: SparkSession, sf_dir: str, prefix: str = "") -> DataFrame:
+def snapshots(spark: SparkSession, sf_dir: str, prefix: str = "", events: DataFrame | None = None) -> DataFrame:
     """Events as subscription snapshots of their user."""
     n = F.col("event_id")
     status = (
@@ -140,7 +141,8 @@ def snapshots(spark: SparkSession, sf_dir: str, prefix: str = "") -> DataFrame:
     )
     keys = [f"{prefix}{p}_{i}ly" for p, i, _ in dims.PRICES] + ["unlisted"]
     key = F.element_at(F.array(*[F.lit(k) for k in keys]), (n % len(keys) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.select(
         "event_id",
         "ts",
         F.col("user_id").alias("customer_id"),

@@ -640,3 +640,11 @@ ORACLES["eval_answers"] = f"""WITH {ANSWERS} SELECT count(*) AS answers, count(*
 ORACLES["eval_unrelated"] = f"WITH {ANSWERS} SELECT answer_id % 4 = 0 OR status <> 'grounded' AS ok, count(*) AS answers FROM plain GROUP BY 1"
 ORACLES["eval_regressions"] = """WITH t AS (SELECT event_type AS metric, count(*) AS value FROM events GROUP BY 1), m AS (SELECT avg(value) AS mean FROM t)
   SELECT metric, value, round(mean, 6) AS recorded FROM t, m WHERE value < mean"""
+
+# --- streams: the same tables as in batch --------------------------------------------------------
+
+ORACLES["stream_metric_summary"] = ORACLES["metric_summary"]
+ORACLES["stream_metric_ingest"] = ORACLES["metric_accept_reject"]
+ORACLES["stream_rate_limit"] = ORACLES["rate_limited"]
+ORACLES["stream_quota"] = f"SELECT event_id, accepted, used FROM ({ORACLES['quota_decisions']})"
+ORACLES["stream_subscriptions"] = f"SELECT * EXCLUDE (renews_at) FROM ({ORACLES['subscription_state']})"

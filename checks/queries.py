@@ -674,8 +674,8 @@ def built_events(spark, sf):
     return b.select("event_id", "kind", "intent", "status", F.array_join("issues", ",").alias("issues"), "model", "latency_ms", F.round("tokens_per_sec", 3).alias("tokens_per_sec"), "rating", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _dated(spark, sf):
-    m = I.messages(spark, sf)
+def _dated(spark, sf, events=None):
+    m = I.messages(spark, sf, events)
     return m.withColumn("day", quota.local_day(F.col("ts"), F.col("zone"), quota.known_zones()))
 
 
@@ -684,10 +684,13 @@ def daily_usage(spark, sf):
     return quota.daily_usage(_dated(spark, sf)).select("user_id", F.col("day").cast("string").alias("day"), "messages")
 
 
-def _limited(spark, sf):
+def _with_limit(dated):
     # Small limits, so that the test tables reach them; one user in four has none.
-    limit = F.when(F.col("user_id") % 4 != 3, F.col("user_id") % 4 + 1).cast("int")
-    return quota.take_messages(_dated(spark, sf).withColumn("daily_messages", limit))
+    return dated.withColumn("daily_messages", F.when(F.col("user_id") % 4 != 3, F.col("user_id") % 4 + 1).cast("int"))
+
+
+def _limited(spark, sf):
+    return quota.take_messages(_with_limit(_dated(spark, sf)))
 
 
 @query
@@ -933,3 +936,72 @@ def eval_regressions(spark, sf):
     mean = per_type.agg(F.avg("value").alias("mean"))
     baseline = per_type.join(F.broadcast(mean)).select("metric", F.col("mean").alias("value"))
     return evals.regressions(per_type, baseline).select("metric", "value", F.round("recorded", 6).alias("recorded"))
+
+
+# --- streams -----------------------------------------------------------------------------------
+# Each stream runs over the events file until nothing is left and its result table is read back.
+
+
+def _event_stream(spark, sf):
+    from parchment.streaming.sources import read_files
+
+    return read_files(spark, sf, I.table(spark, sf, "events").schema, "events.parquet")
+
+
+@query
+def stream_metric_summary(spark, sf):
+    from parchment.session import work_dir
+    from parchment.streaming import metrics as stream
+
+    out = work_dir(spark, "metric-summary")
+    stream.running_summary(I.metric_payloads(spark, sf, _event_stream(spark, sf)), f"{out}/table", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/table")
+
+
+@query
+def stream_metric_ingest(spark, sf):
+    from parchment.session import work_dir
+    from parchment.streaming import metrics as stream
+
+    out = work_dir(spark, "metric-ingest")
+    stream.ingest(I.metric_payloads(spark, sf, _event_stream(spark, sf)), out, f"{out}/checkpoint")
+    good = spark.read.parquet(f"{out}/accepted").select("event_id", F.lit(None).cast("string").alias("problem"))
+    return good.unionByName(spark.read.parquet(f"{out}/rejected").select("event_id", "problem"))
+
+
+@query
+def stream_rate_limit(spark, sf):
+    from parchment.session import work_dir
+    from parchment.streaming import limits
+
+    out = work_dir(spark, "rate-limit")
+    hits = _event_stream(spark, sf).select(F.col("user_id").alias("key"), "ts", "event_id")
+    limits.rate_limited(hits, 3, 6 * 3600, out, f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/verdicts").select("event_id", "accepted")
+
+
+@query
+def stream_quota(spark, sf):
+    from parchment.session import work_dir
+    from parchment.streaming import limits
+
+    out = work_dir(spark, "quota")
+    limits.take_messages(_with_limit(_dated(spark, sf, _event_stream(spark, sf))), out, f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/decisions").select("event_id", "accepted", "used")
+
+
+@query
+def stream_subscriptions(spark, sf):
+    from parchment.operators.billing import SUBSCRIPTION_EVENTS
+    from parchment.session import work_dir
+    from parchment.streaming import webhooks
+
+    out = work_dir(spark, "subscriptions")
+    events = (
+        I.snapshots(spark, sf, events=_event_stream(spark, sf))
+        .withColumn("event_type", F.lit(SUBSCRIPTION_EVENTS[1]))
+        .withColumn("reference_id", F.lit(None).cast("bigint"))
+    )
+    users = I.table(spark, sf, "events").select(F.col("user_id").alias("customer_id"), "user_id").distinct()
+    webhooks.process(events, users, out, f"{out}/checkpoint")
+    return webhooks.current_state(spark, out).withColumnRenamed("user_id", "customer_id").drop("renews_at")

@@ -45,20 +45,25 @@ def take_messages(
     ts: str = "ts",
     event: str = "event_id",
     limit: str = "daily_messages",
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``accepted`` and ``used`` (after the message). A null limit accepts everything.
 
     Refused messages do not count, so a message's number within its day decides. Numbers come from
     ten-minute blocks with summed offsets: one user's day is not one task. The limit is fixed
-    within a day.
+    within a day. ``earlier`` holds messages already asked for, as (user, day, messages).
     """
     block = F.floor(F.unix_seconds(_instant(ts)) / 600)
     numbered = dense_index(messages, [user, day], [ts, event], "_n", block)
-    n = F.col("_n") + 1
+    before = F.lit(0)
+    if earlier is not None:
+        numbered = numbered.join(earlier.select(user, day, F.col("messages").alias("_before")), [user, day], "left")
+        before = F.coalesce("_before", F.lit(0))
+    n = F.col("_n") + 1 + before
     return (
         numbered.withColumn("accepted", F.col(limit).isNull() | (n <= F.col(limit)))
         .withColumn("used", F.least(n, F.col(limit).cast("long")))
-        .drop("_n")
+        .drop("_n", "_before")
     )
 
 
@@ -68,25 +73,26 @@ def messages_left(used: Column, limit: Column, warn_at: int = 3) -> tuple[Column
     return left, left <= warn_at
 
 
-def _limiter(max_hits: int, window: float, columns: list[str], key: str):
+def _limiter(max_hits: int, window: float, columns: list[str]):
     """Walks sorted hits in batches; the state is one key's accepted times, at most ``max_hits``."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, deque()
         for batch in batches:
             verdicts = []
-            for k, t in zip(batch["_run"].to_numpy(), batch["_micros"].to_numpy(), strict=True):
+            past = batch["_past"].to_numpy()
+            for k, t, done in zip(batch["_run"].to_numpy(), batch["_micros"].to_numpy(), past, strict=True):
                 if k != current:
                     current, held = k, deque()
                 while held and t - held[0] > window:
                     held.popleft()
-                ok = len(held) < max_hits
+                ok = done or len(held) < max_hits
                 if ok:
                     held.append(t)
                 verdicts.append(ok)
             out = batch[columns].copy()
             out["accepted"] = verdicts
-            yield out
+            yield out[~past]
 
     return walk
 
@@ -99,13 +105,21 @@ def rate_limited(
     ts: str = "ts",
     event: str = "event_id",
     minutes_per_block: int = 10,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``accepted``: fewer than ``max_hits`` accepted hits of the key within the window.
 
     Only accepted hits count, so each verdict depends on the earlier ones. A pause longer than the
     window empties the state: runs between pauses are independent and are spread by run, not by
     key. Within a run the rows pass through in order, in batches, with ``max_hits`` times as state.
+    ``earlier`` holds hits accepted before, as (key, ts, event): they fill the state only.
     """
+    columns = hits.columns
+    hits = hits.withColumn("_past", F.lit(False))
+    if earlier is not None:
+        hits = hits.unionByName(
+            earlier.select(key, ts, event).withColumn("_past", F.lit(True)), allowMissingColumns=True
+        )
     previous = dense_previous(hits, key, ts, event, minutes_per_block)
     micros = F.unix_micros(_instant(ts))
     pause = F.col("_previous").isNull() | (micros - F.col("_previous") > window_seconds * 1_000_000)
@@ -115,10 +129,9 @@ def rate_limited(
     block = F.floor(F.unix_seconds(_instant(ts)) / (60 * minutes_per_block))
     runs = carry_last(marked, [key], [ts, event], F.col("_start"), "_run_start", block)
     runs = runs.withColumn("_run", F.concat_ws("|", F.col(key).cast("string"), F.col("_run_start").cast("string")))
-    columns = hits.columns
-    ordered = runs.select(*columns, "_run", "_micros").repartition("_run").sortWithinPartitions("_run", ts, event)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema) + ", accepted boolean"
-    return ordered.mapInPandas(_limiter(max_hits, window_seconds * 1_000_000, columns, key), schema)
+    ordered = runs.select(*columns, "_past", "_run", "_micros").repartition("_run").sortWithinPartitions("_run", ts, event)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema if f.name in columns) + ", accepted boolean"
+    return ordered.mapInPandas(_limiter(max_hits, window_seconds * 1_000_000, columns), schema)
 
 
 def dense_previous(hits: DataFrame, key: str, ts: str, event: str, minutes_per_block: int) -> DataFrame:
