@@ -22,7 +22,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts from orders: one document per customer, one page per order, some with a heading."""
-    orders = table(spark, sf_dir, "orders")
+    orders = texts(spark, sf_dir, "orders")
     head = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "1. Urgent Orders\n")
         .when(F.col("o_orderpriority") == "2-HIGH", "Section 2 High Orders\n")
@@ -47,7 +47,7 @@ def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contract_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer per order about its own page: some with a wrong sum, label or no label at all."""
-    orders = table(spark, sf_dir, "orders")
+    orders = texts(spark, sf_dir, "orders")
     wrong = F.col("o_orderkey") % 5 == 0
     price = F.when(wrong, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     label = F.when(F.col("o_orderkey") % 7 == 0, " [S9]").when(F.col("o_orderkey") % 3 == 0, "").otherwise(" [S1]")
@@ -78,7 +78,7 @@ def contract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_payloads(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as JSON metric events; several kinds of faults by event number."""
-    events = table(spark, sf_dir, "events") if events is None else events
+    events = texts(spark, sf_dir, "events") if events is None else events
     n = F.col("event_id")
 
     def one_of(values: list[str], by) -> F.Column:

@@ -479,7 +479,7 @@ def checklist_choice(spark, sf):
 
 def _agreements(spark, sf):
     """Orders as clauses that speak of some of the requirements; one document per customer."""
-    orders = I.table(spark, sf, "orders")
+    orders = I.texts(spark, sf, "orders")
     clause = F.element_at(
         F.array(
             F.lit("The processor acts on documented instructions of the controller"),

@@ -76,12 +76,15 @@ def _problem(event: Column, keys: Column) -> Column:
 
 def checked_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Parsed events with ``problem`` (null when accepted). Narrow, so it serves streams as well."""
-    parsed = raw.select(
-        *[c for c in raw.columns if c != payload],
-        F.from_json(payload, EVENT_SCHEMA).alias("event"),
-        F.json_object_keys(payload).alias("_keys"),
+    both = F.struct(F.from_json(payload, EVENT_SCHEMA).alias("event"), F.json_object_keys(payload).alias("keys"))
+    # Generated, not projected: the optimiser would otherwise repeat the parsing for every rule and
+    # field that refers to it.
+    parsed = raw.select(*[c for c in raw.columns if c != payload], F.explode_outer(F.array(both)).alias("_parsed"))
+    return (
+        parsed.withColumn("event", F.col("_parsed.event"))
+        .withColumn("problem", _problem(F.col("_parsed.event"), F.col("_parsed.keys")))
+        .drop("_parsed")
     )
-    return parsed.withColumn("problem", _problem(F.col("event"), F.col("_keys"))).drop("_keys")
 
 
 def accepted(checked: DataFrame) -> DataFrame:
