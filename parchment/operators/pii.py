@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.spans import overlaps, spans
 from parchment.functions.text import WB, WS, bound, page_label
+from parchment.session import stored
 
 # Formats of the identifiers, most specific first ------------------------------
 EMAIL = WB + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + WB
@@ -171,8 +172,10 @@ def counts(findings: DataFrame, document: str) -> DataFrame:
 def report(findings: DataFrame, document: str, page: str = "page", file: str | None = None) -> DataFrame:
     """Per document and type: count, first eight distinct pages, first two masked examples.
 
-    The lists come from rank limits, so a document full of findings is never gathered.
+    The lists come from rank limits, so a document full of findings is never gathered. Findings are
+    few next to the texts and needed three times: they are stored first, and the texts read once.
     """
+    findings = stored(findings, "pii-findings")
     keys = [document, "type"]
     totals = findings.groupBy(*keys).agg(F.count("*").alias("findings"))
     label = page_label(F.col(file), F.col(page).cast("string")) if file else F.col(page).cast("string")

@@ -229,16 +229,21 @@ def verify_items(items: DataFrame, sources: DataFrame, scope: list[str], item_no
     holder = F.when(F.array_contains("_holders", wanted), wanted).otherwise(F.try_element_at("_holders", F.lit(1)))
     norm = lambda c: trimmed(F.regexp_replace(F.lower(c), r"\s+", " "))
     settled = held.withColumn("_holder", holder).drop("pool", "_holders")
-    # First of each (label, value, source): a minimum per group, combined before the shuffle.
-    firsts = settled.groupBy(
-        *scope,
-        norm(F.col("label")).alias("_label"),
-        norm(F.col("value")).alias("_value"),
-        F.coalesce("_holder", F.lit("?")).alias("_at"),
-    ).agg(F.min(F.col(item_no)).alias(item_no))
+    # First of each (label, value, source): one aggregate that keeps the whole row, so that rows are
+    # checked once and repeats combine before the shuffle.
+    rest = [c for c in settled.columns if c not in (*scope, item_no)]
+    firsts = (
+        settled.groupBy(
+            *scope,
+            norm(F.col("label")).alias("_label"),
+            norm(F.col("value")).alias("_value"),
+            F.coalesce("_holder", F.lit("?")).alias("_at"),
+        )
+        .agg(F.min_by(F.struct(item_no, *rest), F.col(item_no)).alias("first"))
+        .select(*scope, "first.*")
+    )
     return (
-        settled.join(firsts.select(*scope, item_no), [*scope, item_no], "left_semi")
-        .withColumn("verified", F.col("_holder").isNotNull())
+        firsts.withColumn("verified", F.col("_holder").isNotNull())
         .withColumn("source", F.coalesce("_holder", "source"))
         .withColumn("problem", F.when(~F.col("verified"), "value not found in any source"))
         .drop("_holder")

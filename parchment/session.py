@@ -51,3 +51,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Broadcast hint behind a row count. Past the bound the join stays a shuffle join and AQE
     splits its skewed partitions."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: for a small result of a costly scan
+    that several aggregates need. Unlike cached rows it outlives its executors."""
+    folder = work_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
