@@ -582,6 +582,8 @@ ENTITLED = f"""pl(plan, daily_messages, documents, max_documents, max_document_p
 ORACLES["entitlements"] = f"WITH {ENTITLED} SELECT user_id, plan, daily_messages, max_documents, max_document_pages, large_models, checklists, workspaces FROM ent"
 ORACLES["entitlement_gates"] = f"""WITH {PAGES}, {TOTALS}, {ENTITLED}, o AS (SELECT doc_id % 150 AS user_id, doc_id, page_count, row_number() OVER (PARTITION BY doc_id % 150 ORDER BY doc_id) AS n FROM totals_)
   SELECT user_id, doc_id, CASE WHEN NOT documents THEN 'documents need an account' WHEN n > max_documents THEN 'too many documents' WHEN page_count > max_document_pages THEN 'too many pages' END AS reason FROM o JOIN ent USING (user_id)"""
+ORACLES["feature_gates"] = f"""WITH {ENTITLED} SELECT user_id, list_contains(string_split(workspaces, ','), 'sme') AS workspace_allowed, user_id % 2 <> 0 OR large_models AS model_allowed,
+  user_id % 3 <> 0 OR checklists AS checklist_allowed FROM ent"""
 ORACLES["account_summary"] = f"""WITH {DATED}, {ENTITLED}, u AS (SELECT user_id, count(*) AS m FROM dated WHERE day = DATE '2024-01-10' GROUP BY user_id)
   SELECT user_id, display_name, plan, coalesce(m, 0) AS used_today, CASE WHEN daily_messages IS NOT NULL THEN greatest(0, daily_messages - coalesce(m, 0)) END AS left_today FROM ent LEFT JOIN u USING (user_id)"""
 KEYS = [f"{p}_{i}ly" for p, i, _ in dims.PRICES] + ["unlisted"]

@@ -429,10 +429,9 @@ def quote_support(spark, sf):
     # Documents that hold a quote's first four words hold its first shingle: an equi join finds them.
     first = lambda words: F.array_join(F.slice(words, 1, 4), " ")
     quotes = quotes.withColumn("key", first(F.split("quote", " ")))
-    words = docs.select("doc_id", "haystack", F.split("haystack", " ").alias("w"))
+    words = docs.select("doc_id", F.split("haystack", " ").alias("w"))
     keyed = words.select(
         "doc_id",
-        "haystack",
         F.explode(
             F.array_distinct(
                 F.transform(
@@ -441,7 +440,9 @@ def quote_support(spark, sf):
             )
         ).alias("key"),
     )
-    pairs = keyed.join(F.broadcast(quotes) if _small(quotes) else quotes, "key")
+    # Only keys meet; the texts come back for the pairs that are left.
+    small = F.broadcast(quotes) if _small(quotes) else quotes
+    pairs = keyed.join(small, "key").select("doc_id", "item_id", "quote").join(docs, "doc_id")
     return pairs.where(F.contains("haystack", F.col("quote"))).select("item_id", "doc_id")
 
 
@@ -726,6 +727,12 @@ def entitlement_gates(spark, sf):
     return accounts.document_gates(owned, _entitled(spark, sf)).select("user_id", "doc_id", "reason")
 
 
+@query
+def feature_gates(spark, sf):
+    e = accounts.may_use(_entitled(spark, sf), "sme", F.col("user_id") % 2 == 0, F.col("user_id") % 3 == 0)
+    return e.select("user_id", "workspace_allowed", "model_allowed", "checklist_allowed")
+
+
 @query
 def account_summary(spark, sf):
     usage = quota.daily_usage(_dated(spark, sf)).where(F.col("day") == F.lit("2024-01-10").cast("date"))

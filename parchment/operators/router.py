@@ -92,6 +92,18 @@ class Router:
         return complete_scores(scores, texts, self.intercepts, key)
 
 
+    def rounded(self, places: int = 5) -> Router:
+        """The model as it is published: weights and intercepts at a few decimals."""
+        weights = self.model.select(
+            "term", F.round("idf", places).alias("idf"), F.transform("coef", lambda c: F.round(c, places)).alias("coef")
+        )
+        return Router(weights, {c: round(b, places) for c, b in self.intercepts.items()})
+
+    def parity(self, texts: DataFrame, key: str, places: int = 4) -> DataFrame:
+        """Rounded probabilities of fixed texts, to compare another scorer with."""
+        return self.predict(texts, key).select(key, *[F.round(c, places).alias(c) for c in self.intercepts])
+
+
 def _sparse(size: int):
     @F.udf(VectorUDT())
     def build(pairs):

@@ -254,3 +254,11 @@ def test_streams_equal_batch_over_several_batches(spark, tmp_path, files_per_bat
     stream.running_summary(read(), f"{out}/t", f"{out}/checkpoint")
     batch = metrics.summary(metrics.accepted(metrics.checked_events(df)))
     assert sorted(map(str, spark.read.parquet(f"{out}/t").collect())) == sorted(map(str, batch.collect()))
+
+    table = str(tmp_path / "windows")
+    stream.windowed_answers(read(), window="1 hour").writeStream.format("parquet").option("path", table).option(
+        "checkpointLocation", f"{table}-checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.parquet(table).collect()
+    first_hour = sum(1 for _, t, e in hits if t < 3600 and e % 3)
+    assert all(r.answers == first_hour for r in closed if r.period == at(0))

@@ -34,6 +34,14 @@ def test_probabilities_sum_to_one_and_unknown_words_get_base_rates(spark, fitted
     assert rows[2].qa == pytest.approx(1 / 3, abs=0.05)
 
 
+def test_published_model_scores_the_same(fitted):
+    df, model = fitted
+    full = {r.key: r for r in model.parity(df, "key", 3).collect()}
+    for r in model.rounded().parity(df, "key", 3).collect():
+        for c in model.intercepts:
+            assert r[c] == pytest.approx(full[r.key][c], abs=0.0011)
+
+
 def test_gate(spark):
     with pytest.raises(ValueError):
         router.require_accuracy(spark.createDataFrame([("a", "b")], ["label", "predicted"]))
