@@ -12,7 +12,6 @@ from parchment.operators import search, selection
 
 SOURCES_PER_ITEM = 3
 ITEM_TOKENS = 1200
-# Few enough terms per list to stay in one expression.
 
 
 def pick_checklist(question: Column) -> Column:

@@ -124,7 +124,6 @@ def rate_limited(
     micros = F.unix_micros(_instant(ts))
     pause = F.col("_previous").isNull() | (micros - F.col("_previous") > window_seconds * 1_000_000)
     marked = previous.withColumn("_micros", micros).withColumn("_start", F.when(pause, micros))
- 
     # The run is named by its first time; carried forward like any other value.
     block = F.floor(F.unix_seconds(_instant(ts)) / (60 * minutes_per_block))
     runs = carry_last(marked, [key], [ts, event], F.col("_start"), "_run_start", block)
