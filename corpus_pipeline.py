@@ -1,21 +1,50 @@
-"""Corpus pipeline: documents through the training-data operators, stage after stage."""
+"""Corpus pipeline: documents through the training-data operators, stage after stage.
+
+Every stage but the last returns the columns of ``documents`` for the rows it keeps; the last one the
+tokens of each. Clean documents pass all filters; each stage decides on what its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import exact_dedup, simhash
+from parchment.llm import bpe, decontam, exact_dedup, langid, simhash
+
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told go on."""
+    return langid.recognised(docs)
 
-def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id goes on."""
     return exact_dedup.deduplicate(docs)
 
 
-def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id goes on."""
     return simhash.one_of_each(docs)
 
 
-STAGES = [("exact_dedup", dedup_exact), ("simhash", dedup_near)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item go on."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("simhash", near),
+    ("decontamination", decontaminate),
+    ("bpe", tokenize),
+]
+
+# Training, fingerprints and tokens are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

@@ -14,13 +14,13 @@ def _words(text: str) -> str:
 ORACLES = {
     "op2_decontamination": f"""
         WITH i AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
-        p AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS at FROM i WHERE len(w) > 0),
-        win AS (SELECT DISTINCT item_id, w[at:at + 9] AS win FROM p),
+        p AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM i WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, w[k:(k + 9)] AS win FROM p),
         sizes AS (SELECT DISTINCT len(win) AS size FROM win),
         d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
-        at AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM d, sizes),
-        hit AS (SELECT doc_id, at, size, item_id FROM (SELECT doc_id, at, size, w[at:at + size - 1] AS win FROM at) JOIN win USING (win)),
-        n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(at, at + size)) FROM hit) GROUP BY doc_id),
+        place AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes),
+        hit AS (SELECT doc_id, k, size, item_id FROM (SELECT doc_id, k, size, w[k:(k + size - 1)] AS win FROM place) JOIN win USING (win)),
+        n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + size)) FROM hit) GROUP BY doc_id),
         ids AS (SELECT doc_id, list(DISTINCT item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
             sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import decontam, exact_dedup, langid, simhash
+from parchment.llm import bpe, decontam, exact_dedup, langid, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,4 +27,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_language_id, op7_exact_dedup)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_language_id, op7_exact_dedup, op10_bpe)}
