@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
@@ -215,7 +216,7 @@ def cut_points(texts: list[bytes]) -> list[list[int]]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with a bounded number of rows and bytes, and their last column."""
     for batch in batches:
-        size = np.diff(np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))])
+        size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
         at = 0
         while at < batch.num_rows:
             n = max(1, min(BLOCK_ROWS, int(np.searchsorted(np.cumsum(size[at : at + BLOCK_ROWS]), BLOCK_BYTES))))
