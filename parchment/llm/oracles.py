@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from parchment.llm.chat_format import PART
+from parchment.llm.queries import SHARDS
+from parchment.llm.sharding import SLOTS, fill_table
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,6 +30,36 @@ ORACLES = {
             sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN ids USING (doc_id)
     """,
+    # The fill of the table is compared with a plain simulation in tests/llm; here it is given.
+    "op6_sharding": f"""
+        WITH t AS (SELECT [{", ".join(str(SHARDS.index(s)) for s in fill_table(SHARDS))}] AS k),
+        d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS})::INT AS slot FROM documents)
+        SELECT doc_id, slot, format('shard-{{:03d}}', k[slot + 1]) AS shard FROM d, t
+    """,
+    "op8_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, replace(coalesce(text, ''), '<|im_end|>', '<| im_end|>') AS text,
+                CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS who
+            FROM conversations
+        ),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, text) - 1 AS k FROM t),
+        p AS (SELECT DISTINCT conv_id, who AS perspective FROM t),
+        m AS (
+            SELECT conv_id, perspective, k, k // {PART} AS part, who,
+                CASE WHEN who = perspective THEN '<|im_start|>assistant' ELSE '<|im_start|>user name=' || who END
+                    || chr(10) || replace(text, '<|im_start|>', '<| im_start|>') || '<|im_end|>' || chr(10) AS msg
+            FROM n JOIN p USING (conv_id)
+        ),
+        e AS (SELECT *, sum(length(msg)) OVER (PARTITION BY conv_id, perspective, part ORDER BY k) AS fin FROM m),
+        g AS (
+            SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(msg, '' ORDER BY k) AS text,
+                string_agg((fin - length(msg) + 22)::VARCHAR || '-' || (fin - 1)::VARCHAR, ',' ORDER BY k) FILTER (who = perspective) AS mask
+            FROM e GROUP BY ALL
+        )
+        SELECT conv_id, perspective, part, n_turns, text, coalesce(mask, '') AS mask, coalesce(sum(length(text)) OVER (
+            PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+        FROM g
+    """,
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

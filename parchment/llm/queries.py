@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import bpe, decontam, exact_dedup, langid, simhash
+from parchment.llm import bpe, chat_format, decontam, exact_dedup, langid, sharding, simhash, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -23,12 +26,44 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, boundary-crossing ones by the majority of their characters."""
+    return tokencount.section_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place among 64 shards."""
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each participant; mask spans as text."""
+    return chat_format.with_digest(chat_format.perspectives(_table(spark, sf_dir, "conversations")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_language_id, op7_exact_dedup, op10_bpe)}
+REGISTRY = {
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_decontamination,
+        op3_language_id,
+        op4_toxicity,
+        op5_token_counts,
+        op6_sharding,
+        op7_exact_dedup,
+        op8_chat_format,
+        op10_bpe,
+    )
+}
