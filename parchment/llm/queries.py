@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import bpe, chat_format, decontam, exact_dedup, langid, sharding, simhash, tokencount, toxicity
+from parchment.llm import bpe, chat_format, decontam, exact_dedup, langid, sharding, simhash, surrogates, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A secret of the run; a real one comes from the caller.
+SURROGATE_KEY = b"surrogates of the given tables"
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
@@ -49,6 +51,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.with_digest(chat_format.perspectives(_table(spark, sf_dir, "conversations")))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +70,7 @@ REGISTRY = {
         op6_sharding,
         op7_exact_dedup,
         op8_chat_format,
+        op9_pii_surrogates,
         op10_bpe,
     )
 }
