@@ -97,7 +97,16 @@ def metric_payloads(spark: SparkSession, sf_dir: str, events: DataFrame | None =
         F.floor(F.col("value") * 100).cast("long").alias("latency_ms"),
         F.when(n % 17 == 0, F.lit("text")).alias("question"),
     )
-    return events.select("event_id", "ts", F.to_json(payload).alias("payload"))
+    # Wrong types, an explicit null and a whole number written as a float: only the last is right.
+    text = F.to_json(payload)
+    for every, pattern, to in (
+        (23, r'"status":"[a-z]+"', '"status":null'),
+        (19, r'"issues":\[[^\]]*\]', '"issues":"abc"'),
+        (29, r"^\{", '{"tokens_per_sec":"fast",'),
+        (31, r'"latency_ms":(-?\d+)', '"latency_ms":$1.0'),
+    ):
+        text = F.when(n % every == 0, F.regexp_replace(text, pattern, to)).otherwise(text)
+    return events.select("event_id", "ts", text.alias("payload"))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

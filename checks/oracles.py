@@ -541,7 +541,8 @@ def _pick(values, by: str) -> str:
 METRIC = f"""me AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'feedback' ELSE 'answer' END AS kind, {_pick(dims.INTENTS, 'event_id')} AS intent, {_pick(dims.STATUSES, 'user_id')} AS status,
     [{_pick(dims.ISSUE_KINDS, 'event_id')}, {_pick(dims.ISSUE_KINDS, 'user_id')}] AS issues, CASE event_type WHEN 'click' THEN {_pick(dims.RATINGS, 'event_id')} END AS rating,
     CASE event_type WHEN 'click' THEN [{_pick(dims.REASONS, 'event_id')}] ELSE [] END AS reasons, CAST(floor(value * 100) AS BIGINT) AS latency_ms,
-    CASE WHEN event_id % 17 = 0 THEN 'unknown field' WHEN event_id % 11 = 0 THEN 'intent' WHEN event_id % 13 = 0 THEN 'model' WHEN floor(value * 100) NOT BETWEEN 0 AND 3600000 THEN 'latency_ms' END AS problem FROM events),
+    CASE WHEN event_id % 17 = 0 THEN 'unknown field' WHEN event_id % 11 = 0 THEN 'intent' WHEN event_id % 23 = 0 THEN 'status' WHEN event_id % 19 = 0 THEN 'issues' WHEN event_id % 13 = 0 THEN 'model'
+      WHEN floor(value * 100) NOT BETWEEN 0 AND 3600000 THEN 'latency_ms' WHEN event_id % 29 = 0 THEN 'tokens_per_sec' END AS problem FROM events),
   ok AS (SELECT * FROM me WHERE problem IS NULL)"""
 ORACLES["metric_accept_reject"] = f"WITH {METRIC} SELECT event_id, problem FROM me"
 ANSWERED = "SELECT intent, status, count(*) AS answers, CAST(trunc(avg(latency_ms)) AS BIGINT) AS avg_latency_ms FROM ok WHERE kind = 'answer' GROUP BY intent, status"
@@ -649,4 +650,6 @@ ORACLES["stream_metric_summary"] = ORACLES["metric_summary"]
 ORACLES["stream_metric_ingest"] = ORACLES["metric_accept_reject"]
 ORACLES["stream_rate_limit"] = ORACLES["rate_limited"]
 ORACLES["stream_quota"] = f"SELECT event_id, accepted, used FROM ({ORACLES['quota_decisions']})"
-ORACLES["stream_subscriptions"] = f"SELECT * EXCLUDE (renews_at) FROM ({ORACLES['subscription_state']})"
+# Every seventh event has an unknown type; users with even ids are linked by a checkout event or not at all.
+STREAMED = """FROM (SELECT * FROM events WHERE event_id % 7 <> 0 AND (user_id % 2 = 1 OR user_id IN (SELECT user_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 3)))"""
+ORACLES["stream_subscriptions"] = f"SELECT * EXCLUDE (renews_at) FROM ({ORACLES['subscription_state'].replace('FROM events', STREAMED)})"

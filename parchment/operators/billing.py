@@ -22,15 +22,18 @@ def has_live_subscription(subscription: Column, status: Column) -> Column:
 def matched_events(events: DataFrame, users: DataFrame) -> DataFrame:
     """Webhook events with their user: repeats dropped, unknown types ignored.
 
-    Checkout events name the user, subscription events the customer.
+    Checkout events name the user, subscription events the customer. A user without a customer gets
+    the one of the first checkout that names both.
     """
     once = events.dropDuplicates(["event_id"])
     checkout = once.where(F.col("event_type") == CHECKOUT_EVENT).join(
         users.select("user_id"), F.col("reference_id") == F.col("user_id")
     )
-    changes = once.where(F.col("event_type").isin(SUBSCRIPTION_EVENTS)).join(
-        users.select("user_id", "customer_id"), "customer_id"
-    )
+    named = checkout.where(F.col("customer_id").isNotNull()).groupBy("user_id")
+    first = named.agg(F.min_by("customer_id", F.struct("ts", "event_id")).alias("_first"))
+    customers = users.select("user_id", "customer_id").join(first, "user_id", "left")
+    customers = customers.select("user_id", F.coalesce("customer_id", "_first").alias("customer_id"))
+    changes = once.where(F.col("event_type").isin(SUBSCRIPTION_EVENTS)).join(customers, "customer_id")
     return checkout.unionByName(changes.select(checkout.columns))
 
 

@@ -48,25 +48,50 @@ def build_events(messages: DataFrame, registry_version: str) -> DataFrame:
     ).drop("has_document", "latency", "speed")
 
 
-def _problem(event: Column, keys: Column) -> Column:
-    """First rule an event breaks, or null."""
-    none_or = lambda c, ok: c.isNull() | ok
-    in_list = lambda c, allowed: F.forall(c, lambda v: F.coalesce(v.isin(allowed), F.lit(False)))
+def _typed(payload: str) -> Column:
+    """The event's fields, null where the value has not the field's type, and the JSON type of each
+    (null: absent, VOID: an explicit null)."""
+    v = F.try_parse_json(payload)
+    kind_of = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    values, kinds = [], []
+    for field in EVENT_SCHEMA.split(", "):
+        name, want = field.split(" ")
+        kind = kind_of(name)
+        if want == "string":
+            value = F.when(kind == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+        elif want.startswith("array"):
+            value = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, f"$.{name}", want))
+        else:
+            number = F.when(~kind.rlike("^(ARRAY|OBJECT|VOID)"), F.try_variant_get(v, f"$.{name}", "double"))
+            # Whole numbers may be written as 5.0.
+            value = number if want == "double" else F.when(number == F.floor(number), number.cast("bigint"))
+        values.append(value.alias(name))
+        kinds.append(kind.alias(name))
+    return F.struct(F.struct(*values).alias("event"), F.struct(*kinds).alias("kinds"), F.json_object_keys(payload).alias("keys"))
+
+
+def _problem(event: Column, kinds: Column, keys: Column) -> Column:
+    """First rule an event breaks, or null. Fields with a default may be absent, but what is there must
+    have its type; null is a value of ``rating`` and ``tokens_per_sec`` only."""
+    absent = lambda f: kinds[f].isNull()
+    open_ = lambda f: absent(f) | (kinds[f] == "VOID")
+    holds = lambda ok: F.coalesce(ok, F.lit(False))
+    in_list = lambda c, allowed: F.forall(c, lambda v: holds(v.isin(allowed)))
     unknown = F.size(F.array_except(keys, F.array(*[F.lit(f) for f in EVENT_FIELDS]))) > 0
     required = event["kind"].isin(dims.KINDS)
     rules = [
-        (event.isNull() | keys.isNull(), "not an object"),
+        (keys.isNull(), "not an object"),
         (unknown, "unknown field"),
         (~F.coalesce(required, F.lit(False)), "kind"),
         (~F.coalesce(event["intent"].isin(dims.INTENTS), F.lit(False)), "intent"),
-        (~none_or(event["status"], event["status"].isin(dims.STATUSES)), "status"),
-        (~none_or(event["issues"], (F.size(event["issues"]) <= MAX_ISSUES) & in_list(event["issues"], dims.ISSUE_KINDS)), "issues"),
-        (~none_or(event["rating"], event["rating"].isin(dims.RATINGS)), "rating"),
-        (~none_or(event["reasons"], (F.size(event["reasons"]) <= MAX_REASONS) & in_list(event["reasons"], dims.REASONS)), "reasons"),
+        (~(absent("status") | holds(event["status"].isin(dims.STATUSES))), "status"),
+        (~(absent("issues") | holds((F.size(event["issues"]) <= MAX_ISSUES) & in_list(event["issues"], dims.ISSUE_KINDS))), "issues"),
+        (~(open_("rating") | holds(event["rating"].isin(dims.RATINGS))), "rating"),
+        (~(absent("reasons") | holds((F.size(event["reasons"]) <= MAX_REASONS) & in_list(event["reasons"], dims.REASONS))), "reasons"),
         (~F.coalesce(event["model"].rlike(MODEL_ID), F.lit(False)), "model"),
         (~F.coalesce(event["registry_version"].rlike(VERSION_ID), F.lit(False)), "registry_version"),
         (~F.coalesce(event["latency_ms"].between(0, MAX_LATENCY), F.lit(False)), "latency_ms"),
-        (~none_or(event["tokens_per_sec"], event["tokens_per_sec"].between(0, MAX_SPEED)), "tokens_per_sec"),
+        (~(open_("tokens_per_sec") | holds(event["tokens_per_sec"].between(0, MAX_SPEED))), "tokens_per_sec"),
     ]
     out = F.lit(None).cast("string")
     for broken, name in reversed(rules):
@@ -76,13 +101,13 @@ def _problem(event: Column, keys: Column) -> Column:
 
 def checked_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Parsed events with ``problem`` (null when accepted). Narrow, so it serves streams as well."""
-    both = F.struct(F.from_json(payload, EVENT_SCHEMA).alias("event"), F.json_object_keys(payload).alias("keys"))
+    both = _typed(payload)
     # Generated, not projected: the optimiser would otherwise repeat the parsing for every rule and
     # field that refers to it.
     parsed = raw.select(*[c for c in raw.columns if c != payload], F.explode_outer(F.array(both)).alias("_parsed"))
     return (
         parsed.withColumn("event", F.col("_parsed.event"))
-        .withColumn("problem", _problem(F.col("_parsed.event"), F.col("_parsed.keys")))
+        .withColumn("problem", _problem(F.col("_parsed.event"), F.col("_parsed.kinds"), F.col("_parsed.keys")))
         .drop("_parsed")
     )
 

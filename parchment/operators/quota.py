@@ -7,21 +7,20 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.operators.scan import carry_last, dense_index
 
 
-ZONE_AREAS = (
-    "Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific", "Etc"
-)
+# Names the JVM takes only as abbreviations.
+SHORT_ZONES = {"EST", "MST", "HST"}
 
 
-def known_zones() -> list[str]:
-    """IANA area/city names (a few hundred) and UTC. Spark throws on a name it does not know."""
-    names = zoneinfo.available_timezones()
-    return sorted(n for n in names if n.split("/")[0] in ZONE_AREAS and "/" in n) + ["UTC"]
+def known_zones(spark: SparkSession) -> list[str]:
+    """Every IANA name (about 600), as far as the JVM knows it: Spark throws on a name it does not know."""
+    known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds()) | SHORT_ZONES
+    return sorted(zoneinfo.available_timezones() & known)
 
 
 def local_day(ts: Column, zone: Column, zones: list[str]) -> Column:

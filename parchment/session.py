@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is sent to every executor. Rows here are narrow (a term, a key and
-# a few numbers), so this is a few tens of MB at most.
+# Rows and bytes a side may have before it is sent to every executor.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -32,24 +32,36 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    Where that setting is absent a session on one machine, as in tests, gets a temporary folder; on
+    a cluster it is an error, since executors share no local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="parchment-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than one row past the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes: texts by their
+    length, other nested values by that of their JSON, everything else eight bytes a column. Reads
+    no more than one row past the bound."""
+    width = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width += F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0))
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count. Past the bound the join stays a shuffle join and AQE
-    splits its skewed partitions."""
+    """Broadcast hint behind a check of rows and bytes. Past the bounds the join stays a shuffle join
+    and AQE splits its skewed partitions."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 

@@ -34,9 +34,19 @@ def seal(stored: DataFrame, secret: Column, key: str = "id", updated: str = "upd
 def open_sealed(
     sealed: DataFrame, schema: str, secret: Column | None, key: str = "id", updated: str = "updated_at"
 ) -> DataFrame:
-    """Opened records; rows the secret does not open, or any sealed row without one, are left out."""
-    if secret is None:
-        return sealed.where(F.col("sealed").isNull()).drop("sealed")
-    clear = F.try_aes_decrypt("sealed", secret, F.lit("GCM")).cast("string")
-    opened = sealed.select(key, updated, F.from_json(clear, schema).alias("record"))
-    return opened.where(F.col("record").isNotNull()).select(key, updated, "record.*")
+    """Plain rows as they are and sealed rows opened. ``unopened`` gives the sealed rows that the secret
+    does not open, or all of them without one."""
+    read = _read_sealed(sealed, schema, secret)
+    fields = [f.split()[0] for f in schema.split(", ")]
+    plain = lambda f: F.col(f) if f in sealed.columns else F.lit(None)
+    opened = read.where(F.col("sealed").isNull() | F.col("_record").isNotNull())
+    return opened.select(key, updated, *[F.when(F.col("sealed").isNull(), plain(f)).otherwise(F.col(f"_record.{f}")).alias(f) for f in fields])
+
+
+def unopened(sealed: DataFrame, schema: str, secret: Column | None) -> DataFrame:
+    return _read_sealed(sealed, schema, secret).where("sealed is not null and _record is null").drop("_record")
+
+
+def _read_sealed(sealed: DataFrame, schema: str, secret: Column | None) -> DataFrame:
+    clear = F.lit(None) if secret is None else F.try_aes_decrypt("sealed", secret, F.lit("GCM"))
+    return sealed.withColumn("_record", F.from_json(clear.cast("string"), schema))

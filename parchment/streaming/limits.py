@@ -1,9 +1,10 @@
 """Rate limits and quotas as streams.
 
-Each micro-batch runs the batch operator with the state of the batch before. The state is bounded:
-``max_hits`` times per key, one count per user and day. Within a batch rows are sorted and pass
-through in order, which per-key state functions cannot promise, and one key's rows are never
-gathered.
+Each micro-batch runs the batch operator with the state of the batches before. The limiter's state
+is at most ``max_hits`` times per key, none of them further than the window behind the key's newest.
+Quota counts are appended per batch and kept for every day, so a late message is counted with its own
+day however late it is. Within a batch rows are sorted and pass through in order, which per-key state
+functions cannot promise, and one key's rows are never gathered.
 """
 
 from __future__ import annotations
@@ -44,7 +45,11 @@ def rate_limited(
         ).parquet(path)
         done = spark.read.parquet(path).where("accepted").select(key, ts, event).unionByName(earlier)
         newest = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(event))
-        kept = done.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= max_hits).drop("n")
+        last = F.max(F.col(ts).cast("timestamp")).over(Window.partitionBy(key))
+        kept = done.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= max_hits).withColumn("last", last)
+        # Hits arrive in order of time per key; what the window has passed cannot refuse one any more.
+        kept = kept.where(F.unix_micros("last") - F.unix_micros(F.col(ts).cast("timestamp")) <= window_seconds * 1_000_000)
+        kept = kept.drop("n", "last")
         state.write(kept, number)
 
     return run_available(hits.writeStream.foreachBatch(write), checkpoint)
@@ -60,23 +65,24 @@ def take_messages(
     event: str = "event_id",
     limit: str = "daily_messages",
 ) -> StreamingQuery:
-    """Writes quota decisions to ``out/decisions/batch=n``; counts of old days leave the state."""
+    """Writes quota decisions to ``out/decisions/batch=n`` and counts to ``out/counts/batch=n``.
+
+    A batch adds its own counts per user and day and reads, of those before, only the days it has
+    messages for. No day is ever forgotten, and no clock decides what is late.
+    """
     spark = messages.sparkSession
-    state = VersionedTable(spark, f"{out}/state", f"{user} {_type(messages, user)}, {day} date, messages bigint")
+    schema = f"{user} {_type(messages, user)}, messages bigint, batch bigint, {day} date"
 
     def write(batch: DataFrame, number: int) -> None:
-        earlier = state.read(number - 1)
         path = f"{out}/decisions/batch={number}"
+        if number:
+            before = spark.read.schema(schema).parquet(f"{out}/counts").where(F.col("batch") < number)
+            days = batch.select(day).distinct()
+            earlier = before.join(days, day, "left_semi").groupBy(user, day).agg(F.sum("messages").alias("messages"))
+        else:
+            earlier = spark.createDataFrame([], schema).drop("batch")
         quota.take_messages(batch, user, day, ts, event, limit, earlier).write.mode("overwrite").parquet(path)
-        counts = (
-            quota.daily_usage(spark.read.parquet(path), user, day)
-            .unionByName(earlier)
-            .groupBy(user, day)
-            .agg(F.sum("messages").alias("messages"))
-        )
-        # Two days of slack cover every time zone.
-        newest = counts.agg(F.max(day).alias("_newest"))
-        kept = counts.join(F.broadcast(newest)).where(F.col(day) >= F.date_sub("_newest", 2)).drop("_newest")
-        state.write(kept, number)
+        counts = quota.daily_usage(spark.read.parquet(path), user, day)
+        counts.write.mode("overwrite").partitionBy(day).parquet(f"{out}/counts/batch={number}")
 
     return run_available(messages.writeStream.foreachBatch(write), checkpoint)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -38,12 +37,10 @@ class VersionedTable:
         return f"{self.folder}/v{version:012d}"
 
     def read(self, version: int) -> DataFrame:
+        """Empty before the first batch only: a state that is missing later is an error."""
         if version < 0:
             return self.spark.createDataFrame([], self.schema)
-        try:
-            return self.spark.read.schema(self.schema).parquet(self._path(version))
-        except AnalysisException:
-            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._path(version))
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self._path(version))

@@ -1,4 +1,4 @@
-"""Billing webhooks as a stream: repeats dropped, users matched, subscription state kept."""
+"""Billing webhooks as a stream: events kept as they come, users matched and state folded on reading."""
 
 from __future__ import annotations
 
@@ -10,23 +10,21 @@ from parchment.operators import billing
 from parchment.streaming.sources import run_available
 
 
-def once(events: DataFrame, ts: str = "ts", within: str = "3 days") -> DataFrame:
-    """Events by id once; the store forgets ids when the event time has moved past ``within``."""
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, within).dropDuplicatesWithinWatermark(["event_id"])
+def process(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends checkout and subscription events to ``out/events``; ``current_state`` reads them.
 
-
-def process(events: DataFrame, users: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends matched snapshots under ``out/snapshots``; ``current_state`` reads them.
-
-    Late and out-of-order events need no care here: the state is a maximum over snapshots.
+    Nothing is late and nothing is dropped for its time: the state is a maximum over all snapshots, so
+    neither order nor repeats matter, and an event that comes before the checkout which names its customer
+    is matched once that has come.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        billing.matched_events(batch, users).write.mode("overwrite").parquet(f"{out}/snapshots/batch={number}")
+        known = batch.where(F.col("event_type").isin([billing.CHECKOUT_EVENT, *billing.SUBSCRIPTION_EVENTS]))
+        known.write.mode("overwrite").parquet(f"{out}/events/batch={number}")
 
-    return run_available(once(events).writeStream.foreachBatch(write), checkpoint)
+    return run_available(events.writeStream.foreachBatch(write), checkpoint)
 
 
-def current_state(spark, out: str, prefix: str = "") -> DataFrame:
-    return billing.subscription_state(spark.read.parquet(f"{out}/snapshots"), prefix, customer="user_id")
+def current_state(spark, out: str, users: DataFrame, prefix: str = "") -> DataFrame:
+    events = spark.read.parquet(f"{out}/events").drop("batch")
+    return billing.subscription_state(billing.matched_events(events, users), prefix, customer="user_id")

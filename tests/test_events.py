@@ -85,14 +85,17 @@ def test_quota(spark):
 
 
 def test_zones(spark):
-    zones = quota.known_zones()
+    zones = quota.known_zones(spark)
     # Every name offered must be one Spark knows, or a job would stop at the first message.
     spark.createDataFrame([(z,) for z in zones], ["z"]).select(
         quota.local_day(F.lit("2024-01-10 11:30:00").cast("timestamp"), F.col("z"), zones)
     ).collect()
-    rows = spark.createDataFrame([("Pacific/Kiritimati",), ("Pacific/Pago_Pago",), ("Mars/Base",), (None,)], "z string")
+    rows = spark.createDataFrame([("Pacific/Kiritimati",), ("Pacific/Pago_Pago",), ("Mars/Base",), (None,), ("US/Hawaii",)], "z string")
     days = [str(r[0]) for r in rows.select(quota.local_day(F.lit("2024-01-10 10:30:00").cast("timestamp"), F.col("z"), zones)).collect()]
-    assert days == ["2024-01-11", "2024-01-09", "2024-01-10", "2024-01-10"]
+    assert days == ["2024-01-11", "2024-01-09", "2024-01-10", "2024-01-10", "2024-01-10"]
+    late = spark.createDataFrame([("Japan",), ("GB",), ("Singapore",), ("Canada/Pacific",)], "z string")
+    days = [str(r[0]) for r in late.select(quota.local_day(F.lit("2024-01-10 22:30:00").cast("timestamp"), F.col("z"), zones)).collect()]
+    assert days == ["2024-01-11", "2024-01-10", "2024-01-11", "2024-01-10"]
 
 
 def test_entitlements(spark):
