@@ -29,6 +29,7 @@ SAMPLE_CHARS = 4_000_000
 SLOTS = 1 << 17
 DIMS = 8
 PASSAGE = 5
+MAX_CLASSES = 100
 BLOCK_CHARS, BLOCK_TEXTS = 400_000, 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,8 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     a hash of the id. Ids with several labels count as toxic if any is; null labels are passed over.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    # A share of each class by hash first, so that only about twice the sample is put in order.
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().limit(MAX_CLASSES).collect()}
+    share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, 2.0 * sample / n))]) if sizes else None
+    point = F.xxhash64("doc_id")
+    few = known.where(F.pmod(point, F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000) if sizes else known
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    drawn = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
     # 2 x sample ids of 16 bytes.
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
     once = texts.groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
