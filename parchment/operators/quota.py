@@ -6,6 +6,7 @@ import zoneinfo
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,22 +74,40 @@ def messages_left(used: Column, limit: Column, warn_at: int = 3) -> tuple[Column
 
 
 def _limiter(max_hits: int, window: float, columns: list[str]):
-    """Walks sorted hits in batches; the state is one key's accepted times, at most ``max_hits``."""
+    """Sorted hits in batches; the state is one run's accepted times, at most ``max_hits``.
+
+    With the state full, nothing is accepted until its oldest time leaves the window: that hit is
+    found by bisection and those before it are refused together, so the steps follow the accepted hits.
+    """
+
+    def settle(times: np.ndarray, past: np.ndarray, held: deque) -> np.ndarray:
+        ok = np.zeros(len(times), bool)
+        forced = np.flatnonzero(past)
+        k = 0
+        while k < len(times):
+            while held and times[k] - held[0] > window:
+                held.popleft()
+            if past[k] or len(held) < max_hits:
+                ok[k] = True
+                held.append(times[k])
+                k += 1
+                continue
+            free = int(np.searchsorted(times, held[0] + window, side="right")) if held else len(times)
+            known = np.searchsorted(forced, k)
+            k = min(max(free, k + 1), int(forced[known]) if known < len(forced) else len(times))
+        return ok
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, deque()
         for batch in batches:
-            verdicts = []
-            past = batch["_past"].to_numpy()
-            for k, t, done in zip(batch["_run"].to_numpy(), batch["_micros"].to_numpy(), past, strict=True):
-                if k != current:
-                    current, held = k, deque()
-                while held and t - held[0] > window:
-                    held.popleft()
-                ok = done or len(held) < max_hits
-                if ok:
-                    held.append(t)
-                verdicts.append(ok)
+            run, times, past = (batch[c].to_numpy() for c in ("_run", "_micros", "_past"))
+            past = past.astype(bool)
+            edges = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)] if len(run) else [0]
+            verdicts = np.zeros(len(run), bool)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if run[a] != current:
+                    current, held = run[a], deque()
+                verdicts[a:b] = settle(times[a:b], past[a:b], held)
             out = batch[columns].copy()
             out["accepted"] = verdicts
             yield out[~past]

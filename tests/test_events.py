@@ -76,6 +76,13 @@ def test_rate_limit_with_a_hot_key(spark):
     assert (got[900], got[901], got[902]) == (True, True, False)
 
 
+def test_rate_limit_with_a_key_that_never_pauses(spark):
+    hits = [(0, t // 3, t) for t in range(6000)]
+    df = spark.createDataFrame([(k, at(t), e) for k, t, e in hits], "key int, ts timestamp, event_id int")
+    got = {r.event_id: r.accepted for r in quota.rate_limited(df, 3, 50).collect()}
+    assert got == brute_limit(hits, 3, 50)
+
+
 def test_quota(spark):
     rows = [(1, at(i), i, 30) for i in range(31)] + [(2, at(i), 100 + i, None) for i in range(40)]
     df = spark.createDataFrame(rows, "user_id int, ts timestamp, event_id int, daily_messages int")

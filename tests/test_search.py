@@ -191,3 +191,26 @@ def test_examples_against_brute_force_with_copies(spark):
                 place, used = place + 1, used + cost
                 expected[(qid, place)] = i
     assert got == expected
+
+
+def test_many_queries_in_small_blocks(spark):
+    """5,000 query vectors in one pass of several blocks equal a plain matrix product."""
+    import numpy as np
+
+    from parchment.operators import vectors
+
+    rng = np.random.default_rng(3)
+    passages, queries = rng.integers(-2, 3, (60, 4)).astype(float), rng.normal(size=(5000, 4))
+    p = spark.createDataFrame([(k % 7, k, v.tolist()) for k, v in enumerate(passages)], "a long, b long, vector array<double>").repartition(5)
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(queries)], "query_id long, vector array<double>")
+    top, stats = vectors.vector_search(p, q, ["a", "b"], limit=3, block=700, blocks=3)
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+    scores = np.round(unit(passages) @ unit(queries).T, 9)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r.query_id, {})[r.semantic_rank] = (r.a, r.b)
+    for k in range(0, 5000, 97):
+        want = sorted(range(60), key=lambda i: (-scores[i, k], i % 7, i))[:3]
+        assert [got[k][n] for n in (1, 2, 3)] == [(i % 7, i) for i in want]
+    assert len(got) == 5000 and stats.count() == 5000
+    assert {r.n for r in stats.collect()} == {60}
