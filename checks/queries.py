@@ -30,6 +30,7 @@ from parchment.operators import (
     vectors,
     verify,
 )
+from parchment.session import broadcast_if_small
 from parchment.sources import files, records
 
 CHUNK_KEYS = ["doc_id", "chunk_idx"]
@@ -232,7 +233,7 @@ def budget_pick(spark, sf):
 
 @query
 def spread_sample(spark, sf):
-    s = selection.select_spread(_corpus_chunks(spark, sf), ["doc_id"], F.lit(BUDGET))
+    s = selection.spread_documents(I.texts(spark, sf, "documents"), F.lit(BUDGET))
     return s.select("doc_id", "chunk_idx", "source_id")
 
 
@@ -242,9 +243,11 @@ def abstain_or_sample(spark, sf):
     asked = I.table(spark, sf, "conversations").where(F.col("role") == "user").select(
         F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), "text"
     )
-    own = I.texts(spark, sf, "documents")
+    # Only documents somebody asks about are cut.
+    about = broadcast_if_small(asked.select("doc_id").distinct())
+    own = I.texts(spark, sf, "documents").join(about, "doc_id", "left_semi")
     chunked = chunking.chunk_documents(own)
-    asked = asked.join(own.select("doc_id"), "doc_id", "left_semi")
+    asked = asked.join(I.table(spark, sf, "documents").select("doc_id"), "doc_id", "left_semi")
     found = search.match_queries(chunked, asked, CHUNK_KEYS, scope=("doc_id",))
     counts = chunked.groupBy("doc_id").agg(F.count("*").alias("n"))
     cover = (
@@ -301,15 +304,23 @@ def pii_redacted(spark, sf):
 
 @query
 def redacted_copies(spark, sf):
-    r = files.redacted_copies(_document_pages(spark, sf))
+    r = files.redacted_documents(I.texts(spark, sf, "documents"))
     return r.select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 # --- figures -----------------------------------------------------------------------------------
 
 
+def _page_sources(spark, sf):
+    """Each page as one source of its document."""
+    page = F.col("page")
+    return I.contract_pages(spark, sf).select(
+        "doc_id", page.alias("source_order"), F.concat(F.lit("S"), page).alias("source_id"), F.lit(None).cast("string").alias("section"), "text"
+    )
+
+
 def _figure_sources(spark, sf):
-    """Each page as one source of its document, with the section in force."""
+    """The same with the section in force."""
     p = chunking.page_sections(I.contract_pages(spark, sf), ["doc_id"], pages_per_block=1000)
     own = F.try_element_at(F.filter(F.transform(F.split("text", "\n"), T.heading), lambda h: h.isNotNull()), F.lit(1))
     return p.select(
@@ -323,7 +334,7 @@ def _figure_sources(spark, sf):
 
 @query
 def figure_candidates(spark, sf):
-    found = figures.candidates(_figure_sources(spark, sf), ["doc_id"])
+    found = figures.candidates(_page_sources(spark, sf), ["doc_id"])
     return found.select("doc_id", "candidate_id", "kind", "value", "source_id", "context")
 
 
@@ -357,7 +368,7 @@ def _items(spark, sf):
 
 
 def _verified(spark, sf):
-    sources = _figure_sources(spark, sf).select("doc_id", "source_order", "source_id", "text")
+    sources = _page_sources(spark, sf).select("doc_id", "source_order", "source_id", "text")
     return verify.verify_items(_items(spark, sf), sources, ["doc_id"])
 
 
@@ -375,7 +386,7 @@ def extraction_status(spark, sf):
 
 @query
 def allowed_labels(spark, sf):
-    sources = _figure_sources(spark, sf).select("doc_id", "source_id")
+    sources = _page_sources(spark, sf).select("doc_id", "source_id")
     items = _items(spark, sf).withColumn("source", F.upper("source"))
     good, bad = verify.allowed_labels(items, sources, ["doc_id"])
     keep = lambda df, ok: df.select("doc_id", "item_no", F.lit(ok).alias("allowed"))
@@ -563,9 +574,7 @@ def history_plan_free(spark, sf):
 def prompt_table(spark, sf):
     plan, kept = conversations.plan_turns(I.table(spark, sf, "conversations"), 4096, 300)
     docs = I.texts(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "text")
-    spread = selection.select_spread(
-        chunking.chunk_documents(docs, key="conv_id"), ["conv_id"], F.lit(BUDGET)
-    ).select(
+    spread = selection.spread_documents(docs, F.lit(BUDGET), "conv_id").select(
         "conv_id",
         F.col("chunk_idx").alias("source_order"),
         conversations.source_block(

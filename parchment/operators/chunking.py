@@ -115,14 +115,12 @@ def pack_units(units: Column, section_in: Column) -> Column:
     )
 
 
-def chunk_documents(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """Passages of plain-text documents: (key, chunk_idx, page, section, text). No shuffle.
+def document_chunks(text: Column) -> Column:
+    """All passages of a plain text in order: array of (page, section, text).
 
-    Sections carry over a document's pages, which all come from the same row.
+    Sections carry over the text's pages.
     """
-    layouts = F.transform(page_texts(trimmed(F.col(text))), lambda page: block_units(page_blocks(page)))
+    layouts = F.transform(page_texts(trimmed(text)), lambda page: block_units(page_blocks(page)))
 
     def sections(pages: Column) -> Column:
         """Section in force at the start of each page (one entry more than there are pages)."""
@@ -143,8 +141,15 @@ def chunk_documents(
             )
         )
 
-    chunks = bound(layouts, lambda pages: bound(sections(pages), lambda incoming: packed(pages, incoming)))
+    return bound(layouts, lambda pages: bound(sections(pages), lambda incoming: packed(pages, incoming)))
+
+
+def chunk_documents(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Passages of plain-text documents: (key, chunk_idx, page, section, text). No shuffle."""
     # The outer form keeps the optimiser from testing the array first, which would cut twice.
+    chunks = document_chunks(F.col(text))
     cut = documents.select(key, *carry, F.posexplode_outer(chunks).alias("chunk_idx", "chunk"))
     return cut.where(F.col("chunk").isNotNull()).select(
         key, *carry, "chunk_idx", "chunk.page", "chunk.section", "chunk.text"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.functions.text import passage_cost
+from parchment.functions.text import bound, passage_cost
+from parchment.operators.chunking import document_chunks
 
 MAX_SOURCES = 6
 MAX_SUMMARY_SOURCES = 8
@@ -99,6 +100,42 @@ def select_spread(chunks: DataFrame, scope: list[str], budget: Column, text: str
     )
 
 
+def spread_documents(documents: DataFrame, budget: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``select_spread`` for documents in one row each: positions are chosen on the array of passages
+    before any is made a row, so nothing is shuffled."""
+
+    def positions(chunks: Column) -> Column:
+        n = F.size(chunks)
+        cost = F.aggregate(chunks, F.lit(0).cast("long"), lambda s, c: s + passage_cost(c["text"]).cast("long"))
+        wanted = F.floor(budget / (cost / n))
+        k = F.greatest(F.lit(1), F.least(n, F.lit(MAX_SUMMARY_SOURCES), wanted)).cast("int")
+
+        def at(k: Column) -> Column:
+            spaced = F.transform(
+                F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * (n - 1) / F.greatest(k - 1, F.lit(1)) + 0.5).cast("int")
+            )
+            return F.when(k == 1, F.array(F.lit(0))).otherwise(F.array_distinct(spaced))
+
+        return bound(k, at)
+
+    def chosen(chunks: Column) -> Column:
+        def taken(at: Column) -> Column:
+            costs = F.transform(at, lambda p: passage_cost(F.get(chunks, p)["text"]))
+            return F.transform(
+                budget_fold(costs, budget, MAX_SUMMARY_SOURCES),
+                lambda i, n: F.struct(
+                    F.get(at, i).alias("chunk_idx"),
+                    F.get(chunks, F.get(at, i)).alias("row"),
+                    F.concat(F.lit("S"), (n + 1).cast("string")).alias("source_id"),
+                ),
+            )
+
+        return F.when(F.size(chunks) > 0, bound(positions(chunks), taken))
+
+    picked = documents.select(key, F.explode_outer(bound(document_chunks(F.col(text)), chosen)).alias("c"))
+    return picked.where(F.col("c").isNotNull()).select(key, "c.chunk_idx", "c.row.*", "c.source_id")
+
+
 def rank_for_extraction(
     chunks: DataFrame, ranks: DataFrame, scope: list[str], density: Column, pool: int = POOL
 ) -> DataFrame:

@@ -6,13 +6,14 @@ answer has at most a handful, see ``selection``), and everything after is narrow
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions import citations as C
 from parchment.functions.text import bound, tokens, trimmed
 
 MIN_OVERLAP = 0.6
+POOL = 12
 FIGURE_BONUS = 0.25
 MIN_WORDS = 3
 
@@ -200,35 +201,45 @@ def add_relevance(verified: DataFrame, ratio_issue: Column) -> DataFrame:
     ).withColumn("status", F.when(flagged, "warning").otherwise(F.col("status")))
 
 
+def _holders(values: DataFrame, sources: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Which sources hold which values: (scope, value, wanted) of cited sources that do, and the first
+    source in order per (scope, value).
+
+    A source can only hold a value if it has its longest figure, so pairs come from an equi join on
+    the figure, of distinct values; a value without figures is looked up in the first ``POOL`` sources
+    of its scope. Texts join last, once, by source.
+    """
+    first = Window.partitionBy(*scope).orderBy("source_order", "source_id")
+    figured = sources.select(*scope, "source_order", "source_id", F.explode(F.array_distinct(C.figures(F.col("text")))).alias("figure"))
+    pool = sources.select(*scope, "source_order", "source_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= POOL)
+    longest = F.array_max(F.transform(C.figures(F.col("value")), lambda f: F.struct(F.length(f).alias("n"), f.alias("f"))))["f"]
+    distinct = values.select(*scope, "value").distinct().withColumn("figure", longest)
+    by_figure = distinct.where(F.col("figure").isNotNull()).join(figured, [*scope, "figure"]).drop("figure")
+    by_pool = distinct.where(F.col("figure").isNull()).drop("figure").join(pool.drop("n"), scope)
+    cited = values.select(*scope, "value", F.col("wanted").alias("source_id")).distinct()
+    own = sources.select(*scope, "source_order", "source_id")
+    pairs = by_figure.unionByName(by_pool).unionByName(cited.join(own, [*scope, "source_id"])).distinct()
+    forms = sources.select(*scope, "source_order", "source_id", C.support_form(F.col("text")).alias("form"))
+    held = pairs.join(forms, [*scope, "source_order", "source_id"]).where(C.supports(F.col("form"), F.col("value")))
+    best = held.groupBy(*scope, "value").agg(F.min(F.struct("source_order", "source_id")).alias("first"))
+    holds = held.select(*scope, "value", F.col("source_id").alias("wanted")).distinct().withColumn("cited_holds", F.lit(True))
+    return holds, best.select(*scope, "value", F.col("first.source_id").alias("_first"))
+
+
 def verify_items(items: DataFrame, sources: DataFrame, scope: list[str], item_no: str = "item_no") -> DataFrame:
     """Extracted rows with the source that really holds their value; duplicates dropped.
 
-    The cited source counts if it holds the value, else the first one that does. ``sources`` per
-    scope are an extraction pool (at most 12 passages).
+    The cited source counts if it holds the value, else the first one that does. No scope's sources
+    are gathered, however many it has.
     """
-    prepared = sources.select(
-        *scope,
-        F.struct(
-            F.col("source_order").alias("order"),
-            F.col("source_id").alias("id"),
-            C.support_form(F.col("text")).alias("form"),
-        ).alias("source"),
-    )
-    pools = prepared.groupBy(*scope).agg(
-        F.array_sort(
-            F.collect_list("source"),
-            lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0),
-        ).alias("pool")
-    )
     formed = items.where(
         (trimmed(F.coalesce("value", F.lit(""))) != "") & (trimmed(F.coalesce("label", F.lit(""))) != "")
-    )
-    wanted = F.upper(trimmed(F.coalesce("source", F.lit(""))))
-    holders = F.filter("pool", lambda s: C.supports(s["form"], F.col("value")))
-    held = formed.join(pools, scope, "left").withColumn("_holders", F.transform(holders, lambda s: s["id"]))
-    holder = F.when(F.array_contains("_holders", wanted), wanted).otherwise(F.try_element_at("_holders", F.lit(1)))
+    ).withColumn("wanted", F.upper(trimmed(F.coalesce("source", F.lit("")))))
+    holds, best = _holders(formed, sources, scope)
+    held = formed.join(holds, [*scope, "value", "wanted"], "left").join(best, [*scope, "value"], "left")
+    settled = held.withColumn("_holder", F.when(F.col("cited_holds"), F.col("wanted")).otherwise(F.col("_first")))
+    settled = settled.select(*items.columns, "_holder")
     norm = lambda c: trimmed(F.regexp_replace(F.lower(c), r"\s+", " "))
-    settled = held.withColumn("_holder", holder).drop("pool", "_holders")
     # First of each (label, value, source): one aggregate that keeps the whole row, so that rows are
     # checked once and repeats combine before the shuffle.
     rest = [c for c in settled.columns if c not in (*scope, item_no)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.functions.text import trimmed
+from parchment.operators.pages import page_texts
 from parchment.operators.pii import redact
 
 # Fixed values ---------------------------------------------------------------------------------
@@ -55,6 +56,16 @@ def redacted_copies(pages: DataFrame, document: str = "doc_id", file: str | None
     )
 
 
+def redacted_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``redacted_copies`` of documents in one row each: pages are cut, redacted and joined in the row."""
+    pages = F.transform(
+        page_texts(trimmed(F.col(text))),
+        lambda page, at: F.concat(F.lit("--- Page "), (at + 1).cast("string"), F.lit(" ---\n"), redact(page)),
+    )
+    copies = documents.select(key, pages.alias("pages")).where(F.size("pages") > 0)
+    return copies.select(key, F.array_join("pages", "\n\n").alias("text"))
+
+
 def write_redacted_pages(pages: DataFrame, path: str, document: str = "doc_id") -> None:
     """Redacted pages as a table, for documents too large to be one text value."""
     pages.withColumn("text", redact(F.col("text"))).write.mode("overwrite").parquet(path)
