@@ -79,10 +79,18 @@ ORACLES["combine_documents"] = f"""WITH {PAGES}
 ORACLES["page_cleanup"] = f"""WITH l AS (SELECT doc_id, replace(text, chr(10), ' ' || chr(9) || repeat(chr(10), 4)) AS t FROM documents),
   c AS (SELECT doc_id, {trim_("regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM l)
   SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM c"""
-ORACLES["latest_copy"] = """WITH d AS (SELECT source || '/' || lang AS filename, doc_id, n_chars FROM documents),
-  added AS (SELECT * FROM d WHERE n_chars >= 5000)
+ORACLES["latest_copy"] = """WITH d AS (SELECT source || '/' || lang || '/' || (n_chars % 10) AS filename, doc_id, n_chars FROM documents),
+  added AS (SELECT * FROM d WHERE doc_id % 2 = 1)
   SELECT * FROM added UNION ALL
-  SELECT * FROM d WHERE n_chars < 1000 AND filename NOT IN (SELECT filename FROM added)"""
+  SELECT * FROM d WHERE doc_id % 2 = 0 AND filename NOT IN (SELECT filename FROM added)"""
+ORACLES["merged_pages"] = f"""WITH {PAGES}, n AS (SELECT source, count(DISTINCT doc_id) AS files FROM pages_ GROUP BY source)
+  SELECT source, doc_id, page, CASE WHEN files > 1 THEN CAST(doc_id AS VARCHAR) END AS file, md5(text) AS digest FROM pages_ JOIN n USING (source)"""
+ORACLES["extraction_plan"] = """SELECT conv_id, turn, w <> 1 AS figures, w IN (1, 2, 3, 5) AS facts,
+    ['amount,date', 'amount,percent,duration,date', 'amount', 'amount,percent,duration,date', 'duration', 'amount,percent,duration,date'][w + 1] AS kinds
+  FROM (SELECT conv_id, turn, (conv_id + turn) % 6 AS w FROM conversations WHERE role = 'user') WHERE w <> 5
+  UNION ALL SELECT conv_id, turn, false, true, 'amount,percent,duration,date' FROM conversations WHERE role = 'user' AND (conv_id + turn) % 6 = 5"""
+ORACLES["without_reasoning"] = """SELECT conv_id, turn, md5(CASE (conv_id + turn) % 3 WHEN 0 THEN ltrim(text) WHEN 1 THEN '' ELSE text || ' <think>x</think>' END) AS digest FROM conversations"""
+ORACLES["live_subscriptions"] = """SELECT event_id, event_id % 9 <> 0 AND event_type IN ('signup', 'purchase', 'view') AS live FROM events"""
 ORACLES["upsert_delete"] = """WITH d AS (SELECT source || '/' || lang AS id, doc_id AS updated_at, n_chars FROM documents)
   SELECT id, max(updated_at) AS updated_at, arg_max(n_chars, updated_at) AS n_chars FROM d
   WHERE NOT id LIKE '%/es' GROUP BY id"""
@@ -331,7 +339,8 @@ MASK = """(left(value, least(2, length(value) // 4)) || regexp_replace(substr(va
 ORACLES["pii_report"] = f"""WITH {PII},
   pg AS (SELECT doc_id, type, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) AS pages FROM (SELECT DISTINCT doc_id, type, page, dense_rank() OVER (PARTITION BY doc_id, type ORDER BY page) AS n FROM pii_) WHERE n <= 8 GROUP BY ALL),
   ex AS (SELECT doc_id, type, string_agg({MASK}, ', ' ORDER BY page, s) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY page, s) AS n FROM pii_) WHERE n <= 2 GROUP BY ALL)
-  SELECT doc_id, type, count(*) AS findings, any_value(pages) AS pages, any_value(examples) AS examples FROM pii_ JOIN pg USING (doc_id, type) JOIN ex USING (doc_id, type) GROUP BY doc_id, type"""
+  SELECT doc_id, type, count(*) AS findings, any_value(pages) AS pages, any_value(examples) AS examples FROM pii_ JOIN pg USING (doc_id, type) JOIN ex USING (doc_id, type) GROUP BY doc_id, type
+  UNION ALL SELECT doc_id, NULL, 0, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pii_)"""
 REDACTED = f"""{PII},
   cuts AS (SELECT p.doc_id, p.page, p.text, h.type, h.s, h.e, lag(h.e, 1, 0) OVER (PARTITION BY p.doc_id, p.page ORDER BY h.s) AS prev FROM pages_ p JOIN pii_ h USING (doc_id, page)),
   red AS (SELECT p.doc_id, p.page, CASE WHEN count(c.s) = 0 THEN any_value(p.text) ELSE
@@ -441,7 +450,8 @@ ORACLES["quote_support"] = f"""WITH d AS MATERIALIZED (SELECT doc_id, {haystack(
   SELECT item_id, doc_id FROM b, d WHERE contains(h, q) AND (starts_with(h, q) OR contains(h, ' ' || q))"""
 ORACLES["relevance"] = f"""WITH {VEC}, p AS (SELECT a.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
       * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-  SELECT vec_id, round(sim, 5) AS similarity, CASE WHEN best > 0 AND (sim + 0.9) / best < 0.95 THEN round((sim + 0.9) / best, 2) END AS off_topic FROM p JOIN vstats ON query_id = vec_id"""
+  , s AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN sim ELSE 1.0 END AS sim FROM p)
+  SELECT vec_id, round(sim, 5) AS similarity, CASE WHEN best > 0 AND sim / best < 0.95 THEN round(sim / best, 2) + 0.0 END AS off_topic FROM s JOIN vstats ON query_id = vec_id"""
 
 # --- checklists ----------------------------------------------------------------------------------
 

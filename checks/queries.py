@@ -64,6 +64,13 @@ def combine_documents(spark, sf):
     return sets
 
 
+@query
+def merged_pages(spark, sf):
+    """The pages of each set of documents under one name, each with the file it comes from."""
+    merged, _ = pages.combine_documents(pages.paginate(I.texts(spark, sf, "documents"), carry=("source",)), "source", "doc_id")
+    return merged.select("source", "doc_id", "page", "file", F.md5("text").alias("digest"))
+
+
 @query
 def page_cleanup(spark, sf):
     docs = I.texts(spark, sf, "documents")
@@ -74,9 +81,10 @@ def page_cleanup(spark, sf):
 
 @query
 def latest_copy(spark, sf):
-    docs = I.table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("filename"), "doc_id", "n_chars")
-    kept = docs.where(F.col("n_chars") < 1000)
-    added = docs.where(F.col("n_chars") >= 5000)
+    name = F.concat_ws("/", "source", "lang", (F.col("n_chars") % 10).cast("string"))
+    docs = I.table(spark, sf, "documents").select(name.alias("filename"), "doc_id", "n_chars")
+    kept = docs.where(F.col("doc_id") % 2 == 0)
+    added = docs.where(F.col("doc_id") % 2 == 1)
     return pages.replace_by_name(kept, added)
 
 
@@ -293,7 +301,8 @@ def pii_counts(spark, sf):
 
 @query
 def pii_report(spark, sf):
-    return pii.report(pii.scan(_document_pages(spark, sf), ["doc_id", "page"]), "doc_id")
+    found = pii.scan(_document_pages(spark, sf), ["doc_id", "page"])
+    return pii.report(found, "doc_id", documents=I.table(spark, sf, "documents"))
 
 
 @query
@@ -344,6 +353,29 @@ def figure_rows(spark, sf):
     return rows.select("doc_id", "n", "category", "label", "value", "source", "context")
 
 
+@query
+def extraction_plan(spark, sf):
+    """What each user turn would ask an extraction for, by one of six wordings."""
+    wordings = ["Extract all amounts and dates", "List the parties", "Who pays which fees?", "Tell me more", "All notice periods", "Interest and rights"]
+    turns = I.table(spark, sf, "conversations").where(F.col("role") == "user")
+    asked = F.element_at(F.array(*[F.lit(w) for w in wordings]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    plan = figures.extraction_plan(asked)
+    return turns.select("conv_id", "turn", plan["figures"].alias("figures"), plan["facts"].alias("facts"), F.array_join(plan["kinds"], ",").alias("kinds"))
+
+
+@query
+def without_reasoning(spark, sf):
+    """Answers with a closed, an unclosed or no block of reasoning in front."""
+    n = F.col("conv_id") + F.col("turn")
+    said = (
+        F.when(n % 3 == 0, F.concat(F.lit(" <think>"), "text", F.lit("</think>\n"), "text"))
+        .when(n % 3 == 1, F.concat(F.lit("<think>"), "text"))
+        .otherwise(F.concat("text", F.lit(" <think>x</think>")))
+    )
+    turns = I.table(spark, sf, "conversations")
+    return turns.select("conv_id", "turn", F.md5(T.without_reasoning(said)).alias("digest"))
+
+
 @query
 def extraction_batches(spark, sf):
     chunked = _corpus_chunks(spark, sf)
@@ -467,15 +499,16 @@ def _small(df):
 
 @query
 def relevance(spark, sf):
-    """Each vector against the vectors of its label: off-topic when less like its question (the next
-    vector) than the best passage is."""
+    """An answer against its question (the next vector): off-topic when less like it than the best passage
+    is. Every third answer is a vector of its own, the others repeat the question."""
     e = I.table(spark, sf, "embeddings")
     pairs = e.select("vec_id", F.col("embedding").alias("a")).join(
         e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("q")), "vec_id"
     )
     best = _vector_search(spark, sf)[1].select(F.col("query_id").alias("vec_id"), "best")
-    scored = pairs.join(best, "vec_id").select("vec_id", vectors.cosine(F.col("a"), F.col("q")).alias("similarity"), "best")
-    issue = vectors.relevance_issue(F.col("similarity") + 0.9, F.col("best"))
+    answer = F.when(F.col("vec_id") % 3 == 0, F.col("a")).otherwise(F.col("q"))
+    scored = pairs.join(best, "vec_id").select("vec_id", vectors.cosine(answer, F.col("q")).alias("similarity"), "best")
+    issue = vectors.relevance_issue(F.col("similarity"), F.col("best"))
     return scored.select("vec_id", F.round("similarity", 5).alias("similarity"), issue.alias("off_topic"))
 
 
@@ -756,6 +789,14 @@ def subscription_state(spark, sf):
     return billing.subscription_state(I.snapshots(spark, sf))
 
 
+@query
+def live_subscriptions(spark, sf):
+    """Which snapshots stand for a live subscription; every ninth names none."""
+    named = F.when(F.col("event_id") % 9 != 0, F.col("subscription_id")).when(F.col("event_id") % 2 == 0, F.lit(""))
+    live = billing.has_live_subscription(named, F.col("status"))
+    return I.snapshots(spark, sf).select("event_id", live.alias("live"))
+
+
 @query
 def valid_sessions(spark, sf):
     orders = I.table(spark, sf, "orders")

@@ -169,9 +169,12 @@ def counts(findings: DataFrame, document: str) -> DataFrame:
     )
 
 
-def report(findings: DataFrame, document: str, page: str = "page", file: str | None = None) -> DataFrame:
+def report(
+    findings: DataFrame, document: str, page: str = "page", file: str | None = None, documents: DataFrame | None = None
+) -> DataFrame:
     """Per document and type: count, first eight distinct pages, first two masked examples.
 
+    With ``documents``, those without a finding have one row with a null type and no findings.
     The lists come from rank limits, so a document full of findings is never gathered. Findings are
     few next to the texts and needed three times: they are stored first, and the texts read once.
     """
@@ -199,7 +202,14 @@ def report(findings: DataFrame, document: str, page: str = "page", file: str | N
             ).alias("examples")
         )
     )
-    return totals.join(pages, keys).join(examples, keys)
+    rows = totals.join(pages, keys).join(examples, keys)
+    if documents is None:
+        return rows
+    clean = documents.select(document).distinct().join(findings.select(document).distinct(), document, "left_anti")
+    none = F.lit(None).cast("string")
+    return rows.unionByName(
+        clean.select(document, none.alias("type"), F.lit(0).cast("long").alias("findings"), none.alias("pages"), none.alias("examples"))
+    )
 
 
 def redact_pages(pages: DataFrame, text: str = "text") -> DataFrame:

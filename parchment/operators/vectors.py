@@ -170,4 +170,4 @@ def vector_search(
 def relevance_issue(answer_similarity: Column, best_passage_similarity: Column, ratio: float = 0.95) -> Column:
     """Ratio (two decimals) when an answer is less related to its question than the best passage."""
     share = answer_similarity / best_passage_similarity
-    return F.when(best_passage_similarity > 0, F.when(share < ratio, F.round(share, 2)))
+    return F.when(best_passage_similarity > 0, F.when(share < ratio, F.round(share, 2) + 0.0))  # never -0.0
