@@ -186,6 +186,20 @@ def bm25_topk(spark, sf):
     return hits.select("query_id", *CHUNK_KEYS, F.round("score", 5).alias("score"), "lexical_rank")
 
 
+WORDINGS = ["urgent interest", "sums of high orders", "medium orders per year", "pay urgent sums late"]
+
+
+@query
+def heading_weighted_search(spark, sf):
+    """Contract passages indexed with their section three times over, found by words of headings and text."""
+    asked = F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), (F.col("item_id") % len(WORDINGS) + 1).cast("int"))
+    questions = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text"))
+    chunks = chunking.chunk_pages(I.contract_pages(spark, sf), ["doc_id"], pages_per_block=1000)
+    indexed = chunks.select(*CHUNK_KEYS, T.keyword_text(F.col("section"), F.col("text")).alias("indexed"))
+    hits = search.bm25(search.match_queries(indexed, questions, CHUNK_KEYS, text="indexed"))
+    return hits.select("query_id", *CHUNK_KEYS, F.round("score", 5).alias("score"), "lexical_rank")
+
+
 @query
 def query_coverage(spark, sf):
     c = search.coverage(_corpus_matches(spark, sf), _benchmark_queries(spark, sf))

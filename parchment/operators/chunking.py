@@ -1,7 +1,7 @@
 """Pages to passages: blocks between headings, sentences, greedy packing, section tracking.
 
-A whole document in one row is cut without any shuffle. Page tables need one ordered scan, and only
-over (key, page, heading): the texts stay where they are.
+A whole document in one row is cut without any shuffle. A page table needs one ordered scan over its
+pages: their texts are exchanged once, by key and block of pages, never by key alone.
 """
 
 from __future__ import annotations
