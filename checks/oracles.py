@@ -647,7 +647,8 @@ ORACLES["routed_messages"] = f"WITH {ROUTED} SELECT conv_id, turn, intent, confi
 # --- evaluation ----------------------------------------------------------------------------------
 
 RECALL = f"""{BENCH}, {DOC_CHUNKS}, {bm25_ctes('chunks_', 'doc_id, chunk_idx', 'bench', 6)},
-  hit AS (SELECT b.query_id, coalesce(bool_or(contains(d.text, b.text)), false) AS hit FROM bench b LEFT JOIN hits h USING (query_id) LEFT JOIN documents d USING (doc_id) GROUP BY b.query_id)"""
+  hit AS (SELECT b.query_id, coalesce(bool_or(contains(regexp_replace(c.text, '\\s+', ' ', 'g'), regexp_replace(b.text, '\\s+', ' ', 'g'))), false) AS hit
+    FROM bench b LEFT JOIN hits h USING (query_id) LEFT JOIN chunks_ c USING (doc_id, chunk_idx) GROUP BY b.query_id)"""
 ORACLES["eval_recall"] = f"WITH {RECALL} SELECT count(*) AS questions, count(*) FILTER (hit) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS recall FROM hit"
 ORACLES["eval_misses"] = f"WITH {RECALL} SELECT query_id FROM hit WHERE NOT hit"
 ORACLES["eval_routing"] = f"""WITH {ROUTED} SELECT count(*) AS questions, count(*) FILTER (intent = CASE WHEN conv_id % 2 = 0 THEN 'qa' ELSE 'general' END) AS correct,

@@ -931,25 +931,24 @@ def routed_messages(spark, sf):
 # --- evaluation --------------------------------------------------------------------------------
 
 
-def _gold(spark, sf):
-    return I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("gold"))
+def _recall(spark, sf):
+    """The six best passages of every item, judged on their own text, line ends and blanks alike."""
+    squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")
+    gold = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), squeezed("text").alias("gold"))
+    hits = search.bm25(_corpus_matches(spark, sf), limit=6).select("query_id", *CHUNK_KEYS)
+    found = _corpus_chunks(spark, sf).select(*CHUNK_KEYS, "text").join(broadcast_if_small(hits), CHUNK_KEYS)
+    return evals.retrieval_recall(gold, found.select("query_id", squeezed("text").alias("text")))
 
 
 @query
 def eval_recall(spark, sf):
-    """Flagship: pages, passages, keyword search, and whether a hit's document holds the item."""
-    hits = search.bm25(_corpus_matches(spark, sf), limit=6).select("query_id", "doc_id").distinct()
-    docs = I.texts(spark, sf, "documents").select("doc_id", "text")
-    totals, _ = evals.retrieval_recall(_gold(spark, sf), hits.join(docs, "doc_id"))
-    return totals.withColumn("recall", F.round("recall", 6))
+    """Pages, passages, keyword search, and whether a selected passage holds the item."""
+    return _recall(spark, sf)[0].withColumn("recall", F.round("recall", 6))
 
 
 @query
 def eval_misses(spark, sf):
-    hits = search.bm25(_corpus_matches(spark, sf), limit=6).select("query_id", "doc_id").distinct()
-    docs = I.texts(spark, sf, "documents").select("doc_id", "text")
-    _, misses = evals.retrieval_recall(_gold(spark, sf), hits.join(docs, "doc_id"))
-    return misses
+    return _recall(spark, sf)[1]
 
 
 @query

@@ -42,3 +42,17 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_entry_works_without_the_training_data_operators():
+    """The subpackage and the pipeline are optional: without them every other query is still there."""
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.modules['parchment.llm'] = None; sys.modules['corpus_pipeline'] = None\n"
+        "import __spark_entry__ as e; names = e.queries(); assert 'bm25_topk' in names and set(e.oracle_sql()) <= set(names)\n"
+        "assert not any(n.startswith('op1') or n == 'pipeline' for n in names)"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
