@@ -287,6 +287,20 @@ def abstain_or_sample(spark, sf):
     return cover.select("query_id", "doc_id", "matched_terms", "query_terms", F.col("n").alias("chunk_count"), mode.alias("mode"))
 
 
+@query
+def question_sources(spark, sf):
+    """The whole way from a user turn to the passages of its prompt: mode, and sources under the budget
+    from the search, from an even sample, or none."""
+    from parchment.plans.answers import answer_plan
+
+    turns = I.table(spark, sf, "conversations").where(F.col("role") == "user")
+    asked = turns.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), "text")
+    about = broadcast_if_small(asked.select("doc_id").distinct())
+    chunks = chunking.chunk_documents(I.texts(spark, sf, "documents").join(about, "doc_id", "left_semi"))
+    modes, sources = answer_plan(chunks, asked, F.lit(BUDGET))
+    return modes.join(sources, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "mode", "chunk_idx", "source_id")
+
+
 @query
 def similar_examples(spark, sf):
     questions = I.table(spark, sf, "conversations").where(F.col("role") == "user").select(
