@@ -71,34 +71,38 @@ def fold(doc_id: Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, text key) is in ``keys`` (columns ``key_id``, ``key_text``).
-
-    Columns are those of ``docs``. Null ids match null ids. With ``once``, rows that repeat both id
-    and text come back once (any of their other columns).
-    """
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     mark = unused("_key_text", docs)
-    rows = docs.withColumn(mark, text_key(F.coalesce(docs["text"], F.lit(""))))
-    match = rows["doc_id"].eqNullSafe(keys["key_id"]) & (rows[mark] == keys["key_text"])
-    kept = rows.join(keys, match, "left_semi")
-    if once:
-        place = unused("_place", kept)
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        same = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in rest]) if rest else F.lit(0))
-        kept = kept.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(place)
-    return kept.drop(mark)
-
-
-def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, text key) is not in ``keys``.
-
-    Few keys, counted first, go to every executor and the texts stay where they are; beyond
-    ``BROADCAST_KEYS`` the join shuffles.
+    return docs.withColumn(mark, text_key(F.coalesce(docs["text"], F.lit("")))), mark
+
+
+def _match(rows: DataFrame, mark: str, keys: DataFrame, how: str) -> DataFrame:
+    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["key_id"]) & (rows[mark] == keys["key_text"]), how)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most ``BROADCAST_KEYS`` rows of an id and a text key."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text key) is not in ``keys`` (columns key_id, key_text).
+
+    Columns are those of ``docs``; null ids match null ids. Rows in ``repeated`` (the same columns), which
+    repeat both id and text, come back once, with the least of their other columns by a hash. Few keys, counted first, go
+    to every executor and the texts stay where they are; beyond ``BROADCAST_KEYS`` the join shuffles.
     """
-    keys = checkpoint(keys)
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    mark = unused("_key_text", docs)
-    rows = docs.withColumn(mark, text_key(F.coalesce(docs["text"], F.lit(""))))
-    match = rows["doc_id"].eqNullSafe(keys["key_id"]) & (rows[mark] == keys["key_text"])
-    return rows.join(keys, match, "left_anti").drop(mark)
+    keys = checkpoint(keys.select("key_id", "key_text"))
+    rows, mark = _keyed(docs)
+    if repeated is not None:
+        repeated = checkpoint(repeated.select("key_id", "key_text"))
+        if repeated.isEmpty():
+            repeated = None
+    if repeated is None:
+        return _match(rows, mark, _small(keys), "left_anti").drop(mark)
+    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    place = unused("_place", rows)
+    same = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*rest) if rest else F.lit(0))
+    once = _match(rows, mark, _small(repeated), "left_semi").withColumn(place, F.row_number().over(same))
+    others = _match(rows, mark, _small(keys.unionByName(repeated)), "left_anti")
+    return others.unionByName(once.where(F.col(place) == 1).drop(place)).drop(mark)

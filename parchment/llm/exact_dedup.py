@@ -5,8 +5,10 @@
 3. Global: the second shuffle brings the at most 64 salt winners of a text together.
 
 The full normalised text is a grouping key beside its digest in all three, so texts that share a
-digest stay apart. The verdict then goes back to the rows over (digest, salt): a text with a third of
-all rows is spread over 64 keys there too, and no text travels a third time.
+digest stay apart. A count of sizes and hashes comes first: where the ones that occur more than once are
+few enough to be sent to every executor, other texts, which can have no equal, don't enter the shuffles.
+The verdict goes back to the rows over (digest, salt): a text with a third of all rows is spread
+over 64 keys there too, and no text travels a third time.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.common import ascii_lower, keep_rows, salt_of, salt_set, salts_in, text_key
+from parchment.llm.common import BROADCAST_KEYS, ascii_lower, checkpoint, drop_rows, salt_of, salt_set, salts_in, text_key
 
 
 def _signed(docs: DataFrame, digest) -> DataFrame:
@@ -37,12 +39,16 @@ def sha256(text: Column) -> Column:
 
 
 def combine(docs: DataFrame, digest=sha256) -> DataFrame:
-    """One row per distinct text and salt: digest, size, mark, salt, keep_id, group_size.
+    """One row per distinct text and salt: digest, size, mark, salt, keep_id, group_size. Texts that
+    occur once may be absent.
 
     Raises at run time if two different texts share digest, size and mark.
     """
     sign = ["digest", "size", "mark"]
     rows = _signed(docs, digest)
+    twice = checkpoint(rows.groupBy("size", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "mark"))
+    if twice.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(twice), ["size", "mark"], "left_semi")
     salted = rows.groupBy(*sign, "salt", "norm").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     merged = salted.groupBy(*sign, "norm").agg(
         F.max("winner").alias("keep_id"), F.sum("n").alias("group_size"), salt_set("salt").alias("salts")
@@ -68,26 +74,28 @@ def groups(docs: DataFrame, digest=sha256) -> DataFrame:
     other. Of rows that repeat doc_id and text alike, one is kept. Other columns are not read. An
     empty table gives an empty result.
     """
+    return _verdicts(docs, digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _verdicts(docs: DataFrame, digest) -> DataFrame:
     sign = ["digest", "size", "mark", "salt"]
-    rows = _signed(docs, digest).drop("raw")
-    narrow = rows.select("doc_id", *sign, sha256(F.col("norm")).alias("text_sha256"))
-    if digest is sha256:
-        narrow = rows.select("doc_id", *sign, F.col("digest").alias("text_sha256"))
-    joined = narrow.join(combine(docs, digest), sign)
+    sha = F.col("digest") if digest is sha256 else sha256(F.col("norm"))
+    rows = _signed(docs, digest).select("doc_id", "raw", *sign, sha.alias("text_sha256"))
+    joined = rows.join(combine(docs, digest), sign, "left")
+    alone = F.col("group_size").isNull()
+    joined = joined.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
+    joined = joined.withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    first = F.row_number().over(Window.partitionBy(*sign, "doc_id").orderBy("text_sha256")) == 1
-    return joined.select("doc_id", "keep_id", "group_size", (stays & first).alias("kept"), "text_sha256")
+    first = F.row_number().over(Window.partitionBy(*sign, "doc_id").orderBy("raw")) == 1
+    return joined.withColumn("kept", stays & first)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    The rows that stay are found on narrow rows; texts move once, by doc_id.
+    What goes is found on narrow rows; texts move only where more rows go than can be sent to every
+    executor.
     """
-    sign = ["digest", "size", "mark", "salt"]
-    rows = _signed(docs, sha256).drop("norm")
-    joined = rows.join(combine(docs), sign)
-    stay = joined.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    # One spelling per group: rows that repeat the winning doc_id may differ in the case of letters.
-    keys = stay.groupBy(*sign, "doc_id").agg(F.min("raw").alias("raw"))
-    return keep_rows(docs, keys.select(F.col("doc_id").alias("key_id"), F.col("raw").alias("key_text")), once=True)
+    rows = _verdicts(docs, sha256).groupBy(F.col("doc_id").alias("key_id"), F.col("raw").alias("key_text"))
+    found = checkpoint(rows.agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    return drop_rows(docs, found.where("kept = 0"), found.where("kept > 0 and n > 1"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchment.llm.common import checkpoint, keep_rows, salt_of, salt_set, salts_in, text_key
+from parchment.llm.common import checkpoint, drop_rows, salt_of, salt_set, salts_in, text_key
 from parchment.llm.gray_index import GrayIndex
 
 BITS = 3
@@ -215,9 +215,13 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id, all columns as they were."""
-    found = near_duplicates(docs, bits, with_text_key=True)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows that repeat the smallest doc_id may differ in text; one text of them stays.
-    keys = first.groupBy(F.col("doc_id").alias("key_id"), F.col("component_id")).agg(F.min("key_text").alias("key_text"))
-    return keep_rows(docs, keys.select("key_id", "key_text"), once=True)
+    """``docs`` with one row of each component: the one with the smallest doc_id, all columns as they were.
+
+    Rows that repeat that doc_id may differ in text; one text of them stays.
+    """
+    rows = near_duplicates(docs, bits, with_text_key=True).groupBy(F.col("doc_id").alias("key_id"), "key_text", "component_id")
+    found = checkpoint(rows.agg(F.count(F.lit(1)).alias("n")))
+    first = found.where(F.col("key_id").eqNullSafe(F.col("component_id"))).groupBy("key_id").agg(F.min("key_text").alias("stays"))
+    first = first.withColumnRenamed("key_id", "own")
+    judged = found.join(first, found["key_id"].eqNullSafe(first["own"]), "left").withColumn("stay", F.col("key_id").eqNullSafe(F.col("component_id")) & F.coalesce(F.col("key_text") == F.col("stays"), F.lit(False)))
+    return drop_rows(docs, judged.where("not stay"), judged.where("stay and n > 1"))
