@@ -541,7 +541,8 @@ def plan_ctes(window: int, with_document: bool) -> str:
     most = 2 if with_document else 10**6
     budget = f"{window} - 768 - 96 - 300 - CAST(ceil(length(text) / 3.0) AS BIGINT)"
     share = "floor(budget * 0.25)" if with_document else "budget"
-    return f"""cl AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {strip_cites('text')} ELSE text END AS text FROM conversations WHERE coalesce(text, '') <> ''),
+    return f"""cl AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {strip_cites('text')} ELSE text END AS text FROM conversations
+    JOIN (SELECT conv_id, max(turn) AS asked FROM conversations WHERE role = 'user' AND coalesce(text, '') <> '' GROUP BY conv_id) USING (conv_id) WHERE coalesce(text, '') <> '' AND turn <= asked),
   ag AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS age FROM cl),
   cur AS (SELECT conv_id, text AS question, {budget} AS budget FROM ag WHERE age = 0),
   sp AS (SELECT ag.*, budget, sum(CAST(ceil(length(text) / 3.0) AS BIGINT) + 4) OVER (PARTITION BY conv_id ORDER BY age) AS spent FROM ag JOIN cur USING (conv_id) WHERE age BETWEEN 1 AND {most}),

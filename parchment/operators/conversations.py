@@ -40,7 +40,8 @@ def plan_turns(
     conversation: str = "conv_id",
     turn: str = "turn",
 ) -> tuple[DataFrame, DataFrame]:
-    """(plan per conversation, kept turns) for the newest turn of every conversation.
+    """(plan per conversation, kept turns) for the newest question of every conversation: its last user
+    turn, which answers that came later don't displace. Conversations without a user turn have none.
 
     Turns need ``role``, ``text`` and may have ``error`` and ``abstained``. A kept turn costs at
     least five tokens, so no more than ``context_window / 5`` of them can matter: each task passes
@@ -56,6 +57,8 @@ def plan_turns(
         "role",
         F.when(F.col("role") == "assistant", strip_citations(F.col("text"))).otherwise(F.col("text")).alias("text"),
     )
+    asked = cleaned.where(F.col("role") == "user").groupBy(conversation).agg(F.max(turn).alias("_asked"))
+    cleaned = cleaned.join(asked, conversation).where(F.col(turn) <= F.col("_asked")).drop("_asked")
     most = HISTORY_TURNS.get(mode, 2) if with_document else context_window // 5
     newest = Window.partitionBy(conversation).orderBy(F.desc(turn))
     recent = cleaned.withColumn("age", F.row_number().over(newest) - 1).where(F.col("age") <= most)

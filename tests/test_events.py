@@ -193,6 +193,9 @@ def test_turn_planning(spark):
     assert conversations.plan_turns(df, 4096, 300, with_document=False)[0].first().kept_turns > 2
     cited = turns(spark, ("user", "q1", False), ("assistant", "Cap is 5 [~S1].", False), ("user", "q2", False))
     assert {r.text for r in conversations.plan_turns(cited, 4096, 300)[1].collect()} == {"q1", "Cap is 5."}
+    answered = turns(spark, ("user", "q1", False), ("assistant", "a1", False), ("user", "q2", False), ("assistant", "a2", False))
+    p, kept = conversations.plan_turns(answered, 4096, 300)
+    assert (p.first().question, {r.text for r in kept.collect()}) == ("q2", {"q1", "a1"})
     long = turns(spark, ("user", "z" * 20000, False))
     assert conversations.plan_turns(long, 4096, 300, with_document=False)[0].first().too_long
 
