@@ -81,6 +81,9 @@ def _limiter(max_hits: int, window: float, columns: list[str]):
     """
 
     def settle(times: np.ndarray, past: np.ndarray, held: deque) -> np.ndarray:
+        if not held and len(times) <= max_hits:
+            held.extend(times)
+            return np.ones(len(times), bool)
         ok = np.zeros(len(times), bool)
         forced = np.flatnonzero(past)
         k = 0
