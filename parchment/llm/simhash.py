@@ -198,7 +198,8 @@ def near_duplicates(
     fingerprints differ in at most ``bits`` bits; component_id is the smallest doc_id reachable. Null
     and empty texts have fingerprint zero and are linked like others. Null ids are passed over in the
     minimum; a component of null ids only has a null component_id. Repeated rows each get a row.
-    Other columns are not read; an empty table gives an empty result.
+    Other columns are not read; an empty table gives an empty result. With ``with_text_key`` also
+    key_text and root, the least code of the component, which tells components apart that share a label.
     """
     extra = [text_key(F.coalesce(F.col("text"), F.lit(""))).alias("key_text")] if with_text_key else []
     read = docs.select("doc_id", _fingerprint(F.col("text").cast("binary")).alias("code"), *extra)
@@ -208,20 +209,23 @@ def near_duplicates(
     roots = components(links(distinct.select("code"), bits, bucket_rows))
     rooted = distinct.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("code", salts_in("salts").alias("salt"), "component_id")
+    classes = rooted.join(least, "root").select("code", salts_in("salts").alias("salt"), "component_id", "root")
     out = rows.join(classes, ["code", "salt"])
     fingerprint = F.lower(F.lpad(F.hex("code"), 16, "0"))
-    return out.select("doc_id", fingerprint.alias("fingerprint"), "component_id", *(["key_text"] if with_text_key else []))
+    return out.select("doc_id", fingerprint.alias("fingerprint"), "component_id", *(["key_text", "root"] if with_text_key else []))
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id, all columns as they were.
 
-    Rows that repeat that doc_id may differ in text; one text of them stays.
+    Rows of one component that repeat that doc_id may differ in text; one text of them stays. Components
+    that share a label, as those of null ids only do, each keep one text.
     """
-    rows = near_duplicates(docs, bits, with_text_key=True).groupBy(F.col("doc_id").alias("key_id"), "key_text", "component_id")
+    rows = near_duplicates(docs, bits, with_text_key=True).groupBy(F.col("doc_id").alias("key_id"), "key_text", "component_id", "root")
     found = checkpoint(rows.agg(F.count(F.lit(1)).alias("n")))
-    first = found.where(F.col("key_id").eqNullSafe(F.col("component_id"))).groupBy("key_id").agg(F.min("key_text").alias("stays"))
-    first = first.withColumnRenamed("key_id", "own")
-    judged = found.join(first, found["key_id"].eqNullSafe(first["own"]), "left").withColumn("stay", F.col("key_id").eqNullSafe(F.col("component_id")) & F.coalesce(F.col("key_text") == F.col("stays"), F.lit(False)))
+    labelled = found.where(F.col("key_id").eqNullSafe(F.col("component_id")))
+    first = labelled.groupBy("root", F.col("key_id").alias("own")).agg(F.min("key_text").alias("stays"))
+    # Joined by id and text too, so that a large component is spread.
+    same = (found["root"] == first["root"]) & found["key_id"].eqNullSafe(first["own"]) & (found["key_text"] == first["stays"])
+    judged = found.join(first, same, "left").select("key_id", "key_text", "n", F.col("stays").isNotNull().alias("stay"))
     return drop_rows(docs, judged.where("not stay"), judged.where("stay and n > 1"))

@@ -131,6 +131,15 @@ def test_one_document_of_each_component_stays(spark):
     assert simhash.one_of_each(docs.limit(0)).collect() == []
 
 
+def test_components_with_one_label_each_keep_a_text(spark):
+    rng = random.Random(8)
+    one, two, three, four, five = (" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(999)) for _ in range(60)) for _ in range(5))
+    # Unrelated texts of null ids, one of them twice, one with a near copy that has an id; and a repeated id.
+    pairs = [(None, one), (None, two), (None, two), (None, three), (4, three.upper()), (7, four), (7, five), (9, five)]
+    kept = simhash.one_of_each(docs_of(spark, pairs)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, one), (None, two), (4, three.upper()), (7, four), (7, five)], key=repr)
+
+
 def test_gray_rank_orders_neighbours():
     codes = np.arange(256, dtype=np.uint64)
     order = codes[np.argsort(gray_rank(codes))].tolist()
