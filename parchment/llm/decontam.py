@@ -139,10 +139,14 @@ def _ordered(queries: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class _Queries:
-    """A block of queries: word numbers and offsets, rarest word first."""
+    """A block of queries: word numbers and offsets, rarest word first. Ids are numbered from 0 on; a
+    null id has a number too."""
 
     def __init__(self, rows):
-        self.ids = np.array([r.query_id for r in rows], np.int64)
+        names = list(dict.fromkeys(r.query_id for r in rows))
+        number = {i: k for k, i in enumerate(names)}
+        self.names = pa.array(names, pa.int64())
+        self.ids = np.array([number[r.query_id] for r in rows], np.int64)
         self.size = np.array([len(r.terms) for r in rows], np.int64)
         self.words = sorted({t.term for r in rows for t in r.terms})
         number = {w: k for k, w in enumerate(self.words)}
@@ -251,7 +255,7 @@ def _search(block, slop: int | None, whole_documents: bool):
                 if not whole_documents:
                     at = pa.array(doc)
                     shift = seg.starts[doc]
-                    cols = [c.take(at) for c in shared] + [pa.array(q.ids[query]), pa.array(start - shift), pa.array(end - shift)]
+                    cols = [c.take(at) for c in shared] + [q.names.take(pa.array(q.ids[query])), pa.array(start - shift), pa.array(end - shift)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key_text", "query_id", "start", "end"])
                     continue
                 step = np.zeros(seg.length + 1, np.int64)
@@ -269,7 +273,7 @@ def _search(block, slop: int | None, whole_documents: bool):
                 cut = lambda of: pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
                 cols = [
                     pa.array(np.full(n, row["segment"].as_py())), pa.array(np.arange(n, dtype=np.int32)), *shared, row["n_words"].values.cast(pa.int64()),
-                    pa.ListArray.from_arrays(cut(owner), spans), pa.ListArray.from_arrays(cut(pairs[0]), pa.array(pairs[1])),
+                    pa.ListArray.from_arrays(cut(owner), spans), pa.ListArray.from_arrays(cut(pairs[0]), q.names.take(pa.array(pairs[1]))),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["segment", "row", "doc_id", "key_text", "n_words", "spans", "items"])
 
@@ -300,7 +304,7 @@ def matches(docs: DataFrame, queries: DataFrame, slop: int | None = None, block:
 
     Without ``slop`` exact phrases. With it proximity: one row for each place that holds a query word
     and from which all words of the query, in any order and as often as the query has them, stand
-    within its length plus ``slop`` words; ``end`` is the least possible.
+    within its length plus ``slop`` words; ``end`` is the least possible. A null query_id stays null.
     """
     index = build_index(docs, queries.select(F.explode("words").alias("term")), segment_words)
     found = _passes(index, queries.where(F.size("words") > 0), slop, False, block)
@@ -321,7 +325,8 @@ def contamination(
     n_items (items with such a window), items_sha256 (their ids as strings, sorted, comma-joined),
     contaminated (n_hit > 0). Null and empty texts have no words and no hits; items without words
     match nothing; repeated items count once per id, repeated rows each get a row; other columns are
-    not read; without items every document is clean.
+    not read; without items every document is clean. Items of a null id match like others and count
+    as one item, but the id is left out of items_sha256.
     """
     queries = checkpoint(windows(items, size)).withColumnRenamed("item_id", "query_id")
     index = build_index(docs, queries.select(F.explode("words").alias("term")), segment_words)

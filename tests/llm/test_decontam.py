@@ -81,6 +81,23 @@ def test_clean_documents_stay_as_they_were(spark):
     assert sorted([(r.doc_id, len(words(r.text))) for r in kept.collect()], key=repr) == sorted([(r[0], r[1]) for r in want if (r[0], r[1]) not in bad], key=repr)
 
 
+@pytest.mark.parametrize("block", [50_000, 1])
+def test_items_without_an_id_count_as_one(spark, block):
+    docs = [(1, "a b c"), (2, "x, c d e"), (3, "a b c d e"), (4, "nothing"), (None, "c d e")]
+    d, b = tables(spark, docs, [(None, "a b"), (None, "d e"), (7, "c d"), (12, "B c"), (None, None)])
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    want = [(1, 3, 3, 2, sha("12"), True), (2, 4, 3, 2, sha("7"), True), (3, 5, 5, 3, sha("12,7"), True), (4, 1, 0, 0, sha(""), False), (None, 3, 3, 2, sha("7"), True)]
+    got = decontam.contamination(d, b, block=block, segment_words=4)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == sorted(want, key=repr)
+    assert [r.doc_id for r in decontam.clean(d, b).collect()] == [4]
+
+
+def test_matches_of_a_query_without_an_id(spark):
+    d, _ = tables(spark, [(1, "a b a b")], [])
+    q = spark.createDataFrame([(None, ["a", "b"]), (1, ["b", "a"])], "query_id long, words array<string>")
+    assert sorted([tuple(r) for r in decontam.matches(d, q).collect()], key=repr) == [(1, 1, 1, 3), (1, None, 0, 2), (1, None, 2, 4)]
+
+
 def test_empty_tables(spark):
     d, b = tables(spark, [], [])
     full, items = tables(spark, *sample())
