@@ -116,19 +116,21 @@ def quote_supported(quote: Column, haystack: Column) -> Column:
     )
 
 
+def without_clause_numbers(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), CLAUSE_NUMBER, "$1")
+
+
 def support_form(source_text: Column) -> Column:
     """A source prepared once for ``supports``: its matching form and its figures."""
-    stripped = F.regexp_replace(F.coalesce(source_text, F.lit("")), CLAUSE_NUMBER, "$1")
     return bound(
-        stripped, lambda t: F.struct(haystack_form(t).alias("haystack"), F.array_distinct(figures(t)).alias("figures"))
+        without_clause_numbers(source_text), lambda t: F.struct(haystack_form(t).alias("haystack"), F.array_distinct(figures(t)).alias("figures"))
     )
 
 
 def supports(prepared: Column, quote: Column) -> Column:
     """True when the prepared source holds the quote, every figure of it exactly."""
-    stripped = F.regexp_replace(F.coalesce(quote, F.lit("")), CLAUSE_NUMBER, "$1")
     return bound(
-        stripped,
+        without_clause_numbers(quote),
         lambda q: F.when(F.size(F.array_except(figures(q), prepared["figures"])) > 0, False).otherwise(
             quote_supported(q, prepared["haystack"])
         ),

@@ -6,14 +6,14 @@ answer has at most a handful, see ``selection``), and everything after is narrow
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions import citations as C
 from parchment.functions.text import bound, tokens, trimmed
 
 MIN_OVERLAP = 0.6
-POOL = 12
+GRAM = 4
 FIGURE_BONUS = 0.25
 MIN_WORDS = 3
 
@@ -201,24 +201,78 @@ def add_relevance(verified: DataFrame, ratio_issue: Column) -> DataFrame:
     ).withColumn("status", F.when(flagged, "warning").otherwise(F.col("status")))
 
 
+def _grams(word: Column) -> Column:
+    """The distinct runs of one to ``GRAM`` characters of a word."""
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - F.lit(n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+
+
+def _probes(words: Column, rows: Column) -> Column:
+    """Words of a value of which every source that supports it has at least one, inside its own words;
+    ``rows`` has the number of sources per word.
+
+    A value of fewer than four words must stand in the source as a whole: its rarest word will do. Of a
+    longer one a tenth of its shingles may be missing, so the rarest word of one shingle more is taken.
+    """
+    ranked = F.transform(
+        words, lambda w: F.struct(F.when(w == "", F.lit(1 << 60)).otherwise(F.coalesce(rows[w], F.lit(0))).alias("n"), w.alias("w"))
+    )
+
+    def chosen(r: Column) -> Column:
+        count = F.size(r) - (C.SHINGLE - 1)
+        least = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_min(F.slice(r, i, C.SHINGLE)))
+        taken = F.slice(F.array_sort(least), F.lit(1), F.greatest((count / 10).cast("int"), F.lit(0)) + 1)
+        return F.array_distinct(F.transform(taken, lambda x: x["w"]))
+
+    return bound(ranked, chosen)
+
+
+def _without_figures(values: DataFrame, sources: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, value, source_order, source_id) of all sources that may hold a value without figures.
+
+    Values meet sources in equi joins on their rarest words. As a value may begin and end inside a
+    word, its words are looked up first among the distinct words of the scope, by a run of characters.
+    """
+    split = lambda text: F.split(C.haystack_form(C.without_clause_numbers(text)), " ")
+    bare = values.select(*scope, "value", split(F.col("value")).alias("words"))
+    near = sources.join(bare.select(*scope).distinct(), scope, "left_semi")
+    held = near.select(*scope, "source_order", "source_id", F.explode(F.array_distinct(split(F.col("text")))).alias("word"))
+    grams = held.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("n")).select(*scope, "word", "n", F.explode(_grams(F.col("word"))).alias("gram"))
+    each = bare.select(*scope, "value", F.explode(F.array_distinct("words")).alias("probe")).where("probe <> ''")
+    asked = each.select(*scope, "probe", F.substring("probe", 1, GRAM).alias("gram")).distinct()
+    inside = asked.join(grams, [*scope, "gram"]).where(F.contains("word", F.col("probe"))).drop("gram")
+    rows = each.join(inside.groupBy(*scope, "probe").agg(F.sum("n").alias("n")), [*scope, "probe"])
+    rows = rows.groupBy(*scope, "value").agg(F.map_from_entries(F.collect_list(F.struct("probe", "n"))).alias("rows"))
+    known = bare.join(rows, [*scope, "value"], "left").withColumn("rows", F.coalesce("rows", F.create_map().cast("map<string,bigint>")))
+    chosen = known.select(*scope, "value", F.explode(_probes(F.col("words"), F.col("rows"))).alias("probe"))
+    found = chosen.join(inside.drop("n"), [*scope, "probe"]).join(held, [*scope, "word"])
+    # Marks only: any source may hold them.
+    marks = chosen.where("probe = ''").join(near, scope)
+    keep = [*scope, "value", "source_order", "source_id"]
+    return found.select(*keep).unionByName(marks.select(*keep))
+
+
 def _holders(values: DataFrame, sources: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
     """Which sources hold which values: (scope, value, wanted) of cited sources that do, and the first
     source in order per (scope, value).
 
     A source can only hold a value if it has its longest figure, so pairs come from an equi join on
-    the figure, of distinct values; a value without figures is looked up in the first ``POOL`` sources
-    of its scope. Texts join last, once, by source.
+    the figure, of distinct values; a value without figures meets the sources that have its rarest
+    words. Clause numbers are no figures, as in ``C.supports``. Texts join last, once, by source.
     """
-    first = Window.partitionBy(*scope).orderBy("source_order", "source_id")
-    figured = sources.select(*scope, "source_order", "source_id", F.explode(F.array_distinct(C.figures(F.col("text")))).alias("figure"))
-    pool = sources.select(*scope, "source_order", "source_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= POOL)
-    longest = F.array_max(F.transform(C.figures(F.col("value")), lambda f: F.struct(F.length(f).alias("n"), f.alias("f"))))["f"]
+    figures = lambda text: C.figures(C.without_clause_numbers(text))
+    figured = sources.select(*scope, "source_order", "source_id", F.explode(F.array_distinct(figures(F.col("text")))).alias("figure"))
+    longest = F.array_max(F.transform(figures(F.col("value")), lambda f: F.struct(F.length(f).alias("n"), f.alias("f"))))["f"]
     distinct = values.select(*scope, "value").distinct().withColumn("figure", longest)
     by_figure = distinct.where(F.col("figure").isNotNull()).join(figured, [*scope, "figure"]).drop("figure")
-    by_pool = distinct.where(F.col("figure").isNull()).drop("figure").join(pool.drop("n"), scope)
+    by_word = _without_figures(distinct.where(F.col("figure").isNull()), sources, scope)
     cited = values.select(*scope, "value", F.col("wanted").alias("source_id")).distinct()
     own = sources.select(*scope, "source_order", "source_id")
-    pairs = by_figure.unionByName(by_pool).unionByName(cited.join(own, [*scope, "source_id"])).distinct()
+    pairs = by_figure.unionByName(by_word).unionByName(cited.join(own, [*scope, "source_id"])).distinct()
     forms = sources.select(*scope, "source_order", "source_id", C.support_form(F.col("text")).alias("form"))
     held = pairs.join(forms, [*scope, "source_order", "source_id"]).where(C.supports(F.col("form"), F.col("value")))
     best = held.groupBy(*scope, "value").agg(F.min(F.struct("source_order", "source_id")).alias("first"))
