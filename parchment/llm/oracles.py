@@ -15,6 +15,39 @@ def _words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}')"
 
 
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}) || ':' || {f} END" for f in fields) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels (tree, level, k, n, digest), and the runs of three they form, as lists."""
+    return f"""
+        {name} AS (
+            SELECT tree, 0 AS level, k, n, digest FROM {leaves}
+            UNION ALL
+            SELECT tree, level + 1, k // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY k)) FROM {name} WHERE n > 1
+            GROUP BY tree, level, k // 3, n
+        ),
+        {name}_run AS (SELECT tree, level, k // 3 AS up, list(digest ORDER BY k) AS run FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _path_sql(name: str, tree: str, start: str) -> str:
+    """From rows (row_id, tree, k, folded, siblings) level by level to the root of their tree."""
+    return f"""
+        {name} AS (
+            SELECT row_id, tree, 0 AS level, k, folded, siblings FROM {start}
+            UNION ALL
+            SELECT row_id, p.tree, p.level + 1, p.k // 3,
+                sha256(array_to_string(run[:(p.k % 3)], '') || folded || array_to_string(run[(p.k % 3 + 2):], '')),
+                siblings || array_to_string(run[:(p.k % 3)], '') || array_to_string(run[(p.k % 3 + 2):], '')
+            FROM {name} p JOIN {tree}_run r ON r.tree = p.tree AND r.level = p.level AND r.up = p.k // 3
+        )"""
+
+
+_CRC32 = """(SELECT list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(coalesce(doc_id::VARCHAR, ''), '') IF c <> '']),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR i IN range(8)]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
 ORACLES = {
     "op2_decontamination": f"""
         WITH i AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
@@ -65,4 +98,33 @@ ORACLES = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
     """,
+    "op13_merkle": f"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+                -- The complement at the end of a crc32 turns its last bit over.
+                CASE WHEN {_CRC32} % 2 = 1 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS changed
+            FROM documents
+        ),
+        l AS MATERIALIZED (
+            SELECT *, row_number() OVER () AS row_id, coalesce('v' || source, 'n') AS tree, leaf AS digest,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY source) AS n
+            FROM d
+        ),
+        {_tree_sql("low", "l")},
+        s AS MATERIALIZED (
+            SELECT tree AS name, '' AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS k, count(*) OVER () AS n FROM low WHERE n = 1
+        ),
+        {_tree_sql("high", "s")},
+        a AS (SELECT row_id, tree, k, changed AS folded, '' AS siblings FROM l),
+        {_path_sql("lower_path", "low", "a")},
+        b AS (
+            SELECT row_id, s.tree, s.k, folded, siblings FROM (SELECT * FROM lower_path QUALIFY level = max(level) OVER (PARTITION BY row_id)) p
+            JOIN s ON s.name = p.tree
+        ),
+        {_path_sql("upper_path", "high", "b")},
+        e AS (SELECT * FROM upper_path QUALIFY level = max(level) OVER (PARTITION BY row_id)),
+        r AS (SELECT digest AS root FROM high WHERE n = 1)
+        SELECT doc_id, leaf, s.digest AS subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM l JOIN e USING (row_id) JOIN s ON s.name = l.tree, r
+    """,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import bpe, chat_format, decontam, exact_dedup, langid, sharding, simhash, surrogates, tokencount, toxicity
+from parchment.llm import bpe, chat_format, decontam, exact_dedup, langid, merkle, sharding, simhash, surrogates, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
@@ -72,5 +76,6 @@ REGISTRY = {
         op8_chat_format,
         op9_pii_surrogates,
         op10_bpe,
+        op13_merkle,
     )
 }
