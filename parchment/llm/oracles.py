@@ -15,6 +15,13 @@ def _words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}')"
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    return f"list_transform(regexp_extract_all(coalesce({text}, ''), '{_TERM}'), lambda w: translate(w, '{_UPPER}', '{_LOWER}'))"
+
+
 def _leaf_sql(text: str) -> str:
     fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
     return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}) || ':' || {f} END" for f in fields) + ")"
@@ -98,6 +105,20 @@ ORACLES = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
     """,
+    "op12_dual_tree": f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS w FROM documents),
+        c AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+        p AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+        q AS MATERIALIZED (SELECT i, item_id, unnest(list_distinct({_terms("text")})) AS term FROM (SELECT *, row_number() OVER () AS i FROM benchmark)),
+        v AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term),
+        m AS (SELECT r, doc_id, 50 + (50 * len(w) * docs) // terms AS m FROM d, c),
+        s AS (
+            SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM q JOIN v USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL
+        ),
+        o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+    """,
     "op13_merkle": f"""
         WITH RECURSIVE d AS MATERIALIZED (
             SELECT doc_id, source, {_leaf_sql("text")} AS leaf,

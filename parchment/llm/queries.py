@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import bpe, chat_format, decontam, exact_dedup, langid, merkle, sharding, simhash, surrogates, tokencount, toxicity
+from parchment.llm import (
+    bpe,
+    chat_format,
+    decontam,
+    dual_tree,
+    exact_dedup,
+    langid,
+    merkle,
+    order_minhash,
+    sharding,
+    simhash,
+    surrogates,
+    tokencount,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +73,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    return dual_tree.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +99,8 @@ REGISTRY = {
         op8_chat_format,
         op9_pii_surrogates,
         op10_bpe,
+        op11_order_minhash,
+        op12_dual_tree,
         op13_merkle,
     )
 }
