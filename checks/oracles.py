@@ -538,28 +538,36 @@ ORACLES["previous_question"] = f"""WITH p AS (SELECT *, last_value(CASE WHEN rol
 
 
 def plan_ctes(window: int, with_document: bool) -> str:
+    """One plan per user turn; ``kept`` has the turns of each, by the question's place ``pos``."""
     most = 2 if with_document else 10**6
     budget = f"{window} - 768 - 96 - 300 - CAST(ceil(length(text) / 3.0) AS BIGINT)"
     share = "floor(budget * 0.25)" if with_document else "budget"
-    return f"""cl AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {strip_cites('text')} ELSE text END AS text FROM conversations
-    JOIN (SELECT conv_id, max(turn) AS asked FROM conversations WHERE role = 'user' AND coalesce(text, '') <> '' GROUP BY conv_id) USING (conv_id) WHERE coalesce(text, '') <> '' AND turn <= asked),
-  ag AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS age FROM cl),
-  cur AS (SELECT conv_id, text AS question, {budget} AS budget FROM ag WHERE age = 0),
-  sp AS (SELECT ag.*, budget, sum(CAST(ceil(length(text) / 3.0) AS BIGINT) + 4) OVER (PARTITION BY conv_id ORDER BY age) AS spent FROM ag JOIN cur USING (conv_id) WHERE age BETWEEN 1 AND {most}),
+    return f"""cl AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN {strip_cites('text')} ELSE text END AS text FROM conversations WHERE coalesce(text, '') <> ''),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM cl),
+  cur AS (SELECT conv_id, turn, pos, text AS question, {budget} AS budget FROM pl WHERE role = 'user'),
+  sp AS (SELECT c.conv_id, c.turn, c.pos, c.pos - p.pos AS age, p.role, p.text, budget, sum(CAST(ceil(length(p.text) / 3.0) AS BIGINT) + 4) OVER (PARTITION BY c.conv_id, c.pos ORDER BY p.pos DESC) AS spent
+    FROM cur c JOIN pl p ON p.conv_id = c.conv_id AND p.pos < c.pos AND p.pos >= c.pos - {most}),
   kept AS (SELECT * FROM sp WHERE spent <= {share}),
-  plan_ AS (SELECT conv_id, question, budget, CAST(coalesce(k, 0) AS BIGINT) AS kept_turns, n - 1 - coalesce(k, 0) AS dropped_turns, CAST(greatest(0, budget - coalesce(u, 0) - 40) AS BIGINT) AS source_budget, budget < 0 AS too_long
-    FROM cur JOIN (SELECT conv_id, count(*) AS n FROM cl GROUP BY conv_id) USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS k, max(spent) AS u FROM kept GROUP BY conv_id) USING (conv_id))"""
+  plan_ AS (SELECT conv_id, turn, question, budget, CAST(coalesce(k, 0) AS BIGINT) AS kept_turns, pos - coalesce(k, 0) AS dropped_turns, CAST(greatest(0, budget - coalesce(u, 0) - 40) AS BIGINT) AS source_budget, budget < 0 AS too_long
+    FROM cur LEFT JOIN (SELECT conv_id, turn, count(*) AS k, max(spent) AS u FROM kept GROUP BY ALL) USING (conv_id, turn))"""
 
 
 ORACLES["history_plan"] = f"WITH {plan_ctes(4096, True)} SELECT * EXCLUDE (question) FROM plan_"
 ORACLES["history_plan_free"] = f"WITH {plan_ctes(2048, False)} SELECT * EXCLUDE (question) FROM plan_"
-ORACLES["prompt_table"] = ORACLES["spread_sample"].replace("SELECT doc_id, chunk_idx, 'S' || held AS source_id FROM walk2 WHERE took", "").rstrip() + f""",
-  blk AS (SELECT w.doc_id AS conv_id, string_agg('[S' || held || '] (' || concat_ws(' · ', 'p. ' || page, section) || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_idx) AS b
-    FROM walk2 w JOIN chunks_ c USING (doc_id, chunk_idx) WHERE took GROUP BY w.doc_id),
-  {plan_ctes(4096, True)},
-  hist AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) || '---' || chr(10) ORDER BY age DESC) AS h, count(*) AS k FROM kept GROUP BY conv_id)
-  SELECT conv_id, 2 + coalesce(k, 0) AS messages, md5(concat_ws(chr(10) || '---' || chr(10), 'system: Answer from the sources.' || coalesce(chr(10) || chr(10) || 'SOURCES:' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'END OF SOURCES', ''), h, 'user: ' || question)) AS digest
-  FROM plan_ LEFT JOIN blk USING (conv_id) LEFT JOIN hist USING (conv_id) WHERE NOT too_long"""
+ORACLES["prompt_table"] = f"""WITH RECURSIVE {DOC_CHUNKS}, {plan_ctes(4096, True)},
+  ask AS (SELECT conv_id, turn, source_budget AS b FROM plan_ WHERE NOT too_long),
+  cc AS (SELECT doc_id AS conv_id, chunk_idx, page, section, text, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM chunks_),
+  sizes_ AS (SELECT conv_id, turn, b, count(*) AS n, greatest(1, least(count(*), 8, CAST(floor(b / avg(cost)) AS BIGINT))) AS k FROM ask JOIN cc USING (conv_id) GROUP BY conv_id, turn, b),
+  want AS (SELECT DISTINCT conv_id, turn, b, CASE WHEN k = 1 THEN 0 ELSE CAST(floor(i * (n - 1) / (k - 1.0) + 0.5) AS BIGINT) END AS chunk_idx FROM (SELECT *, unnest(range(0, k)) AS i FROM sizes_)),
+  steps AS (SELECT conv_id, turn, b, chunk_idx, cost, row_number() OVER (PARTITION BY conv_id, turn ORDER BY chunk_idx) AS r FROM want JOIN cc USING (conv_id, chunk_idx)),
+  sampled AS (SELECT conv_id, turn, chunk_idx, r, cost <= b AS took, CASE WHEN cost <= b THEN cost ELSE 0 END AS used, CASE WHEN cost <= b THEN 1 ELSE 0 END AS held FROM steps WHERE r = 1
+    UNION ALL SELECT s.conv_id, s.turn, s.chunk_idx, s.r, w.used + s.cost <= b, w.used + CASE WHEN w.used + s.cost <= b THEN s.cost ELSE 0 END, w.held + CASE WHEN w.used + s.cost <= b THEN 1 ELSE 0 END
+    FROM sampled w JOIN steps s ON s.conv_id = w.conv_id AND s.turn = w.turn AND s.r = w.r + 1),
+  blk AS (SELECT conv_id, turn, string_agg('[S' || held || '] (' || concat_ws(' · ', 'p. ' || page, section) || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_idx) AS src
+    FROM sampled JOIN cc USING (conv_id, chunk_idx) WHERE took GROUP BY ALL),
+  hist AS (SELECT conv_id, turn, string_agg(role || ': ' || text, chr(10) || '---' || chr(10) ORDER BY age DESC) AS h, count(*) AS k FROM kept GROUP BY ALL)
+  SELECT conv_id, turn, 2 + coalesce(k, 0) AS messages, md5(concat_ws(chr(10) || '---' || chr(10), 'system: Answer from the sources.' || coalesce(chr(10) || chr(10) || 'SOURCES:' || chr(10) || chr(10) || src || chr(10) || chr(10) || 'END OF SOURCES', ''), h, 'user: ' || question)) AS digest
+  FROM plan_ LEFT JOIN blk USING (conv_id, turn) LEFT JOIN hist USING (conv_id, turn) WHERE NOT too_long"""
 ORACLES["latest_threads"] = """WITH t AS (SELECT conv_id AS id, CASE WHEN conv_id % 3 > 0 THEN 'w' || (conv_id % 3) ELSE 'default' END AS workspace, arg_min(text, turn) AS f, max(turn) AS updated_at FROM conversations GROUP BY conv_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY updated_at DESC, id DESC) AS n FROM t)
   SELECT workspace, id, CASE WHEN length(f) > 40 THEN left(f, 40) || '…' ELSE f END AS title, updated_at FROM r WHERE n = 1"""

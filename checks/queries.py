@@ -633,10 +633,13 @@ def history_plan_free(spark, sf):
 
 @query
 def prompt_table(spark, sf):
+    """The prompt of every user turn: the conversation's document sampled under what its history leaves."""
     plan, kept = conversations.plan_turns(I.table(spark, sf, "conversations"), 4096, 300)
     docs = I.texts(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "text")
-    spread = selection.spread_documents(docs, F.lit(BUDGET), "conv_id").select(
+    asked = plan.where("not too_long").select("conv_id", "turn", "source_budget")
+    spread = selection.spread_documents(docs.join(asked, "conv_id"), F.col("source_budget"), ["conv_id", "turn"]).select(
         "conv_id",
+        "turn",
         F.col("chunk_idx").alias("source_order"),
         conversations.source_block(
             F.col("source_id"), F.lit(None).cast("string"), F.col("page").cast("string"), F.col("section"), F.col("text")
@@ -644,7 +647,7 @@ def prompt_table(spark, sf):
     )
     table = conversations.prompt_table(plan, kept, spread, "Answer from the sources.")
     shown = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n---\n")
-    return table.select("conv_id", F.size("messages").alias("messages"), F.md5(shown).alias("digest"))
+    return table.select("conv_id", "turn", F.size("messages").alias("messages"), F.md5(shown).alias("digest"))
 
 
 @query

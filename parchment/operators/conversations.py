@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.citations import strip_citations
 from parchment.functions.text import thread_title, token_estimate
-from parchment.operators.scan import carry_last
+from parchment.operators.scan import carry_last, dense_index
 
 ANSWER_RESERVE = 768
 SAFETY_MARGIN = 96
@@ -40,14 +40,16 @@ def plan_turns(
     conversation: str = "conv_id",
     turn: str = "turn",
 ) -> tuple[DataFrame, DataFrame]:
-    """(plan per conversation, kept turns) for the newest question of every conversation: its last user
-    turn, which answers that came later don't displace. Conversations without a user turn have none.
-
-    Turns need ``role``, ``text`` and may have ``error`` and ``abstained``. A kept turn costs at
-    least five tokens, so no more than ``context_window / 5`` of them can matter: each task passes
-    on that many rows per conversation, and older turns are only counted.
+    """(plan per user turn, kept turns of each plan): every question with the turns before it, newest first,
+    as far as its budget goes. The plan's ``turn`` is the question's, and so is that of a kept turn.
+
+    Turns need ``role``, ``text`` and may have ``error`` and ``abstained``; turns without text or number are
+    passed over. A kept turn costs at least five tokens, so a question looks back on no more than
+    ``context_window / 5`` of them. Places along a conversation are dense numbers; questions meet the costs before
+    them in blocks of those, into which the last turns of the block before are copied, so a conversation with
+    most of all turns is spread. Texts of kept turns are looked up by their place.
     """
-    usable = F.coalesce(F.col("text"), F.lit("")) != ""
+    usable = (F.coalesce(F.col("text"), F.lit("")) != "") & F.col(turn).isNotNull()
     for flag in ("error", "abstained"):
         if flag in turns.columns:
             usable = usable & ~F.coalesce(F.col(flag), F.lit(False))
@@ -57,42 +59,55 @@ def plan_turns(
         "role",
         F.when(F.col("role") == "assistant", strip_citations(F.col("text"))).otherwise(F.col("text")).alias("text"),
     )
-    asked = cleaned.where(F.col("role") == "user").groupBy(conversation).agg(F.max(turn).alias("_asked"))
-    cleaned = cleaned.join(asked, conversation).where(F.col(turn) <= F.col("_asked")).drop("_asked")
+    placed = dense_index(cleaned, [conversation], [turn, "role", "text"], "at", F.floor(F.col(turn) / TURNS_PER_BLOCK))
     most = HISTORY_TURNS.get(mode, 2) if with_document else context_window // 5
-    newest = Window.partitionBy(conversation).orderBy(F.desc(turn))
-    recent = cleaned.withColumn("age", F.row_number().over(newest) - 1).where(F.col("age") <= most)
-    current = recent.where("age = 0").select(
-        conversation,
-        F.col("text").alias("question"),
-        (
-            F.lit(context_window - ANSWER_RESERVE - SAFETY_MARGIN - system_tokens) - token_estimate(F.col("text"))
-        ).alias("budget"),
-    )
-    history_budget = F.floor(F.col("budget") * HISTORY_SHARE) if with_document else F.col("budget")
-    priced = recent.where("age > 0").join(current.drop("question"), conversation)
-    spent = F.sum(token_estimate(F.col("text")) + 4).over(
-        Window.partitionBy(conversation).orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    # Costs are positive: the running sum passes the budget once and for all at the first misfit.
-    kept = priced.withColumn("spent", spent).where(F.col("spent") <= history_budget).drop("budget")
-    used = kept.groupBy(conversation).agg(F.count("*").alias("kept_turns"), F.max("spent").alias("used"))
-    counted = cleaned.groupBy(conversation).agg((F.count("*") - 1).alias("earlier"))
-    left = F.col("budget") - F.coalesce("used", F.lit(0)) - FURTHER_RESERVE
-    plan = (
-        current.join(counted, conversation)
-        .join(used, conversation, "left")
-        .select(
-            conversation,
-            "question",
-            "budget",
-            F.coalesce("kept_turns", F.lit(0)).alias("kept_turns"),
-            (F.col("earlier") - F.coalesce("kept_turns", F.lit(0))).alias("dropped_turns"),
-            F.greatest(F.lit(0), left).alias("source_budget"),
-            (F.col("budget") < 0).alias("too_long"),
+    size = max(TURNS_PER_BLOCK, most)
+    tokens = token_estimate(F.col("text"))
+    question = F.when(F.col("role") == "user", F.col("text"))
+    rows = placed.select(conversation, turn, "at", F.floor(F.col("at") / size).alias("block"), tokens.alias("tokens"), question.alias("question"))
+    if most:
+        borders = rows.where(F.col("at") % size >= size - most).withColumn("block", F.col("block") + 1)
+        rows = rows.unionByName(borders.withColumn("question", F.lit(None).cast("string")))
+        before = Window.partitionBy(conversation, "block").orderBy("at").rowsBetween(-most, -1)
+        costs = F.reverse(F.collect_list(F.col("tokens") + 4).over(before))
+    else:
+        costs = F.array().cast("array<int>")
+    budget = F.lit(context_window - ANSWER_RESERVE - SAFETY_MARGIN - system_tokens) - F.col("tokens")
+    history_budget = F.floor(budget * HISTORY_SHARE) if with_document else budget
+
+    def step(state: Column, cost: Column) -> Column:
+        # Costs are positive: at the first misfit the sum stays beyond the budget.
+        spent = state["spent"] + cost
+        fits = spent <= history_budget
+        return F.struct(
+            spent.alias("spent"),
+            (state["n"] + fits.cast("int")).alias("n"),
+            F.when(fits, spent).otherwise(state["used"]).alias("used"),
         )
+
+    start = F.struct(F.lit(0).alias("spent"), F.lit(0).alias("n"), F.lit(0).alias("used"))
+    planned = (
+        rows.withColumn("costs", costs)
+        .where(F.col("question").isNotNull())
+        .withColumn("held", F.aggregate("costs", start, step))
+        .withColumn("budget", budget)
     )
-    return plan, kept.drop("spent")
+    left = F.col("budget") - F.col("held.used") - FURTHER_RESERVE
+    plan = planned.select(
+        conversation,
+        turn,
+        "at",
+        "question",
+        "budget",
+        F.col("held.n").alias("kept_turns"),
+        (F.col("at") - F.col("held.n")).alias("dropped_turns"),
+        F.greatest(F.lit(0), left).alias("source_budget"),
+        (F.col("budget") < 0).alias("too_long"),
+    )
+    wanted = plan.where("kept_turns > 0").select(conversation, turn, "at", F.explode(F.sequence(F.lit(1), "kept_turns")).alias("age"))
+    wanted = wanted.withColumn("at", F.col("at") - F.col("age"))
+    kept = wanted.join(placed.select(conversation, "at", "role", "text"), [conversation, "at"]).drop("at")
+    return plan.drop("at"), kept
 
 
 def source_block(source_id: Column, file: Column, page: Column, section: Column, text: Column) -> Column:
@@ -117,28 +132,31 @@ def prompt_table(
     system: str,
     conversation: str = "conv_id",
     examples: Column | None = None,
+    turn: str = "turn",
 ) -> DataFrame:
-    """One row per prompt: system text with sources, kept turns oldest first, question.
+    """One row per planned question: system text with sources, kept turns oldest first, question.
 
-    Gathers at most the kept turns and the picked sources of a conversation, both budgeted.
+    ``sources`` (conversation, turn, source_order, block) were picked under the plan's ``source_budget``. Gathers
+    at most the kept turns and the picked sources of a question, both budgeted.
     """
-    history = kept.groupBy(conversation).agg(
+    keys = [conversation, turn]
+    history = kept.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("age")).alias("at"), "role", "text"))),
             lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")),
         ).alias("history")
     )
-    rows = plan.where(~F.col("too_long")).join(history, conversation, "left")
+    rows = plan.where(~F.col("too_long")).join(history, keys, "left")
     system_text = F.lit(system)
     if examples is not None:
         system_text = F.concat(system_text, examples)
     if sources is not None:
-        blocks = sources.groupBy(conversation).agg(
+        blocks = sources.groupBy(*keys).agg(
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(F.struct("source_order", "block"))), lambda b: b["block"]), "\n\n"
             ).alias("blocks")
         )
-        rows = rows.join(blocks, conversation, "left")
+        rows = rows.join(blocks, keys, "left")
         system_text = F.concat(
             system_text,
             F.when(
@@ -148,7 +166,7 @@ def prompt_table(
         )
     message = "array<struct<role:string,content:string>>"
     return rows.select(
-        conversation,
+        *keys,
         F.concat(
             F.array(F.struct(F.lit("system").alias("role"), system_text.alias("content"))),
             F.coalesce("history", F.array().cast(message)),

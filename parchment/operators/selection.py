@@ -100,8 +100,8 @@ def select_spread(chunks: DataFrame, scope: list[str], budget: Column, text: str
     )
 
 
-def spread_documents(documents: DataFrame, budget: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``select_spread`` for documents in one row each: positions are chosen on the array of passages
+def spread_documents(documents: DataFrame, budget: Column, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
+    """``select_spread`` for documents in one row per ``key``, each under its own ``budget``: positions are chosen on the array of passages
     before any is made a row, so nothing is shuffled."""
 
     def positions(chunks: Column) -> Column:
@@ -132,8 +132,9 @@ def spread_documents(documents: DataFrame, budget: Column, key: str = "doc_id",
 
         return F.when(F.size(chunks) > 0, bound(positions(chunks), taken))
 
-    picked = documents.select(key, F.explode_outer(bound(document_chunks(F.col(text)), chosen)).alias("c"))
-    return picked.where(F.col("c").isNotNull()).select(key, "c.chunk_idx", "c.row.*", "c.source_id")
+    keys = [key] if isinstance(key, str) else key
+    picked = documents.select(*keys, F.explode_outer(bound(document_chunks(F.col(text)), chosen)).alias("c"))
+    return picked.where(F.col("c").isNotNull()).select(*keys, "c.chunk_idx", "c.row.*", "c.source_id")
 
 
 def rank_for_extraction(

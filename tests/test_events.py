@@ -186,30 +186,72 @@ def test_turn_planning(spark):
     history = [("assistant" if i % 2 else "user", "y" * 300, False) for i in range(30)]
     df = turns(spark, *history, ("assistant", "nothing found", True), ("user", "latest question", False))
     plan, kept = conversations.plan_turns(df, 4096, 300)
-    p = plan.first()
+    last = lambda plan: max(plan.collect(), key=lambda r: r.turn)
+    texts = lambda kept, at: {r.text for r in kept.where(F.col("turn") == at).collect()}
+    p = last(plan)
+    assert plan.count() == 16
     assert (p.question, p.kept_turns, p.dropped_turns, p.too_long) == ("latest question", 2, 28, False)
     assert p.source_budget > 1500 and "nothing found" not in {r.text for r in kept.collect()}
-    assert conversations.plan_turns(df, 4096, 300, mode="summary")[0].first().kept_turns == 0
-    assert conversations.plan_turns(df, 4096, 300, with_document=False)[0].first().kept_turns > 2
+    assert last(conversations.plan_turns(df, 4096, 300, mode="summary")[0]).kept_turns == 0
+    assert last(conversations.plan_turns(df, 4096, 300, with_document=False)[0]).kept_turns > 2
     cited = turns(spark, ("user", "q1", False), ("assistant", "Cap is 5 [~S1].", False), ("user", "q2", False))
-    assert {r.text for r in conversations.plan_turns(cited, 4096, 300)[1].collect()} == {"q1", "Cap is 5."}
+    plan, kept = conversations.plan_turns(cited, 4096, 300)
+    first = min(r.turn for r in plan.collect())
+    assert texts(kept, last(plan).turn) == {"q1", "Cap is 5."} and texts(kept, first) == set()
     answered = turns(spark, ("user", "q1", False), ("assistant", "a1", False), ("user", "q2", False), ("assistant", "a2", False))
-    p, kept = conversations.plan_turns(answered, 4096, 300)
-    assert (p.first().question, {r.text for r in kept.collect()}) == ("q2", {"q1", "a1"})
+    plan, kept = conversations.plan_turns(answered, 4096, 300)
+    assert (last(plan).question, texts(kept, last(plan).turn)) == ("q2", {"q1", "a1"})
     long = turns(spark, ("user", "z" * 20000, False))
     assert conversations.plan_turns(long, 4096, 300, with_document=False)[0].first().too_long
 
 
+def test_every_question_of_a_hot_conversation(spark, monkeypatch):
+    """Half of all turns in one conversation, blocks shorter than it, against a walk over lists."""
+    import random
+
+    monkeypatch.setattr(conversations, "TURNS_PER_BLOCK", 16)
+    rng = random.Random(2)
+    rows = []
+    for conv in range(12):
+        for turn in range(400 if conv == 3 else rng.randint(0, 50)):
+            role = rng.choice(["user", "assistant", "system"])
+            rows.append((conv, turn * 3 + rng.randint(0, 2), role, "w" * rng.choice([0, 1, 40, 700, 5000])))
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(4)
+    for window, with_document in ((2048, False), (1500, True)):
+        plan, kept = conversations.plan_turns(df, window, 300, with_document)
+        expected, back = [], []
+        for conv in range(12):
+            mine = sorted((t, role, text) for c, t, role, text in rows if c == conv and text)
+            for at, (t, role, text) in enumerate(mine):
+                if role != "user":
+                    continue
+                budget = window - 768 - 96 - 300 - -(-len(text) // 3)
+                room, used, n = (budget // 4 if with_document else budget), 0, 0
+                for _, _, earlier in reversed(mine[:at]):
+                    cost = -(-len(earlier) // 3) + 4
+                    if used + cost > room or (with_document and n == 2):
+                        break
+                    used, n = used + cost, n + 1
+                expected.append((conv, t, len(text), budget, n, at - n, max(0, budget - used - 40), budget < 0))
+                back += [(conv, t, k + 1, mine[at - k - 1][1], len(mine[at - k - 1][2])) for k in range(n)]
+        got = [(r.conv_id, r.turn, len(r.question), r.budget, r.kept_turns, r.dropped_turns, r.source_budget, r.too_long) for r in plan.collect()]
+        assert sorted(got) == sorted(expected)
+        assert sorted((r.conv_id, r.turn, r.age, r.role, len(r.text)) for r in kept.collect()) == sorted(back)
+
+
 def test_prompt_rows(spark):
     df = turns(spark, ("user", "q1", False), ("assistant", "a1", False), ("user", "q2", False))
     plan, kept = conversations.plan_turns(df, 4096, 300)
-    source = spark.createDataFrame([(1, 1, "S1", "4", "12. Liability", "cap")], "conv_id int, source_order int, s string, p string, sec string, t string").select(
-        "conv_id", "source_order",
+    at = max(r.turn for r in plan.collect())
+    source = spark.createDataFrame([(1, at, 1, "S1", "4", "12. Liability", "cap")], "conv_id int, turn int, source_order int, s string, p string, sec string, t string").select(
+        "conv_id", "turn", "source_order",
         conversations.source_block(F.col("s"), F.lit(None).cast("string"), F.col("p"), F.col("sec"), F.col("t")).alias("block"),
     )
-    m = conversations.prompt_table(plan, kept, source, "SYSTEM").first().messages
+    rows = {r.turn: r.messages for r in conversations.prompt_table(plan, kept, source, "SYSTEM").collect()}
+    m = rows[at]
     assert [x.role for x in m] == ["system", "user", "assistant", "user"]
     assert "[S1] (p. 4 · 12. Liability)\ncap" in m[0].content and m[-1].content == "q2"
+    assert [x.content for x in rows[min(rows)]] == ["SYSTEM", "q1"]
 
 
 def test_records(spark):
