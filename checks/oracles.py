@@ -484,8 +484,15 @@ ORACLES["grounded_answers"] = f"""WITH {ANSWERS} SELECT answer_id,
     '' AS unsupported,
     CASE WHEN abst THEN 'The document does not mention the amount.' ELSE 'The Customer shall pay ' || sum_ || ' within thirty (30) days'
       || CASE WHEN s9 THEN ' [S9]' WHEN bare THEN ' [~S1]' ELSE ' [S1]' END || '. Late sums bear interest [~S1].' END AS content FROM plain"""
-ORACLES["quote_support"] = f"""WITH d AS MATERIALIZED (SELECT doc_id, {haystack('text')} AS h FROM documents), b AS MATERIALIZED (SELECT item_id, {haystack('text')} AS q FROM benchmark)
-  SELECT item_id, doc_id FROM b, d WHERE contains(h, q) AND (starts_with(h, q) OR contains(h, ' ' || q))"""
+ORACLES["quote_support"] = f"""WITH d AS MATERIALIZED (SELECT doc_id, {haystack('text')} AS h FROM documents),
+  w AS (SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS w FROM benchmark),
+  v AS (SELECT item_id, 'whole' AS variant, text FROM w
+    UNION ALL SELECT item_id, 'altered', array_to_string([CASE WHEN i = 6 THEN 'changed' ELSE w[i] END FOR i IN range(1, len(w) + 1)], ' ') FROM w
+    UNION ALL SELECT item_id, 'cut', array_to_string(w[4:(len(w) - 3)], ' ') FROM w
+    UNION ALL SELECT item_id, 'short', array_to_string(w[1:(item_id % 3 + 1)], ' ') FROM w),
+  q AS MATERIALIZED (SELECT item_id, variant, q, string_split(q, ' ') AS w FROM (SELECT item_id, variant, {haystack('text')} AS q FROM v) WHERE trim(q) <> ''),
+  g AS MATERIALIZED (SELECT *, [array_to_string(w[i:(i + 3)], ' ') FOR i IN range(1, len(w) - 2)] AS parts FROM q)
+  SELECT item_id, variant, doc_id FROM g, d WHERE contains(h, q) OR (len(parts) > 0 AND len(list_filter(parts, lambda x: contains(h, x))) / len(parts) >= 0.9)"""
 ORACLES["relevance"] = f"""WITH {VEC}, p AS (SELECT a.vec_id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
       * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
   , s AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN sim ELSE 1.0 END AS sim FROM p)

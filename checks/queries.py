@@ -24,6 +24,7 @@ from parchment.operators import (
     pages,
     pii,
     quota,
+    quotes,
     router,
     search,
     selection,
@@ -496,33 +497,18 @@ def conversation_grounding(spark, sf):
 
 @query
 def quote_support(spark, sf):
-    """First sentence of each benchmark item as a quote in the documents of its language source."""
-    docs = I.texts(spark, sf, "documents").select("doc_id", C.haystack_form(F.col("text")).alias("haystack"))
-    quotes = I.table(spark, sf, "benchmark").select("item_id", C.haystack_form(F.col("text")).alias("quote"))
-    # Documents that hold a quote's first four words hold its first shingle: an equi join finds them.
-    first = lambda words: F.array_join(F.slice(words, 1, 4), " ")
-    quotes = quotes.withColumn("key", first(F.split("quote", " ")))
-    words = docs.select("doc_id", F.split("haystack", " ").alias("w"))
-    keyed = words.select(
-        "doc_id",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")
-                )
-            )
-        ).alias("key"),
-    )
-    # Only keys meet; the texts come back for the pairs that are left.
-    small = F.broadcast(quotes) if _small(quotes) else quotes
-    pairs = keyed.join(small, "key").select("doc_id", "item_id", "quote").join(docs, "doc_id")
-    return pairs.where(F.contains("haystack", F.col("quote"))).select("item_id", "doc_id")
-
-
-def _small(df):
-    from parchment.session import fits_broadcast
-
-    return fits_broadcast(df)
+    """Benchmark items as quotes in all documents: whole, with one word changed, cut at both ends, and
+    their first one to three words."""
+    items = I.table(spark, sf, "benchmark").select("item_id", "text", F.split("text", r"\s+").alias("w"))
+    joined = lambda words: F.array_join(words, " ")
+    variants = F.create_map(
+        F.lit("whole"), F.col("text"),
+        F.lit("altered"), joined(F.transform("w", lambda x, i: F.when(i == 5, F.lit("changed")).otherwise(x))),
+        F.lit("cut"), joined(F.slice("w", 4, F.greatest(F.size("w") - 6, F.lit(0)))),
+        F.lit("short"), joined(F.slice("w", F.lit(1), (F.col("item_id") % 3 + 1).cast("int"))),
+    )
+    asked = items.select("item_id", F.explode(variants).alias("variant", "text"))
+    return quotes.quoted_in(I.texts(spark, sf, "documents"), asked, ["doc_id"], ["item_id", "variant"])
 
 
 @query
