@@ -201,6 +201,7 @@ def bm25_ctes(passages: str, keys: str, queries: str, limit: int = 20) -> str:
 BENCH = "bench AS (SELECT item_id AS query_id, text FROM benchmark)"
 BM25 = f"{BENCH}, {DOC_CHUNKS}, {bm25_ctes('chunks_', 'doc_id, chunk_idx', 'bench')}"
 ORACLES["bm25_topk"] = f"WITH {BM25} SELECT query_id, doc_id, chunk_idx, round(score, 5) AS score, lexical_rank FROM hits"
+ORACLES["indexed_search"] = ORACLES["bm25_topk"]
 WORDINGS = ["urgent interest", "sums of high orders", "medium orders per year", "pay urgent sums late"]
 WEIGHTED = f"""{CONTRACT}, {chunk_ctes('contract')},
   weighted AS (SELECT doc_id, chunk_idx, CASE WHEN section IS NULL THEN text ELSE repeat(section || chr(10), 3) || text END AS text FROM chunks_),

@@ -20,6 +20,7 @@ from parchment.operators import (
     evals,
     feedback,
     figures,
+    keyword_index,
     metrics,
     pages,
     pii,
@@ -31,7 +32,7 @@ from parchment.operators import (
     vectors,
     verify,
 )
-from parchment.session import broadcast_if_small
+from parchment.session import broadcast_if_small, work_dir
 from parchment.sources import files, records
 
 CHUNK_KEYS = ["doc_id", "chunk_idx"]
@@ -187,6 +188,19 @@ def bm25_topk(spark, sf):
     return hits.select("query_id", *CHUNK_KEYS, F.round("score", 5).alias("score"), "lexical_rank")
 
 
+@query
+def indexed_search(spark, sf):
+    """The same search on a stored index that was built over the even documents, every fourth of them in an
+    old version, and then given the others and the present versions."""
+    docs = I.texts(spark, sf, "documents").select("doc_id", "text")
+    old = docs.where("doc_id % 4 = 0").withColumn("text", F.concat(F.lit("Superseded draft. "), F.reverse("text"), "text"))
+    index = keyword_index.KeywordIndex(spark, work_dir(spark, "keyword-index"))
+    index.build(chunking.chunk_documents(docs.where("doc_id % 4 = 2").unionByName(old)))
+    index.add(chunking.chunk_documents(docs.where("doc_id % 4 <> 2")))
+    hits = index.find(_benchmark_queries(spark, sf)).hits
+    return hits.select("query_id", *CHUNK_KEYS, F.round("score", 5).alias("score"), "lexical_rank")
+
+
 WORDINGS = ["urgent interest", "sums of high orders", "medium orders per year", "pay urgent sums late"]
 
 
