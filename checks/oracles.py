@@ -631,6 +631,20 @@ ORACLES["daily_usage"] = f"WITH {DATED} {USAGE}"
 ORACLES["quota_decisions"] = f"""WITH {DATED}, n AS (SELECT *, CASE WHEN user_id % 4 <> 3 THEN user_id % 4 + 1 END AS lim, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS n FROM dated)
   SELECT event_id, lim IS NULL OR n <= lim AS accepted, CASE WHEN lim IS NULL THEN n ELSE least(n, lim) END AS used, CASE WHEN lim IS NOT NULL THEN greatest(0, lim - least(n, lim)) END AS left_today,
     CASE WHEN lim IS NOT NULL THEN greatest(0, lim - least(n, lim)) <= 3 END AS warn FROM n"""
+PRICED = [f"{plan}_{interval}ly" for plan, interval, _ in dims.PRICES] + ["unlisted"]
+LIMIT = "CASE plan WHEN 'free' THEN 1 WHEN 'pro' THEN 3 END"
+ORACLES["quota_plan_changes"] = f"""WITH RECURSIVE {DATED},
+  sn AS (SELECT event_id, ts, user_id, 'sub_' || user_id || '_' || (event_id % 3) AS sub,
+    CASE WHEN event_type IN ('signup', 'purchase', 'view') THEN CASE split_part({_list(PRICED)}[event_id % {len(PRICED)} + 1], '_', 1) WHEN 'unlisted' THEN NULL ELSE split_part({_list(PRICED)}[event_id % {len(PRICED)} + 1], '_', 1) END END AS plan FROM events),
+  hd AS (SELECT *, last_value(CASE WHEN plan IS NOT NULL THEN sub END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM sn),
+  ch AS (SELECT user_id, ts, event_id, coalesce(plan, 'free') AS plan FROM hd WHERE plan IS NOT NULL OR sub = held),
+  un AS (SELECT user_id, ts, event_id, 1 AS kind, NULL::VARCHAR AS plan, day FROM dated UNION ALL SELECT user_id, ts, event_id, 0, plan, NULL::DATE FROM ch),
+  ms AS (SELECT * FROM (SELECT *, coalesce(last_value(plan IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'free') AS now FROM un) WHERE kind = 1),
+  nb AS (SELECT event_id, user_id, day, {LIMIT.replace("plan", "now")} AS lim, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS n FROM ms),
+  wq AS (SELECT event_id, user_id, day, n, lim, lim IS NULL OR 0 < lim AS accepted, CASE WHEN lim IS NULL OR 0 < lim THEN 1 ELSE 0 END AS used FROM nb WHERE n = 1
+    UNION ALL SELECT x.event_id, x.user_id, x.day, x.n, x.lim, x.lim IS NULL OR w.used < x.lim, w.used + CASE WHEN x.lim IS NULL OR w.used < x.lim THEN 1 ELSE 0 END
+    FROM wq w JOIN nb x ON x.user_id = w.user_id AND x.day = w.day AND x.n = w.n + 1)
+  SELECT event_id, lim AS "limit", accepted, used FROM wq"""
 ORACLES["rate_limited"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
   r AS (SELECT event_id, user_id, n, true AS accepted, [ts] AS held FROM e WHERE n = 1
     UNION ALL SELECT event_id, user_id, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END FROM (

@@ -776,6 +776,20 @@ def quota_decisions(spark, sf):
     return d.select("event_id", "accepted", "used", left.alias("left_today"), warn.alias("warn"))
 
 
+PLAN_LIMITS = {"free": 1, "pro": 3, "business": None}
+
+
+@query
+def quota_plan_changes(spark, sf):
+    """Messages under the plan their user has at that moment, which changes several times a day."""
+    changes = billing.plan_changes(I.snapshots(spark, sf))
+    limits = F.create_map(*[F.lit(x).cast(t) for p, n in PLAN_LIMITS.items() for x, t in ((p, "string"), (n, "int"))])
+    changes = changes.select(F.col("customer_id").alias("user_id"), "ts", "event_id", limits[F.col("plan")].alias("daily_messages"))
+    sent = _dated(spark, sf).withColumn("daily_messages", F.lit(PLAN_LIMITS["free"]))
+    d = quota.take_messages(quota.limits_in_force(sent, changes), since="since")
+    return d.select("event_id", F.col("daily_messages").alias("limit"), "accepted", "used")
+
+
 @query
 def rate_limited(spark, sf):
     hits = I.table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", "event_id")

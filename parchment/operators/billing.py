@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment import dims
+from parchment.operators.scan import carry_last
+
+SECONDS_PER_BLOCK = 6 * 3600
 
 SUBSCRIPTION_EVENTS = [
     "customer.subscription.created",
@@ -81,3 +84,20 @@ def subscription_state(snapshots: DataFrame, prefix: str = "", customer: str = "
         pick("period_end").alias("renews_at"),
         F.when(in_force, current["cancels"]).otherwise(False).alias("cancel_at_period_end"),
     )
+
+
+def plan_changes(snapshots: DataFrame, prefix: str = "", customer: str = "customer_id") -> DataFrame:
+    """(customer, ts, event_id, plan) of every snapshot after which another plan may hold: each live one sets
+    its plan, and one that is not live ends the subscription that was set last, unless it names another.
+
+    The last row of a customer has the plan of ``subscription_state``; customers without a row are on "free".
+    """
+    priced = snapshots.join(F.broadcast(dims.prices(snapshots.sparkSession, prefix)), "lookup_key", "left")
+    live = F.coalesce(F.col("status").isin(dims.LIVE_STATUSES), F.lit(False)) & F.col("plan").isNotNull()
+    narrow = priced.select(customer, "ts", "event_id", "subscription_id", F.when(live, F.col("plan")).alias("plan"))
+    block = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / SECONDS_PER_BLOCK)
+    held = F.when(F.col("plan").isNotNull(), F.struct("subscription_id"))
+    seen = carry_last(narrow, [customer], ["ts", "event_id"], held, "held", block, before=True)
+    ends = F.col("held").isNotNull() & F.col("subscription_id").eqNullSafe(F.col("held.subscription_id"))
+    changes = seen.where(F.col("plan").isNotNull() | ends)
+    return changes.select(customer, "ts", "event_id", F.coalesce("plan", F.lit("free")).alias("plan"))

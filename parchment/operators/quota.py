@@ -38,6 +38,32 @@ def daily_usage(messages: DataFrame, user: str = "user_id", day: str = "day") ->
     return messages.groupBy(user, day).agg(F.count("*").alias("messages"))
 
 
+def limits_in_force(
+    messages: DataFrame,
+    changes: DataFrame,
+    user: str = "user_id",
+    ts: str = "ts",
+    event: str = "event_id",
+    limit: str = "daily_messages",
+    seconds_per_block: int = 6 * 3600,
+) -> DataFrame:
+    """Messages with the ``limit`` of the last of the ``changes`` (user, ts, event, limit) up to their time, and ``since``,
+    which names that change. Before the first change a message keeps its own ``limit``.
+
+    An as-of join without a join of pairs: both tables go through one ordered scan in blocks of time.
+    """
+    change = changes.select(user, ts, event, F.struct(F.col(limit).alias("limit"), ts, event).alias("_change"))
+    # A change counts for messages of the same instant.
+    both = messages.withColumn("_kind", F.lit(1)).unionByName(change.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    block = F.floor(F.unix_seconds(_instant(ts)) / seconds_per_block)
+    seen = carry_last(both, [user], [ts, "_kind", event], F.col("_change"), "_held", block).where("_kind = 1")
+    held = F.col("_held").isNotNull()
+    name = F.concat_ws("|", F.unix_micros(F.col(f"_held.{ts}").cast("timestamp")), F.col(f"_held.{event}"))
+    return seen.withColumns(
+        {limit: F.when(held, F.col("_held.limit")).otherwise(F.col(limit)), "since": F.when(held, name).otherwise("")}
+    ).drop("_kind", "_change", "_held")
+
+
 def take_messages(
     messages: DataFrame,
     user: str = "user_id",
@@ -46,24 +72,49 @@ def take_messages(
     event: str = "event_id",
     limit: str = "daily_messages",
     earlier: DataFrame | None = None,
+    since: str | None = None,
 ) -> DataFrame:
     """Adds ``accepted`` and ``used`` (after the message). A null limit accepts everything.
 
-    Refused messages do not count, so a message's number within its day decides. Numbers come from
-    ten-minute blocks with summed offsets: one user's day is not one task. The limit is fixed
-    within a day. ``earlier`` holds messages already asked for, as (user, day, messages).
+    Refused messages do not count. While one limit holds, a message's number decides; numbers come from
+    ten-minute blocks with summed offsets, so one user's day is not one task. Where the limit changes during a
+    day, ``since`` names the change (never null) under which a message was sent: ``n`` messages under a limit
+    lead from ``c`` accepted ones to ``max(c, min(c + n, limit))``, and these steps, one for each change in a
+    user's day, are composed in order. ``earlier`` holds messages accepted before, as (user, day, messages).
     """
     block = F.floor(F.unix_seconds(_instant(ts)) / 600)
-    numbered = dense_index(messages, [user, day], [ts, event], "_n", block)
-    before = F.lit(0)
+    keys = [user, day] + ([since] if since else [])
+    numbered = dense_index(messages, keys, [ts, event], "_n", block)
+    before = F.lit(0).cast("long")
     if earlier is not None:
-        numbered = numbered.join(earlier.select(user, day, F.col("messages").alias("_before")), [user, day], "left")
-        before = F.coalesce("_before", F.lit(0))
+        earlier = earlier.select(user, day, F.col("messages").alias("_earlier"))
+    if since:
+        runs = numbered.groupBy(*keys).agg(F.min(F.struct(ts, event)).alias("at"), F.count("*").alias("n"), F.max(limit).alias("limit"))
+        days = runs.groupBy(user, day).agg(F.array_sort(F.collect_list(F.struct("at", since, "n", "limit"))).alias("runs"))
+        if earlier is not None:
+            days = days.join(earlier, [user, day], "left")
+            before = F.coalesce("_earlier", before)
+        entry = f"array<struct<{since}:string,_before:bigint>>"
+
+        def step(state: Column, run: Column) -> Column:
+            count, top = state["count"], state["count"] + run["n"]
+            after = F.when(run["limit"].isNull(), top).otherwise(F.greatest(count, F.least(top, run["limit"].cast("long"))))
+            seen = F.array_append(state["seen"], F.struct(run[since].alias(since), count.alias("_before")))
+            return F.struct(after.alias("count"), seen.alias("seen"))
+
+        start = F.struct(before.alias("count"), F.array().cast(entry).alias("seen"))
+        offsets = days.select(user, day, F.inline(F.aggregate("runs", start, step)["seen"]))
+        numbered = numbered.join(offsets, keys)
+        before = F.col("_before")
+    elif earlier is not None:
+        numbered = numbered.join(earlier, [user, day], "left")
+        before = F.coalesce("_earlier", before)
     n = F.col("_n") + 1 + before
+    reached = F.greatest(before, F.least(n, F.col(limit).cast("long")))
     return (
         numbered.withColumn("accepted", F.col(limit).isNull() | (n <= F.col(limit)))
-        .withColumn("used", F.least(n, F.col(limit).cast("long")))
-        .drop("_n", "_before")
+        .withColumn("used", F.when(F.col(limit).isNull(), n).otherwise(reached))
+        .drop("_n", "_before", "_earlier")
     )
 
 
