@@ -40,22 +40,21 @@ def kmers(text: Column, k: int = K) -> Column:
     return F.transform(F.array(F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))), cut)[0]
 
 
-def _bits(n: Column) -> Column:
-    return F.length(F.bin(n))
-
-
 def numbered(hashes: Column) -> Column:
     """Every k-mer with the number of its occurrence hashed in, and its place in the low bits; places
     of texts with more k-mers than fit there are cut to the first of their bits."""
 
     def packed(h: Column, at: Column, number: Column, n: Column) -> Column:
-        place = F.call_function("shiftright", at.cast("long"), F.greatest(_bits(n) - PLACE_BITS, F.lit(0)))
+        over = F.when(n <= 1 << PLACE_BITS, 0).otherwise(F.length(F.bin(n)) - PLACE_BITS)
+        place = F.call_function("shiftright", at.cast("long"), over)
         return F.xxhash64(h, number).bitwiseAND(F.lit(~PLACE)).bitwiseOR(place)
 
+    def low(h: Column) -> Column:
+        return F.when(F.size(h) <= 1 << 20, F.lit((1 << 20) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
+
     def runs(order: Column, h: Column) -> Column:
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(F.size(h))) - 1
-        place = lambda j: F.get(order, j).bitwiseAND(low).cast("int")
-        head = lambda j: F.get(order, j).bitwiseAND(F.bitwise_not(low))
+        place = lambda j: F.get(order, j).bitwiseAND(low(h)).cast("int")
+        head = lambda j: F.get(order, j).bitwiseAND(F.bitwise_not(low(h)))
         starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda j: (j == 0) | (head(j) != head(j - 1)))
         number = lambda s: F.flatten(
             F.transform(
@@ -66,14 +65,14 @@ def numbered(hashes: Column) -> Column:
                 ),
             )
         )
-        alone = F.transform(h, lambda x, i: packed(x, i, F.lit(0), F.size(h)))
-        return F.transform(F.array(starts), lambda s: F.when(F.size(s) == F.size(h), alone).otherwise(number(s)))[0]
+        return F.transform(F.array(starts), number)[0]
 
     def of(h: Column) -> Column:
         # Sorted with the place in the low bits, equal k-mers stand together in the order of the text.
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(F.size(h))) - 1
-        order = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-        return F.transform(F.array(order), lambda o: runs(o, h))[0]
+        order = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low(h))).bitwiseOR(i.cast("long"))))
+        alone = F.transform(h, lambda x, i: packed(x, i, F.lit(0), F.size(h)))
+        repeated = F.transform(F.array(order), lambda o: runs(o, h))[0]
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), alone).otherwise(repeated)
 
     return F.transform(F.array(hashes), of)[0]
 
@@ -167,7 +166,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     around = _neighbours(texts)
     keys = ["k", "z", "salt"]
     source = around.withColumn("salt", of_text(F.col("mark")))
-    arriving = texts.join(source, keys).where(F.xxhash64("text") == F.col("mark"))
+    # Written so that the mark is no join key: both joins then share one exchange of the texts.
+    arriving = texts.join(source, keys).where(F.xxhash64("text").bitwiseXOR(F.col("mark")) == 0)
     heads = (
         arriving.select(F.col("pk").alias("k"), F.col("pz").alias("z"), salts_in("salts").alias("salt"), F.expr("left(text, half)").alias("head"))
         .groupBy(*keys)
