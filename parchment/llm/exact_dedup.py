@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from parchment.llm.common import BROADCAST_KEYS, ascii_lower, checkpoint, drop_rows, salt_of, salt_set, salts_in, text_key
 
+SPREAD = 4096
+
 
 def _signed(docs: DataFrame, digest) -> DataFrame:
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
@@ -71,7 +73,8 @@ def groups(docs: DataFrame, digest=sha256) -> DataFrame:
     Columns: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text). Texts are equal
     when identical after lower-casing A-Z. A null text counts as empty; empty texts form one group.
     Of a group the row with the largest doc_id stays; a null doc_id stays only where the group has no
-    other. Of rows that repeat doc_id and text alike, one is kept. Other columns are not read. An
+    other. Of rows that repeat doc_id and text alike, one is kept; they are counted per task that reads them,
+    so that a third of all rows may be one text without ids. Other columns are not read. An
     empty table gives an empty result.
     """
     return _verdicts(docs, digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -79,15 +82,23 @@ def groups(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def _verdicts(docs: DataFrame, digest) -> DataFrame:
     sign = ["digest", "size", "mark", "salt"]
-    sha = F.col("digest") if digest is sha256 else sha256(F.col("norm"))
-    rows = _signed(docs, digest).select("doc_id", "raw", *sign, sha.alias("text_sha256"))
-    joined = rows.join(combine(docs, digest), sign, "left")
+    rows = _signed(docs, digest)
+    if digest is not sha256:
+        rows = rows.withColumn("text_sha256", sha256(F.col("norm")))
+    own = [*sign, "doc_id", "raw"] + [c for c in rows.columns if c == "text_sha256"]
+    # Rows that agree in id and text need no identity, only a number: counted by the task that reads them, the
+    # copies of one row are at most SPREAD rows from here on.
+    task = F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(SPREAD))
+    counted = rows.withColumn("task", task).groupBy(*own, "task").agg(F.count(F.lit(1)).alias("n"))
+    joined = counted.join(combine(docs, digest), sign, "left")
     alone = F.col("group_size").isNull()
     joined = joined.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
     joined = joined.withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    first = F.row_number().over(Window.partitionBy(*sign, "doc_id").orderBy("raw")) == 1
-    return joined.withColumn("kept", stays & first)
+    first = F.row_number().over(Window.partitionBy(*sign, "doc_id").orderBy("raw", "task")) == 1
+    judged = joined.withColumn("first", stays & first).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    sha = F.col("digest") if digest is sha256 else F.col("text_sha256")
+    return judged.withColumn("kept", F.col("first") & (F.col("copy") == 1)).withColumn("text_sha256", sha)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

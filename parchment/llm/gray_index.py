@@ -9,6 +9,8 @@ exceed the bound, the whole group of pairs below is dropped.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -25,7 +27,7 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Index of ``codes``; a pair is only looked for inside one ``bucket``."""
 
-    def __init__(self, codes: np.ndarray, buckets: np.ndarray, fan: int = 8):
+    def __init__(self, codes: np.ndarray, buckets: np.ndarray, fan: int = 4):
         self.order = np.lexsort((gray_rank(codes), buckets))
         self.codes = codes[self.order].astype(np.uint64)
         bucket = buckets[self.order]
@@ -86,11 +88,12 @@ class GrayIndex:
         near = far <= bound
         return ca[near], cb[near], far[near]
 
-    def link(self, bound: int, block: int = 100_000) -> np.ndarray:
+    def link(self, bound: int, block: int = 20_000, seen: Counter | None = None) -> np.ndarray:
         """For each code the smallest code of its component, codes within ``bound`` bits being linked.
 
         Pairs are worked off depth first in blocks, so memory stays bounded; pairs of groups that
-        are already one component are skipped, so a dense group is not compared pair by pair.
+        are already one component are skipped, so a dense group is not compared pair by pair. ``seen``
+        counts the pairs of nodes looked into, by level; level 0 are the pairs of codes that are linked.
         """
         top = len(self.first) - 1
         roots = np.arange(len(self.ones[top]))
@@ -105,7 +108,11 @@ class GrayIndex:
             a, b, far = a[open_], b[open_], far[open_]
             if not len(a):
                 continue
+            if seen is not None:
+                seen[level] += len(a)
             a, b, far = self._children(level, a, b, far, bound)
+            if seen is not None and level == 1:
+                seen[0] += len(a)
             if level == 1:
                 self._unite(a, b)
                 stale += len(a)

@@ -1,11 +1,14 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked at a few differing bits, as components.
 
-Distinct fingerprints are routed to tasks by bits they must share: if two of them differ in at most
-three of 64 bits, they agree on one of four blocks of 16. In each bucket a Gray-order hierarchical
-index (``gray_index``) finds the links. A bucket above ``bucket_rows`` is dealt out once more by
-blocks of its remaining bits, and so on, which loses no link and ends because codes are distinct.
-Buckets pass on one edge per linked fingerprint, never all pairs; the edges are contracted into
-components by star operations on narrow rows. Texts never move.
+The distinct fingerprints are put in four Gray orders, one for each rotation by 16 bits, and each order is cut
+into sub-trees of about ``SUBTREE_ROWS`` codes by the first bits of the Gray rank, as many as that takes. Codes
+that differ in at most three of 64 bits agree on one of four blocks of 16, so in the order that begins with this
+block they are in one sub-tree. A task searches a sub-tree by the Gray-order hierarchical index
+(``gray_index``): bits that neighbours share are compared once for all of them, and whole groups of pairs fall
+by accumulated differences. A sub-tree that came out much too large is dealt out once more by blocks of its
+remaining bits, which loses no link and ends because codes are distinct. Sub-trees pass on one edge per
+linked fingerprint, never all pairs; the edges are contracted into components by star operations on narrow
+rows. Texts never move.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from parchment.llm.gray_index import GrayIndex
 
 BITS = 3
 SEED = 42
-# A bucket above this many codes is split once more.
-BUCKET_ROWS = 2_000
+# Codes of a sub-tree; one with four times as many is split once more.
+SUBTREE_ROWS = 20_000
 TASK_ROWS = 100_000
 _PLANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -96,6 +99,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _orders(n: int, bits: int, subtree_rows: int) -> list[int]:
+    """Masks of the first bits of each Gray order, by which ``n`` codes fall into sub-trees. The first bits of the
+    Gray rank follow from the same bits of the code and the reverse, so they name the same sub-trees."""
+    blocks = _masks(0, bits)
+    width = min(max(n // subtree_rows, 0).bit_length(), min(b.bit_count() for b in blocks))
+    if not width:
+        return [0]
+    return [((1 << width) - 1) << b.bit_length() - width for b in blocks]
+
+
 def _masks(mask: int, bits: int) -> list[int]:
     """``mask`` joined with each of ``bits + 1`` blocks of the bits it leaves open."""
     free = [b for b in range(64) if not mask >> b & 1]
@@ -114,8 +127,13 @@ def _link_buckets(bits: int, task_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(mask, value, code):
             change = np.r_[False, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]
+            # Turned so that the order begins with the bits the sub-tree shares.
+            turn = np.array([64 - int(m).bit_length() & 63 for m in mask.view(np.uint64)], np.uint64)
+            back = np.uint64(64) - turn & np.uint64(63)
             codes = code.view(np.uint64)
-            roots = GrayIndex(codes, np.cumsum(change)).link(bits)
+            turned = codes << turn | codes >> back
+            roots = GrayIndex(np.where(turn == 0, codes, turned), np.cumsum(change)).link(bits)
+            roots = np.where(turn == 0, roots, roots >> turn | roots << back)
             other = roots != codes
             return pa.RecordBatch.from_arrays([pa.array(code[other]), pa.array(roots[other].view(np.int64))], ["u", "v"])
 
@@ -137,23 +155,23 @@ def _link_buckets(bits: int, task_rows: int):
     return run
 
 
-def links(codes: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+def links(codes: DataFrame, bits: int = BITS, subtree_rows: int = SUBTREE_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Edges (u, v) between distinct codes (column ``code``) that join the same components as all
     pairs of at most ``bits`` differing bits do."""
     level = codes.select(F.lit(0).cast("long").alias("mask"), "code")
-    masks = {0: _masks(0, bits)}
+    masks = {0: _orders(codes.count(), bits, subtree_rows)}
     out = None
     while True:
         keyed = _route(level, masks)
-        sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+        sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * subtree_rows)
         free = 64 - min(bin(m).count("1") for to in masks.values() for m in to)
         hot = None
-        if 1 << free > bucket_rows:
+        if 1 << free > 4 * subtree_rows:
             hot = checkpoint(sizes.select("mask", "value"))
             if hot.isEmpty():
                 hot = None
         calm = keyed if hot is None else keyed.join(hot, ["mask", "value"], "left_anti")
-        # Sorted by bucket, so that a task reads one bucket after another.
+        # Sorted, so that a task reads one sub-tree after another.
         found = (
             calm.select("mask", "value", "code")
             .repartition("mask", "value")
@@ -190,7 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS, with_text_key: bool = False
+    docs: DataFrame, bits: int = BITS, subtree_rows: int = SUBTREE_ROWS, with_text_key: bool = False
 ) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id, text): its fingerprint and component.
 
@@ -206,7 +224,7 @@ def near_duplicates(
     rows = checkpoint(read.withColumn("salt", salt_of(F.col("doc_id"))))
     salted = rows.groupBy("code", "salt").agg(F.min("doc_id").alias("least"))
     distinct = checkpoint(salted.groupBy("code").agg(F.min("least").alias("least"), salt_set("salt").alias("salts")))
-    roots = components(links(distinct.select("code"), bits, bucket_rows))
+    roots = components(links(distinct.select("code"), bits, subtree_rows))
     rooted = distinct.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("code", salts_in("salts").alias("salt"), "component_id", "root")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +49,16 @@ def test_texts_that_share_a_digest_stay_apart(spark):
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows], key=repr) == brute_exact(CASES)
 
 
+def test_a_third_of_all_rows_one_text_without_ids(spark):
+    """The copies are counted where they are read: no window sees more of them than there are tasks."""
+    hot = spark.range(3_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("Hot text").alias("text"))
+    rest = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") / 2).cast("int")).alias("text"))
+    docs = hot.unionByName(rest).repartition(6)
+    counts = {(r.kept, r.group_size): r["count"] for r in exact_dedup.groups(docs).groupBy("kept", "group_size").count().collect()}
+    assert counts == {(True, 3000): 1, (False, 3000): 2999, (True, 2): 3000, (False, 2): 3000}
+    assert exact_dedup.deduplicate(docs).count() == 3001
+
+
 def test_exact_filter_keeps_columns_and_a_clashing_name(spark):
     docs = docs_of(spark, CASES).withColumn("keep_id", F.lit(1)).withColumn("_key_text", F.lit("z")).withColumn("salt", F.lit("s"))
     kept = exact_dedup.deduplicate(docs)
@@ -112,12 +123,12 @@ def near_pairs(seed=1, n=60):
     return pairs + [(2000, None), (2001, ""), (2002, "   "), (None, pairs[0][1]), (2003, pairs[5][1].upper()), (2003, pairs[5][1].upper())]
 
 
-@pytest.mark.parametrize("bucket_rows", [2000, 3])
-def test_near_duplicates_match_brute_force(spark, bucket_rows):
+@pytest.mark.parametrize("subtree_rows", [2000, 30, 1])
+def test_near_duplicates_match_brute_force(spark, subtree_rows):
     pairs = near_pairs()
     codes = [fingerprint(t) for _, t in pairs]
     want = sorted([(i, f"{c:016x}", r) for (i, _), c, r in zip(pairs, codes, brute_components(pairs, codes))], key=repr)
-    rows = simhash.near_duplicates(docs_of(spark, pairs).withColumn("code", F.lit("clash")), bucket_rows=bucket_rows).collect()
+    rows = simhash.near_duplicates(docs_of(spark, pairs).withColumn("code", F.lit("clash")), subtree_rows=subtree_rows).collect()
     assert sorted([tuple(r) for r in rows], key=repr) == want
 
 
@@ -158,6 +169,34 @@ def test_index_links_like_all_pairs(fan):
     assert roots.tolist() == want
 
 
+def test_most_pairs_fall_above_the_leaves():
+    """A sub-tree of the size tasks get, with near copies: what is compared and what is pruned, by level."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 16_000).astype(np.uint64)
+    copies = base[:2_000] ^ (np.uint64(1) << rng.integers(0, 64, 2_000).astype(np.uint64))
+    codes = np.unique(np.concatenate([base, copies]))
+    index, seen = GrayIndex(codes, np.zeros(len(codes))), Counter()
+    roots = index.link(3, seen=seen)
+    assert len(index.first) >= 7
+    # Groups of four whose members were compared one by one stand for sixteen pairs each.
+    assert 16 * seen[1] < 0.1 * len(codes) ** 2 / 2
+    assert seen[0] < 3 * len(copies)
+    by_root = dict(zip(codes.tolist(), roots.tolist()))
+    assert all(by_root[a] == by_root[b] for a, b in zip(base[:2_000].tolist(), copies.tolist()))
+
+
+@pytest.mark.parametrize("n, subtree_rows", [(100, 1000), (5_000, 100), (10**9, 20_000), (10**13, 20_000)])
+def test_sub_trees_hold_every_pair(n, subtree_rows):
+    orders = simhash._orders(n, 3, subtree_rows)
+    rng = random.Random(n)
+    for _ in range(300):
+        apart = 0
+        for b in rng.sample(range(64), 3):
+            apart |= 1 << b
+        assert any(not apart & m for m in orders)
+    assert len(set(m.bit_count() for m in orders)) == 1
+
+
 def test_bucket_masks_cover_every_pair():
     top = simhash._masks(0, 3)
     assert sum(top) == (1 << 64) - 1
