@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchment.llm.common import drop_rows, fold, text_key
+from parchment.llm.common import checkpoint, drop_rows, fold, text_key
 
 DIMS = 4096
 CLUSTERS = 4
@@ -181,20 +181,20 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from ``rows`` (doc_id, text, lang); rows with a null text or lang are passed over.
 
     ``sample`` bounds the rows per language that are clustered; document frequencies count all rows.
-    More than ``MAX_LANGUAGES`` different values of lang are an error.
+    Of more than ``MAX_LANGUAGES`` values of lang, as a dirty column has, the most frequent are learned.
     """
     spark = rows.sparkSession
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    by_lang = checkpoint(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    total = by_lang.agg(F.sum("n")).first()[0]
+    sizes = {r.lang: r.n for r in by_lang.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Model(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros((0, BUCKETS)))
     per_task = rows.select("text").mapInArrow(_document_frequencies, "dim int, n long")
     df = np.zeros(DIMS)
     for r in per_task.groupBy("dim").agg(F.sum("n").alias("n")).collect():  # DIMS rows
         df[r.dim] = r.n
-    idf = (np.log((sum(sizes.values()) + 1) / (df + 1)) + 1).astype(np.float32)
+    idf = (np.log((total + 1) / (df + 1)) + 1).astype(np.float32)
     # A share by hash first, then an exact bound; the order is the same whatever the partitions.
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * sample / n))])
     point = F.xxhash64("doc_id", "text")

@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment.llm.common import unused
+
 # Prime; at 65,537 rows of two integers the broadcast table stays near 1 MB.
 SLOTS = 16_381
 LARGEST = 1_000_003
@@ -67,23 +69,25 @@ def lookup(spark: SparkSession, table: list[str]) -> DataFrame:
 
 
 def place(rows: DataFrame, key: str, shards: dict[str, int] | list[str], slots: int = SLOTS, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """``rows`` with the columns ``slot`` and ``shard`` (names may be given, and must be free).
+    """``rows`` with the columns ``slot`` and ``shard`` (names may be given). Where ``rows`` has such a column
+    already, the new one's name gets underscores until it is free.
 
     No row moves. Equal keys, null ones included, go to the same shard; a repeated row stays repeated;
     an empty table gives an empty result.
     """
-    if {slot.lower(), shard.lower()} & {c.lower() for c in rows.columns}:
-        raise ValueError(f"{slot} or {shard} is a column already; name others")
+    slot, shard = unused(slot, rows), unused(shard, rows)
     table = lookup(rows.sparkSession, fill_table(shards, slots)).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
     with_slot = rows.withColumn(slot, slot_of(rows[key], slots))
     return with_slot.join(F.broadcast(table), slot, "left").select(*rows.columns, slot, shard)
 
 
 def write(rows: DataFrame, key: str, shards: dict[str, int] | list[str], folder: str, slots: int = SLOTS, rows_per_file: int = 1_000_000) -> None:
-    """Parquet files below ``folder``, one subfolder ``shard=...`` each, in files of bounded length.
+    """Parquet files below ``folder``, one subfolder ``shard=...`` each (``shard_=...`` where ``rows`` has a column
+    ``shard``, and so on), in files of bounded length.
 
     Rows are dealt out by shard and slot, and a partition too large for one task is split, so one busy
     shard, or one key with many rows, is written by several tasks.
     """
-    placed = place(rows, key, shards, slots, "_slot", "shard").hint("rebalance", "shard", "_slot").drop("_slot")
-    placed.write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(folder)
+    slot, shard = unused("_slot", rows), unused("shard", rows)
+    placed = place(rows, key, shards, slots, slot, shard).hint("rebalance", shard, slot).drop(slot)
+    placed.write.partitionBy(shard).option("maxRecordsPerFile", rows_per_file).parquet(folder)

@@ -29,7 +29,6 @@ SAMPLE_CHARS = 4_000_000
 SLOTS = 1 << 17
 DIMS = 8
 PASSAGE = 5
-MAX_CLASSES = 100
 BLOCK_CHARS, BLOCK_TEXTS = 400_000, 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,15 +199,17 @@ def _train_task(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"weight": [m.weight.astype(np.float32).tobytes()], "bias": m.bias, "scale": m.scale, "shift": m.shift, "floor": m.floor})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learns from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) names.
+def training_texts(docs: DataFrame, labels: DataFrame, sample: int, sample_chars: int) -> DataFrame:
+    """doc_id, text and toxic (0 or 1) of the texts of ``docs`` that ``labels`` (doc_id, toxic) names.
 
-    At most ``sample`` texts and ``sample_chars`` characters (or one text) per class, in the order of
-    a hash of the id. Ids with several labels count as toxic if any is; null labels are passed over.
+    At most ``sample`` texts per class, in the order of a hash of the id, and of them as many as
+    ``sample_chars`` characters hold (or one text); texts with more than a hundredth of that come last, so a very
+    long one leaves room for all others. Labels above 0 are toxic; ids with several labels count as toxic if
+    any is; null labels are passed over.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     # A share of each class by hash first, so that only about twice the sample is put in order.
-    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().limit(MAX_CLASSES).collect()}
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, 2.0 * sample / n))]) if sizes else None
     point = F.xxhash64("doc_id")
     few = known.where(F.pmod(point, F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000) if sizes else known
@@ -217,9 +218,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     # 2 x sample ids of 16 bytes.
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
     once = texts.groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
-    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("place"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.length("text") > sample_chars // 100, "place"))
     bounded = once.withColumn("upto", upto).where((F.col("upto") <= sample_chars) | (F.col("upto") == F.length("text")))
-    made = bounded.select("doc_id", "text", "toxic", F.lit(0).alias("all")).groupBy("all").applyInPandas(
+    return bounded.select("doc_id", "text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Learns from ``training_texts`` in one task."""
+    made = training_texts(docs, labels, sample, sample_chars).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
         _train_task, "weight binary, bias double, scale double, shift double, floor double"
     ).collect()
     if not made:

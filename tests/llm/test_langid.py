@@ -57,6 +57,15 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark):
     assert a == b
 
 
+def test_a_dirty_label_column_is_learned_by_its_frequent_values(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 5)
+    docs, _ = corpus(spark)
+    dirt = spark.range(40).select((F.col("id") + 50_000).alias("doc_id"), F.lit("zz yy xx").alias("text"), F.concat(F.lit("x"), "id").alias("lang"))
+    both = docs.select("doc_id", "text", "lang").unionByName(dirt)
+    known = {r.lang for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count")).limit(5).collect()}
+    assert {lang for lang in langid.fit(both, 60).langs} >= {lang for lang in known if not lang.startswith("x")}
+
+
 def test_nothing_to_learn_or_read(spark):
     docs, rows = corpus(spark, 20)
     blind = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()

@@ -60,8 +60,8 @@ def test_rows_are_placed_by_key(spark):
     assert placed.columns == ["doc_id", "text", "slot", "shard"]
     assert sorted([(r.doc_id, r.slot, r.shard) for r in placed.collect()], key=repr) == sorted([(i, s, table[s]) for i, s in zip((1, 2, 2, None, 30), want)], key=repr)
     assert sharding.place(rows.limit(0), "doc_id", NAMES).collect() == []
-    with pytest.raises(ValueError):
-        sharding.place(rows.withColumn("Shard", F.lit(1)), "doc_id", NAMES)
+    clash = rows.withColumn("Shard", F.lit(1)).withColumn("slot", F.lit(2))
+    assert sharding.place(clash, "doc_id", NAMES).columns == [*clash.columns, "slot_", "shard_"]
     assert "x" in sharding.place(rows.withColumn("shard", F.lit(1)), "doc_id", NAMES, shard="x").columns
 
 

@@ -52,6 +52,48 @@ def test_names_keep_gender_script_and_case():
     assert m[4] in S.FIRST[("cyrillic", "f")] and m[5] == m[6] + "а"
 
 
+def test_later_bare_surnames_and_names_of_all_scripts():
+    text = "Anna Orlov met. Later Orlov left, ORLOV or Orlovsky. Mr Šimon Novák, Mr Łukasz; Ольга Морозова, Морозов. Mr Παπαδάκης: Παπαδάκης"
+    found = [(k, text[a:b]) for a, b, k in S.detect(text)]
+    assert ("surname", "Orlov") in found and ("name", "Mr Šimon Novák") in found and ("name", "Mr Łukasz") in found
+    assert ("surname", "Морозов") in found and ("surname", "Παπαδάκης") in found
+    new, _ = S.replace_entities(text, KEY, {})
+    assert not any(w in new for w in ("Orlov ", "Novák", "Łukasz", "Мороз", "Παπαδ"))
+    last = re.match(r"\w+ ([\w-]+) met\. Later ([\w-]+) left", new)
+    assert last[1] == last[2] and "Orlovsky" in new
+    greek = re.search(r"Mr (\w+): (\w+)$", new)
+    assert greek[1] == greek[2] and all("Ͱ" <= c <= "Ͽ" for c in greek[1])
+
+
+def test_every_script_stays_its_own():
+    new, n = S.replace_entities("αβγ.δε@example.gr und ٠١٧-٥٥٥-٧٧١٣", KEY, {})
+    assert n == 2 and re.match(r"[α-ωά-ώς]{3}\.[α-ωά-ώς]{2}@[a-z]{7}\.gr und [٠-٩]{3}-[٠-٩]{3}-[٠-٩]{4}$", new)
+
+
+def test_ranges_are_no_phones():
+    assert S.detect("100-2000 items, 050-1234") == [] and len(S.detect("555-7713")) == 1
+
+
+def test_assignment_against_a_plain_walk(spark):
+    """Distinct units in the order of their hash, attempt after attempt, in dictionaries."""
+    entities = [("last latin", f"name{k}") for k in range(60)] + [("first f latin", f"given{k}") for k in range(40)] + [("ssn", f"{k:09d}") for k in range(50)]
+    df = spark.createDataFrame(entities, "kind string, canon string")
+    order = {(r.kind, r.canon): r.h for r in df.select("kind", "canon", F.xxhash64("canon").alias("h")).collect()}
+    taken, out, pending, attempt = {(k, c) for k, c in entities}, {}, list(entities), 0
+    while pending:
+        rest = []
+        for unit in sorted(pending, key=lambda u: (order[u], u[1])):
+            sub = (unit[0], S.surrogate(KEY, *unit, attempt))
+            if sub in taken:
+                rest.append(unit)
+            else:
+                taken.add(sub)
+                out[unit] = (attempt, sub[1])
+        pending, attempt = rest, attempt + 1
+    got = {(r.kind, r.canon): (r.attempt, r["sub"]) for r in S.assign(df, KEY).collect()}
+    assert got == out and max(a for a, _ in out.values()) > 1
+
+
 def corpus():
     rng = random.Random(6)
     phones = [f"{rng.randint(200, 999)}-{rng.randint(1000, 9999)}" for _ in range(150)]

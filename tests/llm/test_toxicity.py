@@ -63,6 +63,20 @@ def test_the_sample_is_bounded(spark, rows):
     assert toxicity.fit(docs, labels, sample=5, sample_chars=1).scale > 0
 
 
+def test_a_very_long_text_leaves_room_for_the_others(spark, rows):
+    docs, labels = tables(spark, rows[:60])
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("long text "), 900)).otherwise(F.left("text", F.lit(90))))
+    drawn = {r.doc_id for r in toxicity.training_texts(long, labels, 60, 10_000).collect()}
+    assert {i for i, _, _ in rows[:60] if i % 5} <= drawn and len(drawn) < 60
+
+
+def test_labels_above_one_are_toxic(spark, rows):
+    docs, labels = tables(spark, rows[:150])
+    more = labels.withColumn("toxic", F.col("toxic") * 7 - (F.col("toxic") == 0).cast("int"))
+    a, b = (sorted(tuple(r) for r in toxicity.assess(docs, x).collect()) for x in (labels, more))
+    assert a == b
+
+
 def test_one_class_no_labels_no_rows(spark, rows):
     docs, labels = tables(spark, rows[:20])
     none = toxicity.assess(docs, labels.limit(0)).collect()
