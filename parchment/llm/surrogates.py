@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchment.llm.bpe import _blocks
-from parchment.llm.common import BROADCAST_KEYS, checkpoint, text_key
+from parchment.llm.common import checkpoint, text_key
+from parchment.session import broadcast_if_small
 
 # Names by gender and script, for detection and as surrogates.
 FIRST = {
@@ -40,7 +43,7 @@ PREFIXES = ("sk-", "sk_", "pk_", "ghp_", "AKIA")
 LENGTHEN = 50  # attempts after which a surrogate may be longer than the original
 
 _GENDER = {n: g for (_, g), names in FIRST.items() for n in names}
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*\w"
+_CAP = "[" + "".join(chr(c) for c in range(0x3000) if chr(c).isupper()) + r"][\w’'-]*\w"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _NAME = re.compile(
     rf"\b(?:(?P<title>{_TITLE})\.?[ ](?P<a>{_CAP})(?:[ ](?P<b>{_CAP}))?|(?P<first>{'|'.join(_GENDER)})[ ](?P<last>{_CAP}))"
@@ -53,7 +56,7 @@ _WITH_DIGITS = [
     ("card", re.compile(r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")),
     ("phone", re.compile(
         r"(?<![\w+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
-        r"|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{4}|0\d(?:[ .]\d{2}){4})(?![\w-])")),
+        r"|\d{3}[ .-]\d{3}[ .-]\d{4}|(?![01])\d{3}-\d{4}|0\d(?:[ .]\d{2}){4})(?![\w-])")),
     ("key", re.compile(r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:sk[-_]|pk_|ghp_|AKIA)[A-Za-z0-9_-]{12,})(?!\w)")),
 ]
 _EMAIL = re.compile(r"[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
@@ -74,7 +77,8 @@ def _mod97(iban: str) -> int:
 
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Start, end and type of the entities of a text, without overlaps; the longer of two that start
-    together, the earlier of two that overlap."""
+    together, the earlier of two that overlap. A surname that stands in a name is also found wherever
+    else the text has it by itself, with or without its feminine ending."""
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
@@ -89,7 +93,13 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 if kind == "phone" and not 7 <= sum(c.isdigit() for c in own) <= 15:
                     continue
                 found.append((*m.span(), kind))
-    found += [(*m.span(), "name") for m in _NAME.finditer(text)]
+    names = list(_NAME.finditer(text))
+    found += [(*m.span(), "name") for m in names]
+    known = {_surname(m) for m in names} - {""}
+    if known:
+        forms = {f for n in known for f in (n, n + "а") if f == n or _male_form(f.casefold())[1]}
+        again = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(forms)))})(?![\w-])")
+        found += [(*m.span(), "surname") for m in again.finditer(text)]
     out, upto = [], 0
     for a, b, kind in sorted(found, key=lambda f: (f[0], -f[1])):
         if a >= upto:
@@ -99,7 +109,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if re.search(r"[Ѐ-ӿ]", word) else "latin"
+    if re.search(r"[Ѐ-ӿ]", word):
+        return "cyrillic"
+    return "latin" if re.search(r"[A-Za-zÀ-ɏ]", word) else "other"
 
 
 def _male_form(word: str) -> tuple[str, bool]:
@@ -109,6 +121,14 @@ def _male_form(word: str) -> tuple[str, bool]:
     return word, False
 
 
+def _surname(name: re.Match) -> str:
+    """The last name of a match, without a feminine ending; empty where it has a first name only."""
+    word = name["b"] or name["last"] or name["a"]
+    if word in _GENDER:
+        return ""
+    return word[: len(_male_form(word.casefold())[0])]
+
+
 def units(kind: str, mention: str) -> list[tuple[int, int, str, str]]:
     """Start and end in the mention, kind and canonical text of its units."""
     if kind == "email":
@@ -126,6 +146,8 @@ def units(kind: str, mention: str) -> list[tuple[int, int, str, str]]:
             else:
                 out.append((a, b, f"last {_script(word)}", _male_form(word.casefold())[0]))
         return out
+    if kind == "surname":
+        return [(0, len(mention), f"last {_script(mention)}", _male_form(mention.casefold())[0])]
     if kind in ("phone", "ssn", "card"):
         return [(0, len(mention), kind, ("+" if mention.startswith("+") else "") + re.sub(r"\D", "", mention))]
     if kind == "iban":
@@ -148,17 +170,34 @@ def _numbers(key: bytes, kind: str, canon: str, attempt: int) -> Callable[[int],
     return below
 
 
+@lru_cache(maxsize=4096)
+def _letters(c: str) -> str:
+    """Letters a letter may turn into: its script's, of its case. Scripts without a list of their own
+    give the letters around it."""
+    if _script(c) != "other":
+        return "абвгдежзиклмнопрстуфхцчшэюя" if _script(c) == "cyrillic" else "abcdefghijklmnopqrstuvwxyz"
+    first = ord(c.lower()) // 32 * 32
+    near = "".join(chr(x) for x in range(first, first + 32) if chr(x).isalpha() and chr(x).lower() == chr(x))
+    return near or c
+
+
+def _digits(c: str) -> str:
+    """The ten digits of the script that ``c`` is a digit of."""
+    zero = ord(c) - unicodedata.decimal(c, 0)
+    return "".join(chr(zero + k) for k in range(10))
+
+
 def _like(text: str, below: Callable[[int], int], hexadecimal: bool = False) -> str:
-    """Digits for digits, letters for letters of the same case; everything else stays."""
+    """Digits for digits, letters for letters, of the same script and case; everything else stays."""
     out = []
     for c in text:
         if c.isdigit():
-            out.append("0123456789"[below(10)])
+            out.append(_digits(c)[below(10)])
         elif hexadecimal and c in "abcdefABCDEF":
             x = "abcdef"[below(6)]
             out.append(x.upper() if c.isupper() else x)
         elif c.isalpha():
-            x = "абвгдежзиклмнопрстуфхцчшэюя"[below(27)] if _script(c) == "cyrillic" else "abcdefghijklmnopqrstuvwxyz"[below(26)]
+            x = _letters(c)[below(len(_letters(c)))]
             out.append(x.upper() if c.isupper() else x)
         else:
             out.append(c)
@@ -171,6 +210,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     longer = _like("0" * (1 + (attempt - LENGTHEN) // 10), below) if attempt >= LENGTHEN else ""
     if kind.startswith(("first ", "last ")):
         parts = kind.split()
+        if parts[-1] == "other":
+            return _like(canon + canon[-1] * len(longer), below)
         pool = FIRST[(parts[2], parts[1])] if parts[0] == "first" else LAST[parts[1]]
         name = pool[below(len(pool))]
         if attempt:
@@ -191,7 +232,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "card":
         out = canon[0] + _like(canon[1:], below) + longer
         if _luhn(canon):
-            out = next(o for o in (out[:-1] + d for d in "0123456789") if _luhn(o))
+            out = next(o for o in (out[:-1] + d for d in _digits(canon[0])) if _luhn(o))
         return out
     if kind == "iban":
         body = canon[:2] + "00" + _like(canon[4:], below) + longer
@@ -293,7 +334,7 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     Repeated rows each get a row; null ids are rows like others; other columns are not read; an empty
     table gives an empty result. The same key gives the same surrogates only over the same corpus, since
     collisions depend on what else occurs. Texts are not shuffled unless the units that needed a
-    second attempt occur in more than ``BROADCAST_KEYS`` documents.
+    second attempt are too many, by rows or bytes, to be sent to every executor.
     """
     found = checkpoint(mentions(docs))
     again = assign(found.select("kind", "canon").distinct(), key).where("attempt > 0").select("kind", "canon", "attempt")
@@ -301,10 +342,7 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     per_doc = checkpoint(
         found.join(again, ["kind", "canon"]).groupBy("key_id", "key_text").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("again"))
     )
-    if per_doc.limit(BROADCAST_KEYS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("again")), F.lit(0))).where(
-        f"`count(1)` <= {BROADCAST_KEYS} and `coalesce(sum(size(again)), 0)` <= {BROADCAST_KEYS}"
-    ).count():
-        per_doc = F.broadcast(per_doc)
+    per_doc = broadcast_if_small(per_doc)
     rows = docs.select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("key"), "text")
     joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["key_id"]) & (rows["key"] == per_doc["key_text"]), "left")
     return joined.select("doc_id", "again", F.col("text").cast("binary").alias("text")).mapInArrow(_rewrite(key), "doc_id long, n_entities long, text string")
