@@ -725,9 +725,9 @@ def metric_ratings(spark, sf):
 @query
 def metric_histograms(spark, sf):
     events = _metric_events(spark, sf)
-    r = metrics.down_reasons(events).select(F.lit("reason").alias("kind"), F.col("reason").alias("item"), "n")
-    i = metrics.issue_counts(events).select(F.lit("issue").alias("kind"), F.col("issue").alias("item"), "n")
-    return r.unionByName(i)
+    kinds = F.create_map(F.lit("down_reasons"), F.lit("reason"), F.lit("issues"), F.lit("issue"))
+    counts = metrics.summary(events).withColumn("kind", kinds[F.col("section")])
+    return counts.where("kind is not null and item != ''").select("kind", "item", "n")
 
 
 @query

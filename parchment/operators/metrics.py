@@ -48,26 +48,30 @@ def build_events(messages: DataFrame, registry_version: str) -> DataFrame:
     ).drop("has_document", "latency", "speed")
 
 
-def _typed(payload: str) -> Column:
+def _fields(payload: str) -> Column:
+    """A JSON object as its fields by name, each a variant; null for anything else."""
+    return F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+
+
+def _typed(fields: Column) -> Column:
     """The event's fields, null where the value has not the field's type, and the JSON type of each
     (null: absent, VOID: an explicit null)."""
-    v = F.try_parse_json(payload)
-    kind_of = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
     values, kinds = [], []
     for field in EVENT_SCHEMA.split(", "):
         name, want = field.split(" ")
-        kind = kind_of(name)
+        v = fields[name]
+        kind = F.schema_of_variant(v)
         if want == "string":
-            value = F.when(kind == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+            value = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
         elif want.startswith("array"):
-            value = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, f"$.{name}", want))
+            value = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", want))
         else:
-            number = F.when(~kind.rlike("^(ARRAY|OBJECT|VOID)"), F.try_variant_get(v, f"$.{name}", "double"))
+            number = F.when(~kind.rlike("^(ARRAY|OBJECT|VOID)"), F.try_variant_get(v, "$", "double"))
             # Whole numbers may be written as 5.0.
             value = number if want == "double" else F.when(number == F.floor(number), number.cast("bigint"))
         values.append(value.alias(name))
         kinds.append(kind.alias(name))
-    return F.struct(F.struct(*values).alias("event"), F.struct(*kinds).alias("kinds"), F.json_object_keys(payload).alias("keys"))
+    return F.struct(F.struct(*values).alias("event"), F.struct(*kinds).alias("kinds"), F.map_keys(fields).alias("keys"))
 
 
 def _problem(event: Column, kinds: Column, keys: Column) -> Column:
@@ -101,10 +105,11 @@ def _problem(event: Column, kinds: Column, keys: Column) -> Column:
 
 def checked_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Parsed events with ``problem`` (null when accepted). Narrow, so it serves streams as well."""
-    both = _typed(payload)
-    # Generated, not projected: the optimiser would otherwise repeat the parsing for every rule and
-    # field that refers to it.
-    parsed = raw.select(*[c for c in raw.columns if c != payload], F.explode_outer(F.array(both)).alias("_parsed"))
+    # Generated, not projected: the optimiser would otherwise repeat the parsing for every field, and the
+    # fields for every rule that refers to them.
+    others = [c for c in raw.columns if c != payload]
+    read = raw.select(*others, F.explode_outer(F.array(_fields(payload))).alias("_fields"))
+    parsed = read.select(*others, F.explode_outer(F.array(_typed(F.col("_fields")))).alias("_parsed"))
     return (
         parsed.withColumn("event", F.col("_parsed.event"))
         .withColumn("problem", _problem(F.col("_parsed.event"), F.col("_parsed.kinds"), F.col("_parsed.keys")))
