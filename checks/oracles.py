@@ -726,6 +726,8 @@ ORACLES["eval_regressions"] = """WITH t AS (SELECT event_type AS metric, count(*
 
 # --- streams: the same tables as in batch --------------------------------------------------------
 
+ORACLES["stream_period_answers"] = f"""WITH {METRIC} SELECT strftime(ts, '%Y-%m-%d') AS period, intent, status, count(*) AS answers, CAST(trunc(avg(latency_ms)) AS BIGINT) AS avg_latency_ms
+  FROM ok JOIN events USING (event_id) WHERE kind = 'answer' GROUP BY ALL"""
 ORACLES["stream_metric_summary"] = ORACLES["metric_summary"]
 ORACLES["stream_metric_ingest"] = ORACLES["metric_accept_reject"]
 ORACLES["stream_rate_limit"] = ORACLES["rate_limited"]

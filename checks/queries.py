@@ -1080,6 +1080,17 @@ def stream_metric_summary(spark, sf):
     return spark.read.parquet(f"{out}/table")
 
 
+@query
+def stream_period_answers(spark, sf):
+    """Answers per day of event time; each of the four parts corrects days that earlier ones have written."""
+    from parchment.streaming import metrics as stream
+
+    run = lambda events, out, mark: stream.period_answers(I.metric_payloads(spark, sf, events), f"{out}/rows", mark)
+    out = _streamed(spark, sf, "period-answers", F.col("event_id") % 4, run)
+    rows = stream.read_periods(spark, f"{out}/rows")
+    return rows.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+
+
 @query
 def stream_metric_ingest(spark, sf):
     from parchment.streaming import metrics as stream

@@ -124,32 +124,35 @@ def messages_left(used: Column, limit: Column, warn_at: int = 3) -> tuple[Column
     return left, left <= warn_at
 
 
-def _limiter(max_hits: int, window: float, columns: list[str]):
-    """Sorted hits in batches; the state is one run's accepted times, at most ``max_hits``.
+def settle(times: np.ndarray, past: np.ndarray, held: deque, max_hits: int, window: float) -> np.ndarray:
+    """Verdicts of hits in order of time. ``held`` are the accepted times that may still count, at most
+    ``max_hits``, and is kept up to date; hits in ``past`` have been accepted before.
 
     With the state full, nothing is accepted until its oldest time leaves the window: that hit is
     found by bisection and those before it are refused together, so the steps follow the accepted hits.
     """
+    if not held and len(times) <= max_hits:
+        held.extend(times)
+        return np.ones(len(times), bool)
+    ok = np.zeros(len(times), bool)
+    forced = np.flatnonzero(past)
+    k = 0
+    while k < len(times):
+        while held and times[k] - held[0] > window:
+            held.popleft()
+        if past[k] or len(held) < max_hits:
+            ok[k] = True
+            held.append(times[k])
+            k += 1
+            continue
+        free = int(np.searchsorted(times, held[0] + window, side="right")) if held else len(times)
+        known = np.searchsorted(forced, k)
+        k = min(max(free, k + 1), int(forced[known]) if known < len(forced) else len(times))
+    return ok
+
 
-    def settle(times: np.ndarray, past: np.ndarray, held: deque) -> np.ndarray:
-        if not held and len(times) <= max_hits:
-            held.extend(times)
-            return np.ones(len(times), bool)
-        ok = np.zeros(len(times), bool)
-        forced = np.flatnonzero(past)
-        k = 0
-        while k < len(times):
-            while held and times[k] - held[0] > window:
-                held.popleft()
-            if past[k] or len(held) < max_hits:
-                ok[k] = True
-                held.append(times[k])
-                k += 1
-                continue
-            free = int(np.searchsorted(times, held[0] + window, side="right")) if held else len(times)
-            known = np.searchsorted(forced, k)
-            k = min(max(free, k + 1), int(forced[known]) if known < len(forced) else len(times))
-        return ok
+def _limiter(max_hits: int, window: float, columns: list[str]):
+    """Sorted hits in batches; the state is one run's accepted times."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, deque()
@@ -161,7 +164,7 @@ def _limiter(max_hits: int, window: float, columns: list[str]):
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if run[a] != current:
                     current, held = run[a], deque()
-                verdicts[a:b] = settle(times[a:b], past[a:b], held)
+                verdicts[a:b] = settle(times[a:b], past[a:b], held, max_hits, window)
             out = batch[columns].copy()
             out["accepted"] = verdicts
             yield out[~past]

@@ -1,24 +1,82 @@
-"""Rate limits and quotas as streams.
+"""Rate limits and quotas as streams, with Spark's own state by key.
 
-Each micro-batch runs the batch operator with the state of the batches before. The limiter's state
-is at most ``max_hits`` times per key, none of them further than the window behind the key's newest.
-Quota counts are appended per batch and kept for every day, so a late message is counted with its own
-day however late it is. Within a batch rows are sorted and pass through in order, which per-key state
-functions cannot promise, and one key's rows are never gathered.
+The limiter keeps, per key, the times of accepted hits that may still count: at most ``max_hits``, none
+further than the window behind the key's newest. The quota keeps one number per user and day, for
+every day, so a late message is counted with its own day however late it is. A key's rows of one trigger
+are put in order in its task; ``files_per_batch`` of the source bounds them. State lies in the
+checkpoint folder, survives lost executors and restarts, and can be read with ``state``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from parchment.operators import quota
-from parchment.streaming.sources import VersionedTable, run_available
+from parchment.streaming.sources import run_keyed
+
+# Time of a row for sorting; such a name must not begin with an underscore.
+MICROS = "micros_of_row"
+
+
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + more
+
+
+def _in_order(rows: Iterator[pd.DataFrame], event: str) -> pd.DataFrame:
+    return pd.concat(rows, ignore_index=True).sort_values([MICROS, event], kind="stable")
+
+
+class _Limiter(StatefulProcessor):
+    def __init__(self, max_hits: int, window: int, event: str):
+        self.max_hits, self.window, self.event = max_hits, window, event
+
+    def init(self, handle) -> None:
+        self.accepted = handle.getListState("accepted", "micros long")
 
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        hits = _in_order(rows, self.event)
+        held = deque(r[0] for r in self.accepted.get())
+        times = hits[MICROS].to_numpy()
+        verdicts = quota.settle(times, np.zeros(len(times), bool), held, self.max_hits, self.window)
+        # What the window has passed cannot refuse a later hit.
+        self.accepted.put([(int(t),) for t in sorted(held)[-self.max_hits :] if max(held) - t <= self.window])
+        yield hits.drop(columns=MICROS).assign(accepted=verdicts)
 
-def _type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+    def close(self) -> None:
+        pass
+
+
+class _Quota(StatefulProcessor):
+    def __init__(self, event: str, limit: str):
+        self.event, self.limit = event, limit
+
+    def init(self, handle) -> None:
+        self.count = handle.getValueState("messages", "messages long")
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        sent = _in_order(rows, self.event)
+        count = self.count.get()[0] if self.count.exists() else 0
+        ok, used = [], []
+        for limit in sent[self.limit]:
+            ok.append(bool(pd.isna(limit)) or count < limit)
+            count += ok[-1]
+            used.append(count)
+        self.count.update((int(count),))
+        yield sent.drop(columns=MICROS).assign(accepted=ok, used=used)
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(df: DataFrame, ts: str) -> DataFrame:
+    return df.withColumn(MICROS, F.unix_micros(F.col(ts).cast("timestamp")))
 
 
 def rate_limited(
@@ -31,28 +89,10 @@ def rate_limited(
     ts: str = "ts",
     event: str = "event_id",
 ) -> StreamingQuery:
-    """Writes verdicts to ``out/verdicts/batch=n``."""
-    spark = hits.sparkSession
-    state = VersionedTable(
-        spark, f"{out}/state", f"{key} {_type(hits, key)}, {ts} {_type(hits, ts)}, {event} {_type(hits, event)}"
-    )
-
-    def write(batch: DataFrame, number: int) -> None:
-        earlier = state.read(number - 1)
-        path = f"{out}/verdicts/batch={number}"
-        quota.rate_limited(batch, max_hits, window_seconds, key, ts, event, earlier=earlier).write.mode(
-            "overwrite"
-        ).parquet(path)
-        done = spark.read.parquet(path).where("accepted").select(key, ts, event).unionByName(earlier)
-        newest = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(event))
-        last = F.max(F.col(ts).cast("timestamp")).over(Window.partitionBy(key))
-        kept = done.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= max_hits).withColumn("last", last)
-        # Hits arrive in order of time per key; what the window has passed cannot refuse one any more.
-        kept = kept.where(F.unix_micros("last") - F.unix_micros(F.col(ts).cast("timestamp")) <= window_seconds * 1_000_000)
-        kept = kept.drop("n", "last")
-        state.write(kept, number)
-
-    return run_available(hits.writeStream.foreachBatch(write), checkpoint)
+    """Writes verdicts to ``out/verdicts``. Hits of a key must arrive in order of time, batch by batch."""
+    limiter = _Limiter(max_hits, window_seconds * 1_000_000, event)
+    verdicts = _micros(hits, ts).groupBy(key).transformWithStateInPandas(limiter, _schema(hits, "accepted boolean"), "Append", "None")
+    return run_keyed(verdicts.writeStream.format("parquet").option("path", f"{out}/verdicts"), checkpoint, hits.sparkSession)
 
 
 def take_messages(
@@ -65,24 +105,13 @@ def take_messages(
     event: str = "event_id",
     limit: str = "daily_messages",
 ) -> StreamingQuery:
-    """Writes quota decisions to ``out/decisions/batch=n`` and counts to ``out/counts/batch=n``.
-
-    A batch adds its own counts per user and day and reads, of those before, only the days it has
-    messages for. No day is ever forgotten, and no clock decides what is late.
-    """
-    spark = messages.sparkSession
-    schema = f"{user} {_type(messages, user)}, messages bigint, batch bigint, {day} date"
-
-    def write(batch: DataFrame, number: int) -> None:
-        path = f"{out}/decisions/batch={number}"
-        if number:
-            before = spark.read.schema(schema).parquet(f"{out}/counts").where(F.col("batch") < number)
-            days = batch.select(day).distinct()
-            earlier = before.join(days, day, "left_semi").groupBy(user, day).agg(F.sum("messages").alias("messages"))
-        else:
-            earlier = spark.createDataFrame([], schema).drop("batch")
-        quota.take_messages(batch, user, day, ts, event, limit, earlier).write.mode("overwrite").parquet(path)
-        counts = quota.daily_usage(spark.read.parquet(path), user, day)
-        counts.write.mode("overwrite").partitionBy(day).parquet(f"{out}/counts/batch={number}")
-
-    return run_available(messages.writeStream.foreachBatch(write), checkpoint)
+    """Writes quota decisions to ``out/decisions``. Each message is held against its own limit, so a plan
+    may change during the day."""
+    schema = _schema(messages, "accepted boolean, used bigint")
+    decided = _micros(messages, ts).groupBy(user, day).transformWithStateInPandas(_Quota(event, limit), schema, "Append", "None")
+    return run_keyed(decided.writeStream.format("parquet").option("path", f"{out}/decisions"), checkpoint, messages.sparkSession)
+
+
+def state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """The state of a stopped stream, one row per key: ``accepted`` times of the limiter, ``messages`` of the quota."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,14 +34,26 @@ def running_summary(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return run_available(totals.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
 
 
-def windowed_answers(raw: DataFrame, ts: str = "ts", late: str = "1 hour", window: str = "1 day") -> DataFrame:
-    """Answers per intent, status and period as an append stream; late events past the mark are dropped."""
-    events = metrics.accepted(metrics.checked_events(raw))
-    return (
-        events.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, late)
-        .where(F.col("kind") == "answer")
-        .groupBy(F.window(ts, window), "intent", "status")
-        .agg(F.count("*").alias("answers"), F.avg("latency_ms").cast("long").alias("avg_latency_ms"))
-        .select(F.col("window.start").alias("period"), "intent", "status", "answers", "avg_latency_ms")
+def period_answers(raw: DataFrame, out: str, checkpoint: str, ts: str = "ts", window: str = "1 day") -> StreamingQuery:
+    """Answers per intent, status and period of event time, kept current in ``out``; ``read_periods`` reads them.
+
+    No period is ever closed: an event that comes a month late corrects the rows of its period. Spark's state is one
+    row per period, intent and status; a batch writes the rows it changed, in a folder of its own
+    that a repeated batch overwrites.
+    """
+    events = metrics.accepted(metrics.checked_events(raw)).where(F.col("kind") == "answer")
+    period = F.window(F.col(ts).cast("timestamp"), window).getField("start").alias("period")
+    totals = events.groupBy(period, "intent", "status").agg(
+        F.count("*").alias("answers"), F.avg("latency_ms").cast("long").alias("avg_latency_ms")
     )
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return run_available(totals.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+
+
+def read_periods(spark: SparkSession, out: str) -> DataFrame:
+    """The present row of each period, intent and status: the one written last."""
+    now = F.max_by(F.struct("answers", "avg_latency_ms"), "batch").alias("now")
+    return spark.read.parquet(out).groupBy("period", "intent", "status").agg(now).select("period", "intent", "status", "now.*")

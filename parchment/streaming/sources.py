@@ -1,4 +1,4 @@
-"""File sources and versioned tables that every stream here uses."""
+"""File sources and starts that every stream here uses."""
 
 from __future__ import annotations
 
@@ -23,24 +23,16 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
     return started
 
 
-class VersionedTable:
-    """A state table written once per micro-batch, each version in its own folder.
-
-    A batch reads the version before it and overwrites its own: repeating it after a lost executor
-    or driver gives the same table again.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
-
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/v{version:012d}"
-
-    def read(self, version: int) -> DataFrame:
-        """Empty before the first batch only: a state that is missing later is an error."""
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(version))
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(version))
+def run_keyed(writer, checkpoint: str, spark: SparkSession) -> StreamingQuery:
+    """``run_available`` for streams with state by key, which need the RocksDB state store. A query keeps the
+    store it was started with, so the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run_available(writer, checkpoint)
+    finally:
+        if own is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, own)

@@ -297,7 +297,8 @@ def test_streams_equal_batch_over_several_batches(spark, tmp_path, files_per_bat
     limits.rate_limited(read().drop("payload"), 2, 300, out, f"{out}/checkpoint")
     got = {r.event_id: r.accepted for r in spark.read.parquet(f"{out}/verdicts").collect()}
     assert got == brute_limit(hits, 2, 300)
-    assert spark.read.parquet(f"{out}/verdicts").select("batch").distinct().count() == 4
+    batches = [f.name for f in (tmp_path / "limit" / "checkpoint" / "commits").iterdir() if f.name.isdigit()]
+    assert len(batches) >= 4 // files_per_batch
 
     out = str(tmp_path / "quota")
     limited = read().select(F.col("key").alias("user_id"), "ts", "event_id", F.to_date("ts").alias("day"), F.lit(5).alias("daily_messages"))
@@ -310,10 +311,9 @@ def test_streams_equal_batch_over_several_batches(spark, tmp_path, files_per_bat
     batch = metrics.summary(metrics.accepted(metrics.checked_events(df)))
     assert sorted(map(str, spark.read.parquet(f"{out}/t").collect())) == sorted(map(str, batch.collect()))
 
-    table = str(tmp_path / "windows")
-    stream.windowed_answers(read(), window="1 hour").writeStream.format("parquet").option("path", table).option(
-        "checkpointLocation", f"{table}-checkpoint"
-    ).trigger(availableNow=True).start().awaitTermination()
-    closed = spark.read.parquet(table).collect()
+    table = str(tmp_path / "periods")
+    stream.period_answers(read(), f"{table}/rows", f"{table}/checkpoint", window="1 hour")
     first_hour = sum(1 for _, t, e in hits if t < 3600 and e % 3)
-    assert all(r.answers == first_hour for r in closed if r.period == at(0))
+    rows = stream.read_periods(spark, f"{table}/rows").collect()
+    assert sum(r.answers for r in rows if r.period == at(0)) == first_hour
+    assert sum(r.answers for r in rows) == sum(1 for _, _, e in hits if e % 3)

@@ -2,14 +2,15 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.operators import billing, metrics
+from parchment.operators import billing, metrics, quota
 from parchment.sources import records
 from parchment.streaming import limits, webhooks
-from parchment.streaming.sources import VersionedTable, read_files
+from parchment.streaming.sources import read_files
 
 
 def at(day, hour=12):
@@ -37,15 +38,44 @@ def test_limiter_state_stays_within_the_window(spark, tmp_path):
     schema = "key int, ts timestamp, event_id int"
     parts = [[(1, at(1), 1), (1, at(1, 13), 2)], [(1, at(3), 3), (2, at(1), 4)]]
     feed(spark, out, schema, parts, lambda s: limits.rate_limited(s, 5, 3600, out, f"{out}/checkpoint"))
-    state = VersionedTable(spark, f"{out}/state", schema).read(1).collect()
-    assert sorted((r.key, r.event_id) for r in state) == [(1, 3), (2, 4)]
+    held = limits.state(spark, f"{out}/checkpoint", "accepted").selectExpr("key.key AS key", "list_element.micros AS micros")
+    want = [(1, at(3)), (2, at(1))]
+    assert sorted(map(tuple, held.collect())) == [(k, int(t.replace(tzinfo=datetime.UTC).timestamp() * 1e6)) for k, t in want]
 
 
-def test_a_missing_state_is_an_error(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path), "a int")
-    assert table.read(-1).collect() == []
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        table.read(4)
+def test_restarts_go_on_where_the_checkpoint_is(spark, tmp_path):
+    """Each part is a stream of its own start; verdicts equal those of one batch over all parts."""
+    rng = random.Random(5)
+    start, out = at(1, 0), str(tmp_path)
+    rows = sorted((start + datetime.timedelta(seconds=rng.randrange(40_000)), rng.choice([1, 1, 1, 2, 3])) for _ in range(240))
+    rows = [(k, t, n) for n, (t, k) in enumerate(rows)]
+    schema = "key int, ts timestamp, event_id int"
+    parts = [rows[i : i + 60] for i in range(0, 240, 60)]
+    feed(spark, out, schema, parts, lambda s: limits.rate_limited(s, 4, 900, out, f"{out}/checkpoint"))
+    got = {r.event_id: r.accepted for r in spark.read.parquet(f"{out}/verdicts").collect()}
+    whole = quota.rate_limited(spark.createDataFrame(rows, schema), 4, 900).collect()
+    assert got == {r.event_id: r.accepted for r in whole} and not all(got.values())
+
+
+def test_an_event_a_month_late_corrects_its_period(spark, tmp_path):
+    from parchment.streaming import metrics as stream
+
+    out = str(tmp_path)
+    answer = lambda ms: json.dumps({"kind": "answer", "intent": "qa", "status": "grounded", "model": "m", "registry_version": "0" * 12, "latency_ms": ms})
+    parts = [[(at(1), answer(10)), (at(1, 20), answer(20)), (at(2), answer(5))], [(at(30), answer(7))], [(at(1), answer(90)), (at(1), "broken")]]
+    feed(spark, out, "ts timestamp, payload string", parts, lambda s: stream.period_answers(s, f"{out}/rows", f"{out}/checkpoint"))
+    got = {(r.period.day, r.answers, r.avg_latency_ms) for r in stream.read_periods(spark, f"{out}/rows").collect()}
+    assert got == {(1, 3, 40), (2, 1, 5), (30, 1, 7)}
+
+
+def test_a_plan_may_change_between_messages(spark, tmp_path):
+    out = str(tmp_path)
+    schema = "user_id int, ts timestamp, event_id int, day date, daily_messages int"
+    row = lambda hour, event, limit: (1, at(1, hour), event, at(1).date(), limit)
+    parts = [[row(9, 2, 1), row(8, 1, 1)], [row(12, 4, 2), row(11, 3, 1)], [row(13, 5, 2), row(14, 6, None)]]
+    feed(spark, out, schema, parts, lambda s: limits.take_messages(s, out, f"{out}/checkpoint"))
+    got = {r.event_id: (r.accepted, r.used) for r in spark.read.parquet(f"{out}/decisions").collect()}
+    assert got == {1: (True, 1), 2: (False, 1), 3: (False, 1), 4: (True, 2), 5: (False, 2), 6: (True, 3)}
 
 
 EVENTS = (
