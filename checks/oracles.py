@@ -251,6 +251,7 @@ ORACLES["spread_sample"] = f"""WITH RECURSIVE {DOC_CHUNKS},
     UNION ALL SELECT s.doc_id, s.chunk_idx, s.r, w.used + s.cost <= 1500, w.used + CASE WHEN w.used + s.cost <= 1500 THEN s.cost ELSE 0 END, w.held + CASE WHEN w.used + s.cost <= 1500 THEN 1 ELSE 0 END
     FROM walk2 w JOIN s ON s.doc_id = w.doc_id AND s.r = w.r + 1)
   SELECT doc_id, chunk_idx, 'S' || held AS source_id FROM walk2 WHERE took"""
+ORACLES["indexed_vector_topk"], ORACLES["indexed_vector_zscore"] = ORACLES["vector_topk"], ORACLES["vector_zscore"]
 SUMMARY_RE = r"(?i)\b" + SUMMARY_WORDS + r"\b"
 ORACLES["abstain_or_sample"] = f"""WITH {DOC_CHUNKS},
   asked AS (SELECT conv_id || ':' || turn AS query_id, conv_id AS doc_id, text FROM conversations WHERE role = 'user' AND conv_id IN (SELECT doc_id FROM documents)),

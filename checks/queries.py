@@ -29,6 +29,7 @@ from parchment.operators import (
     router,
     search,
     selection,
+    vector_index,
     vectors,
     verify,
 )
@@ -244,6 +245,26 @@ def vector_zscore(spark, sf):
     return stats.select("query_id", "n", *[F.round(c, 5).alias(c) for c in ("best", "mean", "std", "z")])
 
 
+def _indexed_vectors(spark, sf):
+    index = vector_index.VectorIndex(spark, work_dir(spark, "vector-index"), ["doc_id"])
+    index.build(I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")))
+    return index.find(_vector_queries(spark, sf))
+
+
+@query
+def indexed_vector_topk(spark, sf):
+    """The same search over stored clusters, of which a query opens only those that can hold a best row."""
+    top = _indexed_vectors(spark, sf)[0]
+    return top.select("query_id", "doc_id", F.round("similarity", 5).alias("similarity"), "semantic_rank")
+
+
+@query
+def indexed_vector_zscore(spark, sf):
+    """The same statistics from the corpus' moments, without scoring a pair for them."""
+    stats = _indexed_vectors(spark, sf)[1]
+    return stats.select("query_id", "n", *[F.round(c, 5).alias(c) for c in ("best", "mean", "std", "z")])
+
+
 def _fused(spark, sf):
     docs = I.texts(spark, sf, "documents")
     lexical = search.bm25(search.match_queries(docs, _benchmark_queries(spark, sf), ["doc_id"]))
