@@ -49,6 +49,12 @@ def subscription_state(snapshots: DataFrame, prefix: str = "", customer: str = "
     status. That is two levels of maxima, which combine before the shuffle however many snapshots a
     customer has, and arrival order does not matter.
     """
+    return state_of(subscription_parts(snapshots, [customer], prefix), customer)
+
+
+def subscription_parts(snapshots: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
+    """What ``state_of`` needs to know of each subscription: (keys, subscription_id, last_live, last_ended, last).
+    Three maxima, so parts of any split of the snapshots can be merged, and repeats don't matter."""
     priced = snapshots.join(F.broadcast(dims.prices(snapshots.sparkSession, prefix)), "lookup_key", "left")
     live = F.coalesce(F.col("status").isin(dims.LIVE_STATUSES), F.lit(False)) & F.col("plan").isNotNull()
     at = F.struct("ts", "event_id")
@@ -61,11 +67,19 @@ def subscription_state(snapshots: DataFrame, prefix: str = "", customer: str = "
         "period_end",
         F.coalesce("cancel_at_period_end", F.lit(False)).alias("cancels"),
     )
-    per_subscription = priced.groupBy(customer, "subscription_id").agg(
+    return priced.groupBy(*keys, "subscription_id").agg(
         F.max(F.when(live, body)).alias("last_live"),
         F.max(F.when(~live, at)).alias("last_ended"),
         F.max(F.struct(at.alias("at"), "status")).alias("last"),
     )
+
+
+def merge_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    return parts.groupBy(*keys, "subscription_id").agg(*[F.max(c).alias(c) for c in ("last_live", "last_ended", "last")])
+
+
+def state_of(per_subscription: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """State per customer from one row per customer and subscription."""
     per_customer = per_subscription.groupBy(customer).agg(
         F.max(F.when(F.col("last_live").isNotNull(), F.struct("last_live", "last_ended"))).alias("top"),
         F.max("last").alias("last"),

@@ -99,6 +99,29 @@ def test_late_and_repeated_webhooks_and_checkouts(spark, tmp_path):
     assert got == {"a": ("free", "canceled"), "b": ("pro", "active"), "c": ("pro", "active")}
 
 
+def test_a_read_does_not_grow_with_history(spark, tmp_path, monkeypatch):
+    """Ten batches, folded every third: the state of all events, from the last fold and what came since."""
+    monkeypatch.setattr(webhooks, "FOLD", 3)
+    rng, out = random.Random(3), str(tmp_path)
+    kinds = [*billing.SUBSCRIPTION_EVENTS, billing.CHECKOUT_EVENT, "invoice.paid"]
+    rows = []
+    for n in range(100):
+        customer = rng.randint(1, 6)
+        kind = rng.choice(kinds)
+        ref = str(customer) if kind == billing.CHECKOUT_EVENT else None
+        status = rng.choice(["active", "canceled", "past_due"])
+        rows.append((n, kind, at(rng.randint(1, 28), rng.randint(0, 23)), customer, ref, f"s{customer}{n % 2}", status, rng.choice(["pro_monthly", "business_yearly", "x"]), at(28), False))
+    parts = [rows[i : i + 10] for i in range(0, 100, 10)]
+    parts[4] += rows[:5]
+    feed(spark, out, EVENTS, parts, lambda s: webhooks.process(s, out, f"{out}/checkpoint"))
+    users = spark.createDataFrame([(str(c), c if c % 2 else None) for c in range(1, 7)], "user_id string, customer_id int")
+    events = spark.createDataFrame(rows, EVENTS)
+    want = billing.subscription_state(billing.matched_events(events, users), customer="user_id")
+    assert sorted(map(str, webhooks.current_state(spark, out, users).collect())) == sorted(map(str, want.collect()))
+    folders = {"/".join(f.split("/")[-3:-1]) for f in webhooks.parts(spark, out).inputFiles()}
+    assert folders == {"folded/batch=8", "parts/batch=9"}
+
+
 GOOD = {"kind": "answer", "intent": "qa", "model": "m-1", "registry_version": "0" * 12, "latency_ms": 5}
 
 
