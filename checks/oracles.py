@@ -499,6 +499,9 @@ ORACLES["relevance"] = f"""WITH {VEC}, p AS (SELECT a.vec_id, list_dot_product(C
       * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
   , s AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN sim ELSE 1.0 END AS sim FROM p)
   SELECT vec_id, round(sim, 5) AS similarity, CASE WHEN best > 0 AND sim / best < 0.95 THEN round(sim / best, 2) + 0.0 END AS off_topic FROM s JOIN vstats ON query_id = vec_id"""
+ORACLES["off_topic_answers"] = f"""SELECT answer_id, CASE WHEN off_topic IS NOT NULL AND status <> 'abstained' THEN 'warning' ELSE status END AS status,
+  CASE WHEN off_topic IS NULL OR status = 'abstained' THEN issues ELSE concat_ws(';', nullif(issues, ''), 'off-topic:' || off_topic) END AS issues
+  FROM ({ORACLES['grounded_answers']}) LEFT JOIN ({ORACLES['relevance']}) ON vec_id = answer_id"""
 
 # --- checklists ----------------------------------------------------------------------------------
 
@@ -577,6 +580,13 @@ ORACLES["prompt_table"] = f"""WITH RECURSIVE {DOC_CHUNKS}, {plan_ctes(4096, True
   hist AS (SELECT conv_id, turn, string_agg(role || ': ' || text, chr(10) || '---' || chr(10) ORDER BY age DESC) AS h, count(*) AS k FROM kept GROUP BY ALL)
   SELECT conv_id, turn, 2 + coalesce(k, 0) AS messages, md5(concat_ws(chr(10) || '---' || chr(10), 'system: Answer from the sources.' || coalesce(chr(10) || chr(10) || 'SOURCES:' || chr(10) || chr(10) || src || chr(10) || chr(10) || 'END OF SOURCES', ''), h, 'user: ' || question)) AS digest
   FROM plan_ LEFT JOIN blk USING (conv_id, turn) LEFT JOIN hist USING (conv_id, turn) WHERE NOT too_long"""
+ORACLES["prompts_with_examples"] = f"""WITH {plan_ctes(2048, False)}, {QA},
+  ex AS ({ORACLES['similar_examples']}),
+  blk AS (SELECT question_id, string_agg('Q: ' || question || chr(10) || 'A: ' || CASE WHEN rating = 'down' THEN correction ELSE {strip_cites('answer')} END, chr(10) || chr(10) ORDER BY place) AS b
+    FROM ex JOIN qa USING (id) GROUP BY question_id),
+  hist AS (SELECT conv_id, turn, string_agg(role || ': ' || text, chr(10) || '---' || chr(10) ORDER BY age DESC) AS h, count(*) AS k FROM kept GROUP BY ALL)
+  SELECT conv_id, turn, 2 + coalesce(k, 0) AS messages, md5(concat_ws(chr(10) || '---' || chr(10), 'system: Answer briefly.' || coalesce(chr(10) || chr(10) || 'EXAMPLES' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'END OF EXAMPLES', ''), h, 'user: ' || question)) AS digest
+  FROM plan_ LEFT JOIN blk ON question_id = conv_id * 1000 + turn LEFT JOIN hist USING (conv_id, turn) WHERE NOT too_long"""
 ORACLES["latest_threads"] = """WITH t AS (SELECT conv_id AS id, CASE WHEN conv_id % 3 > 0 THEN 'w' || (conv_id % 3) ELSE 'default' END AS workspace, arg_min(text, turn) AS f, max(turn) AS updated_at FROM conversations GROUP BY conv_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY updated_at DESC, id DESC) AS n FROM t)
   SELECT workspace, id, CASE WHEN length(f) > 40 THEN left(f, 40) || '…' ELSE f END AS title, updated_at FROM r WHERE n = 1"""

@@ -518,6 +518,15 @@ def grounded_answers(spark, sf):
     )
 
 
+@query
+def off_topic_answers(spark, sf):
+    """Verified answers with the issue of an answer that is less like its question than the best passage."""
+    verified = verify.ground_answers(I.contract_answers(spark, sf), I.contract_sources(spark, sf))
+    judged = relevance(spark, sf).select(F.col("vec_id").alias("answer_id"), "off_topic")
+    flagged = verify.add_relevance(verified.join(judged, "answer_id", "left"), F.col("off_topic"))
+    return flagged.select("answer_id", "status", _issue_text())
+
+
 @query
 def conversation_grounding(spark, sf):
     """Assistant turns against the user turns before them as sources, on free text."""
@@ -671,6 +680,21 @@ def prompt_table(spark, sf):
     return table.select("conv_id", "turn", F.size("messages").alias("messages"), F.md5(shown).alias("digest"))
 
 
+@query
+def prompts_with_examples(spark, sf):
+    """The prompt of every user turn without a document: its history and up to two approved answers."""
+    plan, kept = conversations.plan_turns(I.table(spark, sf, "conversations"), 2048, 300, with_document=False)
+    rated = I.questions_with_answers(spark, sf)
+    approved = F.when(F.col("rating") == "down", F.col("correction")).otherwise(C.strip_citations(F.col("answer")))
+    chosen = similar_examples(spark, sf).join(rated.select("id", "question", approved.alias("answer")), "id")
+    lists = chosen.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "question", "answer"))).alias("examples"))
+    asked = plan.withColumn("question_id", F.col("conv_id") * 1000 + F.col("turn")).join(lists, "question_id", "left")
+    block = conversations.examples_block(F.col("examples"), F.lit("EXAMPLES"))
+    table = conversations.prompt_table(asked, kept, None, "Answer briefly.", examples=block)
+    shown = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n---\n")
+    return table.select("conv_id", "turn", F.size("messages").alias("messages"), F.md5(shown).alias("digest"))
+
+
 @query
 def latest_threads(spark, sf):
     turns = I.table(spark, sf, "conversations")
