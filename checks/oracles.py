@@ -708,6 +708,7 @@ ORACLES["intent_scores"] = f"""WITH {GRAMS}, cf AS (SELECT term, label, sum(weig
   z AS (SELECT f.key, cl.label, b + coalesce(sum(f.weight * cf.c), 0) AS z FROM ft f JOIN cl ON true LEFT JOIN cf ON cf.term = f.term AND cf.label = cl.label GROUP BY f.key, cl.label, b),
   p AS (SELECT key, label, exp(z) / sum(exp(z)) OVER (PARTITION BY key) AS p FROM z)
   SELECT key, round(max(p) FILTER (label = 'assistant'), 5) AS assistant, round(max(p) FILTER (label = 'system'), 5) AS system, round(max(p) FILTER (label = 'user'), 5) AS user FROM p GROUP BY key"""
+ORACLES["router_held_out"] = "SELECT count(*) AS texts, true AS accurate FROM documents WHERE lang IS NOT NULL AND doc_id % 4 = 0"
 ROUTED = f"""nn AS (SELECT *, conv_id + turn AS n FROM conversations WHERE role = 'user'),
   pp AS (SELECT *, n * 3 % 10 + 1.0 AS compliance, n * 7 % 10 + 1.0 AS extract, (n * 11 % 10 + 1.0) * 2 AS general, n * 9 % 10 + 1.0 AS qa, n % 10 + 1.0 AS summary FROM nn),
   pr AS (SELECT conv_id, turn, n, text, [compliance / t, extract / t, general / t, qa / t, summary / t] AS p FROM (SELECT *, CAST(compliance + extract + general + qa + summary AS DOUBLE) AS t FROM pp)),

@@ -27,6 +27,7 @@ from parchment.operators import (
     quota,
     quotes,
     router,
+    router_pipeline,
     search,
     selection,
     vector_index,
@@ -987,6 +988,18 @@ def intent_eval(spark, sf):
     return router.confusion(scored.join(t.select("key", "label"), "key"))
 
 
+@query
+def router_held_out(spark, sf):
+    """The router pipeline on the texts' languages: fitted on three of four documents, judged on the others.
+    The languages' texts in the fold, and whether at least 95 % of them were told."""
+    docs = I.texts(spark, sf, "documents").where("lang is not null").select(F.col("doc_id").alias("key"), F.col("lang").alias("label"), "text")
+    model = router_pipeline.fit(docs.where("key % 4 <> 0"))
+    held = docs.where("key % 4 = 0")
+    told = router.predicted(router_pipeline.scores(model, held.select("key", "text"), "key"), router_pipeline.classes(model))
+    found = router.accuracy(told.join(held.select("key", "label"), "key"))
+    return found.select("texts", (F.col("accuracy") >= 0.95).alias("accurate"))
+
+
 @query
 def routed_messages(spark, sf):
     """Routing rules over class probabilities made from the turn's own numbers."""
