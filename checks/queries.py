@@ -495,8 +495,7 @@ def allowed_labels(spark, sf):
 
 @query
 def citation_check(spark, sf):
-    a = verify.with_sources(I.contract_answers(spark, sf), I.contract_sources(spark, sf))
-    v = verify.verify_answers(a)
+    v = verify.verify_answers(I.contract_answers(spark, sf), I.contract_sources(spark, sf))
     return v.select("answer_id", "status", F.array_join("cited", ",").alias("cited"), _issue_text())
 
 
@@ -1062,7 +1061,7 @@ def eval_extraction(spark, sf):
 
 @query
 def eval_answers(spark, sf):
-    v = verify.verify_answers(verify.with_sources(I.contract_answers(spark, sf), I.contract_sources(spark, sf)))
+    v = verify.verify_answers(I.contract_answers(spark, sf), I.contract_sources(spark, sf))
     prices = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("answer_id"), F.array(F.format_number("o_totalprice", 2)).alias("expect"))
     scored = evals.score_answers(v.join(prices, "answer_id"), ["£1", "interest"])
     return evals.answer_totals(scored)
@@ -1070,7 +1069,7 @@ def eval_answers(spark, sf):
 
 @query
 def eval_unrelated(spark, sf):
-    v = verify.verify_answers(verify.with_sources(I.contract_answers(spark, sf), I.contract_sources(spark, sf)))
+    v = verify.verify_answers(I.contract_answers(spark, sf), I.contract_sources(spark, sf))
     routed = v.withColumn("intent", F.when(F.col("answer_id") % 4 == 0, "general").otherwise("qa"))
     return evals.unrelated_handled(routed).groupBy("ok").agg(F.count("*").alias("answers"))
 

@@ -72,22 +72,19 @@ def figures(text: Column) -> Column:
     return F.transform(numbers(text), bare_digits)
 
 
-def _no_percent(figure: Column) -> Column:
-    return F.regexp_replace(figure, r"%\z", "")
+def plain_figure(figure: Column) -> Column:
+    """A figure as it is compared: digits without currency, separators or a percent sign."""
+    return F.regexp_replace(bare_digits(figure), r"%\z", "")
 
 
-def unsupported_figures(answer: Column, haystack: Column, question: Column) -> Column:
-    """Figures of an answer that neither the sources nor the question hold, as written."""
-    allowed = F.transform(F.concat(figures(haystack), figures(match_form(question))), _no_percent)
+def figures_outside(answer: Column, known: Column) -> Column:
+    """Figures of an answer that ``known`` (plain figures) lacks, as written."""
 
-    def missing(known: Column) -> Column:
-        def unknown(figure: Column) -> Column:
-            value = _no_percent(bare_digits(figure))
-            return (F.length(value) > 0) & ~F.array_contains(known, value)
+    def unknown(figure: Column) -> Column:
+        value = plain_figure(figure)
+        return (F.length(value) > 0) & ~F.array_contains(known, value)
 
-        return F.array_distinct(F.transform(F.filter(numbers(without_references(answer)), unknown), lambda n: F.btrim(n)))
-
-    return bound(allowed, missing)
+    return F.array_distinct(F.transform(F.filter(numbers(without_references(answer)), unknown), lambda n: F.btrim(n)))
 
 
 def no_quote_marks(text: Column) -> Column:

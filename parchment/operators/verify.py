@@ -1,79 +1,210 @@
 """Answers against the sources they were given: citations, quotes, figures, attribution.
 
-A table of answers meets its sources once: sources are prepared per row, gathered per answer (an
-answer has at most a handful, see ``selection``), and everything after is narrow.
+An answer may have any number of sources. Every source row meets its own answer in one equi join, on
+the answer and a block of the sources' order, and gives facts: figures and cited ids it holds, and
+the sentences it covers. Facts are few (an answer bounds them) and combine before they are shuffled;
+sources are never gathered. Quotes are looked up in windows of the sources' joined text, so one that
+runs on from a source into the next is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions import citations as C
-from parchment.functions.text import bound, tokens, trimmed
+from parchment.functions.text import bound, match_form, tokens, trimmed
 
 MIN_OVERLAP = 0.6
 GRAM = 4
 FIGURE_BONUS = 0.25
 MIN_WORDS = 3
+# Sources of an answer that share a join key, and characters of its joined text that are searched at once.
+SOURCE_BLOCK = 256
+WINDOW_CHARS = 8192
 
 _ISSUE = "array<struct<kind:string,detail:string>>"
+_TEXTS = "array<string>"
 
 
-def gather_sources(sources: DataFrame, answer_id: str, order: str = "source_order") -> DataFrame:
-    """(answer, sources array in order) with each source's words and figures worked out per row."""
-    prepared = sources.select(
-        answer_id,
-        F.struct(
-            F.col(order).alias("order"),
-            F.col("source_id").alias("id"),
-            F.col("text").alias("text"),
-            F.array_distinct(tokens(F.col("text"))).alias("words"),
-            F.array_distinct(C.figures(F.col("text"))).alias("figures"),
-        ).alias("source"),
+def _answer() -> Column:
+    return F.coalesce(F.col("answer"), F.lit(""))
+
+
+def _quotes() -> Column:
+    return F.regexp_extract_all(_answer(), F.lit(C.QUOTE), F.lit(1))
+
+
+def _shingles(words: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - C.SHINGLE + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, C.SHINGLE), " "))
+
+
+def _stated() -> Column:
+    """Figures of the answer, references left out, as they are compared."""
+    found = C.numbers(C.without_references(_answer()))
+    return F.filter(F.array_distinct(F.transform(found, C.plain_figure)), lambda f: f != "")
+
+
+def _open_sentences() -> Column:
+    """(text, words, figures) of the sentences that carry no citation and enough words for a search."""
+    uncited = F.filter(F.array_distinct(F.regexp_extract_all(_answer(), F.lit(C.SENTENCE), F.lit(0))), lambda s: ~s.rlike(C.ANY_CITATION))
+    parts = F.transform(
+        uncited,
+        lambda s: F.struct(
+            s.alias("text"), F.array_distinct(tokens(s)).alias("words"), C.figures(C.without_references(s)).alias("figures")
+        ),
     )
-    return prepared.groupBy(answer_id).agg(
-        F.array_sort(
-            F.collect_list("source"),
-            lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0),
-        ).alias("sources")
+    return F.filter(parts, lambda s: F.size(s["words"]) >= MIN_WORDS)
+
+
+def _in_blocks(sources: DataFrame, answer_id: str) -> DataFrame:
+    block = F.coalesce(F.floor(F.col("source_order") / SOURCE_BLOCK), F.lit(0)).cast("long")
+    return sources.select(answer_id, "source_order", "source_id", "text", block.alias("_block"))
+
+
+def _meet(asked: DataFrame, placed: DataFrame, answer_id: str) -> DataFrame:
+    """Sources beside what their answer asks: an answer is repeated once per block of its sources."""
+    on = [answer_id, "_block"]
+    return placed.join(asked.join(placed.select(*on).distinct(), answer_id), on)
+
+
+def _held_facts(answers: DataFrame, placed: DataFrame, answer_id: str) -> DataFrame:
+    """(answer, kind, key, rank) of each source: that it is there, ids, figures and sentences it covers."""
+    asked = answers.select(
+        answer_id, C.cited_ids(_answer()).alias("ids"), _stated().alias("stated"), _open_sentences().alias("sentences")
     )
 
+    def fact(kind: str, key: Column, cost: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), cost.alias("cost"))
+
+    def covered(words: Column, figures: Column) -> Column:
+        scored = F.transform(
+            "sentences",
+            lambda s: fact(
+                "sentence",
+                s["text"],
+                -(
+                    F.size(F.array_intersect(s["words"], words)) / F.size(s["words"])
+                    + F.when(F.arrays_overlap(s["figures"], figures), FIGURE_BONUS).otherwise(0.0)
+                ),
+            ),
+        )
+        return F.filter(scored, lambda x: x["cost"] <= -MIN_OVERLAP)
 
-def with_sources(answers: DataFrame, sources: DataFrame, answer_id: str = "answer_id") -> DataFrame:
-    joined = answers.join(gather_sources(sources, answer_id), answer_id, "left")
-    empty = F.array().cast(joined.schema["sources"].dataType)
-    return joined.withColumn("sources", F.coalesce("sources", empty))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sentences = bound(
+        F.struct(F.array_distinct(tokens(text)).alias("words"), F.array_distinct(C.figures(text)).alias("figures")),
+        lambda s: covered(s["words"], s["figures"]),
+    )
+    known = F.transform(C.figures(C.haystack_form(text)), C.plain_figure)
+    zero = F.lit(0.0)
+    facts = F.concat(
+        F.array(fact("source", F.lit(""), zero)),
+        F.transform(F.array_intersect("ids", F.array("source_id")), lambda i: fact("id", i, zero)),
+        F.when(F.size("stated") > 0, F.transform(F.array_intersect("stated", known), lambda n: fact("figure", n, zero))).otherwise(F.array()),
+        F.when((F.size("sentences") > 0) & F.col("source_id").isNotNull(), sentences).otherwise(F.array()),
+    )
+    each = _meet(asked, placed, answer_id).select(answer_id, "source_order", "source_id", F.explode(facts).alias("f"))
+    return each.select(
+        answer_id, "f.kind", "f.key", F.struct(F.col("f.cost").alias("cost"), F.col("source_order").alias("order"), F.col("source_id").alias("id")).alias("rank")
+    )
+
+
+def _quote_facts(answers: DataFrame, placed: DataFrame, answer_id: str, window: int) -> DataFrame:
+    """(answer, kind, key, rank) of the quotes and their shingles that stand in the sources' joined text.
+
+    The texts are laid end to end by running sums of their lengths and cut into windows that overlap by
+    the longest quote, so that a row holds a window, whatever the number and length of the sources.
+    """
+    forms = F.filter(F.transform(_quotes(), C.haystack_form), lambda q: q != "")
+    needles = F.array_distinct(F.flatten(F.transform(forms, lambda q: F.concat(F.array(q), _shingles(F.split(q, " "))))))
+    asked = answers.select(answer_id, needles.alias("needles")).where(F.size("needles") > 0)
+    asked = asked.groupBy(answer_id).agg(F.array_distinct(F.flatten(F.collect_list("needles"))).alias("needles"))
+    asked = asked.withColumn("reach", F.array_max(F.transform("needles", lambda n: F.length(n))).cast("long"))
+    formed = _meet(asked, placed, answer_id).withColumn("form", match_form(F.coalesce("text", F.lit("")))).where("form <> ''")
+    formed = formed.select(answer_id, "_block", "source_order", "source_id", "needles", "reach", F.concat(C.no_quote_marks(F.col("form")), F.lit(" ")).alias("form"))
+    size = F.length("form").cast("long")
+    before = Window.partitionBy(answer_id).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = formed.groupBy(answer_id, "_block").agg(F.sum(size).alias("_chars"))
+    begins = begins.select(answer_id, "_block", F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy(answer_id, "_block").orderBy("source_order", "source_id").rowsBetween(Window.unboundedPreceding, -1)
+    laid = formed.withColumn("_at", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(begins, [answer_id, "_block"])
+    laid = laid.withColumn("start", F.col("_at") + F.col("_from")).withColumn("stop", F.col("start") + size)
+    first = F.greatest(F.floor((F.col("start") - F.col("reach")) / window), F.lit(0))
+    pieces = laid.withColumn("window", F.explode(F.sequence(first, F.floor((F.col("stop") - 1) / window))))
+    opens = F.col("window") * window
+    left = F.greatest("start", opens)
+    right = F.least("stop", opens + window + F.col("reach"))
+    piece = F.substring("form", (left - F.col("start") + 1).cast("int"), (right - left).cast("int"))
+    # The piece on which a window opens brings the quotes.
+    brings = F.when((F.col("start") <= opens) & (opens < F.col("stop")), F.col("needles"))
+    held = pieces.where(right > left).groupBy(answer_id, "window").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(left.alias("at"), piece.alias("piece")))), lambda p: p["piece"]), "").alias("haystack"),
+        F.max(brings).alias("needles"),
+    )
+    found = held.select(answer_id, F.explode(F.filter("needles", lambda n: F.contains(F.col("haystack"), n))).alias("key"))
+    nothing = F.lit(None).cast(placed.schema["source_order"].dataType)
+    rank = F.struct(F.lit(0.0).alias("cost"), nothing.alias("order"), F.lit(None).cast(placed.schema["source_id"].dataType).alias("id"))
+    return found.select(answer_id, F.lit("quote").alias("kind"), "key", rank.alias("rank"))
+
+
+def _with_facts(answers: DataFrame, sources: DataFrame, answer_id: str, window: int = WINDOW_CHARS) -> DataFrame:
+    """``answers`` with ``_facts``: whether there are sources, ids, figures and quotes they hold, and the
+    best source of each uncited sentence (first in order among equals)."""
+    placed = _in_blocks(sources, answer_id)
+    facts = _held_facts(answers, placed, answer_id).unionByName(_quote_facts(answers, placed, answer_id, window))
+    best = facts.groupBy(answer_id, "kind", "key").agg(F.min("rank").alias("rank"))
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
+    winners = F.collect_list(F.when(F.col("kind") == "sentence", F.struct(F.col("key"), F.col("rank.id").cast("string").alias("id"))))
+    settled = best.groupBy(F.col(answer_id)).agg(
+        F.struct(
+            F.lit(True).alias("any"),
+            of("id").alias("ids"),
+            of("figure").alias("figures"),
+            of("quote").alias("quotes"),
+            F.map_from_entries(winners).alias("winners"),
+        ).alias("_facts")
+    )
+    empty = F.array().cast(_TEXTS)
+    none = F.struct(
+        F.lit(False).alias("any"), empty.alias("ids"), empty.alias("figures"), empty.alias("quotes"), F.create_map().cast("map<string,string>").alias("winners")
+    )
+    return answers.join(settled, answer_id, "left").withColumn("_facts", F.coalesce("_facts", none))
 
 
 def _issue(kind: str, detail: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
 
 
-def verify_answers(answers: DataFrame) -> DataFrame:
-    """Adds ``abstained``, ``cited``, ``issues`` and ``status`` to answers with a ``sources`` array."""
-    answer = F.coalesce(F.col("answer"), F.lit(""))
-    provided = F.transform("sources", lambda s: s["id"])
-    base = answers.select(
-        "*",
-        C.is_abstention(answer).alias("abstained"),
-        C.cited_ids(answer).alias("_all_cited"),
-        C.haystack_form(F.array_join(F.transform("sources", lambda s: s["text"]), "\n")).alias("_haystack"),
+def _quote_holds(quote: Column) -> Column:
+    found = F.col("_facts.quotes")
+
+    def share(words: Column) -> Column:
+        hits = F.size(F.filter(_shingles(words), lambda s: F.array_contains(found, s)))
+        return (F.size(words) >= C.SHINGLE) & (hits / (F.size(words) - C.SHINGLE + 1) >= C.SHINGLE_SHARE)
+
+    return bound(
+        C.haystack_form(quote),
+        lambda q: F.when((q == "") | F.array_contains(found, q), True).otherwise(bound(F.split(q, " "), share)),
     )
-    checked = base.select(
+
+
+def _verified(asked: DataFrame) -> DataFrame:
+    answer = _answer()
+    known = F.concat(F.col("_facts.figures"), F.transform(C.figures(match_form(F.coalesce(F.col("question"), F.lit("")))), C.plain_figure))
+    checked = asked.select(
         "*",
-        F.array_intersect("_all_cited", provided).alias("cited"),
-        F.array_except("_all_cited", provided).alias("_invalid"),
-        F.filter(
-            F.regexp_extract_all(answer, F.lit(C.QUOTE), F.lit(1)),
-            lambda q: ~C.quote_supported(q, F.col("_haystack")),
-        ).alias("_quotes"),
-        C.unsupported_figures(answer, F.col("_haystack"), F.coalesce(F.col("question"), F.lit(""))).alias("_figures"),
+        C.is_abstention(answer).alias("abstained"),
+        F.array_intersect(C.cited_ids(answer), F.col("_facts.ids")).alias("cited"),
+        F.array_except(C.cited_ids(answer), F.col("_facts.ids")).alias("_invalid"),
+        F.filter(_quotes(), lambda q: ~_quote_holds(q)).alias("_quotes"),
+        bound(known, lambda k: C.figures_outside(answer, k)).alias("_figures"),
     )
     one = lambda when, issue: F.when(when, F.array(issue)).otherwise(F.array().cast(_ISSUE))
     issues = F.concat(
         one(F.size("_invalid") > 0, _issue("invalid-citation", F.array_join("_invalid", ", "))),
-        one(~F.col("abstained") & (F.size("sources") > 0) & (F.size("cited") == 0), _issue("no-citation")),
+        one(~F.col("abstained") & F.col("_facts.any") & (F.size("cited") == 0), _issue("no-citation")),
         F.transform("_quotes", lambda q: _issue("unverified-quote", F.substring(q, 1, 80))),
         one(F.size("_figures") > 0, _issue("unsupported-number", F.array_join("_figures", ", "))),
     )
@@ -83,64 +214,39 @@ def verify_answers(answers: DataFrame) -> DataFrame:
             "status",
             F.when(F.col("abstained"), "abstained").when(F.size("issues") > 0, "warning").otherwise("grounded"),
         )
-        .drop("_all_cited", "_haystack", "_invalid", "_quotes", "_figures")
+        .drop("_invalid", "_quotes", "_figures")
     )
 
 
-def _attributed(sentence: Column, sources: Column) -> Column:
+def verify_answers(answers: DataFrame, sources: DataFrame, answer_id: str = "answer_id") -> DataFrame:
+    """Adds ``abstained``, ``cited``, ``issues`` and ``status`` to answers (answer, question), given their
+    sources (source_order, source_id, text). A figure has to stand in one source, a quote in their joined text."""
+    return _verified(_with_facts(answers, sources, answer_id)).drop("_facts")
+
+
+def _attributed(sentence: Column) -> Column:
     """(text, id, unmatched) of one sentence; the id is null when nothing was added."""
 
     def outcome(text: Column, source: Column, unmatched: Column) -> Column:
         return F.struct(text.alias("text"), source.cast("string").alias("id"), unmatched.cast("string").alias("unmatched"))
 
     none = F.lit(None)
-    as_is = outcome(sentence, none, none)
-
-    def scored(words: Column) -> Column:
-        digits = C.figures(C.without_references(sentence))
-
-        def best(found: Column) -> Column:
-            scores = F.transform(
-                sources,
-                lambda s: F.size(F.array_intersect(words, s["words"])) / F.size(words)
-                + F.when(F.arrays_overlap(found, s["figures"]), FIGURE_BONUS).otherwise(0.0),
-            )
-
-            def decide(values: Column) -> Column:
-                top = F.array_max(values)
-                winner = F.get(sources, (F.array_position(values, top) - 1).cast("int"))["id"]
-                ending = F.regexp_extract(sentence, r"([.!?]*)\z", 1)
-                body = F.substring(sentence, F.lit(1), F.length(sentence) - F.length(ending))
-                cited = F.concat(body, F.lit(" [~"), winner, F.lit("]"), ending)
-                return F.when(top >= MIN_OVERLAP, outcome(cited, winner, none)).otherwise(
-                    outcome(sentence, none, trimmed(sentence))
-                )
-
-            return bound(scores, decide)
-
-        return F.when(F.size(words) < MIN_WORDS, as_is).otherwise(bound(digits, best))
-
-    return F.when(sentence.rlike(C.ANY_CITATION), as_is).otherwise(
-        bound(F.array_distinct(tokens(sentence)), scored)
+    ending = F.regexp_extract(sentence, r"([.!?]*)\z", 1)
+    body = F.substring(sentence, F.lit(1), F.length(sentence) - F.length(ending))
+    winner = F.col("_facts.winners")[sentence]
+    cited = outcome(F.concat(body, F.lit(" [~"), winner, F.lit("]"), ending), winner, none)
+    as_is = sentence.rlike(C.ANY_CITATION) | ~F.col("_facts.any") | (F.size(F.array_distinct(tokens(sentence))) < MIN_WORDS)
+    return (
+        F.when(winner.isNotNull(), cited)
+        .when(as_is, outcome(sentence, none, none))
+        .otherwise(outcome(sentence, none, trimmed(sentence)))
     )
 
 
-def attribute_sentences(answers: DataFrame) -> DataFrame:
+def _with_attributions(verified: DataFrame) -> DataFrame:
     """Adds ``content`` (uncited sentences marked ``[~S#]``), ``auto_ids`` and ``unmatched``."""
-    pieces = bound(
-        F.regexp_extract_all("answer", F.lit(C.SENTENCE), F.lit(0)),
-        lambda found: F.when(
-            F.size(F.col("sources")) > 0, F.transform(found, lambda s: _attributed(s, F.col("sources")))
-        ).otherwise(
-            F.transform(
-                found,
-                lambda s: F.struct(
-                    s.alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("unmatched")
-                ),
-            )
-        ),
-    )
-    parts = answers.select("*", pieces.alias("_parts"), F.split("answer", C.SENTENCE, -1).alias("_gaps"))
+    pieces = F.transform(F.regexp_extract_all(_answer(), F.lit(C.SENTENCE), F.lit(0)), _attributed)
+    parts = verified.select("*", pieces.alias("_parts"), F.split(_answer(), C.SENTENCE, -1).alias("_gaps"))
     text = F.concat(
         F.array_join(
             F.zip_with(
@@ -151,18 +257,19 @@ def attribute_sentences(answers: DataFrame) -> DataFrame:
         F.coalesce(F.get("_gaps", F.size("_parts")), F.lit("")),
     )
     return parts.select(
-        *answers.columns,
+        *verified.columns,
         text.alias("content"),
         F.array_distinct(F.array_compact(F.transform("_parts", lambda p: p["id"]))).alias("auto_ids"),
         F.array_compact(F.transform("_parts", lambda p: p["unmatched"])).alias("unmatched"),
     )
 
 
-def ground_answers(answers: DataFrame, sources: DataFrame, answer_id: str = "answer_id") -> DataFrame:
+def ground_answers(answers: DataFrame, sources: DataFrame, answer_id: str = "answer_id", window: int = WINDOW_CHARS) -> DataFrame:
     """The whole check. Adds ``content``, ``cited``, ``auto_cited``, ``issues`` and ``status``."""
-    base = verify_answers(with_sources(answers, sources, answer_id))
-    done = attribute_sentences(base)
-    skip = (F.col("status") == "abstained") | (F.size("sources") == 0)
+    base = _verified(_with_facts(answers, sources, answer_id, window))
+    done = _with_attributions(base)
+    alone = ~F.col("_facts.any")
+    skip = (F.col("status") == "abstained") | alone
     cited = F.array_union("cited", "auto_ids")
     kept = F.filter("issues", lambda i: i["kind"] != "no-citation")
     last = (
@@ -174,20 +281,16 @@ def ground_answers(answers: DataFrame, sources: DataFrame, answer_id: str = "ans
         .otherwise(F.array().cast(_ISSUE))
     )
     grounded = done.select(
-        *[c for c in base.columns if c not in ("cited", "issues", "status")],
+        *[c for c in base.columns if c not in ("cited", "issues", "status", "_facts")],
         F.when(skip, F.col("answer")).otherwise(F.col("content")).alias("content"),
         F.when(skip, F.col("cited")).otherwise(cited).alias("cited"),
-        F.when(skip, F.array().cast("array<string>")).otherwise(F.array_except("auto_ids", "cited")).alias("auto_cited"),
+        F.when(skip, F.array().cast(_TEXTS)).otherwise(F.array_except("auto_ids", "cited")).alias("auto_cited"),
         F.when(skip, F.col("issues")).otherwise(F.concat(kept, last)).alias("issues"),
-        F.when(skip, F.array().cast("array<string>")).otherwise(F.slice("unmatched", 1, 3)).alias("unsupported"),
-        F.col("status").alias("_status"),
+        F.when(skip, F.array().cast(_TEXTS)).otherwise(F.slice("unmatched", 1, 3)).alias("unsupported"),
+        F.when(skip, F.col("status")).alias("_status"),
     )
-    return grounded.withColumn(
-        "status",
-        F.when((F.col("_status") == "abstained") | (F.size("sources") == 0), F.col("_status"))
-        .when(F.size("issues") > 0, "warning")
-        .otherwise("grounded"),
-    ).drop("_status")
+    settled = F.when(F.size("issues") > 0, "warning").otherwise("grounded")
+    return grounded.withColumn("status", F.coalesce("_status", settled)).drop("_status")
 
 
 def add_relevance(verified: DataFrame, ratio_issue: Column) -> DataFrame:
