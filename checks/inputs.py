@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment import dims
+from parchment.operators.scan import dense_index
+from parchment.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for text work. A few small files make fewer splits than there are cores; then the
     rows are dealt out once. With many splits, as on a cluster, nothing is moved."""
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
+    return _dealt(table(spark, sf_dir, name))
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
@@ -76,6 +81,34 @@ def contract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pooled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a nation's customers as the numbered sources of one answer."""
+    home = texts(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").cast("long").alias("answer_id"))
+    pages = contract_pages(spark, sf_dir).join(home, "doc_id")
+    numbered = dense_index(pages, ["answer_id"], ["page"], "place", F.floor(F.col("page") / 100_000))
+    order = F.col("place") + 1
+    numbered = numbered.select("answer_id", order.alias("source_order"), F.concat(F.lit("S"), order).alias("source_id"), "text")
+    return _dealt(stored(numbered, "pooled-sources"))
+
+
+def pooled_answers(sources: DataFrame) -> DataFrame:
+    """One answer per nation: a quote that runs from its first page into the second, the sum of its last
+    page (every fifth nation: another one), a quote and a sentence that no page has."""
+    facts = sources.groupBy("answer_id").agg(
+        F.min_by("text", "source_order").alias("first"),
+        F.max(F.when(F.col("source_order") == 2, F.col("text"))).alias("second"),
+        F.max_by("text", "source_order").alias("last"),
+    )
+    months = F.regexp_extract("first", r"after ([0-9]+) months", 1)
+    head = F.substring(F.translate(F.coalesce("second", F.lit("")), "\n", " "), 1, 22)
+    price = F.when(F.col("answer_id") % 5 == 0, F.lit("9,000,000.00")).otherwise(F.regexp_extract("last", "£([0-9,.]+[0-9])", 1))
+    answer = F.concat(
+        F.lit('The pages say "per year after '), months, F.lit(" months. "), head, F.lit('" [S1]. The Customer shall pay £'), price,
+        F.lit(' in the end. It says "the customer never pays anything at all". Ships sail across seven oceans.'),
+    )
+    return facts.select("answer_id", answer.alias("answer"), F.lit("How much must the Customer pay?").alias("question"))
+
+
 def metric_payloads(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as JSON metric events; several kinds of faults by event number."""
     events = texts(spark, sf_dir, "events") if events is None else events

@@ -486,6 +486,29 @@ ORACLES["grounded_answers"] = f"""WITH {ANSWERS} SELECT answer_id,
     '' AS unsupported,
     CASE WHEN abst THEN 'The document does not mention the amount.' ELSE 'The Customer shall pay ' || sum_ || ' within thirty (30) days'
       || CASE WHEN s9 THEN ' [S9]' WHEN bare THEN ' [~S1]' ELSE ' [S1]' END || '. Late sums bear interest [~S1].' END AS content FROM plain"""
+# Every page of a nation against every sentence of its answer; the second piece carries its own label.
+ORACLES["pooled_answers"] = f"""WITH {CONTRACT}, src AS (SELECT c_nationkey AS answer_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY page) AS nr, text FROM contract JOIN customer ON c_custkey = doc_id),
+  facts AS (SELECT answer_id, min_by(text, nr) AS first, max(CASE WHEN nr = 2 THEN text END) AS second, max_by(text, nr) AS last, {haystack("string_agg(text, chr(10) ORDER BY nr)")} AS hay,
+    list(regexp_extract(text, '£([0-9,.]+[0-9])', 1)) AS prices FROM src GROUP BY answer_id),
+  made AS (SELECT *, regexp_extract(first, 'after ([0-9]+) months', 1) AS months, substr(replace(coalesce(second, ''), chr(10), ' '), 1, 22) AS head,
+    CASE WHEN answer_id % 5 = 0 THEN '9,000,000.00' ELSE regexp_extract(last, '£([0-9,.]+[0-9])', 1) END AS price FROM facts),
+  sent AS (SELECT answer_id, unnest([1, 3, 4, 5]) AS k, unnest(['The pages say "per year after ' || months || ' months', 'The Customer shall pay £' || price || ' in the end', 'It says "the customer never pays anything at all"', 'Ships sail across seven oceans']) AS s,
+    unnest([months, replace(price, ',', ''), NULL, NULL]) AS fig FROM made),
+  sw AS MATERIALIZED (SELECT *, list_distinct({tokens_('s')}) AS w FROM sent),
+  pw AS MATERIALIZED (SELECT answer_id, nr, list_distinct({tokens_('text')}) AS w, list_transform(regexp_extract_all(text, '[0-9][0-9,]*(\\.[0-9]+)?%?'), lambda x: replace(x, ',', '')) AS figs FROM src),
+  best AS (SELECT answer_id, k, s, max(nr) AS nr FROM (SELECT answer_id, k, s, CASE WHEN score >= 0.6 THEN nr END AS nr FROM (SELECT a.answer_id, k, s, nr,
+      len(list_intersect(a.w, b.w)) / len(a.w) + CASE WHEN list_contains(b.figs, fig) THEN 0.25 ELSE 0 END AS score FROM sw a JOIN pw b USING (answer_id))
+    QUALIFY row_number() OVER (PARTITION BY answer_id, k ORDER BY score DESC, nr) = 1) GROUP BY ALL),
+  part AS (SELECT m.*, [b.nr FOR b IN bs] AS won, list_transform(bs, lambda b: CASE WHEN b.nr IS NULL THEN b.s || '.' ELSE b.s || ' [~S' || b.nr || '].' END) AS said, list_filter(bs, lambda b: b.nr IS NULL) AS lost,
+    list_filter(bs, lambda b: b.nr IS NOT NULL AND b.nr <> 1) AS auto FROM made m JOIN (SELECT answer_id, list(struct_pack(k := k, s := s, nr := nr) ORDER BY k) AS bs FROM best GROUP BY answer_id) USING (answer_id)),
+  nrs AS (SELECT answer_id, string_agg(nr, ',' ORDER BY k) AS ids FROM (SELECT answer_id, 'S' || nr AS nr, min(k) AS k FROM best WHERE nr <> 1 GROUP BY ALL) GROUP BY answer_id),
+  quo AS (SELECT answer_id, unnest(['per year after ' || months || ' months. ' || head, 'the customer never pays anything at all']) AS q, unnest([1, 2]) AS o, hay FROM made),
+  bad AS (SELECT answer_id, string_agg('unverified-quote:' || left(q, 80), ';' ORDER BY o) AS x FROM quo WHERE NOT contains(hay, {haystack('q')}) GROUP BY answer_id)
+  SELECT answer_id, 'warning' AS status, concat_ws(',', 'S1', ids) AS cited, coalesce(ids, '') AS auto_cited,
+    concat_ws(';', x, CASE WHEN NOT list_contains(prices, price) THEN 'unsupported-number:£' || price END, CASE WHEN len(lost) > 0 THEN 'unsupported-sentence:' || len(lost) END) AS issues,
+    array_to_string([l.s || '.' FOR l IN lost[1:3]], '|') AS unsupported,
+    said[1] || ' ' || head || '" [S1]. ' || said[2] || ' ' || said[3] || ' ' || said[4] AS content
+  FROM part LEFT JOIN nrs USING (answer_id) LEFT JOIN bad USING (answer_id)"""
 ORACLES["quote_support"] = f"""WITH d AS MATERIALIZED (SELECT doc_id, {haystack('text')} AS h FROM documents),
   w AS (SELECT item_id, text, regexp_split_to_array(text, '\\s+') AS w FROM benchmark),
   v AS (SELECT item_id, 'whole' AS variant, text FROM w

@@ -518,6 +518,22 @@ def grounded_answers(spark, sf):
     )
 
 
+@query
+def pooled_answers(spark, sf):
+    """One answer per nation against all pages of its customers, thousands of sources each."""
+    sources = I.pooled_sources(spark, sf)
+    g = verify.ground_answers(I.pooled_answers(sources), sources)
+    return g.select(
+        "answer_id",
+        "status",
+        F.array_join("cited", ",").alias("cited"),
+        F.array_join("auto_cited", ",").alias("auto_cited"),
+        _issue_text(),
+        F.array_join("unsupported", "|").alias("unsupported"),
+        "content",
+    )
+
+
 @query
 def off_topic_answers(spark, sf):
     """Verified answers with the issue of an answer that is less like its question than the best passage."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import citations as C
 from parchment.functions.text import bound, match_form, tokens, trimmed
+from parchment.session import fits_broadcast
 
 MIN_OVERLAP = 0.6
 GRAM = 4
@@ -22,6 +23,8 @@ MIN_WORDS = 3
 # Sources of an answer that share a join key, and characters of its joined text that are searched at once.
 SOURCE_BLOCK = 256
 WINDOW_CHARS = 8192
+# Answers of at most this size are sent to every executor, as about four times as many bytes.
+ANSWER_BYTES = 4 << 20
 
 _ISSUE = "array<struct<kind:string,detail:string>>"
 _TEXTS = "array<string>"
@@ -63,13 +66,16 @@ def _in_blocks(sources: DataFrame, answer_id: str) -> DataFrame:
     return sources.select(answer_id, "source_order", "source_id", "text", block.alias("_block"))
 
 
-def _meet(asked: DataFrame, placed: DataFrame, answer_id: str) -> DataFrame:
-    """Sources beside what their answer asks: an answer is repeated once per block of its sources."""
+def _meet(asked: DataFrame, placed: DataFrame, answer_id: str, few: bool) -> DataFrame:
+    """Sources beside what their answer asks. ``few`` answers, by rows and bytes, go to every executor; else
+    an answer is repeated once per block of its sources, and the join shuffles."""
+    if few:
+        return placed.join(F.broadcast(asked), answer_id)
     on = [answer_id, "_block"]
     return placed.join(asked.join(placed.select(*on).distinct(), answer_id), on)
 
 
-def _held_facts(answers: DataFrame, placed: DataFrame, answer_id: str) -> DataFrame:
+def _held_facts(answers: DataFrame, placed: DataFrame, answer_id: str, few: bool) -> DataFrame:
     """(answer, kind, key, rank) of each source: that it is there, ids, figures and sentences it covers."""
     asked = answers.select(
         answer_id, C.cited_ids(_answer()).alias("ids"), _stated().alias("stated"), _open_sentences().alias("sentences")
@@ -105,13 +111,13 @@ def _held_facts(answers: DataFrame, placed: DataFrame, answer_id: str) -> DataFr
         F.when(F.size("stated") > 0, F.transform(F.array_intersect("stated", known), lambda n: fact("figure", n, zero))).otherwise(F.array()),
         F.when((F.size("sentences") > 0) & F.col("source_id").isNotNull(), sentences).otherwise(F.array()),
     )
-    each = _meet(asked, placed, answer_id).select(answer_id, "source_order", "source_id", F.explode(facts).alias("f"))
+    each = _meet(asked, placed, answer_id, few).select(answer_id, "source_order", "source_id", F.explode_outer(facts).alias("f"))
     return each.select(
         answer_id, "f.kind", "f.key", F.struct(F.col("f.cost").alias("cost"), F.col("source_order").alias("order"), F.col("source_id").alias("id")).alias("rank")
     )
 
 
-def _quote_facts(answers: DataFrame, placed: DataFrame, answer_id: str, window: int) -> DataFrame:
+def _quote_facts(answers: DataFrame, placed: DataFrame, answer_id: str, few: bool, window: int) -> DataFrame:
     """(answer, kind, key, rank) of the quotes and their shingles that stand in the sources' joined text.
 
     The texts are laid end to end by running sums of their lengths and cut into windows that overlap by
@@ -122,7 +128,7 @@ def _quote_facts(answers: DataFrame, placed: DataFrame, answer_id: str, window:
     asked = answers.select(answer_id, needles.alias("needles")).where(F.size("needles") > 0)
     asked = asked.groupBy(answer_id).agg(F.array_distinct(F.flatten(F.collect_list("needles"))).alias("needles"))
     asked = asked.withColumn("reach", F.array_max(F.transform("needles", lambda n: F.length(n))).cast("long"))
-    formed = _meet(asked, placed, answer_id).withColumn("form", match_form(F.coalesce("text", F.lit("")))).where("form <> ''")
+    formed = _meet(asked, placed, answer_id, few).withColumn("form", match_form(F.coalesce("text", F.lit("")))).where("form <> ''")
     formed = formed.select(answer_id, "_block", "source_order", "source_id", "needles", "reach", F.concat(C.no_quote_marks(F.col("form")), F.lit(" ")).alias("form"))
     size = F.length("form").cast("long")
     before = Window.partitionBy(answer_id).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,7 +138,7 @@ def _quote_facts(answers: DataFrame, placed: DataFrame, answer_id: str, window:
     laid = formed.withColumn("_at", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(begins, [answer_id, "_block"])
     laid = laid.withColumn("start", F.col("_at") + F.col("_from")).withColumn("stop", F.col("start") + size)
     first = F.greatest(F.floor((F.col("start") - F.col("reach")) / window), F.lit(0))
-    pieces = laid.withColumn("window", F.explode(F.sequence(first, F.floor((F.col("stop") - 1) / window))))
+    pieces = laid.withColumn("window", F.explode_outer(F.sequence(first, F.floor((F.col("stop") - 1) / window))))
     opens = F.col("window") * window
     left = F.greatest("start", opens)
     right = F.least("stop", opens + window + F.col("reach"))
@@ -143,7 +149,8 @@ def _quote_facts(answers: DataFrame, placed: DataFrame, answer_id: str, window:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(left.alias("at"), piece.alias("piece")))), lambda p: p["piece"]), "").alias("haystack"),
         F.max(brings).alias("needles"),
     )
-    found = held.select(answer_id, F.explode(F.filter("needles", lambda n: F.contains(F.col("haystack"), n))).alias("key"))
+    hits = F.filter("needles", lambda n: F.contains(F.col("haystack"), n))
+    found = held.select(answer_id, F.explode_outer(hits).alias("key")).where("key IS NOT NULL")
     nothing = F.lit(None).cast(placed.schema["source_order"].dataType)
     rank = F.struct(F.lit(0.0).alias("cost"), nothing.alias("order"), F.lit(None).cast(placed.schema["source_id"].dataType).alias("id"))
     return found.select(answer_id, F.lit("quote").alias("kind"), "key", rank.alias("rank"))
@@ -153,7 +160,8 @@ def _with_facts(answers: DataFrame, sources: DataFrame, answer_id: str, window:
     """``answers`` with ``_facts``: whether there are sources, ids, figures and quotes they hold, and the
     best source of each uncited sentence (first in order among equals)."""
     placed = _in_blocks(sources, answer_id)
-    facts = _held_facts(answers, placed, answer_id).unionByName(_quote_facts(answers, placed, answer_id, window))
+    few = fits_broadcast(answers.select(answer_id, "answer"), max_bytes=ANSWER_BYTES)
+    facts = _held_facts(answers, placed, answer_id, few).unionByName(_quote_facts(answers, placed, answer_id, few, window))
     best = facts.groupBy(answer_id, "kind", "key").agg(F.min("rank").alias("rank"))
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
     winners = F.collect_list(F.when(F.col("kind") == "sentence", F.struct(F.col("key"), F.col("rank.id").cast("string").alias("id"))))
