@@ -75,11 +75,10 @@ def _meet(asked: DataFrame, placed: DataFrame, answer_id: str, few: bool) -> Dat
     return placed.join(asked.join(placed.select(*on).distinct(), answer_id), on)
 
 
-def _held_facts(answers: DataFrame, placed: DataFrame, answer_id: str, few: bool) -> DataFrame:
-    """(answer, kind, key, rank) of each source: that it is there, ids, figures and sentences it covers."""
-    asked = answers.select(
-        answer_id, C.cited_ids(_answer()).alias("ids"), _stated().alias("stated"), _open_sentences().alias("sentences")
-    )
+def _held_facts(answers: DataFrame, placed: DataFrame, answer_id: str, few: bool, attribute: bool = True) -> DataFrame:
+    """(answer, kind, key, rank) of each source: that it is there, ids, figures and, to ``attribute`` them,
+    sentences it covers."""
+    asked = answers.select(answer_id, C.cited_ids(_answer()).alias("ids"), _stated().alias("stated"), _open_sentences().alias("sentences"))
 
     def fact(kind: str, key: Column, cost: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"), cost.alias("cost"))
@@ -109,8 +108,9 @@ def _held_facts(answers: DataFrame, placed: DataFrame, answer_id: str, few: bool
         F.array(fact("source", F.lit(""), zero)),
         F.transform(F.array_intersect("ids", F.array("source_id")), lambda i: fact("id", i, zero)),
         F.when(F.size("stated") > 0, F.transform(F.array_intersect("stated", known), lambda n: fact("figure", n, zero))).otherwise(F.array()),
-        F.when((F.size("sentences") > 0) & F.col("source_id").isNotNull(), sentences).otherwise(F.array()),
     )
+    if attribute:
+        facts = F.concat(facts, F.when((F.size("sentences") > 0) & F.col("source_id").isNotNull(), sentences).otherwise(F.array()))
     each = _meet(asked, placed, answer_id, few).select(answer_id, "source_order", "source_id", F.explode_outer(facts).alias("f"))
     return each.select(
         answer_id, "f.kind", "f.key", F.struct(F.col("f.cost").alias("cost"), F.col("source_order").alias("order"), F.col("source_id").alias("id")).alias("rank")
@@ -156,12 +156,14 @@ def _quote_facts(answers: DataFrame, placed: DataFrame, answer_id: str, few: boo
     return found.select(answer_id, F.lit("quote").alias("kind"), "key", rank.alias("rank"))
 
 
-def _with_facts(answers: DataFrame, sources: DataFrame, answer_id: str, window: int = WINDOW_CHARS) -> DataFrame:
+def _with_facts(
+    answers: DataFrame, sources: DataFrame, answer_id: str, window: int = WINDOW_CHARS, attribute: bool = True
+) -> DataFrame:
     """``answers`` with ``_facts``: whether there are sources, ids, figures and quotes they hold, and the
     best source of each uncited sentence (first in order among equals)."""
     placed = _in_blocks(sources, answer_id)
     few = fits_broadcast(answers.select(answer_id, "answer"), max_bytes=ANSWER_BYTES)
-    facts = _held_facts(answers, placed, answer_id, few).unionByName(_quote_facts(answers, placed, answer_id, few, window))
+    facts = _held_facts(answers, placed, answer_id, few, attribute).unionByName(_quote_facts(answers, placed, answer_id, few, window))
     best = facts.groupBy(answer_id, "kind", "key").agg(F.min("rank").alias("rank"))
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
     winners = F.collect_list(F.when(F.col("kind") == "sentence", F.struct(F.col("key"), F.col("rank.id").cast("string").alias("id"))))
@@ -229,7 +231,7 @@ def _verified(asked: DataFrame) -> DataFrame:
 def verify_answers(answers: DataFrame, sources: DataFrame, answer_id: str = "answer_id") -> DataFrame:
     """Adds ``abstained``, ``cited``, ``issues`` and ``status`` to answers (answer, question), given their
     sources (source_order, source_id, text). A figure has to stand in one source, a quote in their joined text."""
-    return _verified(_with_facts(answers, sources, answer_id)).drop("_facts")
+    return _verified(_with_facts(answers, sources, answer_id, attribute=False)).drop("_facts")
 
 
 def _attributed(sentence: Column) -> Column:
