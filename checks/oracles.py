@@ -263,39 +263,15 @@ ORACLES["abstain_or_sample"] = f"""WITH {DOC_CHUNKS},
         FROM asked a JOIN nn USING (doc_id) LEFT JOIN c USING (query_id))
   SELECT query_id, doc_id, matched_terms, query_terms, chunk_count, CASE WHEN s THEN 'summary' WHEN query_terms > 0 AND matched_terms = 0 AND chunk_count >= 12 THEN 'abstain'
     WHEN matched_terms > 0 THEN 'search' ELSE 'sample' END AS mode FROM j"""
-def _under_budget(name: str, rows: str, key: str, most: int) -> str:
-    """Recursive walk over ``rows`` (key, r, chunk_idx, cost) that takes what fits."""
-    fits = f"w.held < {most} AND w.used + c.cost <= 1500"
-    return f"""{name} AS (SELECT {key}, chunk_idx, r, cost <= 1500 AS took, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 1500 THEN 1 ELSE 0 END AS held FROM {rows} WHERE r = 1
+def _under_budget(name: str, rows: str, key: str, most: int, budget: str = "1500") -> str:
+    """Recursive walk over ``rows`` (key, r, chunk_idx, cost and a ``budget`` column, if it is one) that takes what fits."""
+    limit = budget if budget.isdigit() else f"c.{budget}"
+    fits = f"w.held < {most} AND w.used + c.cost <= {limit}"
+    return f"""{name} AS (SELECT {key}, chunk_idx, r, cost <= {limit} AS took, CASE WHEN cost <= {limit} THEN cost ELSE 0 END AS used, CASE WHEN cost <= {limit} THEN 1 ELSE 0 END AS held FROM {rows} c WHERE r = 1
     UNION ALL SELECT c.{key}, c.chunk_idx, c.r, {fits}, w.used + CASE WHEN {fits} THEN c.cost ELSE 0 END, w.held + CASE WHEN {fits} THEN 1 ELSE 0 END
     FROM {name} w JOIN {rows} c ON c.{key} = w.{key} AND c.r = w.r + 1)"""
 
 
-ORACLES["question_sources"] = f"""WITH RECURSIVE {DOC_CHUNKS},
-  asked AS (SELECT conv_id || ':' || turn AS query_id, conv_id AS doc_id, text FROM conversations WHERE role = 'user' AND conv_id IN (SELECT doc_id FROM chunks_)),
-  tok AS MATERIALIZED (SELECT doc_id, chunk_idx, {tokens_("CASE WHEN section IS NULL THEN text ELSE repeat(section || chr(10), 3) || text END")} AS ts FROM chunks_ WHERE doc_id IN (SELECT doc_id FROM asked)),
-  n AS (SELECT doc_id, count(*) AS chunks, avg(len(ts)) AS avg_len FROM tok GROUP BY doc_id),
-  tfs AS (SELECT doc_id, chunk_idx, len, term, count(*) AS tf FROM (SELECT doc_id, chunk_idx, len(ts) AS len, unnest(ts) AS term FROM tok) GROUP BY ALL),
-  dfs AS (SELECT doc_id, term, count(*) AS df FROM tfs GROUP BY ALL),
-  qt AS (SELECT DISTINCT query_id, doc_id, unnest({tokens_('text')}) AS term FROM asked),
-  cov AS (SELECT query_id, count(df) AS matched, count(*) AS total FROM qt LEFT JOIN dfs USING (doc_id, term) GROUP BY query_id),
-  sc AS (SELECT query_id, doc_id, chunk_idx, round(sum(ln(1 + (chunks - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(avg_len, 1e-9)))), 9) AS score
-    FROM qt JOIN dfs USING (doc_id, term) JOIN tfs USING (doc_id, term) JOIN n USING (doc_id) GROUP BY ALL),
-  modes AS (SELECT query_id, doc_id, CASE WHEN regexp_matches(text, '{SUMMARY_RE}') THEN 'summary'
-      WHEN coalesce(total, 0) > 0 AND matched = 0 AND chunks >= 12 THEN 'abstain' ELSE 'search' END AS mode FROM asked JOIN n USING (doc_id) LEFT JOIN cov USING (query_id)),
-  cost AS (SELECT doc_id, chunk_idx, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM chunks_),
-  ranked AS (SELECT query_id, chunk_idx, cost, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx) AS r FROM sc WHERE score > 0)
-    JOIN cost USING (doc_id, chunk_idx) SEMI JOIN (SELECT query_id FROM modes WHERE mode = 'search') USING (query_id) WHERE r <= 20),
-  {_under_budget('got', 'ranked', 'query_id', 6)},
-  picked AS (SELECT query_id, chunk_idx, 'S' || held AS source_id FROM got WHERE took),
-  st AS (SELECT doc_id, count(*) AS n, greatest(1, least(count(*), 8, CAST(floor(1500 / avg(cost)) AS BIGINT))) AS k FROM cost GROUP BY doc_id),
-  want AS (SELECT DISTINCT doc_id, CASE WHEN k = 1 THEN 0 ELSE CAST(floor(i * (n - 1) / (k - 1.0) + 0.5) AS BIGINT) END AS chunk_idx FROM (SELECT *, unnest(range(0, k)) AS i FROM st)),
-  even AS (SELECT doc_id, chunk_idx, cost, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS r FROM want JOIN cost USING (doc_id, chunk_idx)),
-  {_under_budget('walk2', 'even', 'doc_id', 8)},
-  rest AS (SELECT query_id, doc_id FROM modes WHERE mode <> 'abstain' AND query_id NOT IN (SELECT query_id FROM picked)),
-  src AS (SELECT query_id, chunk_idx, source_id FROM picked UNION ALL SELECT query_id, chunk_idx, 'S' || held FROM rest JOIN walk2 USING (doc_id) WHERE took)
-  SELECT m.query_id, m.doc_id, CASE WHEN mode = 'search' AND rest.query_id IS NOT NULL THEN 'sample' ELSE mode END AS mode, chunk_idx, source_id
-  FROM modes m LEFT JOIN rest ON rest.query_id = m.query_id LEFT JOIN src ON src.query_id = m.query_id"""
 CITE = r"(?i)\[~?((?:S\d+)(?:\s*[,;&]\s*(?:and\s+)?~?S?\d+)*)\]"
 
 
@@ -589,6 +565,35 @@ def plan_ctes(window: int, with_document: bool) -> str:
 
 ORACLES["history_plan"] = f"WITH {plan_ctes(4096, True)} SELECT * EXCLUDE (question) FROM plan_"
 ORACLES["history_plan_free"] = f"WITH {plan_ctes(2048, False)} SELECT * EXCLUDE (question) FROM plan_"
+# Searched with the question before where it reads like a follow-up, under the plan's own budget.
+ORACLES["question_sources"] = f"""WITH RECURSIVE {DOC_CHUNKS}, {plan_ctes(4096, True)},
+  prv AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM conversations),
+  asked AS (SELECT conv_id || ':' || turn AS query_id, conv_id AS doc_id, question AS text, source_budget AS b,
+      CASE WHEN coalesce(prev, '') <> '' AND (regexp_matches(question, '{FOLLOW}') OR len({words('question')}) <= 1) THEN question || chr(10) || prev ELSE question END AS q
+    FROM plan_ JOIN (SELECT * FROM prv WHERE role = 'user') USING (conv_id, turn) WHERE NOT too_long AND conv_id IN (SELECT doc_id FROM chunks_)),
+  tok AS MATERIALIZED (SELECT doc_id, chunk_idx, {tokens_("CASE WHEN section IS NULL THEN text ELSE repeat(section || chr(10), 3) || text END")} AS ts FROM chunks_ WHERE doc_id IN (SELECT doc_id FROM asked)),
+  n AS (SELECT doc_id, count(*) AS chunks, avg(len(ts)) AS avg_len FROM tok GROUP BY doc_id),
+  tfs AS (SELECT doc_id, chunk_idx, len, term, count(*) AS tf FROM (SELECT doc_id, chunk_idx, len(ts) AS len, unnest(ts) AS term FROM tok) GROUP BY ALL),
+  dfs AS (SELECT doc_id, term, count(*) AS df FROM tfs GROUP BY ALL),
+  qt AS (SELECT DISTINCT query_id, doc_id, unnest({tokens_('q')}) AS term FROM asked),
+  cov AS (SELECT query_id, count(df) AS matched, count(*) AS total FROM qt LEFT JOIN dfs USING (doc_id, term) GROUP BY query_id),
+  sc AS (SELECT query_id, doc_id, chunk_idx, round(sum(ln(1 + (chunks - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(avg_len, 1e-9)))), 9) AS score
+    FROM qt JOIN dfs USING (doc_id, term) JOIN tfs USING (doc_id, term) JOIN n USING (doc_id) GROUP BY ALL),
+  modes AS (SELECT query_id, doc_id, CASE WHEN regexp_matches(text, '{SUMMARY_RE}') THEN 'summary'
+      WHEN coalesce(total, 0) > 0 AND matched = 0 AND chunks >= 12 THEN 'abstain' ELSE 'search' END AS mode, b FROM asked JOIN n USING (doc_id) LEFT JOIN cov USING (query_id)),
+  cost AS (SELECT doc_id, chunk_idx, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM chunks_),
+  ranked AS (SELECT query_id, chunk_idx, cost, b, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx) AS r FROM sc WHERE score > 0)
+    JOIN cost USING (doc_id, chunk_idx) JOIN (SELECT query_id, b FROM modes WHERE mode = 'search') USING (query_id) WHERE r <= 20),
+  {_under_budget('got', 'ranked', 'query_id', 6, 'b')},
+  picked AS (SELECT query_id, chunk_idx, 'S' || held AS source_id FROM got WHERE took),
+  rest AS (SELECT query_id, doc_id, b FROM modes WHERE mode <> 'abstain' AND query_id NOT IN (SELECT query_id FROM picked)),
+  st AS (SELECT query_id, doc_id, b, n, greatest(1, least(n, 8, CAST(floor(b / mean) AS BIGINT))) AS k FROM rest JOIN (SELECT doc_id, count(*) AS n, avg(cost) AS mean FROM cost GROUP BY doc_id) USING (doc_id)),
+  want AS (SELECT DISTINCT query_id, doc_id, b, CASE WHEN k = 1 THEN 0 ELSE CAST(floor(i * (n - 1) / (k - 1.0) + 0.5) AS BIGINT) END AS chunk_idx FROM (SELECT *, unnest(range(0, k)) AS i FROM st)),
+  even AS (SELECT query_id, chunk_idx, cost, b, row_number() OVER (PARTITION BY query_id ORDER BY chunk_idx) AS r FROM want JOIN cost USING (doc_id, chunk_idx)),
+  {_under_budget('walk2', 'even', 'query_id', 8, 'b')},
+  src AS (SELECT query_id, chunk_idx, source_id FROM picked UNION ALL SELECT query_id, chunk_idx, 'S' || held FROM walk2 WHERE took)
+  SELECT m.query_id, m.doc_id, CASE WHEN mode = 'search' AND rest.query_id IS NOT NULL THEN 'sample' ELSE mode END AS mode, chunk_idx, source_id
+  FROM modes m LEFT JOIN rest ON rest.query_id = m.query_id LEFT JOIN src ON src.query_id = m.query_id"""
 ORACLES["prompt_table"] = f"""WITH RECURSIVE {DOC_CHUNKS}, {plan_ctes(4096, True)},
   ask AS (SELECT conv_id, turn, source_budget AS b FROM plan_ WHERE NOT too_long),
   cc AS (SELECT doc_id AS conv_id, chunk_idx, page, section, text, CAST(ceil(length(text) / 3.0) AS BIGINT) + 16 AS cost FROM chunks_),

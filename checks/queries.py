@@ -34,7 +34,7 @@ from parchment.operators import (
     vectors,
     verify,
 )
-from parchment.session import broadcast_if_small, work_dir
+from parchment.session import broadcast_if_small, stored, work_dir
 from parchment.sources import files, records
 
 CHUNK_KEYS = ["doc_id", "chunk_idx"]
@@ -326,15 +326,21 @@ def abstain_or_sample(spark, sf):
 
 @query
 def question_sources(spark, sf):
-    """The whole way from a user turn to the passages of its prompt: mode, and sources under the budget
-    from the search, from an even sample, or none."""
+    """The whole way from a user turn to the passages of its prompt: mode, and sources under what the turn's
+    plan leaves, from the search (follow-ups with the question before), from an even sample, or none."""
     from parchment.plans.answers import answer_plan
 
-    turns = I.table(spark, sf, "conversations").where(F.col("role") == "user")
-    asked = turns.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), "text")
+    turns = I.table(spark, sf, "conversations")
+    plan, _ = conversations.plan_turns(turns, 4096, 300)
+    before = conversations.previous_question(turns).where("role = 'user'").select("conv_id", "turn", "previous_question")
+    asked = plan.where("not too_long").join(before, ["conv_id", "turn"]).select(
+        F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), F.col("question").alias("text"),
+        "previous_question", "source_budget",
+    )
+    asked = stored(asked, "planned-questions")
     about = broadcast_if_small(asked.select("doc_id").distinct())
-    chunks = chunking.chunk_documents(I.texts(spark, sf, "documents").join(about, "doc_id", "left_semi"))
-    modes, sources = answer_plan(chunks, asked, F.lit(BUDGET))
+    chunks = stored(chunking.chunk_documents(I.texts(spark, sf, "documents").join(about, "doc_id", "left_semi")), "planned-passages")
+    modes, sources = answer_plan(chunks, asked, F.col("source_budget"))
     return modes.join(sources, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "mode", "chunk_idx", "source_id")
 
 

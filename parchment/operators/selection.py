@@ -61,16 +61,23 @@ def pick(
 
 def spread_positions(chunks: DataFrame, scope: list[str], budget: Column, text: str = "text") -> DataFrame:
     """Evenly spaced chunk numbers per scope for a summary: (scope, chunk_idx, position)."""
-    stats = chunks.groupBy(*scope).agg(
-        F.count("*").alias("n"), F.sum(passage_cost(F.col(text)).cast("long")).alias("cost")
-    )
+    return spaced(chunk_sizes(chunks, scope, text), scope, budget)
+
+
+def chunk_sizes(chunks: DataFrame, scope: list[str], text: str = "text") -> DataFrame:
+    """(scope, n, cost): passages and what they cost together."""
+    return chunks.groupBy(*scope).agg(F.count("*").alias("n"), F.sum(passage_cost(F.col(text)).cast("long")).alias("cost"))
+
+
+def spaced(sizes: DataFrame, keys: list[str], budget: Column) -> DataFrame:
+    """(keys, chunk_idx) of the evenly spaced passages that about fill ``budget``, from rows with ``n`` and ``cost``."""
     wanted = F.floor(budget / (F.col("cost") / F.col("n")))
     k = F.greatest(F.lit(1), F.least(F.col("n"), F.lit(MAX_SUMMARY_SOURCES), wanted)).cast("int")
     at = F.floor(F.col("i") * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1)) + 0.5)
     return (
-        stats.withColumn("k", k)
-        .select(*scope, "n", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-        .select(*scope, F.when(F.col("k") == 1, 0).otherwise(at).cast("int").alias("chunk_idx"))
+        sizes.withColumn("k", k)
+        .select(*keys, "n", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+        .select(*keys, F.when(F.col("k") == 1, 0).otherwise(at).cast("int").alias("chunk_idx"))
         .distinct()
     )
 
