@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.text import is_summary_request, keyword_text, search_text
 from parchment.operators import search, selection
+from parchment.session import stored
 
 
 def answer_plan(
@@ -39,11 +40,13 @@ def answer_plan(
         "n",
         "cost",
     )
+    # Some rows per question, from scans of all passages that would else run once per use.
+    modes = stored(modes, "question-modes")
     searched = modes.where("mode = 'search'").select(query_id, "budget")
     texts = chunks.select(*keys, "text")
     ranked = search.bm25(found).join(texts, keys).join(searched, query_id)
     picked = selection.pick(ranked, "lexical_rank", F.col("budget"), query_id)
-    picked = picked.select(query_id, *keys, "source_id")
+    picked = stored(picked.select(query_id, *keys, "source_id"), "question-passages")
     # Questions that got nothing from the search take an even sample of the document, under their own budget.
     without = modes.where("mode != 'abstain'").join(picked.select(query_id).distinct(), query_id, "left_anti")
     even = selection.spaced(without, [query_id, document, "budget"], F.col("budget")).join(texts, keys)
