@@ -2,7 +2,8 @@
 
 The limiter keeps, per key, the times of accepted hits that may still count: at most ``max_hits``, none
 further than the window behind the key's newest. The quota keeps one number per user and day, for
-every day, so a late message is counted with its own day however late it is. A key's rows of one trigger
+every day, so a late message is counted with its own day however late it is; the numbers of one month and one of
+``BUCKETS`` buckets of users are one key, so Python is called for buckets, not for users. A key's rows of one trigger
 are put in order in its task; ``files_per_batch`` of the source bounds them. State lies in the
 checkpoint folder, survives lost executors and restarts, and can be read with ``state``.
 """
@@ -17,12 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parchment.operators import quota
 from parchment.streaming.sources import run_keyed
 
 # Time of a row for sorting; such a name must not begin with an underscore.
 MICROS = "micros_of_row"
+# Users share this many keys of the quota's state, a month at a time.
+BUCKETS = 1024
+BUCKET, MONTH, OWNER = "bucket_of_row", "month_of_row", "owner_of_row"
 
 
 def _schema(df: DataFrame, more: str) -> str:
@@ -53,26 +58,22 @@ class _Limiter(StatefulProcessor):
         pass
 
 
-class _Quota(StatefulProcessor):
-    def __init__(self, event: str, limit: str):
-        self.event, self.limit = event, limit
+def _quota(event: str, limit: str, columns: list[str]):
+    """Decides the messages of one bucket and month; the state is a count for each user and day of them."""
 
-    def init(self, handle) -> None:
-        self.count = handle.getValueState("messages", "messages long")
-
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        sent = _in_order(rows, self.event)
-        count = self.count.get()[0] if self.count.exists() else 0
+    def decide(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sent = _in_order(rows, event)
+        counts = dict(zip(*state.get, strict=True)) if state.exists else {}
         ok, used = [], []
-        for limit in sent[self.limit]:
-            ok.append(bool(pd.isna(limit)) or count < limit)
-            count += ok[-1]
-            used.append(count)
-        self.count.update((int(count),))
-        yield sent.drop(columns=MICROS).assign(accepted=ok, used=used)
+        for owner, most in zip(sent[OWNER].tolist(), sent[limit].tolist(), strict=True):
+            count = counts.get(owner, 0)
+            ok.append(bool(pd.isna(most)) or count < most)
+            used.append(count + ok[-1])
+            counts[owner] = used[-1]
+        state.update((list(counts), list(counts.values())))
+        yield sent[columns].assign(accepted=ok, used=used)
 
-    def close(self) -> None:
-        pass
+    return decide
 
 
 def _micros(df: DataFrame, ts: str) -> DataFrame:
@@ -107,11 +108,26 @@ def take_messages(
 ) -> StreamingQuery:
     """Writes quota decisions to ``out/decisions``. Each message is held against its own limit, so a plan
     may change during the day."""
-    schema = _schema(messages, "accepted boolean, used bigint")
-    decided = _micros(messages, ts).groupBy(user, day).transformWithStateInPandas(_Quota(event, limit), schema, "Append", "None")
+    rows = _micros(messages, ts).withColumns(
+        {
+            BUCKET: F.crc32(F.coalesce(F.col(user).cast("string"), F.lit(""))) % BUCKETS,
+            MONTH: F.trunc(F.col(day).cast("date"), "month"),
+            OWNER: F.to_json(F.struct(F.col(user).alias("user"), F.col(day).alias("day"))),
+        }
+    )
+    decide = _quota(event, limit, messages.columns)
+    decided = rows.groupBy(BUCKET, MONTH).applyInPandasWithState(
+        decide,
+        _schema(messages, "accepted boolean, used bigint"),
+        "owners array<string>, messages array<bigint>",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
     return run_keyed(decided.writeStream.format("parquet").option("path", f"{out}/decisions"), checkpoint, messages.sparkSession)
 
 
-def state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    """The state of a stopped stream, one row per key: ``accepted`` times of the limiter, ``messages`` of the quota."""
-    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+def state(spark: SparkSession, checkpoint: str, name: str | None = None) -> DataFrame:
+    """The state of a stopped stream, one row per key: ``accepted`` times of the limiter (by that name), counts by
+    user and day of the quota's buckets (no name)."""
+    stored = spark.read.format("statestore").option("path", checkpoint)
+    return (stored.option("stateVarName", name) if name else stored).load()

@@ -78,6 +78,30 @@ def test_a_plan_may_change_between_messages(spark, tmp_path):
     assert got == {1: (True, 1), 2: (False, 1), 3: (False, 1), 4: (True, 2), 5: (False, 2), 6: (True, 3)}
 
 
+def test_users_of_a_bucket_are_one_key_of_the_quota(spark, tmp_path, monkeypatch):
+    """Users and days keep their own counts over restarts, messages without a day too; Python is called by bucket."""
+    monkeypatch.setattr(limits, "BUCKETS", 2)
+    rng, out = random.Random(9), str(tmp_path)
+    schema = "user_id int, ts timestamp, event_id int, day date, daily_messages int"
+    rows = []
+    for n in range(600):
+        when = at(rng.randint(1, 31), rng.randint(0, 23)).replace(month=rng.choice([1, 3]))
+        user = rng.randint(1, 12)
+        rows.append((user, when, n, None if n % 40 == 0 else when.date(), None if user == 1 and when.day % 2 else user % 2))
+    rows.sort(key=lambda r: (r[1], r[2]))
+    parts = [rows[:150], rows[150:290], rows[290:]]
+    feed(spark, out, schema, parts, lambda s: limits.take_messages(s, out, f"{out}/checkpoint"))
+    got = {r.event_id: (r.accepted, r.used) for r in spark.read.parquet(f"{out}/decisions").collect()}
+    counts, want = {}, {}
+    for user, _, event, day, limit in rows:
+        c = counts.get((user, day), 0)
+        ok = limit is None or c < limit
+        counts[user, day] = c + ok
+        want[event] = (ok, c + ok)
+    assert got == want and not all(a for a, _ in got.values())
+    assert limits.state(spark, f"{out}/checkpoint").count() == 6  # two buckets, two months and none
+
+
 EVENTS = (
     "event_id int, event_type string, ts timestamp, customer_id int, reference_id string, subscription_id string, "
     "status string, lookup_key string, period_end timestamp, cancel_at_period_end boolean"
