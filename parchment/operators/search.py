@@ -6,8 +6,12 @@ none for the whole corpus, or columns such as the document for one index per doc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +54,9 @@ def _occurrences(chunks: DataFrame, keys: list[str], text: str, scope: tuple[str
 
 def _counted(occurrences: DataFrame, keys: list[str], scope: tuple[str, ...]) -> DataFrame:
     own = [c for c in scope if c not in keys]
-    return occurrences.repartition(*keys).groupBy(*own, *keys, "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    # A stated number is not coalesced: words are narrow in the exchange, but not where they are counted.
+    parts = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return occurrences.repartition(parts, *keys).groupBy(*own, *keys, "len", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def _by_term(posted: DataFrame, scope: tuple[str, ...]) -> DataFrame:
@@ -154,14 +160,14 @@ def _weights(m: KeywordMatches) -> DataFrame:
 def bm25(m: KeywordMatches, limit: int = CANDIDATES) -> DataFrame:
     """Top passages per query: (query, keys, score, lexical_rank).
 
-    Scores are added up where the passage's postings already are; each task keeps at most ``limit``
-    rows per query before the ranks are settled. Equal scores rank by passage order. Scores are
+    Scores are added up where the passage's postings already are. Few queries to the whole corpus are
+    scored a block of passages at a time; else each task keeps at most ``limit`` rows per query before the
+    ranks are settled. Equal scores rank by passage order. Scores are
     compared at nine decimals, so the order in which terms were added cannot change a rank.
     """
-    # For the whole corpus, one row per query term at most; per scope it may be large.
-    weights = _weights(m).where("df > 0")
     if m.few and not m.scope:
-        weights = F.broadcast(weights)
+        return _bm25_of_few(m, limit)
+    weights = _weights(m).where("df > 0")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9)))
     scored = (
         m.matched.join(weights, [*m.scope, "term"])
@@ -173,6 +179,107 @@ def bm25(m: KeywordMatches, limit: int = CANDIDATES) -> DataFrame:
     return scored.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= limit)
 
 
+def _bm25_of_few(m: KeywordMatches, limit: int) -> DataFrame:
+    """``bm25`` for queries of checked number, put to the whole corpus.
+
+    Where its postings are, a passage becomes one row, and blocks of passages are scored at a time. Queries
+    with the same terms have the same scores and are one class. A task holds one block's scores and the best
+    ``limit`` passages of each class, whatever it reads.
+    """
+    spark = m.matched.sparkSession
+    of_query: dict = {}
+    for query, term in m.terms.toLocalIterator():  # they passed the check in front of every broadcast
+        of_query.setdefault(query, []).append(term)
+    at = {t: i for i, t in enumerate(sorted({t for ts in of_query.values() for t in ts}))}
+    classes: dict = {}
+    members = [(q, classes.setdefault(tuple(sorted(ts)), len(classes))) for q, ts in of_query.items()]
+    kind = m.terms.schema[m.query_id].dataType.simpleString()
+    named = spark.createDataFrame(members, f"`{m.query_id}` {kind}, class_of_query int")
+    numbered = spark.createDataFrame(list(at.items()), "term string, term_number int")
+    pairs = sorted((at[t], c) for ts, c in classes.items() for t in ts)
+    first = np.searchsorted([t for t, _ in pairs], np.arange(len(at) + 1))
+    held = spark.sparkContext.broadcast((first, np.array([c for _, c in pairs], np.int64)))
+    known = m.stats.join(F.broadcast(numbered), "term").join(F.broadcast(_totals(m.stats, ())))
+    weights = known.select("term", "term_number", "avg_len", idf(F.col("chunks"), m.stats["df"]).alias("idf"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9)))
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / norm
+    passages = (
+        m.matched.join(F.broadcast(weights), "term")
+        .groupBy(*m.keys)
+        .agg(F.collect_list(F.struct("term_number", gain.alias("gain"))).alias("postings"))
+    )
+    keyed = ", ".join(f"`{k}` {passages.schema[k].dataType.simpleString()}" for k in m.keys)
+    best = passages.mapInArrow(_best_passages(held, len(classes), m.keys, limit), f"class_of_query int, {keyed}, score double")
+    front = Window.partitionBy("class_of_query").orderBy(F.desc("score"), *m.keys)
+    ranked = best.withColumn("lexical_rank", F.row_number().over(front)).where(F.col("lexical_rank") <= limit)
+    hits = ranked.join(F.broadcast(named), "class_of_query")
+    return hits.select(*m.keys, m.query_id, "score", "lexical_rank")
+
+
+# Scores that a task holds at a time.
+_CELLS = 1 << 21
+
+
+def _best_passages(held, classes: int, keys: list[str], limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, pair_class = held.value
+        reach = np.zeros(classes)
+        kept: list[pa.Table] = []
+        waiting = 0
+
+        def settled() -> pa.Table:
+            """The best ``limit`` of each class among what was kept; raises the scores to reach."""
+            order = [("class_of_query", "ascending"), ("score", "descending"), *[(k, "ascending") for k in keys]]
+            table = pa.concat_tables(kept).sort_by(order)
+            c = table["class_of_query"].to_numpy()
+            place = np.arange(len(c)) - np.searchsorted(c, c)
+            score = table["score"].to_numpy()
+            last = place == limit - 1
+            reach[c[last]] = np.maximum(reach[c[last]], score[last])
+            return table.filter(pa.array(place < limit))
+
+        for batch in batches:
+            size = max(1, _CELLS // max(classes, 1))
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                postings = part.column("postings")
+                of_row = pc.list_parent_indices(postings).to_numpy()
+                flat = postings.flatten()
+                term = flat.field("term_number").to_numpy().astype(np.int64)
+                gain = flat.field("gain").to_numpy()
+                # One entry per posting and class that has its term, a bounded number at a time.
+                width = first[term + 1] - first[term]
+                scores = np.zeros(part.num_rows * classes)
+                ends = np.cumsum(width)
+                cuts = [0, *np.searchsorted(ends, np.arange(_CELLS, ends[-1] if len(ends) else 0, _CELLS)).tolist(), len(term)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == b:
+                        continue
+                    w = width[a:b]
+                    inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                    cell = np.repeat(of_row[a:b] * classes, w) + pair_class[np.repeat(first[term[a:b]], w) + inside]
+                    scores += np.bincount(cell, weights=np.repeat(gain[a:b], w), minlength=len(scores))
+                scores = np.round(scores, 9).reshape(part.num_rows, classes)
+                if part.num_rows > limit:
+                    # So many rows of this block reach its own weakest one among the best.
+                    reach = np.maximum(reach, np.partition(scores, -limit, axis=0)[-limit])
+                row, cls = np.nonzero((scores >= reach) & (scores > 0))
+                if not len(row):
+                    continue
+                found = {"class_of_query": pa.array(cls.astype(np.int32))}
+                found |= {k: part.column(k).take(pa.array(row)) for k in keys}
+                kept.append(pa.table(found | {"score": scores[row, cls]}))
+                waiting += len(row)
+                # Often at first, while the scores to reach are low.
+                if waiting > max(4 * limit * classes, 100_000):
+                    kept = [settled()]
+                    waiting = 0
+        if kept:
+            yield from settled().to_batches()
+
+    return run
+
+
 def coverage(m: KeywordMatches, queries: DataFrame) -> DataFrame:
     """Per query: matched_terms, query_terms and the idf-weighted share of terms that occur."""
     per_query = (

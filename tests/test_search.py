@@ -214,3 +214,21 @@ def test_many_queries_in_small_blocks(spark):
         assert [got[k][n] for n in (1, 2, 3)] == [(i % 7, i) for i in want]
     assert len(got) == 5000 and stats.count() == 5000
     assert {r.n for r in stats.collect()} == {60}
+
+
+def test_few_queries_keep_one_block_of_scores_per_task(spark, monkeypatch):
+    """Equal scores by passage order over blocks and tasks, queries with equal terms as one class."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]
+    rows = [(n // 3, n % 3, " ".join(rng.choices(words, k=rng.randint(1, 4)))) for n in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id int, chunk_idx int, text string").repartition(5)
+    asked = [(q, " ".join(rng.choices([*words, "absent"], k=2))) for q in range(60)]
+    queries = spark.createDataFrame([*asked, (60, "absent"), (61, "")], "query_id int, text string")
+    m = search.match_queries(docs, queries, ["doc_id", "chunk_idx"])
+    monkeypatch.setattr(search, "_CELLS", 500)
+    few = search.bm25(m, 7)
+    assert "MapInArrow" in few._jdf.queryExecution().optimizedPlan().toString()
+    m.few = False
+    want = {(r.query_id, r.lexical_rank): (r.doc_id, r.chunk_idx, round(r.score, 8)) for r in search.bm25(m, 7).collect()}
+    got = {(r.query_id, r.lexical_rank): (r.doc_id, r.chunk_idx, round(r.score, 8)) for r in few.collect()}
+    assert got == want and len(got) == 7 * sum(set(t.split()) != {"absent"} for _, t in asked)
