@@ -1045,8 +1045,10 @@ def _recall(spark, sf):
     """The six best passages of every item, judged on their own text, line ends and blanks alike."""
     squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")
     gold = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), squeezed("text").alias("gold"))
-    hits = search.bm25(_corpus_matches(spark, sf), limit=6).select("query_id", *CHUNK_KEYS)
-    found = _corpus_chunks(spark, sf).select(*CHUNK_KEYS, "text").join(broadcast_if_small(hits), CHUNK_KEYS)
+    hits = stored(search.bm25(_corpus_matches(spark, sf), limit=6).select("query_id", *CHUNK_KEYS), "hits")
+    # Only documents with a hit are cut once more, for the texts.
+    docs = I.table(spark, sf, "documents").join(broadcast_if_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = chunking.chunk_documents(docs.repartition("doc_id")).select(*CHUNK_KEYS, "text").join(broadcast_if_small(hits), CHUNK_KEYS)
     return evals.retrieval_recall(gold, found.select("query_id", squeezed("text").alias("text")))
 
 
