@@ -11,8 +11,11 @@ from parchment.functions.text import bound
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Non-overlapping matches as (start, end, value), 0-based code points, end exclusive."""
+_OPEN, _CLOSE = "\x01", "\x02"
+
+
+def _split_spans(text: Column, pattern: str) -> Column:
+    """Matches and the gaps between them by two searches, whatever characters the text has."""
 
     def located(matches: Column) -> Column:
         gaps = F.split(text, pattern, -1)
@@ -29,8 +32,34 @@ def spans(text: Column, pattern: str) -> Column:
 
         return F.aggregate(pairs, start, step, lambda state: state["out"])
 
-    matches = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
-    return F.when(text.rlike(pattern), matches).otherwise(F.array().cast(SPAN))
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Non-overlapping matches as (start, end, value), 0-based code points, end exclusive.
+
+    One search marks every match; the marked text is cut at the marks. A text that holds a mark itself is
+    searched twice instead.
+    """
+
+    def located(parts: Column) -> Column:
+        # A part after the first is a match, the closing mark and the gap behind it.
+        found = F.transform(
+            F.slice(parts, F.lit(2), F.size(parts)),
+            lambda p: F.struct(F.substring_index(p, _CLOSE, 1).alias("value"), (F.length(p) - 1).alias("step")),
+        )
+        start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(SPAN).alias("out"))
+
+        def step(state: Column, part: Column) -> Column:
+            begin = state["at"]
+            hit = F.struct(begin.alias("start"), (begin + F.length(part["value"])).alias("end"), part["value"].alias("value"))
+            return F.struct((begin + part["step"]).alias("at"), F.array_append(state["out"], hit).alias("out"))
+
+        return F.when(F.size(parts) > 1, F.aggregate(found, start, step, lambda state: state["out"]))
+
+    marked = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1)
+    held = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
+    return F.coalesce(F.when(held, _split_spans(text, pattern)).otherwise(bound(marked, located)), F.array().cast(SPAN))
 
 
 def overlaps(a: Column, b: Column) -> Column:

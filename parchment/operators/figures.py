@@ -14,14 +14,17 @@ MONTHS = (
     "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
 )
 UNIT = rf"(?:business{WS}+|calendar{WS}+|working{WS}+)?(?:days?|weeks?|months?|years?|hours?)"
+# A figure's first digit is read before the look-behind, which then runs at digits only; runs of letters are
+# possessive, as nothing that may follow them is a letter.
+DIGIT = r"\d(?<!\w\d)"
 PATTERNS = [
     ("amount", rf"(?i)[£$€]{WS}?\d[\d,]*(?:\.\d+)?(?:{WS}?(?:million|billion|bn|m|k)(?!\w))?"),
-    ("amount", rf"(?i)(?<!\w)\d[\d,]*(?:\.\d+)?{WS}?(?:GBP|USD|EUR|pounds|dollars|euros)(?!\w)"),
-    ("percent", rf"(?i)(?<!\w)\d+(?:\.\d+)?{WS}?(?:%|per{WS}?cent(?!\w))"),
-    ("duration", rf"(?i){WB}(?:[a-z]+(?:-[a-z]+)?{WS})?\(\d+\){WS}*{UNIT}"),
-    ("duration", rf"(?i)(?<!\w)\d+{WS}*{UNIT}(?!\w)"),
-    ("date", rf"(?i)(?<!\w)\d{{1,2}}(?:st|nd|rd|th)?{WS}+{MONTHS}{WS}+\d{{4}}(?!\w)"),
-    ("date", rf"(?i)(?<!\w){MONTHS}{WS}+\d{{1,2}},?{WS}+\d{{4}}(?!\w)"),
+    ("amount", rf"(?i){DIGIT}[\d,]*(?:\.\d+)?{WS}?(?:GBP|USD|EUR|pounds|dollars|euros)(?!\w)"),
+    ("percent", rf"(?i){DIGIT}\d*(?:\.\d+)?{WS}?(?:%|per{WS}?cent(?!\w))"),
+    ("duration", rf"(?i)(?:(?<!\w)[a-z]++(?:-[a-z]++)?{WS}|(?=\()(?<=\w))\(\d+\){WS}*{UNIT}"),
+    ("duration", rf"(?i){DIGIT}\d*{WS}*{UNIT}(?!\w)"),
+    ("date", rf"(?i){DIGIT}\d?(?:st|nd|rd|th)?{WS}+{MONTHS}{WS}+\d{{4}}(?!\w)"),
+    ("date", rf"(?i)(?=[jfmasond])(?<!\w){MONTHS}{WS}+\d{{1,2}},?{WS}+\d{{4}}(?!\w)"),
 ]
 DENSITY = (
     rf"(?i)[£$€]{WS}?\d|\d+(?:\.\d+)?{WS}?%"
@@ -49,7 +52,7 @@ FACT_WORDS = (
 CANDIDATE_LIMIT = 24
 ROW_LIMIT = 40
 SNIPPET = 110
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string,kind:string>>"
 
 
 def _whole_word(words: str) -> str:
@@ -65,9 +68,7 @@ def figure_spans(text: Column) -> Column:
     def typed(kind: str, pattern: str) -> Column:
         return F.transform(
             spans(text, pattern),
-            lambda s: F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")
-            ),
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind")),
         )
 
     found = [typed(kind, pattern) for kind, pattern in PATTERNS]
@@ -79,10 +80,8 @@ def figure_spans(text: Column) -> Column:
         return F.when(beaten, taken).otherwise(F.array_append(F.filter(taken, lambda t: ~overlaps(new, t)), new))
 
     longest = F.aggregate(F.concat(*found), F.array().cast(_SPAN), keep)
-    ordered = F.array_sort(
-        longest, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
-    )
-    return F.when(text.rlike("[0-9]"), ordered).otherwise(F.array().cast(_SPAN))
+    # What stays does not overlap, so the starts, which come first in the structs, give the order.
+    return F.when(text.rlike("[0-9]"), F.array_sort(longest)).otherwise(F.array().cast(_SPAN))
 
 
 def sentence_around(text: Column, start: Column, end: Column, stops: Column) -> Column:
