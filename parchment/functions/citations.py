@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchment.functions.text import WB, WS, bound, match_form
+from parchment.functions.text import WS, bound, match_form
 
 # How answers cite, quote and abstain ------------------------------------------
 CITATION_GROUP = rf"(?i)\[~?((?:S\d+)(?:{WS}*[,;&]{WS}*(?:and{WS}+)?~?S?\d+)*)\]"
@@ -18,7 +18,7 @@ NUMBER = (
 CLAUSE_NUMBER = rf"(^|{WS})\d+(?:\.\d+)*\.?(?={WS}+[A-Z])"
 PAGE_REFERENCE = rf"(?i)\((?:p|pp|page|pages)\.?{WS}*[\d{WS[1:-1]},–-]+\)"
 LIST_NUMBER = rf"(?m)^{WS}*\d+[.)]{WS}+"
-CLAUSE_REFERENCE = rf"(?i){WB}(?:S|section|clause|article|schedule|annex|para(?:graph)?){WS}*\d+(?:\.\d+)*"
+CLAUSE_REFERENCE = rf"(?i)(?=[scap])(?<!\w)(?:S|section|clause|article|schedule|annex|para(?:graph)?){WS}*\d+(?:\.\d+)*"
 NOT_FOUND = (
     r"(?i)^\W*(?:i{ws}+(?:can['’]?t|cannot|could{ws}*not|couldn['’]?t|was{ws}+unable{ws}+to|am{ws}+unable{ws}+to){ws}+find"
     r"|(?:the{ws}+)?(?:document|sources?|excerpts?){ws}+(?:does|do){ws}*(?:not|n['’]t){ws}+"
@@ -65,7 +65,7 @@ def bare_digits(figure: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Figures as written."""
-    return F.when(text.rlike("[0-9]"), _all(text, NUMBER)).otherwise(F.array().cast("array<string>"))
+    return bound(text, lambda t: F.when(t.rlike("[0-9]"), _all(t, NUMBER)).otherwise(F.array().cast("array<string>")))
 
 
 def figures(text: Column) -> Column:
@@ -88,7 +88,7 @@ def figures_outside(answer: Column, known: Column) -> Column:
 
 
 def no_quote_marks(text: Column) -> Column:
-    return F.regexp_replace(text, "[\"']", "")
+    return F.translate(text, "\"'", "")
 
 
 def haystack_form(text: Column) -> Column:
