@@ -988,14 +988,15 @@ def intent_features(spark, sf):
 
 @query
 def intent_scores(spark, sf):
-    """Scoring with a weights table derived from the texts: mean weight per class and term."""
+    """Scoring with a weights table derived from the texts: mean weight per class and term. Counts and weights
+    are stored, as most of the steps read them."""
     t = _intent_texts(spark, sf)
-    counts = router.gram_counts(t, "key")
+    counts = stored(router.gram_counts(t, "key"), "gram-counts")
     idf = router.fit_idf(counts, t.agg(F.count("*").alias("n")))
     classes = ["assistant", "system", "user"]
     weighted = router.features(counts, idf, "key").join(t.select("key", "label"), "key")
     sums = weighted.groupBy("term").agg(*[F.sum(F.when(F.col("label") == c, F.col("weight")).otherwise(0.0)).alias(c) for c in classes])
-    model = sums.join(idf, "term").select("term", "idf", F.array(*classes).alias("coef"))
+    model = stored(sums.join(idf, "term").select("term", "idf", F.array(*classes).alias("coef")), "intent-weights")
     scored = router.score(counts, model, {c: 0.1 * i for i, c in enumerate(classes)}, "key")
     return scored.select("key", *[F.round(c, 5).alias(c) for c in classes])
 

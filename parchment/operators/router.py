@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import bound, is_summary_request
@@ -47,8 +47,9 @@ def fit_idf(counts: DataFrame, total: DataFrame) -> DataFrame:
 def features(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * idf, scaled to unit length; unknown terms dropped."""
     raw = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    # A key's rows are one text's terms; the sum over them spares a second join with the vocabulary.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def score(counts: DataFrame, model: DataFrame, intercepts: dict[str, float], key: str) -> DataFrame:
