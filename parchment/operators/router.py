@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import bound, is_summary_request
-from parchment.session import broadcast_if_small
+from parchment.operators import router_training
+from parchment.session import broadcast_if_small, stored
 
 MIN_CONFIDENCE = 0.45
 MIN_CONFIDENCE_GENERAL = 0.5
 MAX_OVERLAP_FOR_GENERAL = 0.15
 REGULARISATION_C = 10.0
 MIN_ACCURACY = 0.9
+# Weights of a model that the driver may hold, at about 200 bytes each while it is fitted.
+LOCAL_WEIGHTS = 500_000
 
 
 def grams(text: Column) -> Column:
@@ -114,35 +117,56 @@ def _sparse(size: int):
     return build
 
 
-def train(texts: DataFrame, key: str, label: str, text: str = "text", iterations: int = 100) -> Router:
+def train(
+    texts: DataFrame, key: str, label: str, text: str = "text", iterations: int = 100, local_weights: int = LOCAL_WEIGHTS
+) -> Router:
     """Fits the classifier on labelled texts; the result is a weights table, not a local object.
 
-    The vocabulary is numbered through the term order of a sorted table. Training texts are few
-    (hundreds); scoring is what has to scale.
+    Up to ``local_weights`` weights (terms times classes) are fitted by MLlib, which keeps them and some twenty
+    vectors like them on the driver. More are fitted over tables (``router_training``), to the same optimum.
     """
-    spark = texts.sparkSession
-    counts = gram_counts(texts, key, text)
+    counts = stored(gram_counts(texts, key, text), "gram-counts")
     total = texts.agg(F.count("*").alias("n"))
-    idf = fit_idf(counts, total)
     n = total.first()["n"]
-    vocabulary = spark.createDataFrame(
-        idf.orderBy("term").rdd.zipWithIndex().map(lambda r: (r[0]["term"], r[0]["idf"], r[1])),
-        "term string, idf double, i long",
-    )
-    size = idf.count()
+    # Written once, so that a term keeps its number.
+    vocabulary = stored(fit_idf(counts, total).withColumn("i", F.monotonically_increasing_id()), "vocabulary")
+    size = vocabulary.count()
     classes = [r[0] for r in texts.select(label).distinct().orderBy(label).collect()]
-    weighted = features(counts, vocabulary.select("term", "idf"), key).join(vocabulary.select("term", "i"), "term")
-    vectors = weighted.groupBy(key).agg(F.collect_list(F.struct("i", "weight")).alias("pairs"))
     indexed = F.array_position(F.lit(classes), F.col(label)).cast("double") - 1
-    data = texts.select(key, indexed.alias("label")).join(vectors, key).select("label", _sparse(size)("pairs").alias("features"))
-    fitted = LogisticRegression(
-        family="multinomial", standardization=False, regParam=1.0 / (REGULARISATION_C * n), maxIter=iterations
-    ).fit(data)
+    labels = texts.select(key, indexed.alias("label"))
+    weighted = features(counts, vocabulary, key)
+    penalty = 1.0 / (REGULARISATION_C * n)
+    fit = _fit_local if size * len(classes) <= local_weights else _fit_spread
+    model, intercepts = fit(weighted, vocabulary, counts, labels, key, len(classes), penalty, iterations)
+    return Router(model, dict(zip(classes, intercepts, strict=True)))
+
+
+def _fit_local(weighted, vocabulary, counts, labels, key, classes, penalty, iterations):
+    """Terms are numbered in their order."""
+    spark = weighted.sparkSession
+    ordered = spark.createDataFrame(
+        vocabulary.orderBy("term").rdd.zipWithIndex().map(lambda r: (r[0]["term"], r[0]["idf"], r[1])),
+        "term string, idf double, i long",
+    )
+    size = vocabulary.count()
+    vectors = weighted.join(ordered.select("term", "i"), "term").groupBy(key).agg(F.collect_list(F.struct("i", "weight")).alias("pairs"))
+    data = labels.join(vectors, key).select("label", _sparse(size)("pairs").alias("features"))
+    fitted = LogisticRegression(family="multinomial", standardization=False, regParam=penalty, maxIter=iterations).fit(data)
     coef = fitted.coefficientMatrix.toArray()
     rows = ((i, [float(v) for v in coef[:, i]]) for i in range(size))
     weights = spark.createDataFrame(rows, "i long, coef array<double>")
-    model = vocabulary.join(weights, "i").select("term", "idf", "coef")
-    return Router(model, dict(zip(classes, (float(b) for b in fitted.interceptVector), strict=True)))
+    return ordered.join(weights, "i").select("term", "idf", "coef"), [float(b) for b in fitted.interceptVector]
+
+
+def _fit_spread(weighted, vocabulary, counts, labels, key, classes, penalty, iterations):
+    """Weights, gradients and their history stay in tables of one row per text or term."""
+    numbered = vocabulary.join(counts.groupBy("term").agg((F.count("*") > 1).alias("shared")), "term")
+    entries = stored(weighted.join(numbered, "term").select(key, "i", "weight", "shared"), "text-terms")
+    dual, intercepts = router_training.fit(entries, labels, key, classes, penalty, iterations)
+    coef = entries.join(dual, key).groupBy("i").agg(
+        F.array(*[F.sum(F.col("weight") * F.get("dual", F.lit(c))) for c in range(classes)]).alias("coef")
+    )
+    return stored(vocabulary.join(coef, "i").select("term", "idf", "coef"), "weights"), intercepts
 
 
 def top_class(classes: list[str]) -> Column:
