@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from parchment import dims
 from parchment.functions.citations import strip_citations
 from parchment.functions.text import token_estimate, tokens, trimmed
+from parchment.session import stored
 
 MAX_CORRECTION = 1000
 EXAMPLES = 2
@@ -74,44 +80,113 @@ def _term_key(text: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens(text))), " ")
 
 
-def similar_keys(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(left_key, right_key, similarity) of term sets with Jaccard of at least ``least``.
+# Term sets of questions and rows of records that one task compares.
+SLICE = 8192
+BLOCK = 32768
 
-    A pair that similar shares at least ``least`` of each side's terms, so it meets on one of each
-    side's ``size - ceil(least * size) + 1`` rarest terms. Joining on those only finds every pair
-    and leaves the most frequent terms, whose pairs explode, out of the join. Keys are distinct, so
-    copies of a text take part once.
-    """
-    sides = left.select("left_key").distinct(), right.select("right_key").distinct()
-    exploded = [
-        s.select(s.columns[0], F.explode(F.split(s.columns[0], " ")).alias("term")).where("term != ''") for s in sides
-    ]
-    frequency = (
-        exploded[0].select("term").unionByName(exploded[1].select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    )
 
-    def prefixes(terms: DataFrame, key: str) -> DataFrame:
-        # A key's terms come from one question, so the list is as long as the question.
-        ordered = terms.join(frequency, "term").groupBy(key).agg(
-            F.array_sort(F.collect_list(F.struct("df", "term"))).alias("ordered")
-        )
-        size = F.size("ordered")
-        rare = F.slice("ordered", F.lit(1), size - F.ceil(size * least).cast("int") + 1)
-        return ordered.select(key, F.explode(rare).alias("t")).select(key, "t.term")
-
-    pairs = (
-        prefixes(exploded[0], "left_key")
-        .join(prefixes(exploded[1], "right_key"), "term")
-        .select("left_key", "right_key")
-        .distinct()
-    )
-    a, b = F.split("left_key", " "), F.split("right_key", " ")
-    shared = F.size(F.array_intersect(a, b))
-    return (
-        pairs.withColumn("shared", shared)
-        .select("left_key", "right_key", (F.col("shared") / (F.size(a) + F.size(b) - F.col("shared"))).alias("similarity"))
-        .where(F.col("similarity") >= least)
+def _front_rows(least: float, schema: pa.Schema):
+    """Compares a slice of term sets with a block of records: counts of shared terms by the block's term lists.
+
+    Of each term set's similar records, best first, the first is passed on, and of the others each that costs less
+    than all before it: whatever room the best of all blocks leaves, the next that fits is among these.
+    """
+    record_id = schema.names[1]
+
+    def run(records: pa.Table, asked: pa.Table) -> pa.Table:
+        if not records.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        records = records.sort_by(record_id).combine_chunks()
+        keys = records["right_key"].combine_chunks().dictionary_encode()
+        cost = records["cost"].to_numpy()
+        by_key = np.argsort(keys.indices.to_numpy(), kind="stable")
+        key_ends = np.cumsum(np.bincount(keys.indices.to_numpy(), minlength=len(keys.dictionary)))
+        key_starts = np.concatenate([[0], key_ends[:-1]])
+        terms = pc.split_pattern(keys.dictionary, " ")
+        sizes = pc.list_value_length(terms).to_numpy().astype(np.int64)
+        named = terms.flatten().dictionary_encode()
+        of_key = pc.list_parent_indices(terms).to_numpy()
+        term = named.indices.to_numpy()
+        lists = of_key[np.argsort(term, kind="stable")].astype(np.int64)
+        ends = np.cumsum(np.bincount(term, minlength=len(named.dictionary)))
+        starts = ends - np.bincount(term, minlength=len(named.dictionary))
+        texts = asked["left_key"].combine_chunks()
+        words = pc.split_pattern(texts, " ")
+        width = pc.list_value_length(words).to_numpy()
+        number = pc.fill_null(pc.index_in(words.flatten(), value_set=named.dictionary), -1).to_numpy()
+        last = np.cumsum(width)
+        needs: dict[int, np.ndarray] = {}
+        found = []
+        for q, (size, end) in enumerate(zip(width.tolist(), last.tolist(), strict=True)):
+            own = number[end - size : end]
+            own = own[own >= 0]
+            if size not in needs:
+                # A little low, for the division below decides.
+                needs[size] = np.maximum(np.ceil(least * (size + sizes) / (1 + least) - 1e-9), 1).astype(np.int64)
+            # The longest lists can't make a pair alone, so they are counted only where the others leave a chance.
+            skipped = min(max(int(np.ceil(least * size - 1e-9)) - 1, 0), len(own))
+            own = own[np.argsort(starts[own] - ends[own])]
+            rare, common = [[lists[a:b] for a, b in zip(starts[o].tolist(), ends[o].tolist(), strict=True)] for o in (own[skipped:], own[:skipped])]
+            if not rare:
+                continue
+            shared = np.bincount(np.concatenate(rare), minlength=len(sizes))
+            near = np.flatnonzero(shared >= needs[size] - skipped)
+            if not len(near):
+                continue
+            if common:
+                shared = shared + np.bincount(np.concatenate(common), minlength=len(sizes))
+            similarity = shared[near] / (size + sizes[near] - shared[near])
+            near, similarity = near[similarity >= least], similarity[similarity >= least]
+            if not len(near):
+                continue
+            rows = key_ends[near] - key_starts[near]
+            at = by_key[np.repeat(key_starts[near] - np.cumsum(rows) + rows, rows) + np.arange(rows.sum())]
+            similarity = np.repeat(similarity, rows)
+            order = np.lexsort((at, -similarity))
+            spent = cost[at[order]]
+            # The least cost among the others so far; the first is passed on in any case.
+            before = np.minimum.accumulate(spent[1:])
+            kept = order[np.concatenate([[True], spent[1:2] > -1, spent[2:] < before[:-1]])]
+            found.append((np.full(len(kept), q), at[kept], similarity[kept]))
+        if not found:
+            return schema.empty_table()
+        q, at, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
+        columns = [texts.take(pa.array(q)), records[record_id].take(pa.array(at)), pa.array(cost[at]), pa.array(similarity)]
+        return pa.table(columns, names=schema.names).cast(schema)
+
+    return run
+
+
+def similar_records(asked: DataFrame, front: DataFrame, record_id: str, least: float) -> DataFrame:
+    """(left_key, record, cost, similarity): of the records with a Jaccard similarity of at least ``least`` those
+    that can be a term set's best or, beside it, the best that fits.
+
+    ``asked`` has distinct ``left_key``, ``front`` the records' ``right_key`` and cost; a key is the sorted terms.
+    Slices of term sets meet blocks of records, so neither side is ever in one task, and no pair that is not
+    similar leaves its task.
+    """
+    spark = asked.sparkSession
+    n, m = asked.count(), front.count()
+    slices = max(1, -(-n // SLICE), min(spark.sparkContext.defaultParallelism, -(-n // 512)))
+    blocks = max(1, -(-m // BLOCK))
+    tasks = min(4 * slices * blocks, 2000)
+
+    def dealt(rows: DataFrame, part: Column) -> DataFrame:
+        return rows.withColumn("part", part).repartition(tasks, "part")
+
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    a_slice = F.pmod(F.xxhash64("left_key"), F.lit(slices))
+    left = dealt(asked.select("left_key", each(blocks).alias("other")), a_slice * blocks + F.col("other")).drop("other")
+    a_block = F.pmod(F.xxhash64("right_key"), F.lit(blocks))
+    right = dealt(front.select("right_key", record_id, "cost", each(slices).alias("other")), F.col("other") * blocks + a_block).drop("other")
+    kinds = {f.name: f.dataType for f in front.schema}
+    schema = StructType(
+        [StructField("left_key", StringType()), StructField(record_id, kinds[record_id]), StructField("cost", kinds["cost"]), StructField("similarity", DoubleType())]
     )
+    run = _front_rows(least, to_arrow_schema(schema))
+    return right.groupBy("part").cogroup(left.groupBy("part")).applyInArrow(run, schema)
 
 
 def select_examples(
@@ -144,8 +219,10 @@ def select_examples(
         .where(F.col("n") <= EXAMPLES)
         .drop("n")
     )
-    asked = questions.select(question_id, _term_key(F.col("text")).alias("left_key"))
-    scored = similar_keys(asked, approved, least).join(front, "right_key")
+    # Read several times; the texts are cut once.
+    front = stored(front.where("right_key <> ''"), "example-records")
+    asked = stored(questions.select(question_id, _term_key(F.col("text")).alias("left_key")), "asked-terms")
+    scored = stored(similar_records(asked.where("left_key <> ''").select("left_key").distinct(), front, record_id, least), "similar-records")
     order = Window.partitionBy("left_key").orderBy(F.desc("similarity"), record_id)
     best = scored.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
     room = best.select(
@@ -160,7 +237,7 @@ def select_examples(
     )
     chosen = best.withColumn("place", F.lit(1)).unionByName(second.withColumn("place", F.lit(2)))
     return (
-        asked.join(chosen.drop("right_key"), "left_key")
+        asked.join(chosen, "left_key")
         .drop("left_key")
         .join(approved.select(record_id, "question", "approved"), record_id)
     )
