@@ -80,18 +80,27 @@ def _term_key(text: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens(text))), " ")
 
 
-# Term sets of questions and rows of records that one task compares.
-SLICE = 8192
-BLOCK = 32768
+# Term sets of questions and rows of records that one task compares, and term sets it looks up at a time.
+SLICE = 32768
+BLOCK = 131072
+BATCH = 16
 
 
 def _front_rows(least: float, schema: pa.Schema):
-    """Compares a slice of term sets with a block of records: counts of shared terms by the block's term lists.
+    """Compares a slice of term sets with a block of records by the block's term lists.
+
+    Two sets of given sizes must share so many terms; a third of these are among the question's terms that stay
+    when as many of its commonest as the other two thirds are left out. So only those lists are read, each up to the
+    record size from which its term may be left out, and what is met often enough is compared in full.
 
     Of each term set's similar records, best first, the first is passed on, and of the others each that costs less
     than all before it: whatever room the best of all blocks leaves, the next that fits is among these.
     """
-    record_id = schema.names[1]
+    record_id, batch = schema.names[1], BATCH
+
+    def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The whole numbers from each start on, as many as its count says, one run after the other."""
+        return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
     def run(records: pa.Table, asked: pa.Table) -> pa.Table:
         if not records.num_rows or not asked.num_rows:
@@ -99,58 +108,89 @@ def _front_rows(least: float, schema: pa.Schema):
         records = records.sort_by(record_id).combine_chunks()
         keys = records["right_key"].combine_chunks().dictionary_encode()
         cost = records["cost"].to_numpy()
-        by_key = np.argsort(keys.indices.to_numpy(), kind="stable")
-        key_ends = np.cumsum(np.bincount(keys.indices.to_numpy(), minlength=len(keys.dictionary)))
-        key_starts = np.concatenate([[0], key_ends[:-1]])
+        # Keys are numbered by their size, so the sizes in a term's list ascend.
         terms = pc.split_pattern(keys.dictionary, " ")
+        by_size = np.argsort(pc.list_value_length(terms).to_numpy(), kind="stable")
+        terms = terms.take(pa.array(by_size))
         sizes = pc.list_value_length(terms).to_numpy().astype(np.int64)
+        n, longest = len(sizes), int(sizes[-1])
+        key_of = np.argsort(by_size)[keys.indices.to_numpy()]
+        by_key = np.argsort(key_of, kind="stable")
+        key_rows = np.bincount(key_of, minlength=n)
+        key_starts = np.cumsum(key_rows) - key_rows
         named = terms.flatten().dictionary_encode()
-        of_key = pc.list_parent_indices(terms).to_numpy()
-        term = named.indices.to_numpy()
-        lists = of_key[np.argsort(term, kind="stable")].astype(np.int64)
-        ends = np.cumsum(np.bincount(term, minlength=len(named.dictionary)))
-        starts = ends - np.bincount(term, minlength=len(named.dictionary))
+        term = named.indices.to_numpy().astype(np.int64)
+        term_starts = np.cumsum(sizes) - sizes
+        pairs = np.sort(term * n + np.repeat(np.arange(n), sizes))
+        lists = (pairs % n).astype(np.int32 if batch * n < 2**31 else np.int64)
+        first_of = np.searchsorted(sizes, np.arange(longest + 2))
+        # Term sets by size, each one's known terms from the longest list on.
         texts = asked["left_key"].combine_chunks()
+        width = pc.list_value_length(pc.split_pattern(texts, " ")).to_numpy()
+        texts = texts.take(pa.array(np.argsort(width, kind="stable")))
         words = pc.split_pattern(texts, " ")
-        width = pc.list_value_length(words).to_numpy()
-        number = pc.fill_null(pc.index_in(words.flatten(), value_set=named.dictionary), -1).to_numpy()
-        last = np.cumsum(width)
-        needs: dict[int, np.ndarray] = {}
+        width = pc.list_value_length(words).to_numpy().astype(np.int64)
+        own = pc.fill_null(pc.index_in(words.flatten(), value_set=named.dictionary), -1).to_numpy().astype(np.int64)
+        q = np.repeat(np.arange(len(width)), width)[own >= 0]
+        own = own[own >= 0]
+        order = np.lexsort((-np.bincount(term)[own], q))
+        q, own = q[order], own[order]
+        known = np.bincount(q, minlength=len(width))
+        rank = np.arange(len(q)) - (np.cumsum(known) - known)[q]
+        # Terms to share, by size of the term set (rows) and of the record; a little low, for the division below decides.
+        asked_sizes, row = np.unique(width, return_inverse=True)
+        needs = np.maximum(np.ceil(least * (asked_sizes[:, None] + np.arange(longest + 1)) / (1 + least) - 1e-9), 1).astype(np.int64)
+        enough = (needs + 2) // 3
+        ranks = np.arange(int(known.max()) + 1)
+        counted = np.stack([np.searchsorted(x, ranks, side="right") for x in needs - enough])
+        possible = np.stack([np.searchsorted(x, ranks, side="right") for x in needs])
+        smallest = np.minimum(np.maximum(np.ceil(least * asked_sizes - 1e-9), 1).astype(np.int64), longest + 1)
+        up_to = first_of[np.minimum(counted[row[q], rank], possible[row[q], known[q]])]
+        starts = np.searchsorted(pairs, own * n + first_of[smallest][row[q]])
+        ends = np.maximum(np.searchsorted(pairs, own * n + up_to), starts)
+        times = enough[np.arange(len(asked_sizes)), np.minimum(smallest, longest)][row]
+        seen = np.zeros((batch, len(named.dictionary)), bool)
         found = []
-        for q, (size, end) in enumerate(zip(width.tolist(), last.tolist(), strict=True)):
-            own = number[end - size : end]
-            own = own[own >= 0]
-            if size not in needs:
-                # A little low, for the division below decides.
-                needs[size] = np.maximum(np.ceil(least * (size + sizes) / (1 + least) - 1e-9), 1).astype(np.int64)
-            # The longest lists can't make a pair alone, so they are counted only where the others leave a chance.
-            skipped = min(max(int(np.ceil(least * size - 1e-9)) - 1, 0), len(own))
-            own = own[np.argsort(starts[own] - ends[own])]
-            rare, common = [[lists[a:b] for a, b in zip(starts[o].tolist(), ends[o].tolist(), strict=True)] for o in (own[skipped:], own[:skipped])]
-            if not rare:
-                continue
-            shared = np.bincount(np.concatenate(rare), minlength=len(sizes))
-            near = np.flatnonzero(shared >= needs[size] - skipped)
-            if not len(near):
+        for first in range(0, len(width), batch):
+            a, b = np.searchsorted(q, (first, first + batch)).tolist()
+            if (ends[a:b] == starts[a:b]).all():
                 continue
-            if common:
-                shared = shared + np.bincount(np.concatenate(common), minlength=len(sizes))
-            similarity = shared[near] / (size + sizes[near] - shared[near])
-            near, similarity = near[similarity >= least], similarity[similarity >= least]
-            if not len(near):
+            mine = q[a:b] - first
+            met = np.concatenate([lists[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)])
+            met = np.sort(met + np.repeat((mine * n).astype(met.dtype), ends[a:b] - starts[a:b]))
+            # Sorted, what is met t times is equal to what stands t - 1 places on.
+            t = int(times[first : first + batch].min())
+            at = np.flatnonzero(met[t - 1 :] == met[: max(len(met) - t + 1, 0)])
+            at = at[np.concatenate([[True], met[at[1:]] != met[at[:-1]]])] if len(at) else at
+            of, key = np.divmod(met[at].astype(np.int64), n)
+            further = at + enough[row[first + of], sizes[key]] - 1
+            often = met[np.minimum(further, len(met) - 1)] == met[at]
+            often &= further < len(met)
+            of, key = of[often], key[often]
+            if not len(of):
                 continue
-            rows = key_ends[near] - key_starts[near]
-            at = by_key[np.repeat(key_starts[near] - np.cumsum(rows) + rows, rows) + np.arange(rows.sum())]
-            similarity = np.repeat(similarity, rows)
-            order = np.lexsort((at, -similarity))
-            spent = cost[at[order]]
-            # The least cost among the others so far; the first is passed on in any case.
-            before = np.minimum.accumulate(spent[1:])
-            kept = order[np.concatenate([[True], spent[1:2] > -1, spent[2:] < before[:-1]])]
-            found.append((np.full(len(kept), q), at[kept], similarity[kept]))
-        if not found:
+            size = sizes[key]
+            seen[mine, own[a:b]] = True
+            both = seen[np.repeat(of, size), term[runs(term_starts[key], size)]]
+            seen[mine, own[a:b]] = False
+            shared = np.add.reduceat(both, np.cumsum(size) - size, dtype=np.int64)
+            similarity = shared / (width[first + of] + size - shared)
+            near = similarity >= least
+            found.append((first + of[near], key[near], similarity[near]))
+        if not sum(len(x) for x, _, _ in found):
             return schema.empty_table()
-        q, at, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
+        q, key, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = by_key[runs(key_starts[key], key_rows[key])]
+        q, similarity = np.repeat(q, key_rows[key]), np.repeat(similarity, key_rows[key])
+        order = np.lexsort((at, -similarity, q))
+        q, at, similarity = q[order], at[order], similarity[order]
+        kept = np.concatenate([[True], q[1:] != q[:-1]])
+        # The least cost among the others so far; a term set's numbers are all below those of the one before it.
+        above = int(cost.max()) + 2
+        spent = cost[at] - q * above
+        before = np.minimum.accumulate(np.where(kept, above - 1 - q * above, spent))
+        kept[1:] |= spent[1:] < before[:-1]
+        q, at, similarity = q[kept], at[kept], similarity[kept]
         columns = [texts.take(pa.array(q)), records[record_id].take(pa.array(at)), pa.array(cost[at]), pa.array(similarity)]
         return pa.table(columns, names=schema.names).cast(schema)
 
