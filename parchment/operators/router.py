@@ -43,16 +43,21 @@ def gram_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def fit_idf(counts: DataFrame, total: DataFrame) -> DataFrame:
     """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1; ``total`` is one row with column ``n``."""
+    return _frequencies(counts, total).select("term", "idf")
+
+
+def _frequencies(counts: DataFrame, total: DataFrame) -> DataFrame:
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(total)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.join(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def features(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): (1 + ln tf) * idf, scaled to unit length; unknown terms dropped."""
-    raw = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+def features(counts: DataFrame, idf: DataFrame, key: str, named: tuple[str, ...] = ("term",)) -> DataFrame:
+    """(key, term, weight): (1 + ln tf) * idf, scaled to unit length; unknown terms dropped. ``named`` are the
+    columns of ``idf`` that tell of a term."""
+    raw = counts.join(idf, "term").select(key, *named, ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     # A key's rows are one text's terms; the sum over them spares a second join with the vocabulary.
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    return raw.select(key, *named, (F.col("raw") / norm).alias("weight"))
 
 
 def score(counts: DataFrame, model: DataFrame, intercepts: dict[str, float], key: str) -> DataFrame:
@@ -129,21 +134,22 @@ def train(
     total = texts.agg(F.count("*").alias("n"))
     n = total.first()["n"]
     # Written once, so that a term keeps its number.
-    vocabulary = stored(fit_idf(counts, total).withColumn("i", F.monotonically_increasing_id()), "vocabulary")
+    known = _frequencies(counts, total).select("term", "idf", (F.col("df") > 1).alias("shared"), F.monotonically_increasing_id().alias("i"))
+    vocabulary = stored(known, "vocabulary")
     size = vocabulary.count()
     classes = [r[0] for r in texts.select(label).distinct().orderBy(label).collect()]
     indexed = F.array_position(F.lit(classes), F.col(label)).cast("double") - 1
     labels = texts.select(key, indexed.alias("label"))
-    weighted = features(counts, vocabulary, key)
     penalty = 1.0 / (REGULARISATION_C * n)
     fit = _fit_local if size * len(classes) <= local_weights else _fit_spread
-    model, intercepts = fit(weighted, vocabulary, counts, labels, key, len(classes), penalty, iterations)
+    model, intercepts = fit(counts, vocabulary, labels, key, len(classes), penalty, iterations)
     return Router(model, dict(zip(classes, intercepts, strict=True)))
 
 
-def _fit_local(weighted, vocabulary, counts, labels, key, classes, penalty, iterations):
+def _fit_local(counts, vocabulary, labels, key, classes, penalty, iterations):
     """Terms are numbered in their order."""
-    spark = weighted.sparkSession
+    spark = counts.sparkSession
+    weighted = features(counts, vocabulary, key)
     ordered = spark.createDataFrame(
         vocabulary.orderBy("term").rdd.zipWithIndex().map(lambda r: (r[0]["term"], r[0]["idf"], r[1])),
         "term string, idf double, i long",
@@ -158,10 +164,9 @@ def _fit_local(weighted, vocabulary, counts, labels, key, classes, penalty, iter
     return ordered.join(weights, "i").select("term", "idf", "coef"), [float(b) for b in fitted.interceptVector]
 
 
-def _fit_spread(weighted, vocabulary, counts, labels, key, classes, penalty, iterations):
-    """Weights, gradients and their history stay in tables of one row per text or term."""
-    numbered = vocabulary.join(counts.groupBy("term").agg((F.count("*") > 1).alias("shared")), "term")
-    entries = stored(weighted.join(numbered, "term").select(key, "i", "weight", "shared"), "text-terms")
+def _fit_spread(counts, vocabulary, labels, key, classes, penalty, iterations):
+    """Weights, gradients and their history stay in tables; a term's text meets its number once."""
+    entries = stored(features(counts, vocabulary, key, ("i", "shared")), "text-terms")
     dual, intercepts = router_training.fit(entries, labels, key, classes, penalty, iterations)
     coef = entries.join(dual, key).groupBy("i").agg(
         F.array(*[F.sum(F.col("weight") * F.get("dual", F.lit(c))) for c in range(classes)]).alias("coef")
