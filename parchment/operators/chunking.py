@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.text import WS, bound, heading_of_trimmed, sentences_of, trimmed
 from parchment.operators.pages import page_texts
-from parchment.operators.scan import carry_last, dense_index
+from parchment.operators.scan import carry_last_by_key, dense_index
 
 TARGET_CHARS = 900
 MAX_CHARS = 1200
@@ -158,7 +158,7 @@ def chunk_documents(
 
 def page_sections(pages: DataFrame, keys: list[str], page: str = "page", pages_per_block: int = 512) -> DataFrame:
     """Adds ``section_in``, the section in force where each page starts, from earlier pages."""
-    return carry_last(
+    return carry_last_by_key(
         pages.withColumn("units", block_units(page_blocks(F.col("text")))),
         keys,
         [page],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.spans import overlaps, spans
 from parchment.functions.text import WB, WS, bound, trimmed
+from parchment.operators.scan import by_key
 
 # What counts as a figure ------------------------------------------------------
 MONTHS = (
@@ -103,8 +104,16 @@ def candidates(
 ) -> DataFrame:
     """Figures of each scope's sources, repeats dropped, the first ``limit`` per scope (a feature).
 
-    Repeats are settled by a minimum per (scope, value, sentence), which combines before the shuffle.
+    A scope's sources meet in one task as texts, several times smaller than their figures with sentences; what
+    follows stays there. Figures of a scope of many sources are moved instead: repeats are settled by a minimum per
+    (scope, value, sentence), which combines before the shuffle.
     """
+    dealt = by_key(sources.select(*scope, order, source_id, *carry, "text"), scope)
+    found = _first_figures(dealt.whole, scope, order, source_id, limit, carry)
+    return found if dealt.large is None else found.unionByName(_first_figures(dealt.large, scope, order, source_id, limit, carry))
+
+
+def _first_figures(sources: DataFrame, scope: list[str], order: str, source_id: str, limit: int, carry: tuple[str, ...]) -> DataFrame:
     text = F.col("text")
     found = sources.select(
         *scope,
